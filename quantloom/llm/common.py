@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from pathlib import Path
 
 import numpy as np
@@ -20,6 +21,7 @@ WHITE = " \t\n\x0b\x0c\r"
 WORD_BREAK = r"[ \t-\r]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SHINGLE = 5
+_own: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,13 +37,24 @@ def workers_import(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; one of this machine where that is unset."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if base is None:
+        if not _own:
+            _own.append(tempfile.mkdtemp(prefix="spark-durable-"))
+        base = _own[0]
+    return base.rstrip("/")
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """``df`` computed once and stored in the shared folder of spark.checkpoint.dir, lineage cut. It survives the
-    loss of executors. Only where the setting is absent (tests, one machine) a folder of this machine serves."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint(eager=True)
+    """``df`` computed once, written as Parquet to the shared folder of spark.checkpoint.dir and read from there, so
+    its lineage is cut and it survives the loss of executors. Only where the setting is absent (tests, one machine)
+    a folder of this machine serves."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/durable-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def small_side(df: DataFrame, row_bytes: int, most: int = BROADCAST_BYTES) -> DataFrame:

@@ -90,8 +90,8 @@ def line_bitmaps(docs: DataFrame, min_docs: int = 10, keep_first: bool = False,
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keyed = docs.select(F.coalesce("doc_id", F.lit(-(1 << 62))).cast("long").alias("doc"), row_key().alias("row"), "text")
     lines = keyed.mapInArrow(_line_hashes, "h long, doc long, row long, pos int")
-    lines = durable(lines.repartitionByRange(n, "h", "doc").sortWithinPartitions("h", "doc", "row", "pos"))
-    runs = lines.mapInArrow(_runs, "h long, n long, doc long, row long, pos int")
+    lines = durable(lines)
+    runs = lines.repartitionByRange(n, "h", "doc").sortWithinPartitions("h", "doc", "row", "pos").mapInArrow(_runs, "h long, n long, doc long, row long, pos int")
     common = runs.groupBy("h").agg(F.sum("n").alias("n"), F.min(F.struct("doc", "row", "pos")).alias("first")).where(F.col("n") >= min_docs)
     common = small_side(durable(common), 64)
     drops = lines.join(common, "h")

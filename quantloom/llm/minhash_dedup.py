@@ -20,8 +20,8 @@ M = BANDS * ROWS
 #: Pairs whose estimate is this much below the threshold are not checked: over five standard deviations.
 MARGIN = 0.2
 _A = np.random.default_rng(77).integers(1, 2**63, M, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-#: Rows that are compared with each other at once.
-BLOCK = 1024
+#: Buckets of up to SMALL rows are paired by a join; larger ones are cut into blocks that are compared at once.
+SMALL, BLOCK = 24, 1024
 
 
 def registers(h: np.ndarray, limits: np.ndarray) -> np.ndarray:
@@ -95,13 +95,14 @@ def _bands(batches):
         yield pa.RecordBatch.from_arrays([ids, pa.array(keys.ravel().view(np.int64))], ["id", "band"])
 
 
-def _likely(threshold: float):
+def _likely(threshold: float, keep=()):
     def likely(frames):
         for f in frames:
             if len(f):
                 a, b = (np.frombuffer(b"".join(x), np.uint16).reshape(-1, M) for x in (f.ra, f.rb))
-                f = f[estimate(a, b, f.na.to_numpy(float), f.nb.to_numpy(float)) >= threshold - MARGIN]
-            yield f[["a", "b"]]
+                f = f.assign(est=estimate(a, b, f.na.to_numpy(float), f.nb.to_numpy(float)))
+                f = f[f.est >= threshold - MARGIN]
+            yield f.reindex(columns=["a", "b", *keep])
 
     return likely
 
@@ -172,15 +173,15 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 
     # the full sets of those in buckets, from one row of documents each
     used = durable(bands.select("id").distinct().join(sets, "id").select("id", "rep"))
-    first = sketch.select("id", F.col("doc_id").alias("rep")).join(used, ["id", "rep"]).distinct()
-    texts = base.withColumnRenamed("doc_id", "rep").join(small_side(durable(first), 32), "rep")
+    texts = base.withColumnRenamed("doc_id", "rep").join(small_side(used, 32), "rep")
     full = texts.select("id", "text").mapInArrow(_sets, "id long, key binary, n long, hashes binary")
     full = durable(full.where(F.col("id") == F.xxhash64("key", "n")).groupBy("id").agg(F.first("hashes").alias("hashes")))
-    return _linked(sketch, sets, bands, star, full, percent)
+    return _linked(sketch, sets, bands, star, full, percent, left, right)
 
 
-def _linked(sketch, sets, bands, star, full, percent):
+def _linked(sketch, sets, bands, star, full, percent, left, right):
     threshold, verify = percent / 100, _verify(percent)
+    parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     fa, fb = full.select(F.col("id").alias("a"), F.col("hashes").alias("ha")), full.select(F.col("id").alias("b"), F.col("hashes").alias("hb"))
 
     def links(pairs):
@@ -193,12 +194,18 @@ def _linked(sketch, sets, bands, star, full, percent):
             break
         member = bands.join(comp, bands.id == comp.node, "left").select("band", "size", "id", F.coalesce("component", "id").alias("comp"))
         mixed = durable(member.groupBy("band").agg((F.min("comp") != F.max("comp")).alias("mixed")).where("mixed").select("band"))
-        rows = member.join(small_side(mixed, 24), "band").join(sets.select("id", "n", "regs"), "id")
+        member = durable(member.join(small_side(mixed, 24), "band"))
+        x, y = (member.where(F.col("size") <= SMALL).select("band", F.col("id").alias(i), F.col("comp").alias(f"c{i}")) for i in "ab")
+        few = x.join(y, "band").where("a < b and ca <> cb").select("a", "b").distinct()
+        few = few.join(left, "a").join(right, "b").where(F.least("na", "nb") >= threshold * F.greatest("na", "nb"))
+        few = few.mapInPandas(_likely(threshold, ("est",)), "a long, b long, est double")
+        rows = member.where(F.col("size") > SMALL).join(sets.select("id", "n", "regs"), "id")
         rows = rows.withColumn("nb", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("blk", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
         rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
         rows = rows.select("band", F.least("blk", "o").alias("lo"), F.greatest("blk", "o").alias("hi"), "blk", "id", "comp", "n", "regs")
-        pairs = rows.groupBy("band", "lo", "hi").applyInPandas(_within(threshold), "a long, b long, est double")
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "est").distinct()
+        rows = rows.repartition(parts, "band", "lo", "hi")
+        many = rows.groupBy("band", "lo", "hi").applyInPandas(_within(threshold), "a long, b long, est double")
+        pairs = few.union(many).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "est").distinct()
         tests = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         pairs = durable(pairs.join(tests, ["a", "b"], "left_anti"))
         if pairs.isEmpty():
