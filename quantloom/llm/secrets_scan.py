@@ -44,7 +44,7 @@ def spans(df: DataFrame, text: str, pattern: str, name: str, maybe=None) -> Data
 
 def base_spans(docs: DataFrame) -> DataFrame:
     """(row, doc_id, assign, access, hex, tokens): spans of the base kinds, and the tokens that the models may judge:
-    those that meet no base span."""
+    those that hold a letter and meet no base span."""
     df = docs.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
     low = F.lower("text")
     named = low.contains("password") | low.contains("passwd") | low.contains("secret") | low.contains("token") | (low.contains("api") & low.contains("key"))
@@ -54,7 +54,7 @@ def base_spans(docs: DataFrame) -> DataFrame:
     df = spans(df, "text", HEX, "hex")
     df = spans(df, "text", TOKEN, "tokens").drop("text")
     base = F.concat("assign", "access", "hex")
-    free = F.filter("tokens", lambda t: ~F.exists(base, lambda b: (b["s"] < t["e"]) & (t["s"] < b["e"])))
+    free = F.filter("tokens", lambda t: t["m"].rlike("[A-Za-z]") & ~F.exists(base, lambda b: (b["s"] < t["e"]) & (t["s"] < b["e"])))
     return df.withColumn("tokens", free)
 
 
@@ -115,9 +115,11 @@ def secret_spans(docs: DataFrame, threshold: float = RATIO) -> DataFrame:
     then kind as listed."""
     found = durable(base_spans(docs))
     table = train_markov(samples(found, docs))
-    tagged = [F.transform(name, lambda x, k=k: F.struct(x["s"].alias("s"), F.lit(k).alias("k"), x["e"].alias("e"))) for k, name in enumerate(KINDS[:3])]
-    judged = F.filter("tokens", lambda x: ratio(x["m"], table) >= threshold)
-    extra = F.when(F.size("tokens") > 0, F.transform(judged, lambda x: F.struct(x["s"].alias("s"), F.lit(3).alias("k"), x["e"].alias("e"))))
+    def tag(spans, k):
+        return F.transform(spans, lambda x: F.struct(x["s"].alias("s"), F.lit(k).alias("k"), x["e"].alias("e")))
+
+    tagged = [tag(name, k) for k, name in enumerate(KINDS[:3])]
+    extra = F.when(F.size("tokens") > 0, tag(F.filter("tokens", lambda x: ratio(x["m"], table) >= threshold), 3))
     extra = F.coalesce(extra, F.array().cast("array<struct<s:int,k:int,e:int>>"))
     return found.select("doc_id", F.array_sort(F.concat(*tagged, extra)).alias("spans"))
 
