@@ -40,7 +40,8 @@ for _n, _k in (("lt", "<"), ("le", "<="), ("gt", ">"), ("ge", ">="), ("and", "an
 #: Windows of one input along an instrument's rows.
 ALONG = {"delay": C.delay, "mean": C.rolling_mean, "sum": C.rolling_sum, "std": C.rolling_std, "min": C.rolling_min, "max": C.rolling_max, "prod": C.rolling_prod, "tsrank": C.ts_rank, "mad": C.mean_abs_dev, "highday": lambda x, n: C.since_extreme(x, n, True), "lowday": lambda x, n: C.since_extreme(x, n, False)}
 PAIRS = {"corr": C.rolling_corr, "cov": C.rolling_cov, "slope": C.slope}
-WINDOWS = {*ALONG, *PAIRS, "decay", "runcount", "rank", "smooth"}
+ACROSS = ("rank", "secmean")
+WINDOWS = {*ALONG, *PAIRS, *ACROSS, "decay", "runcount", "cum", "smooth"}
 ROWWISE = {
     "neg": lambda a: -a, "+": lambda a, b: a + b, "-": lambda a, b: a - b, "*": lambda a, b: a * b, "/": C.safe_divide, "pow": C.power,
     "<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b, "==": lambda a, b: a == b,
@@ -88,6 +89,21 @@ def rank(x):
     return Expr("rank", x)
 
 
+def rank_in(x, column):
+    """Rank within date and another column."""
+    return Expr("rank", x, n=column)
+
+
+def section_mean(x, column=None):
+    """Mean over the instruments of a date, or of a date and another column."""
+    return Expr("secmean", x, n=column)
+
+
+def cum(x):
+    """Running sum of an instrument's rows; null rows add nothing and stay null."""
+    return Expr("cum", x)
+
+
 def sma(x, n, m=1):
     """(m x + (n - m) y before) / n."""
     return Expr("smooth", x, n=m / n)
@@ -171,7 +187,12 @@ def _window(e: Expr, names: dict[str, str]) -> Column:
         return C.decay_linear(x[0], e.n, F.col("_t"))
     if e.kind == "runcount":
         return C.running_count(x[0])
-    return C.pct_rank(x[0])
+    return F.when(x[0].isNotNull(), F.sum(x[0]).over(C.history()))
+
+
+def _across(e: Expr, name: str) -> Column:
+    more = (e.n,) if e.n else ()
+    return C.pct_rank(F.col(name), *more) if e.kind == "rank" else F.avg(name).over(C.section(*more))
 
 
 def evaluate(panel: DataFrame, factors: dict[str, Expr], keep=(C.INSTRUMENT, C.DATE)) -> DataFrame:
@@ -182,6 +203,7 @@ def evaluate(panel: DataFrame, factors: dict[str, Expr], keep=(C.INSTRUMENT, C.D
         columns_of(e, need)
     names = {key: f"_w{i}" for i, key in enumerate(need)}
     fields = {x for e in factors.values() for x in _fields(e)}
+    fields |= {e.n for e in need.values() if e.kind in ACROSS and e.n}
     df = panel.select(*keep, *sorted(fields - set(keep))).withColumn("_t", F.row_number().over(C.order()))
     for layer in range(1, max((e.layer for e in need.values()), default=0) + 1):
         now = {k: e for k, e in need.items() if e.layer == layer}
@@ -189,7 +211,7 @@ def evaluate(panel: DataFrame, factors: dict[str, Expr], keep=(C.INSTRUMENT, C.D
         live = [names[k] for k, e in need.items() if e.layer < layer and (k in later or any(k in _direct(x) for x in now.values()))]
         done = {k: names[k] for k in names if need[k].layer < layer}
         base = [*keep, *sorted(fields - set(keep)), "_t", *live]
-        along = [(k, e) for k, e in now.items() if e.kind not in ("rank", "smooth")]
+        along = [(k, e) for k, e in now.items() if e.kind not in (*ACROSS, "smooth")]
         if along:
             df = df.select(*base, *(_window(e, done).alias(names[k]) for k, e in along))
             base += [names[k] for k, _ in along]
@@ -197,9 +219,9 @@ def evaluate(panel: DataFrame, factors: dict[str, Expr], keep=(C.INSTRUMENT, C.D
             df = df.select(*base, *(_column(e.args[0], done).cast("double").alias(f"{names[k]}i") for k, e in again))
             df = smooth(df, {names[k]: (f"{names[k]}i", e.n) for k, e in again}).drop(*(f"{names[k]}i" for k, _ in again))
             base += [names[k] for k, _ in again]
-        if across := [(k, e) for k, e in now.items() if e.kind == "rank"]:
+        if across := [(k, e) for k, e in now.items() if e.kind in ACROSS]:
             df = df.select(*base, *(_column(e.args[0], done).alias(f"{names[k]}i") for k, e in across))
-            df = df.select(*base, *(C.pct_rank(F.col(f"{names[k]}i")).alias(names[k]) for k, _ in across))
+            df = df.select(*base, *(_across(e, f"{names[k]}i").alias(names[k]) for k, e in across))
     return df.select(*keep, *(C.finite(_column(e, names).cast("double")).alias(f) for f, e in factors.items()))
 
 

@@ -52,8 +52,13 @@ def _window(e: Expr, names: dict[str, str]) -> str:
         return f"{alone[e.kind]}({x[0]}) {w}"
     if e.kind == "prod":
         return f"CASE WHEN count({x[0]}) {w} = count(*) {w} THEN product({x[0]}) {w} END"
+    group = f"PARTITION BY date, {n}" if e.kind in ("rank", "secmean") and n else "PARTITION BY date"
+    if e.kind == "secmean":
+        return f"avg({x[0]}) OVER ({group})"
+    if e.kind == "cum":
+        return f"CASE WHEN ({x[0]}) IS NOT NULL THEN sum({x[0]}) OVER ({every} ROWS UNBOUNDED PRECEDING) END"
     if e.kind == "rank":
-        return f"CASE WHEN ({x[0]}) IS NOT NULL THEN (rank() OVER (PARTITION BY date, ({x[0]}) IS NULL ORDER BY {x[0]}) + (count(*) OVER (PARTITION BY date, {x[0]}) - 1) / 2) / count({x[0]}) OVER (PARTITION BY date) END"
+        return f"CASE WHEN ({x[0]}) IS NOT NULL THEN (rank() OVER ({group}, ({x[0]}) IS NULL ORDER BY {x[0]}) + (count(*) OVER ({group}, {x[0]}) - 1) / 2) / count({x[0]}) OVER ({group}) END"
     if e.kind == "runcount":
         return f"count({x[0]}) OVER ({every} ROWS UNBOUNDED PRECEDING)::DOUBLE"
     a, b = (f"CASE WHEN ({x[1]}) IS NOT NULL THEN {x[0]} END", f"CASE WHEN ({x[0]}) IS NOT NULL THEN {x[1]} END") if len(x) > 1 else ("", "")
@@ -110,7 +115,7 @@ def ctes(factors: dict[str, Expr], source: str, keep=("instrument_id", "date"))
                 cols.append(f"{_window(e, done)} AS {names[k]}")
         live = set().union(*(reads(e) for e in factors.values()), *(_direct(e) for e in need.values() if e.layer > layer))
         old = sorted(names[k] for k in live if need[k].layer < layer)
-        fields = sorted({f for e in factors.values() for f in _names(e)} - set(keep))
+        fields = sorted(({f for e in factors.values() for f in _names(e)} | {e.n for e in need.values() if e.kind in ("rank", "secmean") and e.n}) - set(keep))
         base = ", ".join([*keep, *fields, *old])
         parts.append(f"a{layer} AS MATERIALIZED (SELECT {base}, {', '.join(cols)} FROM {last})")
         plain = [names[k] for k, e in now.items() if e.kind not in _LISTS]
