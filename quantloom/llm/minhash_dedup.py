@@ -17,11 +17,12 @@ from .common import SHINGLE, chunks, components, durable, mix, shingles, small_s
 BASE, RATE, TOP = 1.02, 20.0, 4000
 BANDS, ROWS = 20, 5
 M = BANDS * ROWS
-#: Pairs whose estimate is this much below the threshold are not checked: over five standard deviations.
-MARGIN = 0.2
+#: Pairs whose estimate is this much below the threshold are not checked: five standard deviations.
+MARGIN = 0.18
 _A = np.random.default_rng(77).integers(1, 2**63, M, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-#: Buckets of up to SMALL rows are paired by a join; larger ones are cut into blocks that are compared at once.
-SMALL, BLOCK = 24, 1024
+#: Buckets of up to SMALL rows are paired by a join; larger ones are cut into blocks of at most about BLOCK rows and
+#: BLOCK_SHINGLES shingles, two of which are compared in a task.
+SMALL, BLOCK, BLOCK_SHINGLES = 24, 2048, 1 << 20
 
 
 def registers(h: np.ndarray, limits: np.ndarray) -> np.ndarray:
@@ -91,18 +92,18 @@ def _bands(batches):
             for j in range(b * ROWS, (b + 1) * ROWS):
                 acc = mix(acc * np.uint64(0x9E3779B97F4A7C15) + regs[:, j])
             keys[:, b] = acc
-        ids = batch.column(0).take(pa.array(np.repeat(np.arange(len(regs)), BANDS)))
-        yield pa.RecordBatch.from_arrays([ids, pa.array(keys.ravel().view(np.int64))], ["id", "band"])
+        at = pa.array(np.repeat(np.arange(len(regs)), BANDS))
+        no = pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(regs)))
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), no, pa.array(keys.ravel().view(np.int64))], ["id", "n", "no", "band"])
 
 
-def _likely(threshold: float, keep=()):
+def _likely(threshold: float):
     def likely(frames):
         for f in frames:
             if len(f):
                 a, b = (np.frombuffer(b"".join(x), np.uint16).reshape(-1, M) for x in (f.ra, f.rb))
-                f = f.assign(est=estimate(a, b, f.na.to_numpy(float), f.nb.to_numpy(float)))
-                f = f[f.est >= threshold - MARGIN]
-            yield f.reindex(columns=["a", "b", *keep])
+                f = f[estimate(a, b, f.na.to_numpy(float), f.nb.to_numpy(float)) >= threshold - MARGIN]
+            yield f[["a", "b"]]
 
     return likely
 
@@ -119,28 +120,38 @@ def _verify(percent: int):
     return F.pandas_udf(verify, "boolean")
 
 
-def _within(threshold: float):
-    """Pairs of different components within a block pair of a bucket that the estimate does not rule out."""
-
-    def within(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("id")
-        ids, comp, n = pdf.id.to_numpy(), pdf.comp.to_numpy(), pdf.n.to_numpy(float)
-        blk, regs = pdf.blk.to_numpy(), np.frombuffer(b"".join(pdf.regs), np.uint16).reshape(-1, M)
-        own = blk.min() == blk.max()
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for i in range(len(ids)):
-            j = np.flatnonzero((comp > comp[i]) & (np.minimum(n, n[i]) >= threshold * np.maximum(n, n[i])))
-            if not own:
-                j = j[blk[j] != blk[i]]
-            j = j[(regs[j] == regs[i]).mean(1) >= threshold - MARGIN - 0.05] if len(j) else j
+def _within(percent: int):
+    """Links between different components in a block pair of a bucket, as many as join them. A pair is looked at in the
+    first band that it shares, if the estimate does not rule it out, and unless links found so far join it; the
+    intersection is exact."""
+    threshold = percent / 100
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, n, blk, no = pdf.id.to_numpy(), pdf.n.to_numpy(float), pdf.blk.to_numpy(), int(pdf.no.iloc[0])
+        regs = np.frombuffer(b"".join(pdf.regs), np.uint16).reshape(-1, M)
+        root = np.unique(pdf.comp, return_inverse=True)[1]
+        at = np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
+        values, flat = np.unique(np.frombuffer(b"".join(pdf.hashes), np.uint64), return_inverse=True)
+        mark, place, own, out = np.zeros(len(values), np.int64), np.arange(len(ids)), blk.min() == blk.max(), []
+        for i in place if own else np.flatnonzero(blk == blk.min()):
+            j = np.flatnonzero((root != root[i]) & ((place > i) if own else (blk != blk[i])) & (np.minimum(n, n[i]) >= threshold * np.maximum(n, n[i])))
+            if len(j):
+                same = regs[j] == regs[i]
+                new = (same.mean(1) >= threshold - MARGIN - 0.05) & ~same.reshape(len(j), BANDS, ROWS).all(2)[:, :no].any(1)
+                j = j[new]
+            if len(j):
+                j = j[estimate(np.repeat(regs[i : i + 1], len(j), 0), regs[j], np.full(len(j), n[i]), n[j]) >= threshold - MARGIN]
             if len(j):
-                s = estimate(np.repeat(regs[i : i + 1], len(j), 0), regs[j], np.full(len(j), n[i]), n[j])
-                ok = s >= threshold - MARGIN
-                out.append((np.full(ok.sum(), ids[i]), ids[j][ok], s[ok]))
-        a, b, s = (np.concatenate(x) for x in zip(*out, strict=True)) if out else ([], [], [])
-        return pd.DataFrame({"a": np.asarray(a, np.int64), "b": np.asarray(b, np.int64), "est": np.asarray(s, float)})
+                mark[flat[at[i] : at[i + 1]]] = 1
+                both = np.array([mark[flat[at[k] : at[k + 1]]].sum() for k in j])
+                mark[flat[at[i] : at[i + 1]]] = 0
+                for k in j[100 * both >= percent * (n[i] + n[j] - both)]:
+                    if root[k] != root[i]:
+                        out.append((ids[i], ids[k]))
+                        root[root == root[k]] = root[i]
+        return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
-    return within
+    return run
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -153,19 +164,19 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 
     Equal sets meet first and go on as one. Sketches (200 bytes) of distinct sets are banded. In each bucket, the
     smallest set is checked against the others (as many pairs as rows). What is then in one component needs no
-    further pair: only pairs of a bucket's different components are left. The likeliest of each set and component
-    are checked, and afterwards all that are left, so a link is never lost to a cap. Buckets are compared in blocks,
-    each block pair in a task of its own."""
+    further pair: only pairs of a bucket's different components are left. Small buckets are paired by a join; large
+    ones are cut into blocks, and each pair of blocks reports just the links that join its components. All pairs that
+    the estimate leaves are covered; there is no cap."""
     spark = docs.sparkSession
     workers_import(spark)
     threshold = percent / 100
     base = docs.select(F.col("doc_id").cast("long"), "text")
     sketch = durable(base.mapInArrow(_sketch, "doc_id long, n long, key binary, regs binary").withColumn("id", F.xxhash64("key", "n")))
     sets = durable(sketch.where("n > 0").groupBy("id").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("regs").alias("regs")))
-    bands = sets.select("id", "regs").mapInArrow(_bands, "id long, band long")
-    buckets = bands.groupBy("band").agg(F.min("id").alias("pivot"), F.count("*").alias("size")).where("size > 1")
-    buckets = durable(buckets)
-    bands = durable(bands.join(small_side(buckets, 40), "band"))
+    bands = sets.select("id", "regs", "n").mapInArrow(_bands, "id long, n long, no int, band long")
+    cut = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    buckets = bands.groupBy("band").agg(F.min("id").alias("pivot"), F.count("*").alias("size"), cut.alias("nb")).where("size > 1")
+    bands = durable(bands.drop("n").join(small_side(durable(buckets), 48), "band"))
     left = sets.select(F.col("id").alias("a"), F.col("regs").alias("ra"), F.col("n").alias("na"))
     right = sets.select(F.col("id").alias("b"), F.col("regs").alias("rb"), F.col("n").alias("nb"))
     star = bands.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
@@ -187,34 +198,22 @@ def _linked(sketch, sets, bands, star, full, percent, left, right):
     def links(pairs):
         return durable(pairs.select("a", "b").join(fa, "a").join(fb, "b").where(verify("ha", "hb")).select("a", "b"))
 
-    found, tried = links(star), star
-    for wave in range(3):
-        comp = components(found)
-        if wave == 2:
-            break
-        member = bands.join(comp, bands.id == comp.node, "left").select("band", "size", "id", F.coalesce("component", "id").alias("comp"))
-        mixed = durable(member.groupBy("band").agg((F.min("comp") != F.max("comp")).alias("mixed")).where("mixed").select("band"))
-        member = durable(member.join(small_side(mixed, 24), "band"))
-        x, y = (member.where(F.col("size") <= SMALL).select("band", F.col("id").alias(i), F.col("comp").alias(f"c{i}")) for i in "ab")
-        few = x.join(y, "band").where("a < b and ca <> cb").select("a", "b").distinct()
-        few = few.join(left, "a").join(right, "b").where(F.least("na", "nb") >= threshold * F.greatest("na", "nb"))
-        few = few.mapInPandas(_likely(threshold, ("est",)), "a long, b long, est double")
-        rows = member.where(F.col("size") > SMALL).join(sets.select("id", "n", "regs"), "id")
-        rows = rows.withColumn("nb", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("blk", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
-        rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-        rows = rows.select("band", F.least("blk", "o").alias("lo"), F.greatest("blk", "o").alias("hi"), "blk", "id", "comp", "n", "regs")
-        rows = rows.repartition(parts, "band", "lo", "hi")
-        many = rows.groupBy("band", "lo", "hi").applyInPandas(_within(threshold), "a long, b long, est double")
-        pairs = few.union(many).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "est").distinct()
-        tests = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        pairs = durable(pairs.join(tests, ["a", "b"], "left_anti"))
-        if pairs.isEmpty():
-            break
-        if wave == 0:
-            named = pairs.join(comp.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
-            pairs = named.groupBy("a", F.coalesce("cb", "b").alias("cb")).agg(F.max_by("b", F.struct("est", "b")).alias("b"))
-        more = durable(pairs.select("a", "b"))
-        tried, found = durable(tests.union(more)), durable(found.union(links(more)))
+    found = links(star)
+    comp = components(found)
+    member = bands.join(comp, bands.id == comp.node, "left").select("band", "no", "size", "nb", "id", F.coalesce("component", "id").alias("comp"))
+    member = durable(member)
+    mixed = member.groupBy("band").agg((F.min("comp") != F.max("comp")).alias("mixed")).where("mixed").select("band")
+    member = member.join(small_side(durable(mixed), 24), "band")
+    x, y = (member.where(F.col("size") <= SMALL).select("band", F.col("id").alias(i), F.col("comp").alias(f"c{i}")) for i in "ab")
+    few = x.join(y, "band").where("a < b and ca <> cb").select("a", "b").distinct()
+    few = few.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    few = few.join(left, "a").join(right, "b").where(F.least("na", "nb") >= threshold * F.greatest("na", "nb"))
+    few = links(durable(few.mapInPandas(_likely(threshold), "a long, b long")))
+    rows = member.where(F.col("size") > SMALL).join(sets.select("id", "n", "regs"), "id").join(full, "id")
+    rows = rows.withColumn("blk", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    rows = rows.select("band", "no", F.least("blk", "o").alias("lo"), F.greatest("blk", "o").alias("hi"), "blk", "id", "comp", "n", "regs", "hashes")
+    many = durable(rows.repartition(parts, "band", "lo", "hi").groupBy("band", "lo", "hi").applyInPandas(_within(percent), "a long, b long"))
+    comp = components(found.union(few).union(many))
     least = comp.join(sets.select(F.col("id").alias("node"), "rep"), "node")
     least = least.join(least.groupBy("component").agg(F.min("rep").alias("least")), "component").select(F.col("node").alias("id"), "least")
     out = sketch.drop("key", "regs").join(sets.select("id", "rep"), "id", "left").join(small_side(durable(least), 24), "id", "left")
@@ -225,8 +224,10 @@ def _linked(sketch, sets, bands, star, full, percent, left, right):
 def drop_near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """``docs`` with one document of each group of near copies: the one with the smallest id. Of rows alike in id
     and text, one stays."""
-    kept = durable(near_duplicates(docs, percent).where("kept").select(F.col("doc_id").alias("_id")).distinct())
-    return docs.join(small_side(kept, 24), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["doc_id"])
+    kept = near_duplicates(docs, percent).where("kept").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n"))
+    found = docs.join(small_side(durable(kept), 32), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")))
+    once, more = found.where("_n = 1"), found.where("_n > 1").dropDuplicates(["doc_id", "text"])
+    return once.unionByName(more).select(*docs.columns)
 
 
 def op10_minhash_dedup(spark, sf_dir):

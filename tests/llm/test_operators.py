@@ -82,6 +82,7 @@ def test_near_duplicates_null_id_and_empty(spark):
 
 def test_large_bucket_is_cut_into_blocks(spark, monkeypatch):
     monkeypatch.setattr(minhash_dedup, "SMALL", 3)
+    monkeypatch.setattr(minhash_dedup, "BLOCK_SHINGLES", 900)
     monkeypatch.setattr(minhash_dedup, "BLOCK", 4)
     rng = random.Random(9)
     base = [f"w{i}" for i in range(200)]
