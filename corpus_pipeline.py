@@ -1,5 +1,5 @@
 """Corpus pipeline: each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read
-again as the next stage's ``docs``."""
+again as the next stage's ``docs``. All stages but the last return the columns of documents."""
 
 from __future__ import annotations
 
@@ -7,8 +7,13 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quantloom.llm import line_dedup, minhash_dedup
-from quantloom.llm.common import shared_folder
+from quantloom.llm import decontaminate, line_dedup, minhash_dedup, mixing, quality
+from quantloom.llm.common import shared_folder, table
+
+
+def keep_good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Stage 1, quality classifier: documents that it rejects go."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,16 +26,30 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return minhash_dedup.drop_near_duplicates(docs)
 
 
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Stage 4: documents that hold four fifths of a benchmark item's shingles go."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Stage 5: the mixture, each document once for each epoch, with its epoch and place."""
+    return mixing.mixed_documents(docs)
+
+
 STAGES = [
+    ("quality classifier", keep_good_documents),
     ("line dedup", drop_common_lines),
     ("MinHash near-dedup", drop_near_copies),
+    ("benchmark decontamination", drop_benchmark_leaks),
+    ("mixing sources to target weights", mix_to_weights),
 ]
+#: The first stage is learned, so no SQL gives these rows; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
