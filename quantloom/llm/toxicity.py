@@ -10,28 +10,47 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _WS, chunks, words, workers_import
+from .common import _LOW, _WS, chunks, mix, powers, words, workers_import
 from .quality import held_out, labelled
 
 #: Words in a window and between the starts of two.
 WIDTH, STRIDE = 32, 16
-#: Hashed words and their dimensions, hashed byte pairs and theirs, hidden units each way, attention units.
-WORDS, WORD_DIM, PAIRS, PAIR_DIM, HIDDEN, ATTEND = 1 << 16, 8, 1 << 10, 6, 8, 8
+#: Hashed words and their dimensions; hashed character grams and theirs, the first of which are pooled by the largest
+#: value of a word's grams, the others by the mean; hidden units each way, attention units.
+WORDS, WORD_DIM, GRAMS, GRAM_DIM, LARGEST, HIDDEN, ATTEND = 1 << 16, 8, 1 << 16, 6, 2, 8, 8
+#: A word's grams: its beginnings of 4 to 8 bytes, and all runs of 6 bytes; all of it where it is shorter.
+BEGIN, RUN = (4, 8), 6
 #: Labelled documents to learn from at most, passes, windows in a batch, step.
-MOST_LABELS, PASSES, BATCH, STEP = 4000, 6, 128, 0.01
-_INPUT = WORD_DIM + PAIR_DIM
+MOST_LABELS, PASSES, BATCH, STEP = 6000, 4, 128, 0.01
+#: Words and grams in fewer labelled documents have no embedding of their own.
+LEAST_DOCS = 5
+_INPUT = WORD_DIM + GRAM_DIM
 
 
 def tokens(data: np.ndarray, at: np.ndarray):
-    """(word ids, byte pair ids of all words in order, first pair of each word, document limits)."""
+    """(word ids, gram ids of all words in order, first gram of each word, document limits)."""
     h, start, limits = words(data, at)
-    low = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.int64)
-    prev = np.concatenate([[32], low[:-1]])[: len(low)]
-    prev[start] = 32
+    if not len(h):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), limits
+    up, back = powers(len(data) + 1)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_LOW[data] * up[: len(data)], dtype=np.uint64)])
     solid = ~_WS[data]
-    pairs = ((prev * 37 + low) % PAIRS)[solid]
-    first = (np.cumsum(solid) - 1)[start] if len(start) else start
-    return (h % np.uint64(WORDS)).astype(np.int64), pairs, first, limits
+    word = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(data))))[: len(data) - start[0]]
+    byte = np.flatnonzero(solid)
+    word = word[byte - start[0]]
+    place = byte - start[word]
+    last = np.empty(len(byte), bool)
+    last[:-1], last[-1] = word[1:] != word[:-1], True
+    run = (place >= RUN - 1) | last  # runs of RUN bytes, or the whole of a shorter word
+    begin = (place >= BEGIN[0] - 1) & (place < BEGIN[1])
+    length = np.minimum(RUN, place + 1)
+    from_ = byte + 1 - length
+    runs = mix((total[byte + 1] - total[from_]) * back[from_]) | np.uint64(1)
+    begins = mix((total[byte + 1] - total[start[word]]) * back[start[word]]) & ~np.uint64(1)
+    grams = np.stack([runs, begins], 1)
+    use = np.stack([run, begin], 1)
+    first = np.searchsorted(np.repeat(word, use.sum(1)), np.arange(len(start)))
+    return (h % np.uint64(WORDS)).astype(np.int64), (grams[use] % np.uint64(GRAMS)).astype(np.int64), first, limits
 
 
 def window_starts(limits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -45,17 +64,20 @@ def window_starts(limits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 def new_model(rng) -> dict[str, np.ndarray]:
     f = lambda *s: (rng.standard_normal(s) / np.sqrt(s[0])).astype(np.float32)
-    m = {"words": (rng.standard_normal((WORDS, WORD_DIM)) * 0.05).astype(np.float32), "pairs": (rng.standard_normal((PAIRS, PAIR_DIM)) * 0.1).astype(np.float32)}
+    m = {"words": (rng.standard_normal((WORDS, WORD_DIM)) * 0.05).astype(np.float32), "grams": (rng.standard_normal((GRAMS, GRAM_DIM)) * 0.05).astype(np.float32)}
     for d in "fb":
         m |= {f"x{d}": f(_INPUT, 3 * HIDDEN), f"h{d}": f(HIDDEN, 3 * HIDDEN), f"c{d}": np.zeros(3 * HIDDEN, np.float32)}
     return m | {"att": f(2 * HIDDEN, ATTEND), "pick": f(ATTEND), "out": f(2 * HIDDEN), "bias": np.full(1, -1.5, np.float32)}
 
 
-def inputs(m, ids, pairs, first):
-    """Word vectors: embedding of the hashed word beside the mean embedding of its byte pairs."""
-    n = np.diff(np.append(first, len(pairs)))
-    mean = np.add.reduceat(m["pairs"][pairs], first) / n[:, None] if len(first) else np.zeros((0, PAIR_DIM), np.float32)
-    return np.concatenate([m["words"][ids], mean.astype(np.float32)], 1), n
+def inputs(m, ids, grams, first):
+    """Word vectors: embedding of the hashed word beside the pooled embeddings of its grams; and the grams of each word."""
+    n = np.diff(np.append(first, len(grams)))
+    if not len(first):
+        return np.zeros((0, _INPUT), np.float32), n
+    own = m["grams"][grams]
+    pooled = [np.maximum.reduceat(own[:, :LARGEST], first), np.add.reduceat(own[:, LARGEST:], first) / n[:, None]]
+    return np.concatenate([m["words"][ids], *pooled], 1).astype(np.float32), n
 
 
 def _sig(x):
@@ -149,82 +171,132 @@ def backward(m, x, k, g, grads):
 
 
 def _ragged(first, n, pick):
-    """Positions of the byte pairs of the words picked, and where each word's begin."""
+    """Positions of the grams of the words picked, and where each word's begin."""
     begin = np.cumsum(n[pick]) - n[pick]
     return np.repeat(first[pick] - begin, n[pick]) + np.arange(n[pick].sum()), begin
 
 
-def fit(labels: np.ndarray, ids, pairs, first, limits, seed: int = 3):
+def _associate(labels, of, found, size):
+    """(association with label 1, in enough documents) of each hashed word or gram, by documents that hold it."""
+    seen = np.unique(of * size + found)
+    n, n1, p = np.bincount(seen % size, minlength=size), np.bincount(seen % size, labels[seen // size], size), labels.mean()
+    return np.clip((n1 - n * p) / np.sqrt(n * p * (1 - p) + 4), -3, 8) / 2, n >= LEAST_DOCS
+
+
+def _adam(m, moment, second, step, k, g, rows=slice(None)):
+    moment[k][rows] += 0.1 * (g - moment[k][rows])
+    second[k][rows] += 0.001 * (g**2 - second[k][rows])
+    m[k][rows] -= STEP * (moment[k][rows] / (1 - 0.9**step)) / (np.sqrt(second[k][rows] / (1 - 0.999**step)) + 1e-6)
+
+
+def fit(labels: np.ndarray, ids, grams, first, limits, seed: int = 3):
     """The network from documents (word ids ... limits) with 0/1 labels.
 
-    A document is toxic if some window is: each pass takes, of a toxic document, the window that now scores highest,
-    of others the highest and two more. The first pass goes by words' association with the labels, which also starts
-    one dimension of the word embedding."""
+    A document is toxic if some window is: each pass takes, of a toxic document, the window that now scores highest and
+    the next one, of others some at random, and the highest too of a third of them. The first pass goes by the
+    association of words and grams with the labels, which also starts one dimension of each embedding. A third of
+    the documents is kept apart from that, to fit how a document's window scores make its own."""
     rng = np.random.default_rng(seed)
     m = new_model(rng)
+    n_docs = np.diff(limits)
     if not len(ids) or labels.min() == labels.max():
         return m
-    doc_of = np.repeat(np.arange(len(labels)), np.diff(limits))
-    seen = np.unique(doc_of * WORDS + ids)
-    word, lab = seen % WORDS, labels[seen // WORDS]
-    n, n1, p = np.bincount(word, minlength=WORDS), np.bincount(word, lab, WORDS), labels.mean()
-    m["words"][:, 0] = np.clip((n1 - n * p) / np.sqrt(n * p * (1 - p) + 4), -3, 8) / 2
+    apart = rng.permutation(len(labels)) % 3 == 0
+    if len(set(labels[~apart])) < 2 or len(set(labels[apart])) < 2:
+        apart[:] = False
+    doc_of, count = np.repeat(np.arange(len(labels)), n_docs), np.diff(np.append(first, len(grams)))
+    for name, size, found, of in (("words", WORDS, ids, doc_of), ("grams", GRAMS, grams, np.repeat(doc_of, count))):
+        own = ~apart[of]
+        start_value, enough = _associate(labels, of[own], found[own], size)
+        m[name][:, 0] = start_value
+        m[name][~enough] = 0
+        m[f"{name}_own"] = enough
+    fixed = {k: m.pop(k) for k in ("words_own", "grams_own")}
+    p = labels[~apart].mean()
     start, end, doc = window_starts(limits)
-    count = np.diff(np.append(first, len(pairs)))
     begin_of = np.searchsorted(doc, np.arange(len(labels) + 1))
-    level = np.maximum.reduceat(m["words"][ids, 0], start) if len(start) else start  # up to the next start: enough to rank
+    x, _ = inputs(m, ids, grams, first)
+    level = np.maximum.reduceat(x[:, 0] + x[:, WORD_DIM], start)  # up to the next start: enough to rank
+    learn = np.flatnonzero(~apart & (n_docs > 0))
     moment, second, step = {k: np.zeros_like(v) for k, v in m.items()}, {k: np.zeros_like(v) for k, v in m.items()}, 0
+    weight = np.where(labels == 1, min(5.0, 0.5 / max(p, 1e-3)), 1.0)
     for go in range(PASSES):
+        hard = learn[(labels[learn] == 1) | (rng.random(len(learn)) < 1 / 3)]
         if go:
-            x, _ = inputs(m, ids, pairs, first)
-            level = np.concatenate([forward(m, x, start[i : i + 2048], end[i : i + 2048]) for i in range(0, len(start), 2048)])
-        chosen = []
-        for d in range(len(labels)):
+            x, _ = inputs(m, ids, grams, first)
+            w = np.concatenate([np.arange(begin_of[d], begin_of[d + 1]) for d in hard])
+            level[w] = np.concatenate([forward(m, x, start[w[i : i + 2048]], end[w[i : i + 2048]]) for i in range(0, len(w), 2048)])
+        chosen, hard = [], set(hard.tolist())
+        for d in learn:
             own = np.arange(begin_of[d], begin_of[d + 1])
-            if len(own):
-                chosen.append(own[level[own].argmax()])
-                if not labels[d]:
-                    chosen += list(rng.choice(own, min(2, len(own)), replace=False))
+            if labels[d]:
+                top = own[level[own].argmax()]
+                others = own[np.abs(own - top) > 1]
+                chosen += [top] + ([others[level[others].argmax()]] if go and len(others) and level[others].max() > 0 else [])
+            else:
+                chosen += list(rng.choice(own, min(2, len(own)), replace=False)) + ([own[level[own].argmax()]] if d in hard else [])
         chosen = rng.permutation(np.unique(chosen))
-        weight = np.where(labels == 1, min(6.0, 0.5 / max(p, 1e-3)), 1.0)
         for i in range(0, len(chosen), BATCH):
             w = chosen[i : i + BATCH]
             at = start[w][:, None] + np.arange(WIDTH)
             pick = np.unique(at[at < end[w][:, None]])
             local = np.searchsorted(pick, start[w])
             where, begin = _ragged(first, count, pick)
-            x, lens = inputs(m, ids[pick], pairs[where], begin)
+            x, lens = inputs(m, ids[pick], grams[where], begin)
             stop = np.searchsorted(pick, np.minimum(end[w], start[w] + WIDTH))
             keep: dict = {}
-            y = labels[doc[w]]
-            g = ((_sig(forward(m, x, local, stop, keep)) - y) * weight[doc[w]] / len(w)).astype(np.float32)
-            grads = {k: np.zeros_like(v) for k, v in m.items()}
+            g = ((_sig(forward(m, x, local, stop, keep)) - labels[doc[w]]) * weight[doc[w]] / len(w)).astype(np.float32)
+            grads = {k: np.zeros_like(v) for k, v in m.items() if k not in ("words", "grams")}
             dx = backward(m, x, keep, g, grads)
-            for j in range(WORD_DIM):
-                grads["words"][:, j] += np.bincount(ids[pick], dx[:, j], WORDS)
-            spread = np.repeat(dx[:, WORD_DIM:] / lens[:, None], lens, 0)
-            for j in range(PAIR_DIM):
-                grads["pairs"][:, j] += np.bincount(pairs[where], spread[:, j], PAIRS)
+            back = np.repeat(dx[:, WORD_DIM:], lens, 0)
+            back[:, :LARGEST] *= m["grams"][grams[where], :LARGEST] >= np.repeat(x[:, WORD_DIM : WORD_DIM + LARGEST], lens, 0)
+            back[:, LARGEST:] /= np.repeat(lens, lens)[:, None]
             step += 1
-            for k, v in m.items():
-                moment[k] += 0.1 * (grads[k] - moment[k])
-                second[k] += 0.001 * (grads[k] ** 2 - second[k])
-                v -= STEP * (moment[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-6)
+            for k, found, d in (("words", ids[pick], dx[:, :WORD_DIM]), ("grams", grams[where], back)):
+                rows, place = np.unique(found, return_inverse=True)
+                total = np.stack([np.bincount(place, d[:, j], len(rows)) for j in range(d.shape[1])], 1).astype(np.float32)
+                own = fixed[f"{k}_own"][rows]
+                _adam(m, moment, second, step, k, total[own], rows[own])
+            for k, v in grads.items():
+                _adam(m, moment, second, step, k, v)
+    held = np.flatnonzero(apart & (n_docs > 0)) if apart.any() else learn
+    x, _ = inputs(m, ids, grams, first)
+    w = np.concatenate([np.arange(begin_of[d], begin_of[d + 1]) for d in held])
+    logits = np.concatenate([forward(m, x, start[w[i : i + 2048]], end[w[i : i + 2048]]) for i in range(0, len(w), 2048)])
+    m["pool"] = _fit_pool(_pooled(logits, np.concatenate([[0], np.cumsum(np.diff(begin_of)[held])])), labels[held])
     return m
 
 
+def _pooled(logits, at):
+    """What a document's score is made from: its highest window, the expected number of toxic windows, their share, and
+    the number of windows."""
+    p = _sig(logits)
+    n, total = np.diff(at), np.add.reduceat(p, at[:-1])
+    return np.stack([np.ones(len(n)), np.clip(np.maximum.reduceat(logits, at[:-1]), -8, 8), np.log1p(total), total / n, np.log(n)], 1)
+
+
+def _fit_pool(f, y, ridge: float = 1.0):
+    """Logistic regression by Newton steps."""
+    b = np.zeros(f.shape[1])
+    for _ in range(30):
+        p = _sig(np.clip(f @ b, -30, 30))
+        h = (f * (p * (1 - p))[:, None]).T @ f + ridge * np.eye(len(b))
+        b += np.linalg.solve(h, f.T @ (y - p) - ridge * b)
+    return b
+
+
 def _fit_task(batches):
     labels, parts, base = [], [], 0
     for batch in batches:
         labels += batch.column(0).to_pylist()
         parts += [tokens(data, at) for _, data, at in chunks(batch.column(1), 1 << 22)]
-    ids, pairs = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.int64) for i in (0, 1))
+    ids, grams = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.int64) for i in (0, 1))
     first, limits, byte = [], [np.zeros(1, np.int64)], 0
     for a, b, c, d in parts:
         first.append(c + byte)
         limits.append(d[1:] + base)
         base, byte = base + len(a), byte + len(b)
-    model = fit(np.array(labels, float), ids, pairs, np.concatenate(first) if first else np.zeros(0, np.int64), np.concatenate(limits))
+    model = fit(np.array(labels, float), ids, grams, np.concatenate(first) if first else np.zeros(0, np.int64), np.concatenate(limits))
     yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
 
@@ -236,14 +308,14 @@ def train(docs: DataFrame, labels: DataFrame) -> dict[str, np.ndarray]:
 
 
 def document_scores(m, column: pa.Array, windows: int = 4096) -> np.ndarray:
-    """The highest score of all windows of each text; texts without words get that of the bias."""
+    """The score of each text from those of all its windows; texts without words get that of the bias."""
     best = np.full(len(column), m["bias"][0], np.float64)
     for row, data, at in chunks(column):
-        ids, pairs, first, limits = tokens(data, at)
+        ids, grams, first, limits = tokens(data, at)
         start, end, doc = window_starts(limits)
         if not len(start):
             continue
-        x, _ = inputs(m, ids, pairs, first)
+        x, _ = inputs(m, ids, grams, first)
         whole = start + WIDTH <= end
         logits = np.empty(len(start))
         for part in (np.flatnonzero(whole), np.flatnonzero(~whole)):
@@ -251,8 +323,9 @@ def document_scores(m, column: pa.Array, windows: int = 4096) -> np.ndarray:
                 w = part[i : i + windows]
                 logits[w] = forward(m, x, start[w], end[w])
         has = np.flatnonzero(np.diff(limits))
-        best[row + has] = np.maximum.reduceat(logits, np.searchsorted(doc, has))
-    return _sig(best)
+        of = np.append(np.searchsorted(doc, has), len(doc))
+        best[row + has] = _pooled(logits, of) @ m["pool"] if "pool" in m else np.maximum.reduceat(logits, of[:-1])
+    return _sig(np.clip(best, -30, 30))
 
 
 def toxicity_scores(docs: DataFrame, model) -> DataFrame:

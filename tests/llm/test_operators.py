@@ -311,7 +311,7 @@ def test_toxicity_held_out(spark):
 
 def test_gradients_of_the_network():
     rng = np.random.default_rng(0)
-    m = {k: v.astype(np.float64) for k, v in toxicity.new_model(rng).items() if k not in ("words", "pairs")}
+    m = {k: v.astype(np.float64) for k, v in toxicity.new_model(rng).items() if k not in ("words", "grams")}
     x = rng.standard_normal((40, toxicity._INPUT))
     start, end = np.array([0, 20]), np.array([32, 40])
     keep: dict = {}
