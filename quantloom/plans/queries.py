@@ -497,3 +497,243 @@ def long_only_weights(spark, sf_dir):
 @query("size_swaps")
 def size_swaps(spark, sf_dir):
     return portfolio.swap_towards_neutral_size(_traded(spark, sf_dir)[0], 4)
+
+
+# ---- sources, joins, audits ----
+
+from quantloom.operators import compare, formulas, joins, models, quality_audit, relation, selection  # noqa: E402
+from quantloom.sources import panel_io  # noqa: E402
+
+_load = ["open", "high", "low", "close", "vwap", "turnover", "next_open"]
+
+
+@query("load_adjusted_panel", f"""WITH {tp.panel_sql()}, a AS (SELECT instrument_id::VARCHAR AS instrument_id, date, CASE WHEN adjustment > 0 THEN adjustment END AS f, open, high, low, close, vwap, turnover, volume, market_cap FROM panel),
+b AS (SELECT instrument_id, date, open * f AS open, high * f AS high, low * f AS low, close * f AS close, vwap * f AS vwap, turnover, CASE WHEN market_cap IS NULL THEN 'missing' ELSE 'reported' END AS market_cap_source FROM a),
+x AS (SELECT *, lead(open) OVER (PARTITION BY instrument_id ORDER BY date) AS next_open FROM b) {tidied_sql(_load, 'x', 'instrument_id, date, market_cap_source')}""")
+def load_adjusted_panel(spark, sf_dir):
+    return tidied(panel_io.load_panel(tp.panel(spark, sf_dir), "vendor_adjusted").select(*KEYS, "market_cap_source", *_load))
+
+
+@query("key_violations", f"WITH {tp.panel_sql()} SELECT 'duplicate_keys' AS kind, (SELECT count(*) - count(DISTINCT (instrument_id, date)) FROM panel) AS rows UNION ALL SELECT 'close_not_positive', count(*) FILTER (close <= 0) FROM panel UNION ALL SELECT 'negative_volume', count(*) FILTER (volume < 0) FROM panel")
+def key_violations(spark, sf_dir):
+    return tidied(panel_io.violations(tp.panel(spark, sf_dir)))
+
+
+@query("liquidity_screen", f"""WITH {tp.panel_sql()}, k AS (SELECT *, row_number() OVER (PARTITION BY instrument_id ORDER BY date DESC) AS k FROM panel WHERE close > 0 AND volume > 0), g AS (SELECT instrument_id, count(*) AS valid_days, max_by(close, date) AS last_close, avg(close * volume) AS mean_turnover, quantile_cont(close * volume, 0.5) AS median_turnover FROM k WHERE k <= 60 GROUP BY 1),
+r AS (SELECT *, row_number() OVER (ORDER BY median_turnover DESC, instrument_id) AS liquidity_rank FROM g WHERE valid_days >= 40) SELECT instrument_id, valid_days, {tidy_sql('last_close')} AS last_close, {tidy_sql('mean_turnover')} AS mean_turnover, {tidy_sql('median_turnover')} AS median_turnover, liquidity_rank FROM r WHERE liquidity_rank <= 50""")
+def liquidity_screen(spark, sf_dir):
+    return tidied(panel_io.liquidity(tp.panel(spark, sf_dir), top=50))
+
+
+@query("universe_filter", f"""WITH {tp.panel_sql()}, s AS (SELECT s_suppkey AS instrument_id FROM supplier WHERE s_acctbal > 0) SELECT instrument_id, date FROM panel SEMI JOIN s USING (instrument_id) WHERE date >= DATE '1995-01-01' AND date <= DATE '1996-12-31'""")
+def universe_filter(spark, sf_dir):
+    members = tp.read(spark, sf_dir, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").cast("long").alias("instrument_id"))
+    return panel_io.only(tp.panel(spark, sf_dir), members, "1995-01-01", "1996-12-31").select(*KEYS)
+
+
+@query("failed_symbols", f"WITH {tp.panel_sql()} SELECT s_suppkey::BIGINT AS instrument_id, 'no rows' AS reason FROM supplier WHERE s_suppkey NOT IN (SELECT instrument_id FROM panel WHERE date < DATE '1992-03-01')")
+def failed_symbols(spark, sf_dir):
+    asked = tp.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("instrument_id"))
+    return panel_io.failed(asked, tp.panel(spark, sf_dir).where("date < '1992-03-01'"))
+
+
+_fund = """st AS (SELECT *, coalesce(accepted_date, filing_date, report_date + 90) AS effective_date FROM fundamentals),
+fq AS (SELECT *, CASE WHEN count(revenue) OVER w >= 4 THEN sum(revenue) OVER w END AS revenue_ttm, CASE WHEN count(net_income) OVER w >= 4 THEN sum(net_income) OVER w END AS nt, CASE WHEN count(equity) OVER w >= 2 THEN avg(equity) OVER w END AS ea, CASE WHEN count(assets) OVER w >= 2 THEN avg(assets) OVER w END AS aa,
+  lag(revenue, 4) OVER o AS y4, lag(revenue, 1) OVER o AS q1 FROM st WINDOW o AS (PARTITION BY instrument_id ORDER BY report_date), w AS (PARTITION BY instrument_id ORDER BY report_date ROWS 3 PRECEDING)),
+fr AS (SELECT instrument_id, report_date, effective_date, revenue_ttm, nt / CASE WHEN abs(ea) > 1e-8 THEN ea END AS roe, nt / CASE WHEN abs(aa) > 1e-8 THEN aa END AS roa, (revenue - y4) / CASE WHEN abs(y4) > 1e-8 THEN abs(y4) END AS yoy, (revenue - q1) / CASE WHEN abs(q1) > 1e-8 THEN abs(q1) END AS qoq FROM fq)"""
+_fcols = ["revenue_ttm", "roe", "roa", "yoy", "qoq"]
+
+
+def _quarters(spark, sf_dir):
+    f = tp.fundamentals(spark, sf_dir)
+    keys = ["instrument_id", "report_date", "filing_date", "accepted_date"]
+    return joins.quarterly(joins.statements([f.select(*keys, "revenue", "net_income"), f.select(*keys, "assets", "equity")]))
+
+
+@query("quarterly_statements", f"WITH {tp.FUNDAMENTALS_SQL}, {_fund} {tidied_sql(_fcols, 'fr', 'instrument_id, report_date, effective_date')}")
+def quarterly_statements(spark, sf_dir):
+    return tidied(_quarters(spark, sf_dir).select("instrument_id", "report_date", "effective_date", *_fcols))
+
+
+@query("as_of_fundamentals", f"""WITH {tp.panel_sql()}, {tp.FUNDAMENTALS_SQL}, {_fund}, j AS (SELECT p.instrument_id, p.date, {', '.join(f'f.{x}' for x in _fcols)}, row_number() OVER (PARTITION BY p.instrument_id, p.date ORDER BY f.effective_date DESC, f.report_date DESC) AS k FROM panel p LEFT JOIN fr f ON f.instrument_id = p.instrument_id AND f.effective_date <= p.date)
+{tidied_sql(_fcols, 'j')} WHERE k = 1""")
+def as_of_fundamentals(spark, sf_dir):
+    return tidied(joins.as_of(tp.panel(spark, sf_dir), _quarters(spark, sf_dir), _fcols).select(*KEYS, *_fcols))
+
+
+@query("fundamental_context", f"""WITH {tp.panel_sql()}, {tp.FUNDAMENTALS_SQL}, {_fund}, j AS (SELECT p.instrument_id, p.date, f.roe, f.roa, f.yoy, f.qoq, row_number() OVER (PARTITION BY p.instrument_id, p.date ORDER BY f.effective_date DESC, f.report_date DESC) AS k FROM panel p LEFT JOIN fr f ON f.instrument_id = p.instrument_id AND f.effective_date <= p.date),
+c AS (SELECT instrument_id, date, roe, (coalesce(roe, 0) + coalesce(roa, 0)) / nullif((roe IS NOT NULL)::INT + (roa IS NOT NULL)::INT, 0) AS profitability_combo, (coalesce(yoy, 0) + coalesce(qoq, 0)) / nullif((yoy IS NOT NULL)::INT + (qoq IS NOT NULL)::INT, 0) AS growth_combo FROM j WHERE k = 1),
+r AS (SELECT *, CASE WHEN roe IS NOT NULL THEN (rank() OVER (PARTITION BY date, roe IS NULL ORDER BY roe) + (count(*) OVER (PARTITION BY date, roe) - 1) / 2) / count(roe) OVER (PARTITION BY date) END AS roe_rank FROM c) {tidied_sql(['profitability_combo', 'growth_combo', 'roe_rank'], 'r')}""")
+def fundamental_context(spark, sf_dir):
+    df = joins.as_of(tp.panel(spark, sf_dir), _quarters(spark, sf_dir), _fcols)
+    return tidied(features.fundamental_context(df).select(*KEYS, "profitability_combo", "growth_combo", "roe_rank"))
+
+
+@query("macro_merge", f"""WITH {tp.panel_sql()}, {tp.MACRO_SQL}, d AS (SELECT date, last_value(vix IGNORE NULLS) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) AS vix FROM (SELECT DISTINCT date FROM panel) LEFT JOIN macro USING (date)), j AS (SELECT instrument_id, date, vix FROM panel LEFT JOIN d USING (date)) {tidied_sql(['vix'], 'j')}""")
+def macro_merge(spark, sf_dir):
+    return tidied(joins.merge_macro(tp.panel(spark, sf_dir), tp.macro(spark, sf_dir), ["vix"]).select(*KEYS, "vix"))
+
+
+_ca = f"""ca AS (SELECT instrument_id, date, close AS raw_close, close * adjustment AS adjusted_close, adjustment, lag(adjustment) OVER w AS a, lag(close) OVER w AS r, lag(close * adjustment) OVER w AS d FROM panel WINDOW w AS (PARTITION BY instrument_id ORDER BY date)),
+cb AS (SELECT *, (adjustment - a) / CASE WHEN abs(a) > 1e-8 THEN abs(a) END AS adjustment_change, raw_close / CASE WHEN abs(r) > 1e-8 THEN r END - 1 AS raw_return, adjusted_close / CASE WHEN abs(d) > 1e-8 THEN d END - 1 AS adjusted_return FROM ca),
+cc AS (SELECT *, CASE WHEN abs(adjusted_return) > 0.2 AND NOT abs(raw_return) > 0.2 THEN 'adjusted_only_jump' WHEN abs(raw_return) > 0.2 AND NOT abs(adjusted_return) > 0.2 THEN 'raw_jump_explained' WHEN abs(raw_return) > 0.2 THEN 'both_jump' ELSE 'quiet' END AS flag FROM cb WHERE abs(adjustment_change) > 1e-6)"""
+
+
+@query("corporate_actions", f"WITH {tp.panel_sql()}, {_ca} SELECT instrument_id, date, flag, CASE flag WHEN 'adjusted_only_jump' THEN 1 WHEN 'both_jump' THEN 2 ELSE 3 END::BIGINT AS priority, {tidy_sql('adjustment_change')} AS adjustment_change, {tidy_sql('raw_return')} AS raw_return, {tidy_sql('adjusted_return')} AS adjusted_return FROM cc")
+def corporate_actions(spark, sf_dir):
+    return tidied(quality_audit.corporate_actions(tp.panel(spark, sf_dir)).select(*KEYS, "flag", "priority", "adjustment_change", "raw_return", "adjusted_return"))
+
+
+@query("corporate_action_summary", f"WITH {tp.panel_sql()}, {_ca} SELECT flag, count(*) AS events, count(DISTINCT instrument_id) AS instruments, {tidy_sql('max(abs(adjustment_change))')} AS largest_change FROM cc GROUP BY flag")
+def corporate_action_summary(spark, sf_dir):
+    return tidied(quality_audit.corporate_action_summary(quality_audit.corporate_actions(tp.panel(spark, sf_dir))))
+
+
+@query("coverage_audit", f"""WITH {tp.panel_sql(every='week')}, {_cal}, n AS (SELECT max(t) AS n FROM cal), g AS (SELECT instrument_id, min(date) AS first_date, max(date) AS last_date, count(*) AS observations, min(t) - 1 AS late, any_value(n) - max(t) AS early, count(*) / any_value(n) AS coverage FROM pt, n GROUP BY 1)
+SELECT instrument_id, first_date, last_date, observations, late, early, {tidy_sql('coverage')} AS coverage, concat_ws(';', CASE WHEN late >= 20 THEN 'late_start' END, CASE WHEN early >= 20 THEN 'early_end' END, CASE WHEN observations < 300 THEN 'short_history' END, CASE WHEN coverage < 0.8 THEN 'low_coverage' END) AS reasons FROM g""")
+def coverage_audit(spark, sf_dir):
+    return tidied(quality_audit.coverage(tp.panel(spark, sf_dir, "week"), least=300).select("instrument_id", "first_date", "last_date", "observations", "late", "early", "coverage", "reasons"), ("instrument_id",))
+
+
+@query("panel_profile", f"""WITH {tp.panel_sql()}, x AS (SELECT *, close / lag(close) OVER w - 1 AS r, lag(close) OVER w = close AND volume > 0 AS st FROM panel WINDOW w AS (PARTITION BY instrument_id ORDER BY date)), h AS (SELECT instrument_id, count(*) AS n FROM panel GROUP BY 1)
+SELECT count(*) AS rows, count(DISTINCT instrument_id) AS instruments, count(DISTINCT date) AS dates, count(*) FILTER (high < greatest(open, close, low) OR low > least(open, close, high)) AS order_violations, count(*) FILTER (st) AS stale_closes, count(*) FILTER (abs(r) > 0.5) AS extreme_returns, (SELECT min(n) FROM h) AS shortest_history, (SELECT {tidy_sql('quantile_cont(n, 0.5)')} FROM h) AS median_history, (SELECT max(n) FROM h) AS longest_history FROM x""")
+def panel_profile(spark, sf_dir):
+    return tidied(quality_audit.profile(tp.panel(spark, sf_dir)).select("rows", "instruments", "dates", "order_violations", "stale_closes", "extreme_returns", "shortest_history", "median_history", "longest_history"))
+
+
+@query("column_coverage", f"WITH {tp.MACRO_SQL} SELECT 'vix' AS column, count(vix) AS values, {tidy_sql('(count(vix) / count(*))')} AS share FROM macro UNION ALL SELECT 'us3m', count(us3m), {tidy_sql('(count(us3m) / count(*))')} FROM macro")
+def column_coverage(spark, sf_dir):
+    return tidied(quality_audit.column_coverage(tp.macro(spark, sf_dir), ["vix", "us3m"]))
+
+
+# ---- relation graph ----
+
+_rret = "rets AS (SELECT date, instrument_id, close / lag(close, 1) OVER w - 1 AS ret_1, close / lag(close, 5) OVER w - 1 AS ret_5, close / lag(close, 20) OVER w - 1 AS ret_20 FROM panel WINDOW w AS (PARTITION BY instrument_id ORDER BY date))"
+
+
+def _peer(n):
+    return f"sum(weight * ret_{n}) / nullif(sum(CASE WHEN ret_{n} IS NOT NULL THEN weight END), 0) AS peer_ret_{n}, sum(CASE WHEN same_sector THEN weight * ret_{n} END) / nullif(sum(CASE WHEN same_sector THEN weight END), 0) AS sector_peer_ret_{n}"
+
+
+@query("relation_features", f"""WITH {tp.panel_sql()}, {tp.EDGES_SQL}, {_rret}, f AS (SELECT e.date, e.target AS instrument_id, count(*) AS peers, sum(weight) AS weight_sum, {_peer(1)}, {_peer(5)}, max(CASE WHEN rank = 1 THEN ret_1 END) AS top_peer_ret_1, stddev_samp(ret_1) AS peer_std_1 FROM edges e LEFT JOIN rets r ON r.date = e.date AND r.instrument_id = e.source GROUP BY 1, 2)
+SELECT instrument_id, date, peers, {', '.join(f'{tidy_sql(x)} AS {x}' for x in ('weight_sum', 'peer_ret_1', 'sector_peer_ret_1', 'peer_ret_5', 'sector_peer_ret_5', 'top_peer_ret_1', 'peer_std_1'))} FROM f""")
+def relation_features(spark, sf_dir):
+    out = relation.relation_features(tp.edges(spark, sf_dir), relation.market_returns(tp.panel(spark, sf_dir)))
+    return tidied(out.select(*KEYS, "peers", "weight_sum", "peer_ret_1", "sector_peer_ret_1", "peer_ret_5", "sector_peer_ret_5", "top_peer_ret_1", "peer_std_1"))
+
+
+@query("lagged_relations", f"""WITH {tp.panel_sql()}, {tp.EDGES_SQL}, g AS (SELECT date, instrument_id, lag(volume, 1) OVER w AS v1, lag(volume, 2) OVER w AS v2 FROM panel WINDOW w AS (PARTITION BY instrument_id ORDER BY date)), f AS (SELECT e.date, target AS instrument_id, sum(weight * v1) / sum(CASE WHEN v1 IS NOT NULL THEN weight END) AS rel_volume_1, sum(weight * v2) / sum(CASE WHEN v2 IS NOT NULL THEN weight END) AS rel_volume_2 FROM edges e JOIN g ON g.date = e.date AND g.instrument_id = source GROUP BY 1, 2)
+{tidied_sql(['rel_volume_1', 'rel_volume_2'], 'f')} WHERE rel_volume_1 IS NOT NULL OR rel_volume_2 IS NOT NULL""")
+def lagged_relations(spark, sf_dir):
+    return tidied(relation.lagged_relations(tp.edges(spark, sf_dir), tp.panel(spark, sf_dir).select(*KEYS, "volume"), ["volume"]).select(*KEYS, "rel_volume_1", "rel_volume_2"))
+
+
+# ---- formulas and selection ----
+
+_specs = {"f_spread": ("spread", ("rank", "volume"), ("rank", "vwap")), "f_ratio": ("ratio", "volume", ("tanh", "close")), "f_confirm": ("confirm", ("neg", "close"), ("spread", "open", "close")), "f_blend": ("blend", ("rank", "close"), ("abs", ("rank", "low")), 0.3), "f_square": ("signed_sq", ("interaction", ("rank", "high"), "volume"))}
+_compiled = {k: formulas.compile_spec(s) for k, s in _specs.items()}
+SQL["formula_candidates"] = factor_query(_compiled)
+
+
+@query("formula_candidates")
+def formula_candidates(spark, sf_dir):
+    return tidied(formulas.evaluate(factors.prepare(tp.panel(spark, sf_dir)), _specs))
+
+
+@query("formula_diagnostics")
+def formula_diagnostics(spark, sf_dir):
+    df = tp.panel(spark, sf_dir)
+    signals = formulas.standardized(formulas.evaluate(factors.prepare(df), _specs), list(_specs)).join(tp.predictions(df), ["instrument_id", "date"])
+    return tidied(diagnostics.factor_summary(signals, list(_specs)))
+
+
+@query("formula_tokens", "SELECT p_partkey AS part, len(list_distinct(regexp_extract_all(p_name, '[A-Za-z_][A-Za-z0-9_]*'))) AS n FROM part")
+def formula_tokens(spark, sf_dir):
+    return tp.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), F.size(formulas.tokens(F.col("p_name"))).cast("long").alias("n"))
+
+
+@query("select_features")
+def select_features(spark, sf_dir):
+    df = factors.factors(tp.panel(spark, sf_dir), factors.CANONICAL).join(tp.predictions(tp.panel(spark, sf_dir)).drop("predicted_y"), list(KEYS)).persist()
+    return tidied(selection.table(df, list(factors.CANONICAL), top=6))
+
+
+@query("feature_scores", f"""{_pred}, {_long}, m AS (SELECT factor, quantile_cont(value, 0.5) AS md FROM lf GROUP BY 1), fp AS (SELECT lf.factor, date, y, coalesce(value, md) AS value FROM lf JOIN m USING (factor) WHERE y IS NOT NULL), ic AS (SELECT factor, date, {_corr.format(a='value', b='y')} AS ic FROM fp GROUP BY 1, 2)
+SELECT factor AS feature, {tidy_sql('coalesce(abs(avg(ic)), 0)')} AS score FROM ic GROUP BY 1""")
+def feature_scores(spark, sf_dir):
+    return tidied(selection.scores(_signals(spark, sf_dir), _sig))
+
+
+@query("dynamic_combination")
+def dynamic_combination(spark, sf_dir):
+    rows = diagnostics.long_form(_signals(spark, sf_dir).where("y is not null"), ["volume", "vwap"], ("date", "instrument_id", "y")).withColumnRenamed("value", "predicted_y")
+    spreads = diagnostics.long_short_by_date(rows, 0.3, by=("factor",)).select("factor", "date", "spread")
+    return tidied(formulas.dynamic_combination(spreads))
+
+
+SQL["dynamic_combination"] = f"""{_pred}, u AS (SELECT p.date, p.instrument_id, y, 'volume' AS factor, volume AS v FROM panel p JOIN pred USING (date, instrument_id) WHERE y IS NOT NULL UNION ALL SELECT p.date, p.instrument_id, y, 'vwap', vwap FROM panel p JOIN pred USING (date, instrument_id) WHERE y IS NOT NULL),
+k AS (SELECT *, floor(count(*) OVER (PARTITION BY factor, date) * 0.3) AS k, row_number() OVER (PARTITION BY factor, date ORDER BY v DESC, instrument_id) AS a, row_number() OVER (PARTITION BY factor, date ORDER BY v, instrument_id) AS b FROM u),
+s AS (SELECT factor, date, avg(y) FILTER (a <= k) - avg(y) FILTER (b <= k) AS spread FROM k GROUP BY 1, 2),
+r AS (SELECT *, greatest(avg(spread) OVER w / CASE WHEN stddev_pop(spread) OVER w > 1e-12 THEN stddev_pop(spread) OVER w END, 0) AS ir FROM s WINDOW w AS (PARTITION BY factor ORDER BY date ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING)),
+t AS (SELECT *, CASE WHEN sum(coalesce(ir, 0)) OVER d > 1e-12 THEN coalesce(ir, 0) / sum(coalesce(ir, 0)) OVER d ELSE 1.0 / count(*) OVER d END AS w FROM r WINDOW d AS (PARTITION BY date))
+SELECT date, {tidy_sql('sum(w * spread)')} AS combined FROM t GROUP BY date"""
+
+
+# ---- models and comparisons ----
+
+
+@query("ridge_predictions")
+def ridge_predictions(spark, sf_dir):
+    df = tp.panel(spark, sf_dir)
+    rows = factors.factors(df, factors.CANONICAL).join(tp.predictions(df).drop("predicted_y"), list(KEYS)).persist()
+    train, test = calendar.split(rows)
+    train = calendar.purge(train.where("y is not null"), 1).persist()
+    chosen = selection.fit(train, list(factors.CANONICAL), top=5)
+    model = models.fit(selection.transform(train, chosen, (*KEYS, "y")), chosen.features, "ridge")
+    return tidied(models.predict(model, selection.transform(test, chosen, (*KEYS, "y"))).select(*KEYS, "y", "predicted_y"))
+
+
+@query("model_weights", f"{_pred}, {_ic} SELECT model, {tidy_sql('(CASE WHEN s > 0 THEN 0.5 * g / s + 0.5 / n ELSE 1.0 / n END)::DOUBLE')} AS weight FROM (SELECT *, sum(g) OVER () AS s, count(*) OVER () AS n FROM (SELECT model, CASE WHEN score > 0 THEN score ELSE 0 END AS g FROM (SELECT 'a' AS model, avg(ic) AS score FROM ic UNION ALL SELECT 'b', avg(rank_ic) FROM ic UNION ALL SELECT 'c', max(ic) FROM ic)))")
+def model_weights(spark, sf_dir):
+    ic = diagnostics.daily_ic(_predictions(spark, sf_dir)).agg(F.avg("ic").alias("a"), F.avg("rank_ic").alias("b"), F.max("ic").alias("c"))
+    return tidied(models.model_weights(ic.unpivot([], ["a", "b", "c"], "model", "score")))
+
+
+@query("ensemble", f"""{_pred} SELECT date, instrument_id, {tidy_sql('y')} AS y, {tidy_sql('((0.7 * predicted_y + 0.3 * predicted_y * predicted_y) / 1.0)')} AS predicted_y FROM pred""")
+def ensemble(spark, sf_dir):
+    p = _predictions(spark, sf_dir)
+    both = p.withColumn("model", F.lit("a")).unionByName(p.withColumn("model", F.lit("b")).withColumn("predicted_y", F.col("predicted_y") * F.col("predicted_y"))).unionByName(p.withColumn("model", F.lit("c")))
+    weights = spark.createDataFrame([("a", 0.7), ("b", 0.3), ("c", -1.0)], "model string, weight double")
+    return tidied(models.ensemble(both, weights))
+
+
+_views = """x AS (SELECT year(date)::VARCHAR AS w, r_name AS experiment, avg(close) AS total_return, avg(volume) AS sharpe FROM panel JOIN region ON r_name = sector GROUP BY 1, 2)"""
+
+
+def _view_rows(spark, sf_dir):
+    return tp.panel(spark, sf_dir).groupBy(F.year("date").cast("string").alias("w"), F.col("sector").alias("experiment")).agg(F.avg("close").alias("total_return"), F.avg("volume").alias("sharpe"))
+
+
+@query("experiment_views", f"WITH {tp.panel_sql()}, {_views} SELECT experiment, {tidy_sql('avg(total_return)')} AS avg_total_return, {tidy_sql('min(total_return)')} AS min_total_return, {tidy_sql('avg(sharpe)')} AS avg_sharpe, {tidy_sql('min(sharpe)')} AS min_sharpe, count(*) AS windows, count(*) FILTER (total_return > 0) AS positive_windows, {tidy_sql('avg((total_return > 0)::INT)')} AS positive_share FROM x GROUP BY 1")
+def experiment_views(spark, sf_dir):
+    return tidied(compare.views(_view_rows(spark, sf_dir), ["experiment"], ["total_return", "sharpe"]))
+
+
+_deltas = "dl AS (SELECT a.w, a.experiment, a.total_return - b.total_return AS delta_total_return, a.sharpe - b.sharpe AS delta_sharpe FROM x a JOIN x b ON a.w = b.w AND b.experiment = 'ASIA' WHERE a.experiment <> 'ASIA')"
+
+
+@query("experiment_deltas", f"WITH {tp.panel_sql()}, {_views}, {_deltas} {tidied_sql(['delta_total_return', 'delta_sharpe'], 'dl', 'w, experiment')}")
+def experiment_deltas(spark, sf_dir):
+    return tidied(compare.deltas(_view_rows(spark, sf_dir), ["w"], ["total_return", "sharpe"], "experiment", "ASIA"))
+
+
+@query("experiment_verdicts", f"WITH {tp.panel_sql()}, {_views}, {_deltas}, v AS (SELECT experiment, avg(delta_total_return) AS a, avg(delta_sharpe) AS b, count(*) AS windows, count(*) FILTER (delta_total_return > 0) AS positive_windows FROM dl GROUP BY 1) SELECT experiment, windows, positive_windows, ((a > 0)::INT + (b > 0)::INT)::BIGINT AS positive_core, (a > 0)::INT + (b > 0)::INT >= 2 AND positive_windows >= 2 AND positive_windows / windows >= 0.5 AS accepted FROM v")
+def experiment_verdicts(spark, sf_dir):
+    d = compare.deltas(_view_rows(spark, sf_dir), ["w"], ["total_return", "sharpe"], "experiment", "ASIA")
+    return tidied(compare.verdicts(d, ["experiment"], ["delta_total_return", "delta_sharpe"]).select("experiment", "windows", "positive_windows", "positive_core", "accepted"))
+
+
+@query("experiment_checks", f"WITH {tp.panel_sql()}, {_views}, a AS (SELECT experiment, avg(total_return) AS t, avg(sharpe) AS s FROM x GROUP BY 1), c AS (SELECT experiment, (t > 1500)::INT + (s < 190)::INT AS passed FROM a) SELECT experiment, passed::BIGINT AS passed, 2::BIGINT AS checks, row_number() OVER (ORDER BY passed DESC, experiment) AS place FROM c")
+def experiment_checks(spark, sf_dir):
+    a = _view_rows(spark, sf_dir).groupBy("experiment").agg(F.avg("total_return").alias("t"), F.avg("sharpe").alias("s"))
+    return tidied(compare.acceptance_ranking(compare.acceptance(a, {"return": ("t", ">", 1500.0), "risk": ("s", "<", 190.0)})))
