@@ -25,13 +25,16 @@ DEFAULTS = {
 }
 
 
-def build(name: str, rows: int = 1, **params):
-    """An estimator for (features, y). Ridge's alpha is a total over the rows, so it is divided by them."""
+def build(name: str, rows: int = 1, spread: float = 1.0, **params):
+    """An estimator for (features, y). Ridge's alpha is a total over the rows. The estimator works on y over its deviation
+    (``spread``) but takes the penalty as given, which weakens the squared part by that; so it is put up here."""
     p = DEFAULTS[name] | params
     if name in ("ridge", "lasso", "elastic_net"):
         mix = {"ridge": 0.0, "lasso": 1.0, "elastic_net": p.get("l1_ratio", 0.5)}[name]
-        reg = p["alpha"] / max(rows, 1) if name == "ridge" else p["alpha"]
-        return LinearRegression(featuresCol="scaled", labelCol="y", predictionCol="predicted_y", regParam=reg, elasticNetParam=mix, standardization=False, solver="auto", maxIter=100)
+        alpha = p["alpha"] / max(rows, 1) if name == "ridge" else p["alpha"]
+        absolute, squared = alpha * mix, alpha * (1 - mix) * spread
+        total = absolute + squared
+        return LinearRegression(featuresCol="scaled", labelCol="y", predictionCol="predicted_y", regParam=total, elasticNetParam=absolute / total if total else 0.0, standardization=False, solver="auto", maxIter=100)
     if name == "random_forest":
         return RandomForestRegressor(featuresCol="scaled", labelCol="y", predictionCol="predicted_y", numTrees=p["trees"], maxDepth=p["depth"], seed=7)
     return GBTRegressor(featuresCol="scaled", labelCol="y", predictionCol="predicted_y", maxIter=p["trees"], maxDepth=p["depth"], stepSize=p["step"], seed=7)
@@ -39,8 +42,8 @@ def build(name: str, rows: int = 1, **params):
 
 def fit(train: DataFrame, features, name: str, **params) -> PipelineModel:
     train = train.where("y is not null")
-    rows = train.count() if name == "ridge" else 1
-    return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="raw"), StandardScaler(inputCol="raw", outputCol="scaled", withMean=True, withStd=True), build(name, rows, **params)]).fit(train)
+    rows, spread = train.agg(F.count("*"), F.stddev_pop("y")).first()
+    return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="raw"), StandardScaler(inputCol="raw", outputCol="scaled", withMean=True, withStd=True), build(name, rows, spread or 1.0, **params)]).fit(train)
 
 
 def predict(model: PipelineModel, df: DataFrame) -> DataFrame:

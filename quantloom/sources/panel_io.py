@@ -90,13 +90,17 @@ def loose_bool(x):
     return F.lower(F.trim(x.cast("string"))).isin("true", "1", "yes")
 
 
+def _flagged(name):
+    return F.upper(F.trim(F.col(name).cast("string"))).isin("Y", "YES", "TRUE", "1")
+
+
 def universe(listings: list[DataFrame], excluded: str = r"(?i)warrant|right|unit|preferred|depositary") -> DataFrame:
     """(symbol, name) of listing tables (symbol, name, etf, test): united, trimmed, plain symbols only, without funds, test
     issues and excluded kinds of paper; the first name of a symbol stays."""
     both = listings[0]
     for x in listings[1:]:
         both = both.unionByName(x, allowMissingColumns=True)
-    both = both.select(canonical_symbol(F.col("symbol")).alias("symbol"), F.trim("name").alias("name"), loose_bool(F.col("etf")).alias("etf"), loose_bool(F.col("test")).alias("test"))
+    both = both.select(canonical_symbol(F.col("symbol")).alias("symbol"), F.trim("name").alias("name"), _flagged("etf").alias("etf"), _flagged("test").alias("test"))
     both = both.where(F.col("symbol").rlike(r"^[A-Z]{1,5}(-[A-Z])?$") & ~F.coalesce("etf", F.lit(False)) & ~F.coalesce("test", F.lit(False)) & ~F.coalesce(F.col("name").rlike(excluded), F.lit(False)))
     return both.groupBy("symbol").agg(F.min("name").alias("name"))
 
