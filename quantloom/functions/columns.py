@@ -182,9 +182,14 @@ def pct_rank(x, *within):
     return F.when(x.isNotNull(), (low + up) / (2 * n))
 
 
+def snap(x) -> Column:
+    """Ten decimals for values under 1e4: equal ones stay equal in ranks, whatever the order of sums."""
+    return F.when(F.abs(x) < 1e4, F.round(x, 10)).otherwise(x)
+
+
 def tidy(x) -> Column:
-    """Seven significant digits, nothing under 1e-9 and at most 1e37 in size: what two engines agree on whatever the
+    """Seven decimals or seven significant digits, and at most 1e37 in size: what two engines agree on whatever the
     order of their sums."""
     x = F.col(x) if isinstance(x, str) else x
-    x = F.when(F.abs(x) < 1, F.round(x, 9)).when(F.abs(x) > 1e37, F.signum(x) * 1e37).otherwise(x)
-    return x.cast("float").cast("double") + F.lit(0.0)
+    x = F.when(F.abs(x) < 1, F.round(x, 7)).when(F.abs(x) > 1e37, F.signum(x) * 1e37).otherwise(x)
+    return F.when(F.abs(x) < 1, x).otherwise(x.cast("float").cast("double")) + F.lit(0.0)

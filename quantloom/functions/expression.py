@@ -192,7 +192,7 @@ def _window(e: Expr, names: dict[str, str]) -> Column:
 
 def _across(e: Expr, name: str) -> Column:
     more = (e.n,) if e.n else ()
-    return C.pct_rank(F.col(name), *more) if e.kind == "rank" else F.avg(name).over(C.section(*more))
+    return C.pct_rank(C.snap(F.col(name)), *more) if e.kind == "rank" else F.avg(name).over(C.section(*more))
 
 
 def evaluate(panel: DataFrame, factors: dict[str, Expr], keep=(C.INSTRUMENT, C.DATE)) -> DataFrame:

@@ -58,6 +58,7 @@ def _window(e: Expr, names: dict[str, str]) -> str:
     if e.kind == "cum":
         return f"CASE WHEN ({x[0]}) IS NOT NULL THEN sum({x[0]}) OVER ({every} ROWS UNBOUNDED PRECEDING) END"
     if e.kind == "rank":
+        x = [f"(CASE WHEN abs({x[0]}) < 1e4 THEN round({x[0]}, 10) ELSE {x[0]} END)"]
         return f"CASE WHEN ({x[0]}) IS NOT NULL THEN (rank() OVER ({group}, ({x[0]}) IS NULL ORDER BY {x[0]}) + (count(*) OVER ({group}, {x[0]}) - 1) / 2) / count({x[0]}) OVER ({group}) END"
     if e.kind == "runcount":
         return f"count({x[0]}) OVER ({every} ROWS UNBOUNDED PRECEDING)::DOUBLE"

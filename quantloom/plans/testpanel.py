@@ -38,7 +38,7 @@ def panel_sql(name: str = "panel", every: str = "month") -> str:
 
 
 def tidy_sql(x: str) -> str:
-    return f"(CASE WHEN abs({x}) < 1 THEN round({x}, 9) WHEN abs({x}) > 1e37 THEN sign({x}) * 1e37::DOUBLE ELSE {x} END)::FLOAT::DOUBLE + 0.0"
+    return f"(CASE WHEN abs({x}) < 1 THEN round({x}, 7) WHEN abs({x}) > 1e37 THEN (sign({x}) * 1e37::DOUBLE)::FLOAT::DOUBLE ELSE ({x})::FLOAT::DOUBLE END) + 0.0"
 
 
 def fundamentals(spark: SparkSession, sf_dir: str) -> DataFrame:
