@@ -21,7 +21,9 @@ WORDS, WORD_DIM, GRAMS, GRAM_DIM, LARGEST, HIDDEN, ATTEND = 1 << 16, 8, 1 << 16,
 #: A word's grams: its beginnings of 4 to 8 bytes, and all runs of 6 bytes; all of it where it is shorter.
 BEGIN, RUN = (4, 8), 6
 #: Labelled documents to learn from at most, passes, windows in a batch, step.
-MOST_LABELS, PASSES, BATCH, STEP = 6000, 4, 128, 0.01
+MOST_LABELS, PASSES, BATCH, STEP = 4000, 4, 128, 0.01
+#: Steps in a pass at least: small samples are gone through again.
+LEAST_STEPS = 80
 #: Words and grams in fewer labelled documents have no embedding of their own.
 LEAST_DOCS = 5
 _INPUT = WORD_DIM + GRAM_DIM
@@ -50,7 +52,7 @@ def tokens(data: np.ndarray, at: np.ndarray):
     grams = np.stack([runs, begins], 1)
     use = np.stack([run, begin], 1)
     first = np.searchsorted(np.repeat(word, use.sum(1)), np.arange(len(start)))
-    return (h % np.uint64(WORDS)).astype(np.int64), (grams[use] % np.uint64(GRAMS)).astype(np.int64), first, limits
+    return (h % np.uint64(WORDS)).astype(np.int32), (grams[use] % np.uint64(GRAMS)).astype(np.int32), first, limits
 
 
 def window_starts(limits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -80,6 +82,18 @@ def inputs(m, ids, grams, first):
     return np.concatenate([m["words"][ids], *pooled], 1).astype(np.float32), n
 
 
+def windows_logits(m, ids, grams, first, start, end, chosen, at_once: int = 2048):
+    """Logits of the windows chosen, some at a time: only the words between the first and the last are made vectors."""
+    out = np.empty(len(chosen), np.float32)
+    for i in range(0, len(chosen), at_once):
+        w = chosen[i : i + at_once]
+        lo, hi = start[w].min(), min(end[w].max(), start[w].max() + WIDTH)
+        a, b = first[lo], first[hi] if hi < len(first) else len(grams)
+        x, _ = inputs(m, ids[lo:hi], grams[a:b], first[lo:hi] - a)
+        out[i : i + at_once] = forward(m, x, start[w] - lo, end[w] - lo)
+    return out
+
+
 def _sig(x):
     return 1 / (1 + np.exp(-x))
 
@@ -178,7 +192,7 @@ def _ragged(first, n, pick):
 
 def _associate(labels, of, found, size):
     """(association with label 1, in enough documents) of each hashed word or gram, by documents that hold it."""
-    seen = np.unique(of * size + found)
+    seen = np.unique(of.astype(np.int64) * size + found)
     n, n1, p = np.bincount(seen % size, minlength=size), np.bincount(seen % size, labels[seen // size], size), labels.mean()
     return np.clip((n1 - n * p) / np.sqrt(n * p * (1 - p) + 4), -3, 8) / 2, n >= LEAST_DOCS
 
@@ -204,7 +218,7 @@ def fit(labels: np.ndarray, ids, grams, first, limits, seed: int = 3):
     apart = rng.permutation(len(labels)) % 3 == 0
     if len(set(labels[~apart])) < 2 or len(set(labels[apart])) < 2:
         apart[:] = False
-    doc_of, count = np.repeat(np.arange(len(labels)), n_docs), np.diff(np.append(first, len(grams)))
+    doc_of, count = np.repeat(np.arange(len(labels), dtype=np.int32), n_docs), np.diff(np.append(first, len(grams)))
     for name, size, found, of in (("words", WORDS, ids, doc_of), ("grams", GRAMS, grams, np.repeat(doc_of, count))):
         own = ~apart[of]
         start_value, enough = _associate(labels, of[own], found[own], size)
@@ -215,17 +229,16 @@ def fit(labels: np.ndarray, ids, grams, first, limits, seed: int = 3):
     p = labels[~apart].mean()
     start, end, doc = window_starts(limits)
     begin_of = np.searchsorted(doc, np.arange(len(labels) + 1))
-    x, _ = inputs(m, ids, grams, first)
-    level = np.maximum.reduceat(x[:, 0] + x[:, WORD_DIM], start)  # up to the next start: enough to rank
+    mark = m["words"][ids, 0] + np.maximum.reduceat(m["grams"][grams, 0], first)
+    level = np.maximum.reduceat(mark, start)  # up to the next start: enough to rank
     learn = np.flatnonzero(~apart & (n_docs > 0))
     moment, second, step = {k: np.zeros_like(v) for k, v in m.items()}, {k: np.zeros_like(v) for k, v in m.items()}, 0
     weight = np.where(labels == 1, min(5.0, 0.5 / max(p, 1e-3)), 1.0)
     for go in range(PASSES):
         hard = learn[(labels[learn] == 1) | (rng.random(len(learn)) < 1 / 3)]
         if go:
-            x, _ = inputs(m, ids, grams, first)
             w = np.concatenate([np.arange(begin_of[d], begin_of[d + 1]) for d in hard])
-            level[w] = np.concatenate([forward(m, x, start[w[i : i + 2048]], end[w[i : i + 2048]]) for i in range(0, len(w), 2048)])
+            level[w] = windows_logits(m, ids, grams, first, start, end, w)
         chosen, hard = [], set(hard.tolist())
         for d in learn:
             own = np.arange(begin_of[d], begin_of[d + 1])
@@ -235,7 +248,9 @@ def fit(labels: np.ndarray, ids, grams, first, limits, seed: int = 3):
                 chosen += [top] + ([others[level[others].argmax()]] if go and len(others) and level[others].max() > 0 else [])
             else:
                 chosen += list(rng.choice(own, min(2, len(own)), replace=False)) + ([own[level[own].argmax()]] if d in hard else [])
-        chosen = rng.permutation(np.unique(chosen))
+        chosen = np.unique(chosen)
+        again = max(1, -(-LEAST_STEPS // -(-len(chosen) // BATCH)))
+        chosen = np.concatenate([rng.permutation(chosen) for _ in range(again)])
         for i in range(0, len(chosen), BATCH):
             w = chosen[i : i + BATCH]
             at = start[w][:, None] + np.arange(WIDTH)
@@ -260,9 +275,8 @@ def fit(labels: np.ndarray, ids, grams, first, limits, seed: int = 3):
             for k, v in grads.items():
                 _adam(m, moment, second, step, k, v)
     held = np.flatnonzero(apart & (n_docs > 0)) if apart.any() else learn
-    x, _ = inputs(m, ids, grams, first)
     w = np.concatenate([np.arange(begin_of[d], begin_of[d + 1]) for d in held])
-    logits = np.concatenate([forward(m, x, start[w[i : i + 2048]], end[w[i : i + 2048]]) for i in range(0, len(w), 2048)])
+    logits = windows_logits(m, ids, grams, first, start, end, w)
     m["pool"] = _fit_pool(_pooled(logits, np.concatenate([[0], np.cumsum(np.diff(begin_of)[held])])), labels[held])
     return m
 
@@ -289,7 +303,7 @@ def _fit_task(batches):
     labels, parts, base = [], [], 0
     for batch in batches:
         labels += batch.column(0).to_pylist()
-        parts += [tokens(data, at) for _, data, at in chunks(batch.column(1), 1 << 22)]
+        parts += [tokens(data, at) for _, data, at in chunks(batch.column(1))]
     ids, grams = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.int64) for i in (0, 1))
     first, limits, byte = [], [np.zeros(1, np.int64)], 0
     for a, b, c, d in parts:
@@ -307,21 +321,15 @@ def train(docs: DataFrame, labels: DataFrame) -> dict[str, np.ndarray]:
     return pickle.loads(sample.select("label", "text").mapInArrow(_fit_task, "model binary").first()[0])
 
 
-def document_scores(m, column: pa.Array, windows: int = 4096) -> np.ndarray:
+def document_scores(m, column: pa.Array, windows: int = 2048) -> np.ndarray:
     """The score of each text from those of all its windows; texts without words get that of the bias."""
     best = np.full(len(column), m["bias"][0], np.float64)
-    for row, data, at in chunks(column):
+    for row, data, at in chunks(column, 1 << 19):
         ids, grams, first, limits = tokens(data, at)
         start, end, doc = window_starts(limits)
         if not len(start):
             continue
-        x, _ = inputs(m, ids, grams, first)
-        whole = start + WIDTH <= end
-        logits = np.empty(len(start))
-        for part in (np.flatnonzero(whole), np.flatnonzero(~whole)):
-            for i in range(0, len(part), windows):
-                w = part[i : i + windows]
-                logits[w] = forward(m, x, start[w], end[w])
+        logits = windows_logits(m, ids, grams, first, start, end, np.arange(len(start)), windows)
         has = np.flatnonzero(np.diff(limits))
         of = np.append(np.searchsorted(doc, has), len(doc))
         best[row + has] = _pooled(logits, of) @ m["pool"] if "pool" in m else np.maximum.reduceat(logits, of[:-1])
