@@ -35,9 +35,8 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     c2 = np.where(c1 == 0, 0, c2)
     gram = mix(((c2 * np.uint64(0x110000) + c1) * np.uint64(0x110000) + c)) & np.uint64((1 << BITS) - 1)
     use = letter | (c1 != 0)  # letters, and the boundary after a word
-    before = np.concatenate([[False], use[:-1]])[: len(use)]
     index = np.flatnonzero(use)
-    first = np.flatnonzero((use & ~before)[index]) if len(index) else np.zeros(0, np.int64)
+    first = np.flatnonzero((letter & (c1 == 0))[index]) if len(index) else np.zeros(0, np.int64)
     limits = np.searchsorted(index[first], np.minimum(at, len(codes)))
     return gram[index].astype(np.int64), first, limits
 

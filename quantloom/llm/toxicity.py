@@ -318,7 +318,8 @@ def train(docs: DataFrame, labels: DataFrame) -> dict[str, np.ndarray]:
     """The network from at most MOST_LABELS labelled documents, in one task: the sample is bounded."""
     workers_import(docs.sparkSession)
     sample = labelled(docs, labels, "toxic", 5, 0, MOST_LABELS).repartition(1).sortWithinPartitions("doc_id", "text")
-    return pickle.loads(sample.select("label", "text").mapInArrow(_fit_task, "model binary").first()[0])
+    found = sample.select("label", "text").mapInArrow(_fit_task, "model binary").first()
+    return pickle.loads(found[0]) if found else new_model(np.random.default_rng(3))
 
 
 def document_scores(m, column: pa.Array, windows: int = 2048) -> np.ndarray:

@@ -182,20 +182,20 @@ def test_mixing_meets_entropy_budget_and_repetition(spark):
     df = sources(spark, rows)
     tokens = mixing.source_tokens(df)
     total = sum(len(t.split()) for _, t, _ in rows if t)
-    a, w = mixing.temperature(tokens, total, 0.8, 50.0)
+    a, w = mixing.temperature(tokens, total, 0.8, 500.0)
     p = {r.source: r.p for r in w.collect()}
     weight = {r.source: r.weight for r in w.collect()}
     z = sum(x**a for x in p.values())
     assert all(abs(weight[s] - p[s] ** a / z) < 1e-9 for s in p)
     entropy = -sum(x * np.log(x) for x in weight.values())
     assert abs(entropy - 0.8 * np.log(len(p))) < 1e-9 and 0 < a < 1
-    out = mixing.mix_sources(df, target_entropy=0.8, max_repeats=50.0).collect()
+    out = mixing.mix_sources(df, target_entropy=0.8, max_repeats=500.0).collect()
     own = defaultdict(int)
     for r in out:
         own[r.source] += r.n_tokens
     for s in p:
         assert total * weight[s] - 21 <= own[s] <= total * weight[s] + 1
-    again = sorted((r.doc_id, r.epoch, r.order_key) for r in mixing.mix_sources(df.repartition(7), target_entropy=0.8, max_repeats=50.0).collect())
+    again = sorted((r.doc_id, r.epoch, r.order_key) for r in mixing.mix_sources(df.repartition(7), target_entropy=0.8, max_repeats=500.0).collect())
     assert again == sorted((r.doc_id, r.epoch, r.order_key) for r in out)
     _, w = mixing.temperature(tokens, total, 0.99, 3.0)
     assert max(r.weight * total / r.tokens for r in w.collect()) <= 3.0 + 1e-6
@@ -218,9 +218,10 @@ def test_markov_models_find_bare_random_strings(spark):
     chars = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
     rnd = lambda n: "".join(rng.choice(chars) for _ in range(n))
     plain = ["the reading of ordinary documents and international understanding", "configuration parameters describing responsibilities"]
-    rows = [(i, rng.choice(plain) + f" password={rnd(24)} " + rng.choice(plain)) for i in range(100)] + [(200 + i, " ".join(rng.sample(plain, 2))) for i in range(60)]
+    rows = [(i, rng.choice(plain) + f" password={rnd(60)} " + rng.choice(plain)) for i in range(100)] + [(200 + i, " ".join(rng.sample(plain, 2))) for i in range(60)]
+    rows += [(1000 + i, " ".join(f"token={rnd(60)}" for _ in range(20))) for i in range(60)]
     rows += [(500, f"see {rnd(30)} here"), (501, "see internationalunderstandingparameters here")]
-    got = {r.doc_id: [x.k for x in r.spans] for r in secrets_scan.secret_spans(make(spark, rows)).collect()}
+    got = {r.doc_id: [x.k for x in r.spans] for r in secrets_scan.secret_spans(make(spark, rows), 0.2).collect()}
     assert got[500] == [3] and got[501] == []
 
 
