@@ -11,30 +11,48 @@ from pyspark.sql import functions as F
 
 from .common import SHINGLE, chunks, components, durable, mix, shingles, small_side, words, workers_import
 
-#: SetSketch: base of the exponential spacing, rate, largest register value; registers are BANDS x ROWS.
-#: With 20 bands of 5, a pair of similarity 0.85 shares no band with probability (1 - 0.85**5)**20 < 1e-5, and a
-#: pair without common shingles shares one with probability 20 * 0.005**5 < 1e-10.
+#: SetSketch: base of the exponential spacing, rate, largest register value.
 BASE, RATE, TOP = 1.02, 20.0, 4000
-BANDS, ROWS = 20, 5
-M = BANDS * ROWS
-#: Pairs whose estimate is this much below the threshold are not checked: five standard deviations.
+#: A pair at the threshold shares no band with this probability at most. Bands are as long as fewer than REGISTERS allow.
+MISS, REGISTERS = 1e-5, 150
+#: Pairs whose estimate is this much below the threshold, or five standard deviations if that is more, are not checked.
 MARGIN = 0.18
-_A = np.random.default_rng(77).integers(1, 2**63, M, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_A = np.random.default_rng(77).integers(1, 2**63, 1 << 15, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Buckets of up to SMALL rows are paired by a join; larger ones are cut into blocks of at most about BLOCK rows and
 #: BLOCK_SHINGLES shingles, two of which are compared in a task.
 SMALL, BLOCK, BLOCK_SHINGLES = 24, 2048, 1 << 20
 
 
-def registers(h: np.ndarray, limits: np.ndarray) -> np.ndarray:
-    """uint16 SetSketch registers (rows x M) of the hashed sets; empty sets get zeros. A register is
+def banding(percent: int) -> tuple[int, int]:
+    """(bands, rows): the longest bands, of which fewer than REGISTERS registers leave a pair of similarity percent /
+    100 without a common one with probability (1 - s**rows)**bands <= MISS; bands of one row if there are none. At 85
+    these are 20 bands of 5, at 80 29 of 5; a pair without common shingles shares one of 20 with probability 20 *
+    0.005**5 < 1e-10."""
+    share = min(max(percent, 1), 100) / 100
+    best = None
+    for rows in range(1, REGISTERS):
+        bands = 1 if share == 1 else int(np.ceil(np.log(MISS) / np.log1p(-(share**rows))))
+        if best is None or bands * rows < REGISTERS:
+            best = bands, rows
+    return best
+
+
+def margin(percent: int) -> float:
+    bands, rows = banding(percent)
+    share = min(max(percent, 0), 100) / 100
+    return max(MARGIN, 5 * float(np.sqrt(share * (1 - share) / (bands * rows))))
+
+
+def registers(h: np.ndarray, limits: np.ndarray, m: int = 100) -> np.ndarray:
+    """uint16 SetSketch registers (rows x m) of the hashed sets; empty sets get zeros. A register is
     floor(1 - log_b(minimum of Exp(RATE) values)), cut to [0, TOP]; that of a union is the larger of two."""
-    out = np.zeros((len(limits) - 1, M), np.uint16)
+    out = np.zeros((len(limits) - 1, m), np.uint16)
     full = np.flatnonzero(np.diff(limits))
     if not len(full):
         return out
     start = limits[full]
-    least = np.empty((len(full), M), np.uint64)
-    for j in range(M):
+    least = np.empty((len(full), m), np.uint64)
+    for j in range(m):
         least[:, j] = np.minimum.reduceat(h * _A[j], start)
     exp = -np.log1p(-(least.astype(np.float64) + 0.5) / 2.0**64)
     out[full] = np.clip(np.floor(1 - np.log(np.maximum(exp, 1e-300) / RATE) / np.log(BASE)), 0, TOP)
@@ -52,57 +70,65 @@ def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np
     u, v = (na / (na + nb))[:, None], (nb / (na + nb))[:, None]
     j = np.linspace(0, 1, 101)[None, :]
     pu, pd_ = _p(np.clip(u - v * j, 1e-9, 1)), _p(np.clip(v - u * j, 1e-9, 1))
-    like = up * np.log(pu) + down * np.log(pd_) + (M - up - down) * np.log(np.maximum(1 - pu - pd_, 1e-12))
+    like = up * np.log(pu) + down * np.log(pd_) + (a.shape[1] - up - down) * np.log(np.maximum(1 - pu - pd_, 1e-12))
     like = np.where(j <= np.minimum(u / v, v / u) + 1e-9, like, -np.inf)
     return j[0][np.argmax(like, axis=1)]
 
 
-def _own(column: pa.Array, sets: bool):
-    """For each text: its distinct shingle hashes, sorted; and registers unless sets."""
+def _own(column: pa.Array, m: int = 0):
+    """For each text: its distinct shingle hashes, sorted; and m registers if any are wanted."""
     for _, data, at in chunks(column):
         h, _, limits = words(data, at)
         s, limits = shingles(h, limits)
         rows = [np.unique(s[limits[i] : limits[i + 1]]) for i in range(len(limits) - 1)]
-        yield rows, None if sets else registers(s, limits)
+        yield rows, registers(s, limits, m) if m else None
 
 
-def _sketch(batches):
-    for batch in batches:
-        n, key, regs = [], [], []
-        for rows, r in _own(batch.column(1), sets=False):
-            n += [len(x) for x in rows]
-            key += [xxhash.xxh3_128_digest(x.tobytes()) for x in rows]
-            regs += [x.tobytes() for x in r]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(regs, pa.binary())], ["doc_id", "n", "key", "regs"])
+def _sketch(m: int):
+    def sketch(batches):
+        for batch in batches:
+            n, key, regs = [], [], []
+            for rows, r in _own(batch.column(1), m):
+                n += [len(x) for x in rows]
+                key += [xxhash.xxh3_128_digest(x.tobytes()) for x in rows]
+                regs += [x.tobytes() for x in r]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(regs, pa.binary())], ["doc_id", "n", "key", "regs"])
+
+    return sketch
 
 
 def _sets(batches):
     for batch in batches:
-        out = [x for rows, _ in _own(batch.column(1), sets=True) for x in rows]
+        out = [x for rows, _ in _own(batch.column(1)) for x in rows]
         key, n = pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in out], pa.binary()), pa.array([len(x) for x in out], pa.int64())
         yield pa.RecordBatch.from_arrays([batch.column(0), key, n, pa.array([x.tobytes() for x in out], pa.binary())], ["id", "key", "n", "hashes"])
 
 
-def _bands(batches):
-    for batch in batches:
-        regs = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, M).astype(np.uint64)
-        keys = np.empty((len(regs), BANDS), np.uint64)
-        for b in range(BANDS):
-            acc = np.full(len(regs), b + 1, np.uint64)
-            for j in range(b * ROWS, (b + 1) * ROWS):
-                acc = mix(acc * np.uint64(0x9E3779B97F4A7C15) + regs[:, j])
-            keys[:, b] = acc
-        at = pa.array(np.repeat(np.arange(len(regs)), BANDS))
-        no = pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(regs)))
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), no, pa.array(keys.ravel().view(np.int64))], ["id", "n", "no", "band"])
-
-
-def _likely(threshold: float):
+def _bands(count: int, rows: int):
+    def bands(batches):
+        for batch in batches:
+            regs = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, count * rows).astype(np.uint64)
+            keys = np.empty((len(regs), count), np.uint64)
+            for b in range(count):
+                acc = np.full(len(regs), b + 1, np.uint64)
+                for j in range(b * rows, (b + 1) * rows):
+                    acc = mix(acc * np.uint64(0x9E3779B97F4A7C15) + regs[:, j])
+                keys[:, b] = acc
+            at = pa.array(np.repeat(np.arange(len(regs)), count))
+            no = pa.array(np.tile(np.arange(count, dtype=np.int32), len(regs)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), no, pa.array(keys.ravel().view(np.int64))], ["id", "n", "no", "band"])
+
+    return bands
+
+
+def _likely(percent: int):
+    least, m = percent / 100 - margin(percent), int(np.prod(banding(percent)))
+
     def likely(frames):
         for f in frames:
             if len(f):
-                a, b = (np.frombuffer(b"".join(x), np.uint16).reshape(-1, M) for x in (f.ra, f.rb))
-                f = f[estimate(a, b, f.na.to_numpy(float), f.nb.to_numpy(float)) >= threshold - MARGIN]
+                a, b = (np.frombuffer(b"".join(x), np.uint16).reshape(-1, m) for x in (f.ra, f.rb))
+                f = f[estimate(a, b, f.na.to_numpy(float), f.nb.to_numpy(float)) >= least]
             yield f[["a", "b"]]
 
     return likely
@@ -124,11 +150,12 @@ def _within(percent: int):
     """Links between different components in a block pair of a bucket, as many as join them. A pair is looked at in the
     first band that it shares, if the estimate does not rule it out, and unless links found so far join it; the
     intersection is exact."""
-    threshold = percent / 100
+    threshold, (bands, rows) = percent / 100, banding(percent)
+    likely = threshold - margin(percent)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, n, blk, no = pdf.id.to_numpy(), pdf.n.to_numpy(float), pdf.blk.to_numpy(), int(pdf.no.iloc[0])
-        regs = np.frombuffer(b"".join(pdf.regs), np.uint16).reshape(-1, M)
+        regs = np.frombuffer(b"".join(pdf.regs), np.uint16).reshape(-1, bands * rows)
         root = np.unique(pdf.comp, return_inverse=True)[1]
         at = np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
         values, flat = np.unique(np.frombuffer(b"".join(pdf.hashes), np.uint64), return_inverse=True)
@@ -137,10 +164,10 @@ def _within(percent: int):
             j = np.flatnonzero((root != root[i]) & ((place > i) if own else (blk != blk[i])) & (np.minimum(n, n[i]) >= threshold * np.maximum(n, n[i])))
             if len(j):
                 same = regs[j] == regs[i]
-                new = (same.mean(1) >= threshold - MARGIN - 0.05) & ~same.reshape(len(j), BANDS, ROWS).all(2)[:, :no].any(1)
+                new = (same.mean(1) >= likely - 0.05) & ~same.reshape(len(j), bands, rows).all(2)[:, :no].any(1)
                 j = j[new]
             if len(j):
-                j = j[estimate(np.repeat(regs[i : i + 1], len(j), 0), regs[j], np.full(len(j), n[i]), n[j]) >= threshold - MARGIN]
+                j = j[estimate(np.repeat(regs[i : i + 1], len(j), 0), regs[j], np.full(len(j), n[i]), n[j]) >= likely]
             if len(j):
                 mark[flat[at[i] : at[i + 1]]] = 1
                 both = np.array([mark[flat[at[k] : at[k + 1]]].sum() for k in j])
@@ -162,25 +189,25 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     100 * intersection >= percent * union are linked; component_id is the smallest doc_id that links reach, kept
     marks doc_id = component_id. Rows of one id and text are one document; a null id only gets ids of others.
 
-    Equal sets meet first and go on as one. Sketches (200 bytes) of distinct sets are banded. In each bucket, the
+    Equal sets meet first and go on as one. Sketches (200 bytes at 85) of distinct sets are banded. In each bucket, the
     smallest set is checked against the others (as many pairs as rows). What is then in one component needs no
     further pair: only pairs of a bucket's different components are left. Small buckets are paired by a join; large
     ones are cut into blocks, and each pair of blocks reports just the links that join its components. All pairs that
     the estimate leaves are covered; there is no cap."""
     spark = docs.sparkSession
     workers_import(spark)
-    threshold = percent / 100
+    count, rows = banding(percent)
     base = docs.select(F.col("doc_id").cast("long"), "text")
-    sketch = durable(base.mapInArrow(_sketch, "doc_id long, n long, key binary, regs binary").withColumn("id", F.xxhash64("key", "n")))
+    sketch = durable(base.mapInArrow(_sketch(count * rows), "doc_id long, n long, key binary, regs binary").withColumn("id", F.xxhash64("key", "n")))
     sets = durable(sketch.where("n > 0").groupBy("id").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("regs").alias("regs")))
-    bands = sets.select("id", "regs", "n").mapInArrow(_bands, "id long, n long, no int, band long")
+    bands = sets.select("id", "regs", "n").mapInArrow(_bands(count, rows), "id long, n long, no int, band long")
     cut = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int")
     buckets = bands.groupBy("band").agg(F.min("id").alias("pivot"), F.count("*").alias("size"), cut.alias("nb")).where("size > 1")
     bands = durable(bands.drop("n").join(small_side(durable(buckets), 48), "band"))
     left = sets.select(F.col("id").alias("a"), F.col("regs").alias("ra"), F.col("n").alias("na"))
     right = sets.select(F.col("id").alias("b"), F.col("regs").alias("rb"), F.col("n").alias("nb"))
     star = bands.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    star = durable(star.join(left, "a").join(right, "b").mapInPandas(_likely(threshold), "a long, b long"))
+    star = durable(star.join(left, "a").join(right, "b").mapInPandas(_likely(percent), "a long, b long"))
 
     # the full sets of those in buckets, from one row of documents each
     used = durable(bands.select("id").distinct().join(sets, "id").select("id", "rep"))
@@ -208,7 +235,7 @@ def _linked(sketch, sets, bands, star, full, percent, left, right):
     few = x.join(y, "band").where("a < b and ca <> cb").select("a", "b").distinct()
     few = few.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     few = few.join(left, "a").join(right, "b").where(F.least("na", "nb") >= threshold * F.greatest("na", "nb"))
-    few = links(durable(few.mapInPandas(_likely(threshold), "a long, b long")))
+    few = links(durable(few.mapInPandas(_likely(percent), "a long, b long")))
     rows = member.where(F.col("size") > SMALL).join(sets.select("id", "n", "regs"), "id").join(full, "id")
     rows = rows.withColumn("blk", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     rows = rows.select("band", "no", F.least("blk", "o").alias("lo"), F.greatest("blk", "o").alias("hi"), "blk", "id", "comp", "n", "regs", "hashes")

@@ -97,6 +97,28 @@ def test_large_bucket_is_cut_into_blocks(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(make(spark, rows)).collect()} == want
 
 
+def test_bands_follow_the_threshold():
+    assert minhash_dedup.banding(85) == (20, 5)
+    for percent in (1, 5, 20, 50, 70, 80, 90, 95, 99, 100):
+        bands, rows = minhash_dedup.banding(percent)
+        assert (1 - (percent / 100) ** rows) ** bands <= 1e-5 and bands * rows <= len(minhash_dedup._A)
+
+
+@pytest.mark.parametrize(("percent", "small"), [(80, 2), (50, 24)])
+def test_near_duplicates_at_other_thresholds(spark, monkeypatch, percent, small):
+    monkeypatch.setattr(minhash_dedup, "SMALL", small)
+    rows, both = [], 200 * percent // (100 + percent) + 2
+    for i in range(40):  # 100 shingles each, so many in common: similarity 90 / 110 at 80, 68 / 132 at 50
+        w = [f"w{i}x{j}" for j in range(104)]
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(w[: both + 4] + [f"v{i}x{j}" for j in range(100 - both)]))]
+    rows += [(100 + i, t) for i, t in corpus()]
+    sets = {i: shingle_set(t) for i, t in rows}
+    want = brute_components(sets, lambda a, b: a and b and 100 * len(a & b) >= percent * len(a | b))
+    assert all(want[2 * i + 1] == 2 * i for i in range(40))
+    assert {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(make(spark, rows), percent).collect()} == want
+    assert {r.doc_id for r in minhash_dedup.drop_near_duplicates(make(spark, rows), percent).collect()} == {i for i, m in want.items() if i == m}
+
+
 def test_sketch_estimates_similarity():
     rng = np.random.default_rng(1)
     for j in (0.3, 0.6, 0.9):
