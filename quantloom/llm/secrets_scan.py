@@ -2,8 +2,7 @@ r"""Operator 5, secret scans: patterns, and character Markov models of random st
 
 from __future__ import annotations
 
-from math import log
-
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,9 +17,13 @@ KINDS = ("assign", "access", "hex", "markov")
 TOKEN, RATIO = r"[A-Za-z0-9+/_=-]{16,}", 0.6
 #: What the models learn from at most: found secrets, and documents whose other words are the ordinary identifiers.
 MOST_SECRETS, MOST_DOCS = 20_000, 2_000
-#: Characters told apart; others share the last place. SMOOTH is added to each count of a pair.
+#: Characters told apart, and the class of each; others share the last place.
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
-SMOOTH = 0.5
+CLASSES = [0] * 26 + [1] * 26 + [2] * 10 + [3] * 5 + [4]
+#: Counts that a back-off weighs as much as: of pairs to classes, of pairs of classes to single classes, and of those.
+SMOOTH, SMOOTH_CLASS, SMOOTH_ONE = 8.0, 8.0, 0.5
+#: Ordinary identifiers, in the characters of TOKEN; a model of each fold is learned from the samples of the others.
+PLAIN, FOLDS = r"[A-Za-z0-9+/_=-]{6,}", 2
 
 
 def spans(df: DataFrame, text: str, pattern: str, name: str, maybe=None) -> DataFrame:
@@ -58,12 +61,17 @@ def base_spans(docs: DataFrame) -> DataFrame:
     return df.withColumn("tokens", free)
 
 
+def fold(sample):
+    """The fold of a string: all its occurrences fall in one."""
+    return F.pmod(F.xxhash64(sample), F.lit(FOLDS)).cast("int")
+
+
 def _pairs(samples: DataFrame) -> DataFrame:
-    """(label, i, n): how often each pair of following characters occurs in the samples (label, sample)."""
+    """(fold, label, i, n): how often each pair of following characters occurs in the samples (label, sample)."""
     size = len(ALPHABET) + 1
-    chars = samples.select("label", F.transform(F.split("sample", ""), _place).alias("c"))
+    chars = samples.select(fold("sample").alias("fold"), "label", F.transform(F.split("sample", ""), _place).alias("c"))
     pairs = F.transform(F.sequence(F.lit(0), F.size("c") - 2), lambda i: F.get("c", i) * size + F.get("c", i + 1))
-    return chars.where(F.size("c") > 1).select("label", F.explode(pairs).alias("i")).groupBy("label", "i").count()
+    return chars.where(F.size("c") > 1).select("fold", "label", F.explode(pairs).alias("i")).groupBy("fold", "label", "i").count()
 
 
 def _place(c):
@@ -72,54 +80,63 @@ def _place(c):
     return F.when((at == 0) | (c == ""), F.lit(len(ALPHABET))).otherwise(at - 1)
 
 
-def train_markov(samples: DataFrame) -> list[float]:
-    """Log-likelihood ratios of the pairs of characters, random strings (label 1) against identifiers (label 0), from
-    labelled samples; all 0 if one kind is missing."""
+def _likelihoods(counts: np.ndarray) -> np.ndarray:
+    """Log-likelihood of each second character after each first, from counts of pairs. A pair backs off to its
+    characters' classes, a pair of classes to the second class alone; a character's share of its class backs off to
+    equal shares."""
+    of = np.eye(max(CLASSES) + 1)[CLASSES]
+    single, held = counts.sum(0), of.sum(0)
+    share = (single + SMOOTH_ONE) / ((single + SMOOTH_ONE) @ of)[CLASSES]
+    one = single @ of + SMOOTH_ONE * held
+    pair = of.T @ counts @ of + SMOOTH_CLASS * one / one.sum()
+    back = (pair / pair.sum(1, keepdims=True))[CLASSES][:, CLASSES] * share
+    return np.log((counts + SMOOTH * back) / (counts.sum(1, keepdims=True) + SMOOTH))
+
+
+def train_markov(samples: DataFrame) -> list[list[float]]:
+    """For each fold the log-likelihood ratios of the pairs of characters, random strings (label 1) against identifiers
+    (label 0), from the labelled samples of the other folds; all 0 if one kind is missing."""
     size = len(ALPHABET) + 1
-    counts = {0: [SMOOTH] * size**2, 1: [SMOOTH] * size**2}
-    seen = set()
-    for r in _pairs(samples).collect():  # 2 * size ** 2 rows at most
-        counts[r.label][r.i] += r["count"]
-        seen.add(r.label)
-    if len(seen) < 2:
-        return [0.0] * size**2
-    sums = {k: [sum(v[a * size : (a + 1) * size]) for a in range(size)] for k, v in counts.items()}
-    return [log(counts[1][i] / sums[1][i // size]) - log(counts[0][i] / sums[0][i // size]) for i in range(size**2)]
-
-
-def ratio(token, table: list[float]):
-    """The mean log-likelihood ratio of a token's pairs of characters."""
+    counts = np.zeros((FOLDS, 2, size * size))
+    for r in _pairs(samples).collect():  # 2 * FOLDS * size ** 2 rows at most
+        counts[r.fold, r.label, r.i] += r["count"]
+    rest = (counts.sum(0) - counts).reshape(FOLDS, 2, size, size)
+    return [(_likelihoods(x[1]) - _likelihoods(x[0])).ravel().tolist() if x.sum((1, 2)).all() else [0.0] * size**2 for x in rest]
+
+
+def ratio(token, tables: list[list[float]]):
+    """The mean log-likelihood ratio of a token's pairs of characters, by the model of its fold."""
     size = len(ALPHABET) + 1
-    held = F.array(*map(F.lit, table))
+    held = F.get(F.array(*[F.array(*map(F.lit, x)) for x in tables]), fold(token))
     c = F.transform(F.split(token, ""), _place)
     score = F.aggregate(F.sequence(F.lit(1), F.size(c) - 1), F.lit(0.0), lambda acc, i: acc + F.get(held, F.get(c, i - 1) * size + F.get(c, i)))
     return score / (F.size(c) - 1)
 
 
 def samples(found: DataFrame, docs: DataFrame) -> DataFrame:
-    """(label, sample): values of base spans are random strings; words of six letters and more of documents without
-    any are ordinary identifiers. Both are bounded: those with the smallest hashes."""
+    """(label, sample): values of base spans are random strings; runs of six token characters and more of documents
+    without any are ordinary identifiers. Both are bounded: those with the smallest hashes."""
     value = F.transform("assign", lambda x: F.regexp_extract(x["m"], ASSIGN, 2))
     values = F.concat(value, F.transform("access", lambda x: x["m"]), F.transform("hex", lambda x: x["m"]))
     secrets = found.select(F.explode(F.filter(values, lambda x: F.char_length(x) >= 12)).alias("sample")).distinct()
     secrets = secrets.orderBy(F.xxhash64("sample"), "sample").limit(MOST_SECRETS)
     clean = found.where("size(assign) + size(access) + size(hex) = 0").select("row", "doc_id").orderBy(F.xxhash64("row"), "row").limit(MOST_DOCS)
     plain = docs.withColumn("row", F.xxhash64("doc_id", "text")).join(durable(clean).select("row").distinct(), "row")
-    plain = plain.select(F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[A-Za-z_]{6,}"), F.lit(0))).alias("sample"))
+    plain = plain.select(F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(PLAIN), F.lit(0))).alias("sample"))
     return secrets.select(F.lit(1).alias("label"), "sample").union(plain.select(F.lit(0).alias("label"), "sample"))
 
 
 def secret_spans(docs: DataFrame, threshold: float = RATIO) -> DataFrame:
     """(doc_id, spans array<struct<s, k, e>>) of each row: base spans by kind, and the tokens of 16 characters and more
-    outside them whose mean log-likelihood ratio is at least ``threshold``. Null texts are empty. Ordered by start,
+    outside them whose mean log-likelihood ratio, by models that have not learned from the token, is at least ``threshold``. Null texts are empty. Ordered by start,
     then kind as listed."""
     found = durable(base_spans(docs))
-    table = train_markov(samples(found, docs))
+    tables = train_markov(samples(found, docs))
     def tag(spans, k):
         return F.transform(spans, lambda x: F.struct(x["s"].alias("s"), F.lit(k).alias("k"), x["e"].alias("e")))
 
     tagged = [tag(name, k) for k, name in enumerate(KINDS[:3])]
-    extra = F.when(F.size("tokens") > 0, tag(F.filter("tokens", lambda x: ratio(x["m"], table) >= threshold), 3))
+    extra = F.when(F.size("tokens") > 0, tag(F.filter("tokens", lambda x: ratio(x["m"], tables) >= threshold), 3))
     extra = F.coalesce(extra, F.array().cast("array<struct<s:int,k:int,e:int>>"))
     return found.select("doc_id", F.array_sort(F.concat(*tagged, extra)).alias("spans"))
 

@@ -235,7 +235,6 @@ def test_secret_base_spans_against_re(spark):
     assert secrets_scan.secret_spans(make(spark, [])).count() == 0
 
 
-@pytest.mark.xfail(reason="open fault: pairs unseen in both samples smooth to even odds, so a bare random string scores too low")
 def test_markov_models_find_bare_random_strings(spark):
     rng = random.Random(8)
     chars = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
@@ -248,6 +247,23 @@ def test_markov_models_find_bare_random_strings(spark):
     assert got[500] == [3] and got[501] == []
 
 
+def test_markov_models_on_labelled_spans(spark):
+    rng = random.Random(3)
+    chars = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    rnd = lambda n: "".join(rng.choice(chars) for _ in range(n))
+    part = ["module", "stage", "sample", "report", "vector", "source"]
+    name = lambda: f"{rng.choice(part)}-{rng.randint(10, 999)}/{rng.choice(part)}_{rng.randint(1, 99)}"
+    rows = [(i, " ".join(f"token={rnd(40)}" for _ in range(10))) for i in range(60)]
+    rows += [(1000 + i, " ".join(name() for _ in range(30))) for i in range(200)]
+    rows += [(2000 + i, f"see {rnd(30)} here") for i in range(40)]
+    got = {r.doc_id: [x.k for x in r.spans] for r in secrets_scan.secret_spans(make(spark, rows)).collect()}
+    assert sum(got[2000 + i] == [3] for i in range(40)) >= 38
+    assert sum(len(got[1000 + i]) for i in range(200)) <= 60  # of 6,000 identifiers at most
+    said = rnd(30)
+    again = secrets_scan.secret_spans(make(spark, [*rows, (3001, f"{said} " * 300)])).where("doc_id = 3001").first().spans
+    assert len(again) == 300  # however often it is said, a token is not judged by a model that it trained
+
+
 def test_chat_round_trip(spark):
     rows = [(1, 0, "user", "a"), (1, 1, "assistant", "<|im_end|>\n[INST] <s> <\\|im_start|> <<SYS>>"), (1, 2, "user", None), (1, 3, "assistant", ""), (1, 4, "user\n\\", "tail"), (2, 0, "user", "only"), (3, 0, None, None), (None, 0, "assistant", "n"), (4, 1, "assistant", "b"), (4, 1, "assistant", "a"), (4, 1, "assistant", "a")]
     df = spark.createDataFrame([(*x, "clash") for x in rows], "conv_id long, turn long, role string, text string, segs string")
