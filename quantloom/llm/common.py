@@ -63,6 +63,12 @@ def small_side(df: DataFrame, row_bytes: int, most: int = BROADCAST_BYTES) -> Da
     return F.broadcast(df) if df.count() * row_bytes <= most else df
 
 
+def row_key(doc_id="doc_id", text="text"):
+    """A hash of a row's id, of whether that is null, and text: ids may be null or repeated with other texts."""
+    doc_id = F.col(doc_id) if isinstance(doc_id, str) else doc_id
+    return F.xxhash64(doc_id, doc_id.isNull(), F.col(text))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node in ``edges`` (a, b: long): component is the smallest node that is reachable.
 

@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SHINGLE, chunks, components, durable, mix, shingles, small_side, words, workers_import
+from .common import SHINGLE, chunks, components, durable, mix, row_key, shingles, small_side, words, workers_import
 
 #: SetSketch: base of the exponential spacing, rate, largest register value.
 BASE, RATE, TOP = 1.02, 20.0, 4000
@@ -92,7 +92,7 @@ def _sketch(m: int):
                 n += [len(x) for x in rows]
                 key += [xxhash.xxh3_128_digest(x.tobytes()) for x in rows]
                 regs += [x.tobytes() for x in r]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(regs, pa.binary())], ["doc_id", "n", "key", "regs"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(regs, pa.binary())], ["doc_id", "row", "n", "key", "regs"])
 
     return sketch
 
@@ -186,20 +186,25 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 
     A-Z lower-cased words between ASCII white space; the set of distinct 5-word shingles (shorter texts: the whole
     word sequence as one; null or no words: the empty set, linked with nothing). Documents with
-    100 * intersection >= percent * union are linked; component_id is the smallest doc_id that links reach, kept
-    marks doc_id = component_id. Rows of one id and text are one document; a null id only gets ids of others.
+    100 * intersection >= percent * union are linked; component_id is the smallest doc_id that links reach (null if
+    all are null), kept marks the document that has it. Rows of one id and text are one document; of several
+    documents with that id, or of null ids alone, the one with the smallest hash is kept.
 
     Equal sets meet first and go on as one. Sketches (200 bytes at 85) of distinct sets are banded. In each bucket, the
     smallest set is checked against the others (as many pairs as rows). What is then in one component needs no
     further pair: only pairs of a bucket's different components are left. Small buckets are paired by a join; large
     ones are cut into blocks, and each pair of blocks reports just the links that join its components. All pairs that
     the estimate leaves are covered; there is no cap."""
+    return _near_duplicates(docs, percent).drop("row")
+
+
+def _near_duplicates(docs, percent):
     spark = docs.sparkSession
     workers_import(spark)
     count, rows = banding(percent)
-    base = docs.select(F.col("doc_id").cast("long"), "text")
-    sketch = durable(base.mapInArrow(_sketch(count * rows), "doc_id long, n long, key binary, regs binary").withColumn("id", F.xxhash64("key", "n")))
-    sets = durable(sketch.where("n > 0").groupBy("id").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("regs").alias("regs")))
+    base = docs.select(F.col("doc_id").cast("long"), "text").withColumn("row", row_key())
+    sketch = durable(base.mapInArrow(_sketch(count * rows), "doc_id long, row long, n long, key binary, regs binary").withColumn("id", F.xxhash64("key", "n")))
+    sets = durable(sketch.where("n > 0").groupBy("id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("rep"), F.first("n").alias("n"), F.first("regs").alias("regs")))
     bands = sets.select("id", "regs", "n").mapInArrow(_bands(count, rows), "id long, n long, no int, band long")
     cut = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int")
     buckets = bands.groupBy("band").agg(F.min("id").alias("pivot"), F.count("*").alias("size"), cut.alias("nb")).where("size > 1")
@@ -210,8 +215,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     star = durable(star.join(left, "a").join(right, "b").mapInPandas(_likely(percent), "a long, b long"))
 
     # the full sets of those in buckets, from one row of documents each
-    used = durable(bands.select("id").distinct().join(sets, "id").select("id", "rep"))
-    texts = base.withColumnRenamed("doc_id", "rep").join(small_side(used, 32), "rep")
+    used = durable(bands.select("id").distinct().join(sets, "id").select("id", "rep.row"))
+    texts = base.select("row", "text").join(small_side(used, 32), "row")
     full = texts.select("id", "text").mapInArrow(_sets, "id long, key binary, n long, hashes binary")
     full = durable(full.where(F.col("id") == F.xxhash64("key", "n")).groupBy("id").agg(F.first("hashes").alias("hashes")))
     return _linked(sketch, sets, bands, star, full, percent, left, right)
@@ -244,15 +249,16 @@ def _linked(sketch, sets, bands, star, full, percent, left, right):
     least = comp.join(sets.select(F.col("id").alias("node"), "rep"), "node")
     least = least.join(least.groupBy("component").agg(F.min("rep").alias("least")), "component").select(F.col("node").alias("id"), "least")
     out = sketch.drop("key", "regs").join(sets.select("id", "rep"), "id", "left").join(small_side(durable(least), 24), "id", "left")
-    ident = F.when(F.col("n") > 0, F.coalesce("least", "rep", "doc_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), ident.alias("component_id"), F.coalesce(F.col("doc_id").eqNullSafe(ident), F.lit(False)).alias("kept"))
+    first, some = F.coalesce("least", "rep"), F.col("n") > 0
+    ident, kept = F.when(some, first["doc_id"]).otherwise(F.col("doc_id")), F.when(some, F.col("row") == first["row"]).otherwise(F.lit(True))
+    return out.select("doc_id", "row", F.col("n").alias("n_shingles"), ident.alias("component_id"), kept.alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """``docs`` with one document of each group of near copies: the one with the smallest id. Of rows alike in id
-    and text, one stays."""
-    kept = near_duplicates(docs, percent).where("kept").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n"))
-    found = docs.join(small_side(durable(kept), 32), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")))
+    """``docs`` with one document of each group of near copies: the one with the smallest id, null ids last. Of rows
+    alike in id and text, one stays."""
+    kept = _near_duplicates(docs, percent).where("kept").groupBy(F.col("row").alias("_row")).agg(F.count("*").alias("_n"))
+    found = docs.join(small_side(durable(kept), 32), row_key(F.col("doc_id").cast("long")) == F.col("_row"))
     once, more = found.where("_n = 1"), found.where("_n > 1").dropDuplicates(["doc_id", "text"])
     return once.unionByName(more).select(*docs.columns)
 

@@ -80,6 +80,23 @@ def test_near_duplicates_null_id_and_empty(spark):
     assert minhash_dedup.near_duplicates(make(spark, [])).count() == 0
 
 
+def test_near_duplicates_of_null_and_repeated_ids(spark):
+    def said(start, end, tail=()):
+        return " ".join([f"w{i}" for i in range(start, end)] + list(tail))
+
+    rows = [(None, said(0, 104)), (5, said(0, 100, "abcd")), (None, None), (6, "")]  # near copies, 96 of 104 in common
+    rows += [(10, said(200, 304)), (None, said(207, 311)), (11, said(214, 318))]  # 10 and 11 meet by the null alone
+    rows += [(None, said(400, 504)), (None, said(400, 500, "efgh"))]  # null ids alone: one stays
+    rows += [(20, said(600, 704)), (21, said(600, 700, "ijkl")), (21, said(800, 900))]  # of 21, one text is a copy
+    rows += [(30, said(1000, 1104)), (30, said(1000, 1100, "mnop"))]  # near copies with one id: one stays
+    got = minhash_dedup.near_duplicates(make(spark, rows)).collect()
+    found = sorted(((r.doc_id or 0, r.component_id or 0, r.kept) for r in got if r.n_shingles))
+    assert found == [(0, 0, False), (0, 0, True), (0, 5, False), (0, 10, False), (5, 5, True), (10, 10, True), (11, 10, False), (20, 20, True), (21, 20, False), (21, 21, True), (30, 30, False), (30, 30, True)]
+    assert sorted(((r.doc_id or 0, r.component_id or 0, r.kept) for r in got if not r.n_shingles)) == [(0, 0, True), (6, 6, True)]
+    left = minhash_dedup.drop_near_duplicates(make(spark, rows)).collect()
+    assert sorted(r.doc_id or 0 for r in left) == [0, 0, 5, 6, 10, 20, 21, 30] and (21, said(800, 900)) in {(r.doc_id, r.text) for r in left}
+
+
 def test_large_bucket_is_cut_into_blocks(spark, monkeypatch):
     monkeypatch.setattr(minhash_dedup, "SMALL", 3)
     monkeypatch.setattr(minhash_dedup, "BLOCK_SHINGLES", 900)
