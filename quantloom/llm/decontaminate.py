@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SHINGLE, WHITE, WORD_BREAK, ascii_lower, durable, small_side
+from .common import SHINGLE, WHITE, WORD_BREAK, ascii_lower, durable, row_key, small_side
 
 
 def word_array(text):
@@ -41,6 +41,10 @@ def contained_items(docs: DataFrame, items: DataFrame, percent: int = 80) -> Dat
     ``docs``: doc_id, text, ...; ``items``: item_id, text, .... n_item counts an item's distinct 5-word shingles,
     n_shared those that the document holds. Null and empty texts match nothing. Items under five words have their
     whole sequence as one shingle, which only a text of just these words has. Repeated rows give one result each pair."""
+    return _contained(docs, items, percent).drop("row").distinct()
+
+
+def _contained(docs, items, percent):
     items = items.select("item_id", word_array(F.col("text")).alias("w")).where(F.size("w") > 0)
     items = durable(items.select("item_id", F.array_distinct(_hashes("w")).alias("h"), _texts("w").alias("s")).distinct())
     items = items.withColumn("n", F.size("s")).withColumn("part", F.floor(F.log2("n")).cast("int"))
@@ -49,9 +53,9 @@ def contained_items(docs: DataFrame, items: DataFrame, percent: int = 80) -> Dat
     signs = durable(signs)
     bounds = signs.groupBy("part").agg(F.max("h").alias("most"), F.min("n").alias("n")).orderBy("part").collect()  # a row for each power of two
     if not bounds:
-        return signs.sparkSession.createDataFrame([], "doc_id long, item_id long, n_item long, n_shared long, containment double")
+        return signs.sparkSession.createDataFrame([], "row long, doc_id long, item_id long, n_item long, n_shared long, containment double")
     bound = F.greatest(*[F.when(F.col("m") * 100 >= b.n * percent, F.lit(b.most)).otherwise(F.lit(-(1 << 63))) for b in bounds], F.lit(-(1 << 63)))
-    base = docs.select("doc_id", "text").withColumn("row", F.xxhash64("doc_id", F.col("text")))
+    base = docs.select("doc_id", "text").withColumn("row", row_key())
     probe = base.select("row", word_array(F.col("text")).alias("w"))
     probe = probe.withColumn("m", F.greatest(F.size("w") - (SHINGLE - 1), F.lit(1))).withColumn("most", bound)
     probe = probe.where("size(w) > 0").select("row", "m", "most", _hashes("w").alias("hs"))
@@ -61,15 +65,15 @@ def contained_items(docs: DataFrame, items: DataFrame, percent: int = 80) -> Dat
     rows = durable(found.select("row").distinct())
     texts = base.join(small_side(rows, 16), "row", "left_semi").dropDuplicates(["row"]).select("row", "doc_id", word_array(F.col("text")).alias("w"))
     pairs = found.join(texts, "row").join(small_side(durable(items.select("item_id", "n", "s")), 4096), "item_id")
-    pairs = pairs.select("doc_id", "item_id", F.col("n").cast("long").alias("n_item"), F.size(F.array_intersect("s", _texts("w"))).cast("long").alias("n_shared"))
-    pairs = pairs.where(F.col("n_shared") * 100 >= F.col("n_item") * percent).distinct()
+    pairs = pairs.select("row", "doc_id", "item_id", F.col("n").cast("long").alias("n_item"), F.size(F.array_intersect("s", _texts("w"))).cast("long").alias("n_shared"))
+    pairs = pairs.where(F.col("n_shared") * 100 >= F.col("n_item") * percent)
     return pairs.withColumn("containment", F.col("n_shared") / F.col("n_item"))
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, percent: int = 80) -> DataFrame:
-    """``docs`` without the documents that hold an item; rows with a null id stay."""
-    bad = durable(contained_items(docs.where("doc_id is not null"), items, percent).select("doc_id").distinct())
-    return docs.join(small_side(bad, 16), "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` without the documents that hold an item, row by row: ids may be null or repeated."""
+    bad = durable(_contained(docs, items, percent).select(F.col("row").alias("_row")).distinct())
+    return docs.join(small_side(bad, 16), row_key() == F.col("_row"), "left_anti").select(*docs.columns)
 
 
 def op3_decontaminate(spark, sf_dir):

@@ -211,6 +211,16 @@ def test_decontamination_against_brute_force(spark):
     assert decontaminate.contained_items(make(spark, rows), table.limit(0)).count() == 0
 
 
+def test_contaminated_rows_go_by_row(spark):
+    item = " ".join(f"w{i}" for i in range(30))
+    rows = [(None, f"a {item} b"), (None, "clean"), (1, f"c {item}"), (1, "clean too"), (2, None), (None, None)]
+    table = spark.createDataFrame([(7, item)], "item_id long, text string")
+    left = decontaminate.drop_contaminated(make(spark, rows), table)
+    assert left.columns == make(spark, []).columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in left.collect()) == [(0, ""), (0, "clean"), (1, "clean too"), (2, "")]
+    assert sorted((r.doc_id or 0, r.item_id) for r in decontaminate.contained_items(make(spark, rows), table).collect()) == [(0, 7), (1, 7)]
+
+
 def sources(spark, rows):
     return spark.createDataFrame([(i, t, "en", s, 0, "x", "y", "z") for i, t, s in rows], DOCS)
 
