@@ -8,13 +8,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, durable, mix, small_side, words, workers_import
+from .common import chunks, durable, fresh, mix, small_side, words, workers_import
 
 #: Hashed features, labelled documents to learn from at most, shards that learn apart and are averaged, passes.
 BITS, MOST_LABELS, SHARDS, PASSES = 18, 24_000, 8, 4
 #: Follow-the-regularised-leader: step, its offset, L1 and L2 weights; SCALE multiplies all feature values.
 ALPHA, BETA, L1, L2, SCALE = 0.6, 0.5, 0.02, 0.05, 24.0
 _BIAS = (1 << BITS) - 1
+#: Weights of shards are summed as whole multiples of 2**-UNIT: sums do not depend on their order.
+UNIT = 40
 
 # kinds of bytes in a word: upper, lower, digit, outside ASCII, full stop or comma, one bit each; other marks by two bits
 _KIND = np.zeros(256, np.uint8)
@@ -66,21 +68,23 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
 
-def _train(batches):
-    """Weights learned from the labelled rows (label, text) of this shard."""
-    docs, labels = [], []
-    for batch in batches:
-        labels += batch.column(0).to_pylist()
-        for _, data, at in chunks(batch.column(1)):
-            index, limits = features(data, at)
-            for i in range(len(at) - 1):
-                parts = [np.unique(x[e[i] : e[i + 1]], return_counts=True) for x, e in zip(index, limits, strict=True)]
-                x = np.concatenate([p[0] for p in parts] + [[_BIAS]]).astype(np.int64)
-                v = np.concatenate([p[1] / max(1, p[1].sum()) * SCALE for p in parts] + [[1.0]])
-                docs.append((x, v))
+def _sparse(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(features, values) of each text: the share of each feature among those of its kind, times SCALE, and the bias."""
+    docs = []
+    for _, data, at in chunks(column):
+        index, limits = features(data, at)
+        for i in range(len(at) - 1):
+            parts = [np.unique(x[e[i] : e[i + 1]], return_counts=True) for x, e in zip(index, limits, strict=True)]
+            x = np.concatenate([p[0] for p in parts] + [[_BIAS]]).astype(np.int64)
+            docs.append((x, np.concatenate([p[1] / max(1, p[1].sum()) * SCALE for p in parts] + [[1.0]])))
+    return docs
+
+
+def learn(docs: list[tuple[np.ndarray, np.ndarray]], labels: list[float]) -> np.ndarray:
+    """Weights after PASSES passes over the documents in random orders."""
     z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
     order = np.random.default_rng(5)
-    for _ in range(PASSES if docs else 0):
+    for _ in range(PASSES):
         for i in order.permutation(len(docs)):
             x, v = docs[i]
             w = -np.sign(z[x]) * np.maximum(np.abs(z[x]) - L1, 0) / ((BETA + np.sqrt(n[x])) / ALPHA + L2)
@@ -88,9 +92,32 @@ def _train(batches):
             s = (np.sqrt(n[x] + g * g) - np.sqrt(n[x])) / ALPHA
             np.add.at(z, x, g - s * w)
             np.add.at(n, x, g * g)
-    w = -np.sign(z) * np.maximum(np.abs(z) - L1, 0) / ((BETA + np.sqrt(n)) / ALPHA + L2)
-    at = np.flatnonzero(w)
-    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(w[at])], ["i", "w"])
+    return -np.sign(z) * np.maximum(np.abs(z) - L1, 0) / ((BETA + np.sqrt(n)) / ALPHA + L2)
+
+
+def _train(batches):
+    """(shard, feature, weight) learned from rows (shard, label, text) in order of their shards: a partition may hold
+    several shards, each learns for itself. Every shard reports its bias, so that it counts in the mean."""
+
+    def learned():
+        w = learn(docs, labels)
+        at = np.union1d(np.flatnonzero(w), [_BIAS])
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(at), shard), pa.int32()), pa.array(at, pa.int32()), pa.array(np.round(w[at] * 2.0**UNIT).astype(np.int64))], ["shard", "i", "w"])
+
+    shard, docs, labels = None, [], []
+    for batch in batches:
+        of = batch.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(of)) + 1), len(of)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if b > a:
+                if docs and of[a] != shard:
+                    yield learned()
+                    docs, labels = [], []
+                shard = int(of[a])
+                labels += batch.column(1)[a:b].to_pylist()
+                docs += _sparse(batch.column(2).slice(a, b - a))
+    if docs:
+        yield learned()
 
 
 def labelled(docs: DataFrame, labels: DataFrame, column: str, modulus: int, held: int, most: int) -> DataFrame:
@@ -103,13 +130,17 @@ def labelled(docs: DataFrame, labels: DataFrame, column: str, modulus: int, held
 
 
 def fit(sample: DataFrame) -> np.ndarray:
-    """Weights from (label, text, doc_id): SHARDS models, averaged. Without rows all are zero."""
+    """Weights from (label, text, doc_id): the mean of the models of the shards that have rows, SHARDS at most. A row's
+    shard follows from its id alone, so the weights do not depend on partitions. Without rows all are zero."""
     workers_import(sample.sparkSession)
-    shard = sample.select("label", "text", "doc_id").repartition(SHARDS, F.pmod(F.xxhash64("doc_id"), F.lit(SHARDS)))
-    learned = shard.sortWithinPartitions("doc_id", "text").select("label", "text").mapInArrow(_train, "i int, w double")
-    found = learned.groupBy("i").agg((F.sum("w") / SHARDS).alias("w")).toArrow()  # 2**BITS rows at most
+    shard = F.pmod(F.xxhash64("doc_id"), F.lit(SHARDS)).cast("int").alias("shard")
+    rows = sample.select(shard, "label", "text", "doc_id").repartition(SHARDS, "shard").sortWithinPartitions("shard", "doc_id", "text")
+    learned = rows.select("shard", "label", "text").mapInArrow(_train, "shard int, i int, w long")
+    found = learned.groupBy("i").agg(F.sum("w").alias("w"), F.count("*").alias("n")).toArrow()  # 2**BITS rows at most
     weights = np.zeros(1 << BITS)
-    weights[found["i"].to_numpy()] = found["w"].to_numpy()
+    index, total, shards = (found[x].to_numpy() for x in ("i", "w", "n"))
+    if len(index):
+        weights[index] = total / 2.0**UNIT / shards[index == _BIAS][0]
     return weights
 
 
@@ -136,13 +167,19 @@ def held_out(modulus: int, held: int):
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, held_out, score, predicted) of each row of ``docs`` (doc_id, text, ...); extra columns are ignored.
+
+    A null text is an empty one and gets the bias alone; texts are scored whole whatever their length; rows alike in
+    text score alike, repeated rows each give a row; rows without an id are held out. Without labels all score one half."""
     scored = score(docs.select("doc_id", "text"), quality_model(docs, labels))
     return scored.select("doc_id", held_out(3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """``docs`` without those that score under the threshold."""
-    return score(docs, quality_model(docs, labels), "_score").where(F.col("_score") >= threshold).drop("_score")
+    """``docs`` without those that score under the threshold: all columns, whatever their names, and all repeated rows
+    stay; null and empty texts score as the bias does; without labels all stay; an empty table gives an empty one."""
+    (name,) = fresh(docs, "score")
+    return score(docs, quality_model(docs, labels), name).where(F.col(name) >= threshold).drop(name)
 
 
 def op6_quality(spark, sf_dir):
