@@ -7,62 +7,84 @@ from math import acos, ceil, log, log2, pi
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import components, durable, small_side, workers_import
+from .common import components, durable, small_side, wide_key, workers_import
 
 #: Vectors wanted in a bucket, vectors compared with each other at once, chance to miss a pair just at the threshold.
-BUCKET, BLOCK, MISS = 256, 1024, 1e-7
+BUCKET, BLOCK, MISS = 1024, 1024, 1e-7
 
 
 def plan(rows: int, cosine: float) -> tuple[int, int]:
     """(bits, tables): enough bits that unrelated vectors of the largest label fill a bucket with about BUCKET, then
     enough tables that a pair of this cosine shares none with a chance of MISS."""
-    bits = max(2, ceil(log2(max(rows, 1) / BUCKET)))
-    same = (1 - acos(cosine) / pi) ** bits
-    return bits, max(1, ceil(log(MISS) / log(1 - same)))
+    bits = min(30, max(2, ceil(log2(max(rows, 1) / BUCKET))))
+    same = (1 - acos(min(1.0, max(-1.0, cosine))) / pi) ** bits
+    return bits, 1 if same >= 1 else max(1, ceil(log(MISS) / log(1 - same)))
+
+
+def unit(v: np.ndarray) -> np.ndarray:
+    """Rows of ``v`` in double precision, at length one."""
+    v = v.astype(np.float64)
+    v /= np.abs(v).max(1, keepdims=True)
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
 def _hasher(bits: int, tables: int):
+    """Beside each vector its size, its bytes as they are and the key of its bucket in each table."""
+
     def run(batches):
         for batch in batches:
-            rows = batch.column(2).to_pylist()
-            groups: dict[int, list[int]] = {}
-            for i, r in enumerate(rows):
-                groups.setdefault(len(r), []).append(i)
-            for size, at in groups.items():
-                v = np.array([rows[i] for i in at], np.float64)
-                v /= np.abs(v).max(1, keepdims=True)
-                v /= np.linalg.norm(v, axis=1, keepdims=True)
+            values, lens = batch.column(3).flatten().to_numpy(), pc.list_value_length(batch.column(3)).to_numpy()
+            start = np.cumsum(lens) - lens
+            keys, raw = np.zeros((len(lens), tables), np.int32), [b""] * len(lens)
+            for size in np.unique(lens):
+                at = np.flatnonzero(lens == size)
+                v = values[start[at][:, None] + np.arange(size)]
                 planes = np.random.default_rng(11).standard_normal((size, bits * tables))
-                signs = (v @ planes > 0).reshape(len(v), tables, bits)
-                keys = (signs * (1 << np.arange(bits, dtype=np.int64))).sum(2)
-                rep = pa.array(np.repeat(at, tables))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(rep), batch.column(1).take(rep), pa.array(np.full(len(rep), size), pa.int32()), pa.array(np.tile(np.arange(tables), len(v)), pa.int32()), pa.array(keys.ravel(), pa.int64()), pa.array([x.tobytes() for x in v], pa.binary()).take(pa.array(np.repeat(np.arange(len(v)), tables))), pa.array([x.tobytes() for x in keys], pa.binary()).take(pa.array(np.repeat(np.arange(len(v)), tables)))],
-                    ["id", "label", "size", "t", "key", "unit", "keys"],
-                )
+                keys[at] = ((unit(v) @ planes > 0).reshape(len(v), tables, bits) * (1 << np.arange(bits, dtype=np.int32))).sum(2)
+                for i, x in zip(at, v, strict=True):
+                    raw[i] = x.tobytes()
+            lists = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, tables, dtype=np.int32), pa.array(keys.ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(lens, pa.int32()), pa.array(raw, pa.binary()), lists], ["id", "label", "copies", "size", "raw", "keys"])
 
     return run
 
 
-def _compare(cosine: float, tables: int):
-    """Pairs of a block pair of one bucket, at or over the cosine, that share no earlier table."""
+def _smallest(near: np.ndarray) -> np.ndarray:
+    """The smallest index that each row reaches in a symmetric matrix of links: neighbours' minima, then shortcuts."""
+    lead = np.arange(len(near))
+    while True:
+        new = np.minimum(lead, np.where(near, lead, len(lead)).min(1))
+        new = np.minimum(new, new[new])
+        if (new == lead).all():
+            return lead
+        lead = new
+
+
+def _compare(cosine: float, tables: int, kind):
+    """Of a block pair of one bucket, (a, b, n) of each vector with links that no earlier table has: how many vectors
+    they lead to, and the first of those that they reach inside the block pair. As many rows as vectors at most."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = np.frombuffer(b"".join(pdf.unit), np.float64).reshape(len(pdf), -1)
-        keys = np.frombuffer(b"".join(pdf["keys"]), np.int64).reshape(len(pdf), tables)
+        v = unit(np.frombuffer(b"".join(pdf.raw), kind).reshape(len(pdf), -1))
         ids, blk, t = pdf.id.to_numpy(), pdf.blk.to_numpy(), int(pdf.t.iloc[0])
         near = v @ v.T >= cosine
-        i, j = np.nonzero(np.triu(near, 1))
+        np.fill_diagonal(near, False)
         if blk.min() != blk.max():
-            use = blk[i] != blk[j]
-            i, j = i[use], j[use]
-        if t and len(i):
-            new = ~(keys[i, :t] == keys[j, :t]).any(1)
-            i, j = i[new], j[new]
-        return pd.DataFrame({"a": ids[i], "b": ids[j]})
+            near &= blk[:, None] != blk[None, :]
+        some = np.flatnonzero(near.any(1))
+        if not len(some):
+            return pd.DataFrame({"a": ids[:0], "b": ids[:0], "n": ids[:0]})
+        near, ids, copies = near[np.ix_(some, some)], ids[some], pdf.copies.to_numpy()[some]
+        if t:
+            for k in np.stack(pdf["keys"].iloc[some].to_list())[:, :t].T:
+                near &= k[:, None] != k[None, :]
+        n = near @ copies
+        return pd.DataFrame({"a": ids, "b": ids[_smallest(near)], "n": n})[n > 0]
 
     return run
 
@@ -70,39 +92,45 @@ def _compare(cosine: float, tables: int):
 def near_vectors(vectors: DataFrame, cosine: float = 0.93) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of each row of ``vectors`` (vec_id, embedding, label, ...).
 
-    Vectors of one non-null label and length are linked if their cosine, in double precision, is at least ``cosine``.
-    n_links counts the other vectors linked directly, component_id is the smallest vec_id that links reach, itself
-    included. Null, empty and zero vectors and such with null or non-finite components link with nothing.
+    Vectors of one non-null label (of any type) and length are linked if their cosine, in double precision, is at least
+    ``cosine``. n_links counts the other vectors linked directly, component_id is the smallest vec_id that links reach,
+    itself included. Null, empty and zero vectors and such with null or non-finite components link with nothing and
+    are components of their own. Rows with a null vec_id count as vectors but are no component's smallest id, nor kept.
+    Ids are taken to be unique: rows that repeat an id and vector count as one another's links. Extra columns are
+    ignored; an empty table gives an empty one.
 
     Equal vectors of a label meet first and go on as one with a count, so copies are never paired out. Bits and tables
-    follow the largest label; large buckets are cut into blocks and each pair of blocks is compared in a task of its
-    own; a pair is reported in the first table that it shares only. Ids are taken to be unique: rows of one id and
-    vector count as one another's links."""
+    follow the largest label. Buckets of one vector are dropped before vectors are sent to the others, as they are stored
+    (floats as floats). Large buckets are cut into blocks, each pair of blocks is compared in a task of its own, which
+    reports counts and joining links, never pairs; a link counts in the first table that it shares only."""
     spark = vectors.sparkSession
     workers_import(spark)
-    base = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("v"), "label")
+    single = dict(vectors.dtypes)["embedding"] == "array<float>"
+    base = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<float>" if single else "array<double>").alias("v"), "label")
     fine = F.col("label").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("v", lambda x: x != 0)
-    base = base.withColumn("key", F.when(fine, F.xxhash64("label", F.transform("v", lambda x: x + F.lit(0.0)))))
-    sets = base.where("key is not null").groupBy("key", "label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
-    sets = durable(sets.withColumn("id", F.xxhash64("key", "label")).select("id", "label", "v", "rep", "copies"))
+    plain = F.transform("v", lambda x: F.when(x == 0, F.abs(x)).otherwise(x))  # -0 as 0
+    base = base.withColumn("v", plain).withColumn("key", F.when(fine, wide_key("label", "v")))
+    sets = base.where("key is not null").groupBy("key").agg(F.first("label").alias("label"), F.first("v").alias("v"), F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
+    sets = durable(sets.withColumn("id", F.monotonically_increasing_id()))  # written once, so ids stay as they are
     rows = sets.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     bits, tables = plan(rows, cosine)
-    hashed = durable(sets.select("id", "label", "v").mapInArrow(_hasher(bits, tables), "id long, label int, size int, t int, key long, unit binary, keys binary"))
-    large = hashed.groupBy("label", "size", "t", "key").count().where(F.col("count") > BLOCK)
-    large = small_side(durable(large.withColumn("nb", F.ceil(F.col("count") / BLOCK).cast("int")).drop("count")), 48)
-    hashed = hashed.join(large, ["label", "size", "t", "key"], "left").withColumn("nb", F.coalesce("nb", F.lit(1)))
-    hashed = hashed.withColumn("blk", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    hashed = hashed.withColumn("lo", F.least("blk", "o")).withColumn("hi", F.greatest("blk", "o"))
-    links = hashed.groupBy("label", "size", "t", "key", "lo", "hi").applyInPandas(_compare(cosine, tables), "a long, b long")
+    label = sets.select("label").schema[0]
+    kinds = T.StructType([T.StructField("id", T.LongType()), label, T.StructField("copies", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("raw", T.BinaryType()), T.StructField("keys", T.ArrayType(T.IntegerType()))])
+    hashed = durable(sets.select("id", "label", "copies", "v").mapInArrow(_hasher(bits, tables), kinds))
+    bucket = ["label", "size", "t", "key"]
+    many = hashed.select("label", "size", F.posexplode("keys").alias("t", "key")).groupBy(*bucket).count().where("count > 1")
+    many = small_side(durable(many.select(*bucket, F.ceil(F.col("count") / BLOCK).cast("int").alias("nb"))), 64)
+    rows = hashed.select("*", F.posexplode("keys").alias("t", "key")).join(many, bucket)
+    rows = rows.withColumn("blk", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    rows = rows.withColumn("lo", F.least("blk", "o")).withColumn("hi", F.greatest("blk", "o")).drop("o", "nb")
+    links = rows.groupBy(*bucket, "lo", "hi").applyInPandas(_compare(cosine, tables, np.float32 if single else np.float64), "a long, b long, n long")
     links = durable(links)
-    comp = components(links)
-    count = sets.select(F.col("id").alias("b"), "copies")
-    both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    degree = both.join(count, "b").groupBy(F.col("a").alias("id")).agg(F.sum("copies").alias("others"))
-    node = sets.select("id", "rep", "copies").join(degree, "id", "left").join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    comp = components(links.select("a", "b"))
+    degree = links.groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("others"))
+    node = sets.select("id", "key", "rep", "copies").join(degree, "id", "left").join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     node = durable(node)
-    node = node.join(node.groupBy("component").agg(F.min("rep").alias("least")), "component").select("id", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), "least")
-    out = base.select("vec_id", F.when(F.col("key").isNotNull(), F.xxhash64("key", "label")).alias("id")).join(small_side(durable(node), 32), "id", "left")
+    node = node.join(node.groupBy("component").agg(F.min("rep").alias("least")), "component").select("key", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), "least")
+    out = base.select("vec_id", "key").join(small_side(durable(node), 48), "key", "left")
     ident = F.coalesce("least", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), ident.alias("component_id"), F.coalesce(F.col("vec_id") == ident, F.lit(False)).alias("kept"))
 
