@@ -101,10 +101,20 @@ def small_side(df: DataFrame, row_bytes: int, most: int = BROADCAST_BYTES) -> Da
     return F.broadcast(df) if df.count() * row_bytes <= most else df
 
 
+def wide_key(*columns):
+    """128 bits of the columns' values and of which are null, as struct<h, g>: by chance none of 10**12 rows share one."""
+    columns = [F.col(c) if isinstance(c, str) else c for c in columns]
+    columns += [c.isNull() for c in columns]
+    return F.struct(F.xxhash64(F.lit(1), *columns).alias("h"), F.xxhash64(F.lit(2), *columns).alias("g"))
+
+
+#: Type of wide_key.
+WIDE = "struct<h:bigint,g:bigint>"
+
+
 def row_key(doc_id="doc_id", text="text"):
-    """A hash of a row's id, of whether that is null, and text: ids may be null or repeated with other texts."""
-    doc_id = F.col(doc_id) if isinstance(doc_id, str) else doc_id
-    return F.xxhash64(doc_id, doc_id.isNull(), F.col(text))
+    """A key of a row's id and text: ids may be null or repeated with other texts."""
+    return wide_key(doc_id, text)
 
 
 def components(edges: DataFrame) -> DataFrame:

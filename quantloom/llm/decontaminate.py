@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SHINGLE, WHITE, WORD_BREAK, ascii_lower, durable, row_key, small_side
+from .common import SHINGLE, WHITE, WIDE, WORD_BREAK, ascii_lower, durable, fresh, row_key, small_side
 
 
 def word_array(text):
@@ -53,7 +53,7 @@ def _contained(docs, items, percent):
     signs = durable(signs)
     bounds = signs.groupBy("part").agg(F.max("h").alias("most"), F.min("n").alias("n")).orderBy("part").collect()  # a row for each power of two
     if not bounds:
-        return signs.sparkSession.createDataFrame([], "row long, doc_id long, item_id long, n_item long, n_shared long, containment double")
+        return signs.sparkSession.createDataFrame([], f"row {WIDE}, doc_id long, item_id long, n_item long, n_shared long, containment double")
     bound = F.greatest(*[F.when(F.col("m") * 100 >= b.n * percent, F.lit(b.most)).otherwise(F.lit(-(1 << 63))) for b in bounds], F.lit(-(1 << 63)))
     base = docs.select("doc_id", "text").withColumn("row", row_key())
     probe = base.select("row", word_array(F.col("text")).alias("w"))
@@ -63,7 +63,7 @@ def _contained(docs, items, percent):
     found = probe.join(small_side(signs, 32), "h").where(F.col("m") * 100 >= F.col("n") * percent).select("row", "item_id").distinct()
     found = durable(found)
     rows = durable(found.select("row").distinct())
-    texts = base.join(small_side(rows, 16), "row", "left_semi").dropDuplicates(["row"]).select("row", "doc_id", word_array(F.col("text")).alias("w"))
+    texts = base.join(small_side(rows, 32), "row", "left_semi").dropDuplicates(["row"]).select("row", "doc_id", word_array(F.col("text")).alias("w"))
     pairs = found.join(texts, "row").join(small_side(durable(items.select("item_id", "n", "s")), 4096), "item_id")
     pairs = pairs.select("row", "doc_id", "item_id", F.col("n").cast("long").alias("n_item"), F.size(F.array_intersect("s", _texts("w"))).cast("long").alias("n_shared"))
     pairs = pairs.where(F.col("n_shared") * 100 >= F.col("n_item") * percent)
@@ -71,9 +71,11 @@ def _contained(docs, items, percent):
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, percent: int = 80) -> DataFrame:
-    """``docs`` without the documents that hold an item, row by row: ids may be null or repeated."""
-    bad = durable(_contained(docs, items, percent).select(F.col("row").alias("_row")).distinct())
-    return docs.join(small_side(bad, 16), row_key() == F.col("_row"), "left_anti").select(*docs.columns)
+    """``docs`` without the documents that hold an item, row by row: ids may be null or repeated. Null and empty texts stay,
+    repeated rows stay or go together; all columns stay, whatever their names; without items all documents stay."""
+    (row,) = fresh(docs, "row")
+    bad = durable(_contained(docs, items, percent).select(F.col("row").alias(row)).distinct())
+    return docs.join(small_side(bad, 32), row_key() == F.col(row), "left_anti").select(*docs.columns)
 
 
 def op3_decontaminate(spark, sf_dir):

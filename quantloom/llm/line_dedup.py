@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, durable, small_side, workers_import
+from .common import WHITE, durable, fresh, small_side, workers_import
 
 
 def line_key(line: str) -> bytes:
@@ -69,26 +69,31 @@ def keep_bitmap(dropped) -> bytes:
 
 def _bitmaps(frames):
     for pdf in frames:
-        yield pd.DataFrame({"row": pdf.row, "n_dropped": [len(x) for x in pdf.dropped], "bitmap": [keep_bitmap(x) for x in pdf.dropped]})
+        yield pd.DataFrame({"doc": pdf.doc, "row": pdf.row, "n_dropped": [len(x) for x in pdf.dropped], "bitmap": [keep_bitmap(x) for x in pdf.dropped]})
+
+
+def doc_key():
+    """Null ids as one number of their own."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 62)))
 
 
 def row_key():
-    """Of a row of documents: rows alike in id and text share one."""
-    return F.xxhash64("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))), F.col("doc_id").isNull())
+    """Tells rows of one id apart by their texts."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
 def line_bitmaps(docs: DataFrame, min_docs: int = 10, keep_first: bool = False, partitions: int | None = None) -> DataFrame:
-    """(row, n_dropped, bitmap) of the rows of ``docs`` (doc_id, text, ...) that lose lines.
+    """(doc, row, n_dropped, bitmap) of the rows of ``docs`` (doc_id, text, ...) that lose lines.
 
     A line's key is the line stripped of ASCII white space with A-Z lower-cased; keys found in at least ``min_docs``
     documents lose all their lines, or all but the first in (doc_id, row, position) order with ``keep_first``.
-    Blank lines have no key and stay. ``row`` is row_key(). The bitmap ends at the last dropped line: later lines stay.
+    Blank lines have no key and stay. A row is told by doc_key() and row_key(). The bitmap ends at the last dropped line: later lines stay.
 
     (hash, document) is the range key, so a very common line is dealt over many partitions, each of which streams
     its part and reports one count; only those counts meet. Null ids count as one document; repeated rows as one."""
     workers_import(docs.sparkSession)
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = docs.select(F.coalesce("doc_id", F.lit(-(1 << 62))).cast("long").alias("doc"), row_key().alias("row"), "text")
+    keyed = docs.select(doc_key().alias("doc"), row_key().alias("row"), "text")
     lines = keyed.mapInArrow(_line_hashes, "h long, doc long, row long, pos int")
     lines = durable(lines)
     runs = lines.repartitionByRange(n, "h", "doc").sortWithinPartitions("h", "doc", "row", "pos").mapInArrow(_runs, "h long, n long, doc long, row long, pos int")
@@ -97,8 +102,8 @@ def line_bitmaps(docs: DataFrame, min_docs: int = 10, keep_first: bool = False,
     drops = lines.join(common, "h")
     if keep_first:
         drops = drops.where(F.struct("doc", "row", "pos") != F.col("first"))
-    drops = drops.select("row", "pos").distinct().groupBy("row").agg(F.sort_array(F.collect_list("pos")).alias("dropped"))
-    return drops.mapInPandas(_bitmaps, "row long, n_dropped int, bitmap binary")
+    drops = drops.select("doc", "row", "pos").distinct().groupBy("doc", "row").agg(F.sort_array(F.collect_list("pos")).alias("dropped"))
+    return drops.mapInPandas(_bitmaps, "doc long, row long, n_dropped int, bitmap binary")
 
 
 def kept_lines(text: str | None, bitmap: bytes | None) -> list[str]:
@@ -109,11 +114,12 @@ def kept_lines(text: str | None, bitmap: bytes | None) -> list[str]:
     return [x for x, b in zip(lines, bits, strict=False) if b] + lines[len(bits) :]
 
 
-def attach(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """``docs`` with n_dropped and bitmap (null: keep all)."""
-    bitmaps = durable(bitmaps).withColumnRenamed("row", "_row")
-    bitmaps = small_side(bitmaps, 160)
-    return docs.withColumn("_key", row_key()).join(bitmaps, F.col("_key") == F.col("_row"), "left").drop("_key", "_row")
+def attach(docs: DataFrame, bitmaps: DataFrame, n_dropped: str = "n_dropped", bitmap: str = "bitmap") -> DataFrame:
+    """``docs`` with two more columns called so (null: keep all)."""
+    doc, row = fresh(docs, "doc", "row")
+    bitmaps = durable(bitmaps.select(F.col("doc").alias(doc), F.col("row").alias(row), F.col("n_dropped").alias(n_dropped), F.col("bitmap").alias(bitmap)))
+    size = bitmaps.agg(F.avg(F.octet_length(bitmap) + 48)).first()[0] or 0
+    return docs.join(small_side(bitmaps, int(size) + 1), (doc_key() == F.col(doc)) & (row_key() == F.col(row)), "left").drop(doc, row)
 
 
 def _digests(batches):
@@ -127,6 +133,8 @@ def _digests(batches):
 
 
 def line_digests(docs: DataFrame, min_docs: int = 10) -> DataFrame:
+    """(doc_id, n_lines, n_dropped, kept_sha256) of each row of ``docs`` (doc_id, text, ...): null and empty texts are one
+    empty line; rows alike in id and text lose the same lines; extra columns are ignored."""
     both = attach(docs.select("doc_id", "text"), line_bitmaps(docs, min_docs)).select(F.col("doc_id").cast("long"), "text", F.col("n_dropped").cast("long"), "bitmap")
     return both.mapInArrow(_digests, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
@@ -136,10 +144,12 @@ def _rewrite(texts: pd.Series, bitmaps: pd.Series) -> pd.Series:
 
 
 def drop_lines(docs: DataFrame, min_docs: int = 10, keep_first: bool = False) -> DataFrame:
-    """``docs`` with its text rewritten; columns and rows stay. Documents that lose all lines keep an empty text."""
+    """``docs`` with its text rewritten; rows and all columns stay, whatever their names. Documents that lose all lines keep
+    an empty text, null texts stay null; an empty table gives an empty one."""
     rewrite = F.pandas_udf(_rewrite, "string")
-    both = attach(docs, line_bitmaps(docs, min_docs, keep_first).withColumnRenamed("n_dropped", "_n").withColumnRenamed("bitmap", "_bitmap"))
-    return both.withColumn("text", F.when(F.col("_bitmap").isNull(), F.col("text")).otherwise(rewrite("text", "_bitmap"))).select(*docs.columns)
+    n, bitmap = fresh(docs, "n_dropped", "bitmap")
+    both = attach(docs, line_bitmaps(docs, min_docs, keep_first), n, bitmap)
+    return both.withColumn("text", F.when(F.col(bitmap).isNull(), F.col("text")).otherwise(rewrite("text", bitmap))).select(*docs.columns)
 
 
 def op8_line_dedup(spark, sf_dir):

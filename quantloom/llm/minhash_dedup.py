@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SHINGLE, chunks, components, durable, mix, row_key, shingles, small_side, words, workers_import
+from .common import WIDE, chunks, components, durable, fresh, mix, row_key, shingles, small_side, words, workers_import
 
 #: SetSketch: base of the exponential spacing, rate, largest register value.
 BASE, RATE, TOP = 1.02, 20.0, 4000
@@ -99,9 +99,8 @@ def _sketch(m: int):
 
 def _sets(batches):
     for batch in batches:
-        out = [x for rows, _ in _own(batch.column(1)) for x in rows]
-        key, n = pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in out], pa.binary()), pa.array([len(x) for x in out], pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0), key, n, pa.array([x.tobytes() for x in out], pa.binary())], ["id", "key", "n", "hashes"])
+        out = [x.tobytes() for rows, _ in _own(batch.column(1)) for x in rows]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["id", "hashes"])
 
 
 def _bands(count: int, rows: int):
@@ -121,14 +120,29 @@ def _bands(count: int, rows: int):
     return bands
 
 
+def plausible(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
+    """Of pairs of sketches (rows of a, or one row, with rows of b), those that may be links, the one rule for all buckets:
+    sizes that allow the similarity, nearly so many equal registers (their expected share is the similarity at least),
+    then the estimate."""
+    threshold = percent / 100
+    least = threshold - margin(percent)
+    ok = np.minimum(na, nb) >= threshold * np.maximum(na, nb)
+    ok &= (a == b).mean(1) >= least - 0.05
+    at = np.flatnonzero(ok)
+    if len(at):
+        x = np.broadcast_to(a, b.shape)[at]
+        ok[at] = estimate(x, b[at], np.broadcast_to(na, nb.shape)[at], nb[at]) >= least
+    return ok
+
+
 def _likely(percent: int):
-    least, m = percent / 100 - margin(percent), int(np.prod(banding(percent)))
+    m = int(np.prod(banding(percent)))
 
     def likely(frames):
         for f in frames:
             if len(f):
                 a, b = (np.frombuffer(b"".join(x), np.uint16).reshape(-1, m) for x in (f.ra, f.rb))
-                f = f[estimate(a, b, f.na.to_numpy(float), f.nb.to_numpy(float)) >= least]
+                f = f[plausible(a, b, f.na.to_numpy(float), f.nb.to_numpy(float), percent)]
             yield f[["a", "b"]]
 
     return likely
@@ -150,8 +164,7 @@ def _within(percent: int):
     """Links between different components in a block pair of a bucket, as many as join them. A pair is looked at in the
     first band that it shares, if the estimate does not rule it out, and unless links found so far join it; the
     intersection is exact."""
-    threshold, (bands, rows) = percent / 100, banding(percent)
-    likely = threshold - margin(percent)
+    bands, rows = banding(percent)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, n, blk, no = pdf.id.to_numpy(), pdf.n.to_numpy(float), pdf.blk.to_numpy(), int(pdf.no.iloc[0])
@@ -161,13 +174,11 @@ def _within(percent: int):
         values, flat = np.unique(np.frombuffer(b"".join(pdf.hashes), np.uint64), return_inverse=True)
         mark, place, own, out = np.zeros(len(values), np.int64), np.arange(len(ids)), blk.min() == blk.max(), []
         for i in place if own else np.flatnonzero(blk == blk.min()):
-            j = np.flatnonzero((root != root[i]) & ((place > i) if own else (blk != blk[i])) & (np.minimum(n, n[i]) >= threshold * np.maximum(n, n[i])))
+            j = np.flatnonzero((root != root[i]) & ((place > i) if own else (blk != blk[i])))
             if len(j):
-                same = regs[j] == regs[i]
-                new = (same.mean(1) >= likely - 0.05) & ~same.reshape(len(j), bands, rows).all(2)[:, :no].any(1)
-                j = j[new]
+                j = j[plausible(regs[i : i + 1], regs[j], n[i : i + 1], n[j], percent)]
             if len(j):
-                j = j[estimate(np.repeat(regs[i : i + 1], len(j), 0), regs[j], np.full(len(j), n[i]), n[j]) >= likely]
+                j = j[~(regs[j] == regs[i]).reshape(len(j), bands, rows).all(2)[:, :no].any(1)]  # an earlier band has the others
             if len(j):
                 mark[flat[at[i] : at[i + 1]]] = 1
                 both = np.array([mark[flat[at[k] : at[k + 1]]].sum() for k in j])
@@ -188,7 +199,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     word sequence as one; null or no words: the empty set, linked with nothing). Documents with
     100 * intersection >= percent * union are linked; component_id is the smallest doc_id that links reach (null if
     all are null), kept marks the document that has it. Rows of one id and text are one document; of several
-    documents with that id, or of null ids alone, the one with the smallest hash is kept.
+    documents with that id, or of null ids alone, the one with the smallest hash is kept. Texts are read whole, extra
+    columns ignored; an empty table gives an empty one. Shingles stand as 64-bit hashes, of which a pair of texts of
+    20,000 words shares one by chance once in 5 * 10**10 pairs; equal sets are told by 128 bits.
 
     Equal sets meet first and go on as one. Sketches (200 bytes at 85) of distinct sets are banded. In each bucket, the
     smallest set is checked against the others (as many pairs as rows). What is then in one component needs no
@@ -203,8 +216,9 @@ def _near_duplicates(docs, percent):
     workers_import(spark)
     count, rows = banding(percent)
     base = docs.select(F.col("doc_id").cast("long"), "text").withColumn("row", row_key())
-    sketch = durable(base.mapInArrow(_sketch(count * rows), "doc_id long, row long, n long, key binary, regs binary").withColumn("id", F.xxhash64("key", "n")))
-    sets = durable(sketch.where("n > 0").groupBy("id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("rep"), F.first("n").alias("n"), F.first("regs").alias("regs")))
+    sketch = durable(base.mapInArrow(_sketch(count * rows), f"doc_id long, row {WIDE}, n long, key binary, regs binary"))
+    sets = sketch.where("n > 0").groupBy("key", "n").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("rep"), F.first("regs").alias("regs"))
+    sets = durable(sets.withColumn("id", F.monotonically_increasing_id()))  # written once, so ids stay as they are
     bands = sets.select("id", "regs", "n").mapInArrow(_bands(count, rows), "id long, n long, no int, band long")
     cut = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int")
     buckets = bands.groupBy("band").agg(F.min("id").alias("pivot"), F.count("*").alias("size"), cut.alias("nb")).where("size > 1")
@@ -216,14 +230,14 @@ def _near_duplicates(docs, percent):
 
     # the full sets of those in buckets, from one row of documents each
     used = durable(bands.select("id").distinct().join(sets, "id").select("id", "rep.row"))
-    texts = base.select("row", "text").join(small_side(used, 32), "row")
-    full = texts.select("id", "text").mapInArrow(_sets, "id long, key binary, n long, hashes binary")
-    full = durable(full.where(F.col("id") == F.xxhash64("key", "n")).groupBy("id").agg(F.first("hashes").alias("hashes")))
+    texts = base.select("row", "text").join(small_side(used, 48), "row")
+    full = texts.select("id", "text").mapInArrow(_sets, "id long, hashes binary")
+    full = durable(full.groupBy("id").agg(F.first("hashes").alias("hashes")))
     return _linked(sketch, sets, bands, star, full, percent, left, right)
 
 
 def _linked(sketch, sets, bands, star, full, percent, left, right):
-    threshold, verify = percent / 100, _verify(percent)
+    verify = _verify(percent)
     parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     fa, fb = full.select(F.col("id").alias("a"), F.col("hashes").alias("ha")), full.select(F.col("id").alias("b"), F.col("hashes").alias("hb"))
 
@@ -239,7 +253,7 @@ def _linked(sketch, sets, bands, star, full, percent, left, right):
     x, y = (member.where(F.col("size") <= SMALL).select("band", F.col("id").alias(i), F.col("comp").alias(f"c{i}")) for i in "ab")
     few = x.join(y, "band").where("a < b and ca <> cb").select("a", "b").distinct()
     few = few.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    few = few.join(left, "a").join(right, "b").where(F.least("na", "nb") >= threshold * F.greatest("na", "nb"))
+    few = few.join(left, "a").join(right, "b")
     few = links(durable(few.mapInPandas(_likely(percent), "a long, b long")))
     rows = member.where(F.col("size") > SMALL).join(sets.select("id", "n", "regs"), "id").join(full, "id")
     rows = rows.withColumn("blk", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
@@ -248,18 +262,22 @@ def _linked(sketch, sets, bands, star, full, percent, left, right):
     comp = components(found.union(few).union(many))
     least = comp.join(sets.select(F.col("id").alias("node"), "rep"), "node")
     least = least.join(least.groupBy("component").agg(F.min("rep").alias("least")), "component").select(F.col("node").alias("id"), "least")
-    out = sketch.drop("key", "regs").join(sets.select("id", "rep"), "id", "left").join(small_side(durable(least), 24), "id", "left")
-    first, some = F.coalesce("least", "rep"), F.col("n") > 0
-    ident, kept = F.when(some, first["doc_id"]).otherwise(F.col("doc_id")), F.when(some, F.col("row") == first["row"]).otherwise(F.lit(True))
-    return out.select("doc_id", "row", F.col("n").alias("n_shingles"), ident.alias("component_id"), kept.alias("kept"))
+    named = sets.select("id", "key", "rep").join(least, "id", "left").select("key", F.coalesce("least", "rep").alias("first"))
+    out = sketch.select("doc_id", "row", "n", "key")
+    some = out.where("n > 0").join(small_side(durable(named), 80), "key")
+    some = some.select("doc_id", "row", F.col("n").alias("n_shingles"), F.col("first.doc_id").alias("component_id"), (F.col("row") == F.col("first.row")).alias("kept"))
+    none = out.where("n = 0").select("doc_id", "row", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
+    return some.unionByName(none)
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """``docs`` with one document of each group of near copies: the one with the smallest id, null ids last. Of rows
-    alike in id and text, one stays."""
-    kept = _near_duplicates(docs, percent).where("kept").groupBy(F.col("row").alias("_row")).agg(F.count("*").alias("_n"))
-    found = docs.join(small_side(durable(kept), 32), row_key(F.col("doc_id").cast("long")) == F.col("_row"))
-    once, more = found.where("_n = 1"), found.where("_n > 1").dropDuplicates(["doc_id", "text"])
+    alike in id and text, one stays. Null, empty and wordless texts are nobody's copies; all columns stay, whatever their
+    names; an empty table gives an empty one."""
+    row, n = fresh(docs, "row", "n")
+    kept = _near_duplicates(docs, percent).where("kept").groupBy(F.col("row").alias(row)).agg(F.count("*").alias(n))
+    found = docs.join(small_side(durable(kept), 48), row_key(F.col("doc_id").cast("long")) == F.col(row))
+    once, more = found.where(F.col(n) == 1), found.where(F.col(n) > 1).dropDuplicates(["doc_id", "text"])
     return once.unionByName(more).select(*docs.columns)
 
 

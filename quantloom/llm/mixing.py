@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, small_side
+from .common import durable, fresh, small_side, wide_key
 
 #: Halvings of the exponent's interval: HALVINGS in each of ROUNDS jobs.
 HALVINGS, ROUNDS = 6, 8
@@ -16,7 +16,7 @@ DIGITS = 3
 def source_tokens(docs: DataFrame) -> DataFrame:
     """(row, doc_id, source, n_tokens): words between ASCII white space; a null source is a source of its own."""
     n = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^ \t-\r]+")).cast("long")
-    return docs.select(F.xxhash64("doc_id", "text", "source").alias("row"), "doc_id", "source", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("-")).alias("_source"), n.alias("n_tokens"))
+    return docs.select(wide_key("doc_id", "text", "source").alias("row"), "doc_id", "source", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("-")).alias("_source"), n.alias("n_tokens"))
 
 
 def _probe(shares: DataFrame, budget: float, points: list[float]) -> dict[float, tuple[float, float]]:
@@ -102,11 +102,12 @@ def mix_sources(docs: DataFrame, budget_factor: float = 1.0, target_entropy: flo
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mixture as rows of ``docs`` with _epoch, _block and _order_key."""
-    picked = mix_sources(docs, **options).select(F.col("row").alias("_row"), F.col("epoch").alias("_epoch"), F.col("block").alias("_block"), F.col("order_key").alias("_order_key"))
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text", "source"))
+    """The mixture as rows of ``docs`` with _epoch, _block and _order_key (more underscores if columns are called so). Rows
+    alike in id, text and source are dealt as one and come back each; null and wordless texts come with their source."""
+    row, *names = fresh(docs, "_row", "_epoch", "_block", "_order_key")
+    picked = mix_sources(docs, **options).select(F.col("row").alias(row), *(F.col(x).alias(n) for x, n in zip(("epoch", "block", "order_key"), names, strict=True)))
     once = durable(picked.distinct())
-    return keyed.join(small_side(once, 64), F.col("_key") == F.col("_row")).drop("_key", "_row")
+    return docs.join(small_side(once, 80), wide_key("doc_id", "text", "source") == F.col(row)).drop(row)
 
 
 def op4_mixing(spark, sf_dir):
