@@ -31,10 +31,12 @@ def features(data: np.ndarray, at: np.ndarray) -> tuple[list[np.ndarray], list[n
     h, start, limits = words(data, at, lower=False)
     if not len(h):
         return [np.zeros(0, np.int64)] * 5, [limits] * 5
-    length = np.minimum(np.diff(np.append(start, len(data))), 24) // 6
+    end = np.minimum(np.append(start[1:], len(data)), np.repeat(at[1:], np.diff(limits)))  # of the word or its text
+    length = np.minimum(end - start, 24) // 6
     shape = np.bitwise_or.reduceat(_KIND[data], start).astype(np.uint64)
     again = np.zeros(len(h), np.uint64)
     again[1:] = h[1:] == h[:-1]
+    again[limits[:-1][np.diff(limits) > 0]] = 0  # the word before is another text's
     shape = shape | (again << np.uint64(8)) | (length.astype(np.uint64) << np.uint64(9))
 
     def grams(x, k, salt):
