@@ -29,8 +29,10 @@ def escape_role(role):
 
 
 def unescape_role(role):
-    back = F.replace(F.replace(F.replace(role, F.lit("\\\\"), F.lit("\x00")), F.lit("\\n"), F.lit("\n")), F.lit("\x00"), F.lit("\\"))
-    return unescape(back)
+    """Leftmost pairs of backslashes are the escaped ones, since no other escape ends in one: between them, \\n is a line
+    end. No character stands for another in between."""
+    pieces = F.split(role, r"\\\\", -1)
+    return unescape(F.array_join(F.transform(pieces, lambda x: F.replace(x, F.lit("\\n"), F.lit("\n"))), "\\"))
 
 
 def prefix_examples(conversations: DataFrame, target_role: str = "assistant") -> DataFrame:
