@@ -21,7 +21,7 @@ WORDS, WORD_DIM, GRAMS, GRAM_DIM, LARGEST, HIDDEN, ATTEND = 1 << 16, 8, 1 << 16,
 #: A word's grams: its beginnings of 4 to 8 bytes, and all runs of 6 bytes; all of it where it is shorter.
 BEGIN, RUN = (4, 8), 6
 #: Labelled documents to learn from at most, passes, windows in a batch, step.
-MOST_LABELS, PASSES, BATCH, STEP = 4000, 4, 128, 0.01
+MOST_LABELS, PASSES, BATCH, STEP = 4000, 2, 128, 0.006
 #: Steps in a pass at least: small samples are gone through again.
 LEAST_STEPS = 80
 #: Words and grams in fewer labelled documents have no embedding of their own.
@@ -206,32 +206,49 @@ def _adam(m, moment, second, step, k, g, rows=slice(None)):
 def fit(labels: np.ndarray, ids, grams, first, limits, seed: int = 3):
     """The network from documents (word ids ... limits) with 0/1 labels.
 
-    A document is toxic if some window is: each pass takes, of a toxic document, the window that now scores highest and
-    the next one, of others some at random, and the highest too of a third of them. The first pass goes by the
-    association of words and grams with the labels, which also starts one dimension of each embedding. A third of
-    the documents is kept apart from that, to fit how a document's window scores make its own."""
-    rng = np.random.default_rng(seed)
-    m = new_model(rng)
+    A first network learns from two thirds of the documents; the window scores that it gives the others fit how they
+    make a document's own. The network returned learns from all."""
     n_docs = np.diff(limits)
     if not len(ids) or labels.min() == labels.max():
-        return m
-    apart = rng.permutation(len(labels)) % 3 == 0
+        return new_model(np.random.default_rng(seed))
+    apart = np.random.default_rng(seed).permutation(len(labels)) % 3 == 0
     if len(set(labels[~apart])) < 2 or len(set(labels[apart])) < 2:
         apart[:] = False
+    start, end, doc = window_starts(limits)
+    begin_of = np.searchsorted(doc, np.arange(len(labels) + 1))
+    m = _fit_network(labels, ids, grams, first, limits, ~apart, seed)
+    held = np.flatnonzero((apart if apart.any() else ~apart) & (n_docs > 0))
+    w = np.concatenate([np.arange(begin_of[d], begin_of[d + 1]) for d in held])
+    logits = windows_logits(m, ids, grams, first, start, end, w)
+    pool = _fit_pool(_pooled(logits, np.concatenate([[0], np.cumsum(np.diff(begin_of)[held])])), labels[held])
+    if apart.any():
+        del m
+        m = _fit_network(labels, ids, grams, first, limits, np.ones(len(labels), bool), seed)
+    return m | {"pool": pool}
+
+
+def _fit_network(labels, ids, grams, first, limits, use, seed):
+    """A network from the documents marked in ``use``. A document is toxic if some window is: each pass takes, of a toxic
+    document, the window that now scores highest and the next one, of others some at random, and the highest too of a
+    third of them. The first pass goes by the association of words and grams with the labels, which also starts one
+    dimension of each embedding."""
+    rng = np.random.default_rng(seed)
+    m = new_model(rng)
+    n_docs = np.diff(limits)
     doc_of, count = np.repeat(np.arange(len(labels), dtype=np.int32), n_docs), np.diff(np.append(first, len(grams)))
     for name, size, found, of in (("words", WORDS, ids, doc_of), ("grams", GRAMS, grams, np.repeat(doc_of, count))):
-        own = ~apart[of]
+        own = use[of]
         start_value, enough = _associate(labels, of[own], found[own], size)
         m[name][:, 0] = start_value
         m[name][~enough] = 0
         m[f"{name}_own"] = enough
     fixed = {k: m.pop(k) for k in ("words_own", "grams_own")}
-    p = labels[~apart].mean()
+    p = labels[use].mean()
     start, end, doc = window_starts(limits)
     begin_of = np.searchsorted(doc, np.arange(len(labels) + 1))
     mark = m["words"][ids, 0] + np.maximum.reduceat(m["grams"][grams, 0], first)
     level = np.maximum.reduceat(mark, start)  # up to the next start: enough to rank
-    learn = np.flatnonzero(~apart & (n_docs > 0))
+    learn = np.flatnonzero(use & (n_docs > 0))
     moment, second, step = {k: np.zeros_like(v) for k, v in m.items()}, {k: np.zeros_like(v) for k, v in m.items()}, 0
     weight = np.where(labels == 1, min(5.0, 0.5 / max(p, 1e-3)), 1.0)
     for go in range(PASSES):
@@ -274,10 +291,6 @@ def fit(labels: np.ndarray, ids, grams, first, limits, seed: int = 3):
                 _adam(m, moment, second, step, k, total[own], rows[own])
             for k, v in grads.items():
                 _adam(m, moment, second, step, k, v)
-    held = np.flatnonzero(apart & (n_docs > 0)) if apart.any() else learn
-    w = np.concatenate([np.arange(begin_of[d], begin_of[d + 1]) for d in held])
-    logits = windows_logits(m, ids, grams, first, start, end, w)
-    m["pool"] = _fit_pool(_pooled(logits, np.concatenate([[0], np.cumsum(np.diff(begin_of)[held])])), labels[held])
     return m
 
 
@@ -338,7 +351,9 @@ def document_scores(m, column: pa.Array, windows: int = 2048) -> np.ndarray:
 
 
 def toxicity_scores(docs: DataFrame, model) -> DataFrame:
-    """(doc_id, score) of each row of ``docs``; a null text is an empty one."""
+    """(doc_id, score) of each row of ``docs`` (doc_id, text, ...) from all windows of its whole text, whatever its length; a
+    null text is an empty one and gets the bias's score; repeated rows each give a row, rows alike in text score alike;
+    extra columns are ignored; an empty table gives an empty one."""
     workers_import(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
