@@ -183,17 +183,18 @@ def sleeves(rows: DataFrame, cfg: Config) -> DataFrame:
     return side_weights(picked, cfg.weights, cfg.cap)
 
 
-def held_days(targets: DataFrame, market: DataFrame) -> DataFrame:
+def held_days(targets: DataFrame, market: DataFrame, by=()) -> DataFrame:
     """Each sleeve's names on each date of its window (after execution, up to the end) with returns, and complete: whether
-    every name of the sleeve has all of them."""
+    every name of the sleeve has all of them. ``by``: columns of the targets that tell their sleeves apart besides the
+    signal date; they stay."""
     days = calendar.calendar(market)
     at = days.select(F.col("t").alias("_t0"), F.col(DATE).alias("execution_date"))
     to = days.select(F.col("t").alias("_t1"), F.col(DATE).alias("end_date"))
-    rows = targets.withColumnRenamed(DATE, "signal_date").select("signal_date", "slot", "execution_date", "end_date", "days", INSTRUMENT, "sector", "side", "weight")
+    rows = targets.withColumnRenamed(DATE, "signal_date").select(*by, "signal_date", "slot", "execution_date", "end_date", "days", INSTRUMENT, "sector", "side", "weight")
     rows = rows.join(F.broadcast(at), "execution_date").join(F.broadcast(to), "end_date")
     rows = rows.withColumn("t", F.explode(F.sequence(F.col("_t0") + 1, F.col("_t1")))).join(F.broadcast(days), "t")
     rows = rows.join(market.select(DATE, INSTRUMENT, "daily_close_return"), [DATE, INSTRUMENT], "left")
-    missing = F.max(F.col("daily_close_return").isNull()).over(Window.partitionBy("signal_date"))
+    missing = F.max(F.col("daily_close_return").isNull()).over(Window.partitionBy(*by, "signal_date"))
     return rows.withColumn("complete", ~missing).drop("_t0", "_t1")
 
 
@@ -203,32 +204,46 @@ def skipped(held: DataFrame) -> DataFrame:
     return lack
 
 
-def ledger(rows: DataFrame, market: DataFrame, cfg: Config) -> DataFrame:
-    """The daily portfolio of all sleeves: returns of both sides, costs, exposures and net return of every market date
-    from the first execution to the last end (dates in cash are zero), the equal-weight benchmark and both values.
+def ledgers(rows: DataFrame, market: DataFrame, configs: list[Config]) -> DataFrame:
+    """For each configuration (``cell``: its place in the list) the daily portfolio of all sleeves: returns of both sides,
+    costs, exposures and net return of every market date from the first execution to the last end (dates in cash are
+    zero), the equal-weight benchmark and both values. Only the choice of books differs by configuration; holding,
+    costs and sums are one pass over the sleeves of all.
 
     Sleeves without a complete return path are skipped whole. Entry costs fall on the execution date, exit costs on
     the last, borrow costs on each date held."""
-    held = held_days(sleeves(rows, cfg), market).where("complete")
-    share = 1.0 / cfg.sleeves
+    targets = None
+    for i, cfg in enumerate(configs):
+        one = sleeves(rows, cfg).withColumns({"cell": F.lit(i), "_share": F.lit(1.0 / cfg.sleeves), "_cost": F.lit(cfg.cost_bps / 1e4), "_borrow": F.lit(cfg.borrow_bps / 1e4 / YEAR)})
+        targets = one if targets is None else targets.unionByName(one)
+    cell = ["cell", "_share", "_cost", "_borrow"]
+    held = held_days(targets, market, cell).where("complete")
     r, w = F.col("daily_close_return"), F.col("weight")
-    day = held.groupBy("signal_date", "execution_date", "end_date", DATE).agg(
+    key = [*cell, "signal_date", "execution_date", "end_date"]
+    day = held.groupBy(*key, DATE).agg(
         F.sum(F.when(w > 0, w * r).otherwise(0.0)).alias("long_gross_return"), F.sum(F.when(w < 0, w * r).otherwise(0.0)).alias("short_gross_return"), F.sum(F.greatest(w, F.lit(0.0))).alias("long_exposure"), F.sum(F.greatest(-w, F.lit(0.0))).alias("short_exposure_abs")
     )
-    first = day.where(F.col(DATE) == F.col("end_date")).select("signal_date", "execution_date", "end_date", F.col("execution_date").alias(DATE), F.lit(0.0).alias("long_gross_return"), F.lit(0.0).alias("short_gross_return"), "long_exposure", "short_exposure_abs")
-    day = day.unionByName(first)
-    gross = F.col("long_exposure") + F.col("short_exposure_abs")
-    cost = gross * cfg.cost_bps / 1e4
+    # the last date of a sleeve also stands for the date of its execution, when nothing is earned yet
+    both = F.explode(F.when(F.col(DATE) == F.col("end_date"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False))))
+    day = day.withColumn("_first", both).withColumn(DATE, F.when(F.col("_first"), F.col("execution_date")).otherwise(F.col(DATE)))
+    day = day.withColumns({x: F.when(F.col("_first"), F.lit(0.0)).otherwise(F.col(x)) for x in ("long_gross_return", "short_gross_return")})
+    cost = (F.col("long_exposure") + F.col("short_exposure_abs")) * F.col("_cost")
     entry, leave = F.when(F.col(DATE) == F.col("execution_date"), cost).otherwise(0.0), F.when(F.col(DATE) == F.col("end_date"), cost).otherwise(0.0)
-    borrow = F.when(F.col(DATE) > F.col("execution_date"), F.col("short_exposure_abs") * cfg.borrow_bps / 1e4 / YEAR).otherwise(0.0)
+    borrow = F.when(F.col(DATE) > F.col("execution_date"), F.col("short_exposure_abs") * F.col("_borrow")).otherwise(0.0)
     day = day.withColumns({"transaction_cost": entry + leave, "borrow_cost": borrow})
     names = ["long_gross_return", "short_gross_return", "transaction_cost", "borrow_cost", "long_exposure", "short_exposure_abs"]
-    total = day.groupBy(DATE).agg(*(F.sum(F.col(x) * share).alias(x) for x in names))
-    span = day.agg(F.min("execution_date").alias("_lo"), F.max("end_date").alias("_hi"))
+    total = day.groupBy("cell", DATE).agg(*(F.sum(F.col(x) * F.col("_share")).alias(x) for x in names), F.min("execution_date").alias("_lo"), F.max("end_date").alias("_hi"))
+    span = total.groupBy("cell").agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
     bench = market.groupBy(DATE).agg(F.coalesce(F.avg("daily_close_return"), F.lit(0.0)).alias("benchmark_return"))
-    out = bench.join(F.broadcast(span), F.col(DATE).between(F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi").join(total, DATE, "left").fillna(0.0, names)
+    out = bench.join(F.broadcast(span), F.col(DATE).between(F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")  # a row per configuration
+    out = out.join(total.drop("_lo", "_hi"), ["cell", DATE], "left").fillna(0.0, names)
     out = out.withColumns({"gross_return": F.col("long_gross_return") + F.col("short_gross_return"), "gross_exposure": F.col("long_exposure") + F.col("short_exposure_abs"), "net_exposure": F.col("long_exposure") - F.col("short_exposure_abs")})
-    return add_nav(out.withColumn("net_return", F.col("gross_return") - F.col("transaction_cost") - F.col("borrow_cost")))
+    return add_nav(out.withColumn("net_return", F.col("gross_return") - F.col("transaction_cost") - F.col("borrow_cost")), ["cell"])
+
+
+def ledger(rows: DataFrame, market: DataFrame, cfg: Config) -> DataFrame:
+    """The ledger of one configuration."""
+    return ledgers(rows, market, [cfg]).drop("cell")
 
 
 def add_nav(days: DataFrame, by=()) -> DataFrame:
@@ -274,12 +289,10 @@ def extreme_days(days: DataFrame, k: int = 5) -> DataFrame:
 
 
 def grid(rows: DataFrame, market: DataFrame, configs: list[Config]) -> DataFrame:
-    """A summary for each configuration: the configurations are few, their plans share the scans and one job runs them."""
-    out = None
-    for i, cfg in enumerate(configs):
-        one = summarize(ledger(rows, market, cfg)).withColumns({"cell": F.lit(i), "hold": F.lit(cfg.hold), "top_k": F.lit(cfg.top_k), "cost_bps": F.lit(float(cfg.cost_bps)), "neutral": F.lit(cfg.neutral), "weights": F.lit(cfg.weights)})
-        out = one if out is None else out.unionByName(one)
-    return out
+    """A summary for each configuration, from one ledger of all."""
+    about = [(i, c.hold, c.top_k, float(c.cost_bps), c.neutral, c.weights) for i, c in enumerate(configs)]
+    names = rows.sparkSession.createDataFrame(about, "cell int, hold int, top_k int, cost_bps double, neutral boolean, weights string")
+    return summarize(ledgers(rows, market, configs), ("cell",)).join(F.broadcast(names), "cell")  # a row per configuration
 
 
 def best_configs(summary: DataFrame, k: int = 10, metrics=("sharpe", "calmar", "max_drawdown", "total_return")) -> DataFrame:

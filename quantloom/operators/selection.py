@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quantloom.functions import columns as C
 from quantloom.functions.columns import DATE
+from quantloom.functions.tables import stored
 
 from .diagnostics import daily_ic, long_form
 from .preprocess import impute, medians
@@ -64,14 +65,15 @@ def table(train: DataFrame, features, target: str = "y", missing: float = 0.6, v
     from pyspark.sql import Window
 
     features = list(features)
-    train = train.select(DATE, C.INSTRUMENT, target, *features).persist()
+    train = stored(train.select(DATE, C.INSTRUMENT, target, *features))
     order = train.sparkSession.createDataFrame([(x, i) for i, x in enumerate(features)], "feature string, position int")
     info = order.join(F.broadcast(profile(train, features)), "feature").withColumn("usable", (F.col("missing") <= missing) & (F.col("scaled_variance") * F.col("largest") * F.col("largest") > variance))
     usable = info.where("usable").select("feature")
     filled = impute(train, train, features)
     most = filled.agg(*(F.max(F.abs(x)).alias(f"_a_{x}") for x in features))  # one row: correlations do not depend on the unit
     unit = {x: F.col(x) / F.when(F.col(f"_a_{x}") > 0, F.col(f"_a_{x}")).otherwise(1.0) for x in features}
-    filled = filled.join(F.broadcast(most)).withColumns(unit).select(DATE, C.INSTRUMENT, target, *features).persist()
+    filled = filled.join(F.broadcast(most)).withColumns(unit).select(DATE, C.INSTRUMENT, target, *features)
+    filled = stored(filled)
     near = pair_correlations(filled, features).where(F.abs("corr") > corr)
     near = near.join(usable.withColumnRenamed("feature", "a"), "a", "left_semi").join(usable.withColumnRenamed("feature", "b"), "b", "left_semi")
     first = near.groupBy(F.col("b").alias("feature")).agg(F.min_by("a", "i").alias("redundant_with"))

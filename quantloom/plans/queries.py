@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quantloom.functions import columns as C
 from quantloom.functions import expression as E
+from quantloom.functions.tables import stored
 from quantloom.operators import calendar, diagnostics, factors, features, portfolio, preprocess
 
 from . import testpanel as tp
@@ -250,8 +251,13 @@ _pairs = """pairs AS (SELECT *, rank() OVER (PARTITION BY date ORDER BY predicte
 _ic = f"{_pairs}, ic AS (SELECT date, {_corr.format(a='predicted_y', b='y')} AS ic, {_corr.format(a='rs', b='rt')} AS rank_ic, count(*) AS n FROM pairs GROUP BY date)"
 
 
+def _panel(spark, sf_dir):
+    """The panel, computed once for all that a query makes of it."""
+    return stored(tp.panel(spark, sf_dir))
+
+
 def _predictions(spark, sf_dir):
-    return tp.predictions(tp.panel(spark, sf_dir))
+    return stored(tp.predictions(_panel(spark, sf_dir)))
 
 
 @query("daily_ic", f"{_pred}, {_ic} SELECT date, {tidy_sql('ic')} AS ic, {tidy_sql('rank_ic')} AS rank_ic, n FROM ic")
@@ -322,8 +328,8 @@ fic AS (SELECT factor, date, CASE WHEN count(*) >= 5 THEN {_corr.format(a='value
 
 
 def _signals(spark, sf_dir):
-    df = tp.panel(spark, sf_dir)
-    return df.join(tp.predictions(df), ["date", "instrument_id"])
+    df = _panel(spark, sf_dir)
+    return stored(df.join(tp.predictions(df), ["date", "instrument_id"]))
 
 
 @query("factor_ic", f"{_pred}, {_long}, {_fic} SELECT factor, date, {tidy_sql('ic')} AS ic, {tidy_sql('rank_ic')} AS rank_ic, n FROM fic")
@@ -369,9 +375,9 @@ def horizon_ic(spark, sf_dir):
 
 
 def _traded(spark, sf_dir):
-    df = tp.panel(spark, sf_dir)
-    market = portfolio.market_snapshot(df)
-    return portfolio.merge_predictions(tp.predictions(df), market), market
+    df = _panel(spark, sf_dir)
+    market = stored(portfolio.market_snapshot(df))
+    return stored(portfolio.merge_predictions(tp.predictions(df), market)), market
 
 
 _market = """market AS MATERIALIZED (SELECT *, (s - avg(s) OVER d) / CASE WHEN stddev_pop(s) OVER d > 1e-12 THEN stddev_pop(s) OVER d END AS size_exposure_z, CASE WHEN count(daily_close_return) OVER w >= 5 THEN stddev_pop(daily_close_return) OVER w END AS realized_vol_20 FROM (
@@ -466,6 +472,18 @@ def long_short_summary(spark, sf_dir):
     return tidied(out.select("n_days", "total_return", "annual_volatility", "sharpe", "max_drawdown", "hit_ratio", "transaction_cost", "borrow_cost", "month_hit_ratio", "n_months"))
 
 
+_cells = [portfolio.Config(hold=h, step=2, delay=1, top_k=k, cost_bps=c, borrow_bps=50.0) for h in (4, 6) for k in (2, 3) for c in (10.0, 20.0)]
+_total = """SELECT count(*) AS n_days, max_by(nav, date) - 1 AS total_return, stddev_samp(net_return) * sqrt(252) AS annual_volatility, avg(net_return) / stddev_samp(net_return) * sqrt(252) AS sharpe, min(dd) AS max_drawdown, sum(transaction_cost) AS transaction_cost
+  FROM (SELECT *, nav / greatest(max(nav) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING), 1) - 1 AS dd FROM nav)"""
+_grid_columns = ["total_return", "annual_volatility", "sharpe", "max_drawdown", "transaction_cost"]
+
+
+@query("portfolio_grid", tidied_sql(_grid_columns, "(" + " UNION ALL ".join(f"SELECT {i}::BIGINT AS cell, {x.hold}::BIGINT AS hold, {x.top_k}::BIGINT AS top_k, {x.cost_bps}::DOUBLE AS cost_bps, * FROM ({_ledger_sql(x)} {_total})" for i, x in enumerate(_cells)) + ")", "cell, hold, top_k, cost_bps, n_days"))
+def portfolio_grid(spark, sf_dir):
+    out = portfolio.grid(*_traded(spark, sf_dir), _cells)
+    return tidied(out.select("cell", "hold", "top_k", "cost_bps", "n_days", *_grid_columns))
+
+
 @query("trade_costs", f"""{_pred}, {_market}, {_books_sql(3)}, x AS (SELECT date, 1.0::DOUBLE AS long_weight, 1.0::DOUBLE AS short_weight FROM books GROUP BY date)
 SELECT date, {tidy_sql('long_weight')} AS long_weight, {tidy_sql('short_weight')} AS short_weight, 4.0::DOUBLE AS gross_turnover, {tidy_sql('(4.0 * 20 / 1e4)')} AS turnover_cost, {tidy_sql('(50 / 1e4 * 5 / 252)')} AS borrow_cost_estimate FROM x""")
 def trade_costs(spark, sf_dir):
@@ -642,7 +660,7 @@ def formula_candidates(spark, sf_dir):
 
 @query("formula_diagnostics")
 def formula_diagnostics(spark, sf_dir):
-    df = tp.panel(spark, sf_dir)
+    df = _panel(spark, sf_dir)
     signals = formulas.standardized(formulas.evaluate(factors.prepare(df), _specs), list(_specs)).join(tp.predictions(df), ["instrument_id", "date"])
     return tidied(diagnostics.factor_summary(signals, list(_specs)))
 
@@ -652,9 +670,15 @@ def formula_tokens(spark, sf_dir):
     return tp.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), F.size(formulas.tokens(F.col("p_name"))).cast("long").alias("n"))
 
 
+def _canonical(spark, sf_dir):
+    """The canonical factors beside the next date's return."""
+    df = _panel(spark, sf_dir)
+    return stored(factors.factors(df, factors.CANONICAL).join(tp.predictions(df).drop("predicted_y"), list(KEYS)))
+
+
 @query("select_features")
 def select_features(spark, sf_dir):
-    df = factors.factors(tp.panel(spark, sf_dir), factors.CANONICAL).join(tp.predictions(tp.panel(spark, sf_dir)).drop("predicted_y"), list(KEYS)).persist()
+    df = _canonical(spark, sf_dir)
     return tidied(selection.table(df, list(factors.CANONICAL), top=6))
 
 
@@ -684,10 +708,8 @@ SELECT date, {tidy_sql('sum(w * spread)')} AS combined FROM t GROUP BY date"""
 
 @query("ridge_predictions")
 def ridge_predictions(spark, sf_dir):
-    df = tp.panel(spark, sf_dir)
-    rows = factors.factors(df, factors.CANONICAL).join(tp.predictions(df).drop("predicted_y"), list(KEYS)).persist()
-    train, test = calendar.split(rows)
-    train = calendar.purge(train.where("y is not null"), 1).persist()
+    train, test = calendar.split(_canonical(spark, sf_dir))
+    train = stored(calendar.purge(train.where("y is not null"), 1))
     chosen = selection.fit(train, list(factors.CANONICAL), top=5)
     model = models.fit(selection.transform(train, chosen, (*KEYS, "y")), chosen.features, "ridge")
     return tidied(models.predict(model, selection.transform(test, chosen, (*KEYS, "y"))).select(*KEYS, "y", "predicted_y"))
