@@ -117,10 +117,6 @@ def family_of(formula, keywords: dict[str, str]):
     return out
 
 
-def predictive_reward(ic, rank_ic, icir, weights=(0.4, 0.4, 0.2)):
-    return sum((w * F.coalesce(x, F.lit(0.0)) for w, x in zip(weights, (ic, rank_ic, F.least(F.greatest(icir, F.lit(-3.0)), F.lit(3.0)) / 3), strict=True)), F.lit(0.0))
-
-
 def composite(df: DataFrame, parts: dict[str, float]) -> DataFrame:
     """Weighted unit ranks of metric columns, nulls one half."""
     return df.withColumn("composite", sum((w * diagnostics.unit_rank(F.col(x)) for x, w in parts.items()), F.lit(0.0)))
