@@ -278,7 +278,8 @@ def summarize(days: DataFrame, by=()) -> DataFrame:
 def attribution(held: DataFrame, cfg: Config) -> DataFrame:
     """(instrument_id, contribution, share): each name's part of the gross return, and of the sum of their sizes."""
     own = held.where("complete").groupBy(INSTRUMENT).agg(F.sum(F.col("weight") * F.col("daily_close_return") / cfg.sleeves).alias("contribution"), F.countDistinct("signal_date").alias("sleeves"))
-    return own.withColumn("share", F.abs("contribution") / F.sum(F.abs("contribution")).over(Window.partitionBy()))
+    total = own.agg(F.sum(F.abs("contribution")).alias("_all"))
+    return own.join(F.broadcast(total)).withColumn("share", F.abs("contribution") / F.col("_all")).drop("_all")  # one row
 
 
 def extreme_days(days: DataFrame, k: int = 5) -> DataFrame:

@@ -113,8 +113,10 @@ def liquidity(df: DataFrame, rows: int = 60, least_days: int = 40, least_close:
     value = F.col("close") * F.col("volume")
     out = rows_.groupBy(INSTRUMENT).agg(F.count("*").alias("valid_days"), F.max_by("close", DATE).alias("last_close"), F.avg(value).alias("mean_turnover"), F.percentile(value, 0.5).alias("median_turnover"))
     out = out.where((F.col("valid_days") >= least_days) & (F.col("last_close") >= least_close))
-    out = out.withColumn("liquidity_rank", F.row_number().over(Window.orderBy(F.desc("median_turnover"), INSTRUMENT)))
-    return out if top is None else out.where(F.col("liquidity_rank") <= top)
+    place = [F.desc("median_turnover"), F.col(INSTRUMENT)]
+    if top is not None:
+        out = out.orderBy(*place).limit(top)  # so that one task numbers no more than these; without top, a row per instrument
+    return out.withColumn("liquidity_rank", F.row_number().over(Window.orderBy(*place)))
 
 
 def only(df: DataFrame, members: DataFrame, start=None, end=None) -> DataFrame:
