@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quantloom.functions import columns as C
 from quantloom.functions.tables import stored
-from quantloom.operators import calendar, candidates, diagnostics, models
+from quantloom.operators import calendar, candidates, diagnostics, factors, models
 from quantloom.sources import tables
 
 from . import queries as base
@@ -258,3 +258,24 @@ def close_series(spark, sf_dir):
 def feature_source(spark, sf_dir):
     df = tp.panel(spark, sf_dir)
     return tidied(tables.feature_source(df.select(F.col("sector").alias("feature")), df.select(F.col("sector").alias("feature"), F.col("close").alias("score")), 3))
+
+
+# ---- factors written out by hand: no part of their SQL comes from the expressions that Spark evaluates ----
+
+_pct = lambda x: f"CASE WHEN {x} IS NOT NULL THEN (rank() OVER (PARTITION BY date, {x} IS NULL ORDER BY {x}) + (count(*) OVER (PARTITION BY date, {x}) - 1) / 2) / count({x}) OVER (PARTITION BY date) END"
+_by_hand = f"""WITH {tp.panel_sql()}, h1 AS (SELECT *, vwap - close AS gap, CASE WHEN high - low > 1e-8 THEN ((close - low) - (high - close)) / (high - low) END AS place, lag(close) OVER i AS c1, lag(close, 5) OVER i AS c5, lag(close, 6) OVER i AS c6, lag(close, 20) OVER i AS c20, lag(volume, 3) OVER i AS v3,
+  avg(close) OVER (i ROWS 2 PRECEDING) AS m3, avg(close) OVER (i ROWS 5 PRECEDING) AS m6, avg(close) OVER (i ROWS 6 PRECEDING) AS m7, avg(close) OVER (i ROWS 11 PRECEDING) AS m12, avg(close) OVER (i ROWS 23 PRECEDING) AS m24
+  FROM panel WINDOW i AS (PARTITION BY instrument_id ORDER BY date)),
+h2 AS (SELECT *, max(gap) OVER (i ROWS 2 PRECEDING) AS g_most, min(gap) OVER (i ROWS 2 PRECEDING) AS g_least, volume - v3 AS dv, open - avg(vwap) OVER (i ROWS 9 PRECEDING) AS o_gap, abs(close - vwap) AS c_gap, vwap - max(vwap) OVER (i ROWS 14 PRECEDING) AS below, CASE WHEN close > c1 THEN 1.0 ELSE 0.0 END AS up,
+  CASE WHEN count(c5) OVER (i ROWS 229 PRECEDING) >= 2 THEN corr(vwap, c5) OVER (i ROWS 229 PRECEDING) END AS near
+  FROM h1 WINDOW i AS (PARTITION BY instrument_id ORDER BY date)),
+by_hand AS (SELECT instrument_id, date,
+  -(place - lag(place) OVER i) AS alpha002, ({_pct('g_most')} + {_pct('g_least')}) * {_pct('dv')} AS alpha007, -{_pct('o_gap')} * {_pct('c_gap')} AS alpha012, close - c5 AS alpha014, open / c1 - 1 AS alpha015, CASE WHEN isfinite(power(greatest({_pct('below')}, 1e-6), coalesce(close - c5, 0))) THEN power(greatest({_pct('below')}, 1e-6), coalesce(close - c5, 0)) END AS alpha017, close / c5 AS alpha018, (close - c6) / c6 * 100 AS alpha020, m7 - close + near AS alpha026, (close - c6) / c6 * volume AS alpha029,
+  (close - m12) / m12 * 100 AS alpha031, (m3 + m6 + m12 + m24) / (4 * close) AS alpha046, sum(up) OVER (i ROWS 11 PRECEDING) / 12 * 100 AS alpha053, sum(up) OVER (i ROWS 19 PRECEDING) / 20 * 100 AS alpha058, m6 / close AS alpha065, (close - m6) / m6 * 100 AS alpha066, (close - m24) / m24 * 100 AS alpha071, (close - c20) / c20 * 100 AS alpha088,
+  stddev_samp(turnover) OVER (i ROWS 19 PRECEDING) AS alpha095, stddev_samp(volume) OVER (i ROWS 9 PRECEDING) AS alpha097, stddev_samp(volume) OVER (i ROWS 19 PRECEDING) AS alpha100, close - c20 AS alpha106 FROM h2 WINDOW i AS (PARTITION BY instrument_id ORDER BY date))"""
+_hand = [f"alpha{n:03d}" for n in (2, 7, 12, 14, 15, 17, 18, 20, 26, 29, 31, 46, 53, 58, 65, 66, 71, 88, 95, 97, 100, 106)]
+
+
+@query("factors_by_hand", f"{_by_hand} {tidied_sql(_hand, 'by_hand')}")
+def factors_by_hand(spark, sf_dir):
+    return tidied(factors.factors(tp.panel(spark, sf_dir), _hand).select(*KEYS, *_hand))
