@@ -44,6 +44,14 @@ w0 AS (SELECT date, instrument_id, side, cap, sc / sum(sc) OVER (PARTITION BY da
 SELECT date, instrument_id, side, {tidy_sql("(CASE WHEN side = 'long' THEN w ELSE -w END)")} AS weight FROM w4"""
 
 
+_names = list(base._specs)
+_in_day = lambda x: f"CASE WHEN {x} IS NOT NULL THEN least(greatest({x}, quantile_cont({x}, 0.01) OVER d), quantile_cont({x}, 0.99) OVER d) END AS {x}"
+_unit = lambda x: f"CASE WHEN stddev_pop({x}) OVER d > 1e-12 THEN ({x} - avg({x}) OVER d) / CASE WHEN stddev_pop({x}) OVER d > 1e-12 THEN stddev_pop({x}) OVER d END END"
+_form_long = f"""{base.PREPARED}, {base.ctes(base._compiled, 'prepared', KEYS)}, fw AS (SELECT instrument_id, date, {', '.join(map(_in_day, _names))} FROM factor_values WINDOW d AS (PARTITION BY date)), fs AS (SELECT instrument_id, date, {', '.join(f'round({_unit(x)}, 9) AS {x}' for x in _names)} FROM fw WINDOW d AS (PARTITION BY date)),
+lf AS (SELECT s.date, s.instrument_id, y, u.f AS factor, u.v AS value FROM fs s JOIN pred USING (date, instrument_id), LATERAL (SELECT unnest({_names}) AS f, unnest([{', '.join(_names)}]) AS v) u)"""
+SQL["formula_diagnostics"] = tidied_sql(_summary_columns, "summary", "factor, ic_n_dates, rank_ic_n_dates, transitions").replace("SELECT", f"{_factor_summary.replace(_long, _form_long)} SELECT", 1)
+
+
 # ---- rewards ----
 
 _metrics = "pearson_ic_mean, spearman_ic_mean, pearson_ic_ir, spearman_ic_ir, pearson_ic_positive_ratio, spearman_ic_positive_ratio, long_short_spread, group_monotonic_spearman".split(", ")

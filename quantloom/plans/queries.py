@@ -661,8 +661,9 @@ def formula_candidates(spark, sf_dir):
 @query("formula_diagnostics")
 def formula_diagnostics(spark, sf_dir):
     df = _panel(spark, sf_dir)
-    signals = formulas.standardized(formulas.evaluate(factors.prepare(df), _specs), list(_specs)).join(tp.predictions(df), ["instrument_id", "date"])
-    return tidied(diagnostics.factor_summary(signals, list(_specs)))
+    signals = formulas.standardized(formulas.evaluate(factors.prepare(df), _specs), list(_specs))
+    signals = signals.withColumns({x: F.round(x, 9) for x in _specs})  # differences of ranks that are equal stay equal
+    return tidied(diagnostics.factor_summary(stored(signals.join(tp.predictions(df), ["instrument_id", "date"])), list(_specs)))
 
 
 @query("formula_tokens", "SELECT p_partkey AS part, len(list_distinct(regexp_extract_all(p_name, '[A-Za-z_][A-Za-z0-9_]*'))) AS n FROM part")
