@@ -192,7 +192,17 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, at - at[0]
 
 
-def chunks(column: pa.Array, most: int = 1 << 20):
+def slices(batch: pa.RecordBatch, column: int, most: int = 1 << 20):
+    """The batch in runs of rows with about ``most`` bytes of text in a column: objects made from them stay few."""
+    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    at, row = np.concatenate([[0], np.cumsum(size, dtype=np.int64)]), 0
+    while row < len(size):
+        end = max(row + 1, int(np.searchsorted(at, at[row] + most, "right")) - 1)
+        yield batch.slice(row, end - row)
+        row = end
+
+
+def chunks(column: pa.Array, most: int = 1 << 18):
     """(first row, bytes, offsets) of runs of rows of about ``most`` bytes: temporary arrays stay small."""
     data, at = text_bytes(column)
     row = 0

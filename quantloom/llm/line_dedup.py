@@ -6,13 +6,12 @@ import hashlib
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, durable, fresh, small_side, workers_import
+from .common import WHITE, durable, fresh, slices, small_side, workers_import
 
 
 def line_key(line: str) -> bytes:
@@ -21,7 +20,7 @@ def line_key(line: str) -> bytes:
 
 
 def _line_hashes(batches):
-    for batch in batches:
+    for batch in (x for b in batches for x in slices(b, 2)):
         doc, row, text = (batch.column(i) for i in range(3))
         hashes, at, pos = [], [], []
         for i, t in enumerate(text.to_pylist()):
@@ -67,9 +66,10 @@ def keep_bitmap(dropped) -> bytes:
     return zlib.compress(np.packbits(bits).tobytes(), 6)
 
 
-def _bitmaps(frames):
-    for pdf in frames:
-        yield pd.DataFrame({"doc": pdf.doc, "row": pdf.row, "n_dropped": [len(x) for x in pdf.dropped], "bitmap": [keep_bitmap(x) for x in pdf.dropped]})
+def _bitmaps(batches):
+    for batch in batches:
+        dropped = batch.column(2).to_pylist()
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(x) for x in dropped], pa.int32()), pa.array([keep_bitmap(x) for x in dropped], pa.binary())], ["doc", "row", "n_dropped", "bitmap"])
 
 
 def doc_key():
@@ -103,7 +103,7 @@ def line_bitmaps(docs: DataFrame, min_docs: int = 10, keep_first: bool = False,
     if keep_first:
         drops = drops.where(F.struct("doc", "row", "pos") != F.col("first"))
     drops = drops.select("doc", "row", "pos").distinct().groupBy("doc", "row").agg(F.sort_array(F.collect_list("pos")).alias("dropped"))
-    return drops.mapInPandas(_bitmaps, "doc long, row long, n_dropped int, bitmap binary")
+    return drops.mapInArrow(_bitmaps, "doc long, row long, n_dropped int, bitmap binary")
 
 
 def kept_lines(text: str | None, bitmap: bytes | None) -> list[str]:
@@ -123,7 +123,7 @@ def attach(docs: DataFrame, bitmaps: DataFrame, n_dropped: str = "n_dropped", bi
 
 
 def _digests(batches):
-    for batch in batches:
+    for batch in (x for b in batches for x in slices(b, 1)):
         text, bitmap = batch.column(1).to_pylist(), batch.column(3).to_pylist()
         kept = [kept_lines(t, b) for t, b in zip(text, bitmap, strict=True)]
         yield pa.RecordBatch.from_arrays(
@@ -139,14 +139,18 @@ def line_digests(docs: DataFrame, min_docs: int = 10) -> DataFrame:
     return both.mapInArrow(_digests, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 
-def _rewrite(texts: pd.Series, bitmaps: pd.Series) -> pd.Series:
-    return pd.Series([t if b is None else "\n".join(kept_lines(t, b)) for t, b in zip(texts, bitmaps, strict=True)], dtype=object)
+def _rewrite(texts: pa.Array, bitmaps: pa.Array) -> pa.Array:
+    out = []
+    for part in slices(pa.RecordBatch.from_arrays([texts, bitmaps], ["text", "bitmap"]), 0):
+        rows = zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)
+        out.append(pa.array([t if b is None else "\n".join(kept_lines(t, b)) for t, b in rows], pa.string()))
+    return pa.concat_arrays(out) if out else pa.array([], pa.string())
 
 
 def drop_lines(docs: DataFrame, min_docs: int = 10, keep_first: bool = False) -> DataFrame:
     """``docs`` with its text rewritten; rows and all columns stay, whatever their names. Documents that lose all lines keep
     an empty text, null texts stay null; an empty table gives an empty one."""
-    rewrite = F.pandas_udf(_rewrite, "string")
+    rewrite = F.arrow_udf(_rewrite, "string")
     n, bitmap = fresh(docs, "n_dropped", "bitmap")
     both = attach(docs, line_bitmaps(docs, min_docs, keep_first), n, bitmap)
     return both.withColumn("text", F.when(F.col(bitmap).isNull(), F.col("text")).otherwise(rewrite("text", bitmap))).select(*docs.columns)

@@ -149,15 +149,15 @@ def _likely(percent: int):
 
 
 def _verify(percent: int):
-    def verify(a: pd.Series, b: pd.Series) -> pd.Series:
+    def verify(a: pa.Array, b: pa.Array) -> pa.Array:
         out = np.zeros(len(a), bool)
-        for i, (x, y) in enumerate(zip(a, b, strict=True)):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        for i in range(len(a)):
+            x, y = (np.frombuffer(c[i].as_buffer(), np.uint64) for c in (a, b))
             both = len(np.intersect1d(x, y, assume_unique=True))
             out[i] = 100 * both >= percent * (len(x) + len(y) - both)
-        return pd.Series(out)
+        return pa.array(out)
 
-    return F.pandas_udf(verify, "boolean")
+    return F.arrow_udf(verify, "boolean")
 
 
 def _within(percent: int):
