@@ -70,25 +70,32 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
 
-def _sparse(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(features, values) of each text: the share of each feature among those of its kind, times SCALE, and the bias."""
+def _sparse(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(features, their counts, number of features and scale of each kind) of each text; the bias is a kind of its own. The
+    arrays of a document are parts of a few large ones, eight bytes a feature, that go back when a shard is done."""
     docs = []
     for _, data, at in chunks(column):
         index, limits = features(data, at)
+        rows = []
         for i in range(len(at) - 1):
-            parts = [np.unique(x[e[i] : e[i + 1]], return_counts=True) for x, e in zip(index, limits, strict=True)]
-            x = np.concatenate([p[0] for p in parts] + [[_BIAS]]).astype(np.int64)
-            docs.append((x, np.concatenate([p[1] / max(1, p[1].sum()) * SCALE for p in parts] + [[1.0]])))
+            parts = [np.unique(x[e[i] : e[i + 1]], return_counts=True) for x, e in zip(index, limits, strict=True)] + [(np.array([_BIAS]), np.ones(1, np.int64))]
+            scale = np.array([SCALE / max(1, p[1].sum()) for p in parts[:-1]] + [1.0])
+            rows.append((np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), np.array([len(p[0]) for p in parts]), scale))
+        x, n = (np.concatenate([r[k] for r in rows]).astype(np.int32) for k in (0, 1))
+        end = np.cumsum([len(r[0]) for r in rows])
+        docs += [(x[e - len(r[0]) : e], n[e - len(r[0]) : e], r[2], r[3]) for e, r in zip(end, rows, strict=True)]
     return docs
 
 
-def learn(docs: list[tuple[np.ndarray, np.ndarray]], labels: list[float]) -> np.ndarray:
-    """Weights after PASSES passes over the documents in random orders."""
+def learn(docs: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], labels: list[float]) -> np.ndarray:
+    """Weights after PASSES passes over the documents in random orders. A feature's value is its share among those of its
+    kind, times SCALE; the bias's is one."""
     z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
     order = np.random.default_rng(5)
     for _ in range(PASSES):
         for i in order.permutation(len(docs)):
-            x, v = docs[i]
+            x, count, kinds, scale = docs[i]
+            v = count * np.repeat(scale, kinds)
             w = -np.sign(z[x]) * np.maximum(np.abs(z[x]) - L1, 0) / ((BETA + np.sqrt(n[x])) / ALPHA + L2)
             g = (_sigmoid(float(w @ v)) - labels[i]) * v
             s = (np.sqrt(n[x] + g * g) - np.sqrt(n[x])) / ALPHA
