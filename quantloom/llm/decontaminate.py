@@ -64,7 +64,9 @@ def _contained(docs, items, percent):
     found = durable(found)
     rows = durable(found.select("row").distinct())
     texts = base.join(small_side(rows, 32), "row", "left_semi").dropDuplicates(["row"]).select("row", "doc_id", word_array(F.col("text")).alias("w"))
-    pairs = found.join(texts, "row").join(small_side(durable(items.select("item_id", "n", "s")), 4096), "item_id")
+    items = durable(items.select("item_id", "n", "s"))
+    size = items.agg(F.avg(F.aggregate("s", F.lit(64), lambda total, x: total + F.octet_length(x) + 16))).first()[0]  # measured bytes of a row
+    pairs = found.join(texts, "row").join(small_side(items, int(size) + 1), "item_id")
     pairs = pairs.select("row", "doc_id", "item_id", F.col("n").cast("long").alias("n_item"), F.size(F.array_intersect("s", _texts("w"))).cast("long").alias("n_shared"))
     pairs = pairs.where(F.col("n_shared") * 100 >= F.col("n_item") * percent)
     return pairs.withColumn("containment", F.col("n_shared") / F.col("n_item"))
