@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their SQL."""
 
-from . import chat_format, decontaminate, embedding_dedup, language_id, line_dedup, minhash_dedup, mixing, quality, secrets_scan, toxicity
+from . import chat_format, decontaminate, embedding_dedup, language_id, line_dedup, minhash_dedup, mixing, quality, secrets_scan, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_chat_format": chat_format.op1_chat_format,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_minhash_dedup": minhash_dedup.op10_minhash_dedup,
+    "op11_suffix_dedup": suffix_dedup.op11_suffix_dedup,
 }
 #: Of the learned operators (2, 5, 6, 9) no SQL exists: tests hold them against labels and brute force.
-SQL = {**chat_format.SQL, **decontaminate.SQL, **mixing.SQL, **embedding_dedup.SQL, **line_dedup.SQL, **minhash_dedup.SQL}
+SQL = {**chat_format.SQL, **decontaminate.SQL, **mixing.SQL, **embedding_dedup.SQL, **line_dedup.SQL, **minhash_dedup.SQL, **suffix_dedup.SQL}
