@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their SQL."""
 
-from . import chat_format, decontaminate, embedding_dedup, language_id, line_dedup, minhash_dedup, mixing, periodic_runs, quality, secrets_scan, suffix_dedup, toxicity
+from . import chat_format, decontaminate, embedding_dedup, language_id, line_dedup, minhash_dedup, mixing, periodic_runs, quality, secrets_scan, suffix_dedup, token_alignment, toxicity
 
 QUERIES = {
     "op1_chat_format": chat_format.op1_chat_format,
@@ -15,6 +15,7 @@ QUERIES = {
     "op10_minhash_dedup": minhash_dedup.op10_minhash_dedup,
     "op11_suffix_dedup": suffix_dedup.op11_suffix_dedup,
     "op12_periodic_runs": periodic_runs.op12_periodic_runs,
+    "op13_token_alignment": token_alignment.op13_token_alignment,
 }
-#: Of the learned operators (2, 5, 6, 9) no SQL exists: tests hold them against labels and brute force.
+#: Of the learned operators (2, 5, 6, 9) and of tokenizers (13) no SQL exists: tests hold them against labels and brute force.
 SQL = {**chat_format.SQL, **decontaminate.SQL, **mixing.SQL, **embedding_dedup.SQL, **line_dedup.SQL, **minhash_dedup.SQL, **suffix_dedup.SQL, **periodic_runs.SQL}
