@@ -218,11 +218,11 @@ def top_k(df: DataFrame, column: str, k: int, by=(), ties=INSTRUMENT) -> DataFra
 
 
 def unit_rank(x):
-    """Percentile rank over the whole table, nulls one half; the table has a row per candidate."""
+    """Percentile rank over the whole table, nulls one half, and all if there is one value at most; a row per candidate."""
     w = Window.partitionBy()
     n = F.count(x).over(w)
     low = F.rank().over(w.orderBy(x)) - (F.count(F.lit(1)).over(w) - n)
     up = F.count(x).over(w.orderBy(x).rangeBetween(Window.unboundedPreceding, 0))
-    return F.coalesce(F.when(x.isNotNull(), (low + up) / (2 * n)), F.lit(0.5))
+    return F.coalesce(F.when(x.isNotNull() & (n > 1), (low + up) / (2 * n)), F.lit(0.5))
 
 
