@@ -212,6 +212,38 @@ def chunks(column: pa.Array, most: int = 1 << 18):
         row = end
 
 
+def word_limits(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first byte of each word, row limits in words) of the words between ASCII white space."""
+    white = _WS[data]
+    before = np.ones(len(data), bool)
+    before[1:] = white[:-1]
+    before[at[:-1][at[:-1] < len(data)]] = True
+    start = np.flatnonzero(before & ~white)
+    return start, np.searchsorted(start, at)
+
+
+#: What tells the two hashes of wide_words apart.
+_SALTS = _rng.integers(1, 2**63, 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def wide_words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, second hash, row limits in words) of the words between ASCII white space, A-Z as a-z. Each byte is mixed with
+    its place in the word before the sum (a table of random values by byte and place, in effect), so that no structure of
+    words makes sums meet; together 128 bits."""
+    start, limits = word_limits(data, at)
+    if not len(start):
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), limits
+    first = np.zeros(len(data), np.int64)
+    first[start] = start
+    place = (np.arange(len(data)) - np.maximum.accumulate(first)).astype(np.uint64) * _STEP
+    own, out = _LOW[data], []
+    for salt in _SALTS:
+        value = mix(own * salt + place)
+        value[own == 0] = 0
+        out.append(mix(np.add.reduceat(value, start)))
+    return *out, limits
+
+
 def words(data: np.ndarray, at: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hashes, first byte of each word, row limits in words) of the words between ASCII white space."""
     n = len(data)

@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WIDE, chunks, components, durable, fresh, mix, row_key, shingles, small_side, words, workers_import
+from .common import WIDE, chunks, components, durable, fresh, mix, row_key, shingles, small_side, wide_words, workers_import
 
 #: SetSketch: base of the exponential spacing, rate, largest register value.
 BASE, RATE, TOP = 1.02, 20.0, 4000
@@ -76,12 +76,15 @@ def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np
 
 
 def _own(column: pa.Array, m: int = 0):
-    """For each text: its distinct shingle hashes, sorted; and m registers if any are wanted."""
+    """For each text its distinct shingles as two rows of 64-bit hashes, sorted by the first; and m registers if any are wanted."""
     for _, data, at in chunks(column):
-        h, _, limits = words(data, at)
-        s, limits = shingles(h, limits)
-        rows = [np.unique(s[limits[i] : limits[i + 1]]) for i in range(len(limits) - 1)]
-        yield rows, registers(s, limits, m) if m else None
+        *h, limits = wide_words(data, at)
+        (s, ends), (t, _) = (shingles(x, limits) for x in h)
+        rows = []
+        for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            one, first = np.unique(s[i:j], return_index=True)
+            rows.append(np.stack([one, t[i:j][first]]))
+        yield rows, registers(s, ends, m) if m else None
 
 
 def _sketch(m: int):
@@ -89,7 +92,7 @@ def _sketch(m: int):
         for batch in batches:
             n, key, regs = [], [], []
             for rows, r in _own(batch.column(1), m):
-                n += [len(x) for x in rows]
+                n += [x.shape[1] for x in rows]
                 key += [xxhash.xxh3_128_digest(x.tobytes()) for x in rows]
                 regs += [x.tobytes() for x in r]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(regs, pa.binary())], ["doc_id", "row", "n", "key", "regs"])
@@ -103,6 +106,17 @@ def _sets(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["id", "hashes"])
 
 
+def numbered(sets: list[bytes]) -> np.ndarray:
+    """The shingles of several sets, end to end, as numbers: equal ones of 128 bits share one."""
+    h, g = (np.concatenate([np.frombuffer(x, np.uint64).reshape(2, -1)[i] for x in sets]) for i in (0, 1))
+    order = np.lexsort((g, h))
+    new = np.ones(len(h), bool)
+    new[1:] = (h[order][1:] != h[order][:-1]) | (g[order][1:] != g[order][:-1])
+    out = np.empty(len(h), np.int64)
+    out[order] = np.cumsum(new) - 1
+    return out
+
+
 def _bands(count: int, rows: int):
     def bands(batches):
         for batch in batches:
@@ -152,9 +166,10 @@ def _verify(percent: int):
     def verify(a: pa.Array, b: pa.Array) -> pa.Array:
         out = np.zeros(len(a), bool)
         for i in range(len(a)):
-            x, y = (np.frombuffer(c[i].as_buffer(), np.uint64) for c in (a, b))
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            out[i] = 100 * both >= percent * (len(x) + len(y) - both)
+            x, y = (np.frombuffer(c[i].as_buffer(), np.uint64).reshape(2, -1) for c in (a, b))
+            _, at, to = np.intersect1d(x[0], y[0], assume_unique=True, return_indices=True)
+            both = int((x[1][at] == y[1][to]).sum())
+            out[i] = 100 * both >= percent * (x.shape[1] + y.shape[1] - both)
         return pa.array(out)
 
     return F.arrow_udf(verify, "boolean")
@@ -171,8 +186,8 @@ def _within(percent: int):
         regs = np.frombuffer(b"".join(pdf.regs), np.uint16).reshape(-1, bands * rows)
         root = np.unique(pdf.comp, return_inverse=True)[1]
         at = np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
-        values, flat = np.unique(np.frombuffer(b"".join(pdf.hashes), np.uint64), return_inverse=True)
-        mark, place, own, out = np.zeros(len(values), np.int64), np.arange(len(ids)), blk.min() == blk.max(), []
+        flat = numbered(list(pdf.hashes))
+        mark, place, own, out = np.zeros(len(flat), np.int64), np.arange(len(ids)), blk.min() == blk.max(), []
         for i in place if own else np.flatnonzero(blk == blk.min()):
             j = np.flatnonzero((root != root[i]) & ((place > i) if own else (blk != blk[i])))
             if len(j):
@@ -200,8 +215,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     100 * intersection >= percent * union are linked; component_id is the smallest doc_id that links reach (null if
     all are null), kept marks the document that has it. Rows of one id and text are one document; of several
     documents with that id, or of null ids alone, the one with the smallest hash is kept. Texts are read whole, extra
-    columns ignored; an empty table gives an empty one. Shingles stand as 64-bit hashes, of which a pair of texts of
-    20,000 words shares one by chance once in 5 * 10**10 pairs; equal sets are told by 128 bits.
+    columns ignored; an empty table gives an empty one. Links and equal sets are confirmed on two hashes of 64 bits a shingle, made of
+    words whose bytes are mixed with their places: a pair of texts of 20,000 words shares a shingle by chance once in 10**30
+    pairs. Only candidates are found by one of them.
 
     Equal sets meet first and go on as one. Sketches (200 bytes at 85) of distinct sets are banded. In each bucket, the
     smallest set is checked against the others (as many pairs as rows). What is then in one component needs no

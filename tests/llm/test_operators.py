@@ -434,3 +434,21 @@ def test_word_hashes_do_not_depend_on_position():
     for w, x in zip(flat, h, strict=True):
         assert seen.setdefault(w, x) == x
     assert len(set(h)) == len(seen) and list(np.diff(limits)) == [len(words(t)) for t in texts]
+
+
+def test_words_that_meet_in_a_linear_hash_are_no_copies(spark):
+    """Long words in Thue-Morse order, and the same with both letters swapped: sums of letters times powers of an odd number
+    are equal modulo 2**64."""
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(4096))
+    swapped = word.translate(str.maketrans("ab", "ba"))
+    rows = [(1, word), (2, swapped), (3, f"{word} x y z q r s"), (4, f"{swapped} x y z q r s"), (5, word)]
+    got = {r.doc_id: (r.component_id, r.kept) for r in minhash_dedup.near_duplicates(make(spark, rows)).collect()}
+    assert got == {1: (1, True), 2: (2, True), 3: (3, True), 4: (4, True), 5: (1, False)}
+    assert {r.doc_id for r in minhash_dedup.drop_near_duplicates(make(spark, rows)).collect()} == {1, 2, 3, 4}
+    for x in common.wide_words(*(np.frombuffer(f"{word} {swapped} {word.upper()}".encode(), np.uint8), np.array([0, 12290])))[:2]:
+        assert x[0] == x[2] != x[1]
+
+
+def test_shingles_are_told_by_128_bits():
+    a, b = np.array([[1, 2, 3], [7, 8, 9]], np.uint64), np.array([[1, 2], [7, 5]], np.uint64)
+    assert minhash_dedup.numbered([a.tobytes(), b.tobytes()]).tolist() == [0, 2, 3, 0, 1]
