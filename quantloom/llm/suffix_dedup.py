@@ -12,8 +12,10 @@ from .common import chunks, durable, mix, slices, small_side, text_bytes, worker
 
 _LEFT, _RIGHT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: Kinds of anchors whose gram is found twice: the context is too; the context stands alone; as the first, and strings in it
-#: are compared with those round anchors that stand alone.
-REPEATED, ALONE, SAMPLE = 0, 1, 2
+#: are compared with those round anchors that stand alone. To the last two a mask of sides is added.
+REPEATED, ALONE, SAMPLE = 0, 8, 16
+#: Bits of a hash of a side of an anchor.
+SIDE_BITS = 21
 #: Bytes that are named at once: longer texts go in pieces that overlap.
 PIECE = 1 << 22
 
@@ -29,11 +31,26 @@ def _joined(a: np.ndarray, b: np.ndarray, gap: int) -> np.ndarray:
     return mix(a[:n] * _LEFT + (x ^ (x >> np.uint64(29))) * _RIGHT)
 
 
-def _named(data: np.ndarray, k: int) -> np.ndarray:
-    """A hash of each k-byte string of ``data`` (k a multiple of 8) by prefix doubling: strings are named after their halves."""
+def _thirds(length: int) -> list[tuple[int, int]]:
+    """Bytes of a string before its gram, in three ranges [lo, hi): a string of the first has most of its other bytes behind
+    the gram, one of the second some on either side, one of the third most before it."""
+    side = length - gram_length(length)
+    t = side // 3
+    return [(0, t + 1), (t + 1, side - t), (side - t, side + 1)]
+
+
+def _power(n: int) -> int:
+    return 1 << (n.bit_length() - 1)
+
+
+def _named(data: np.ndarray, k: int, keep=None) -> np.ndarray:
+    """A hash of each k-byte string of ``data`` (k a multiple of 8) by prefix doubling: strings are named after their halves.
+    ``keep`` gets the names of shorter strings of 8, 16, ... bytes."""
     name, size, out, done = np.lib.stride_tricks.sliding_window_view(data, 8).copy().view(np.uint64)[:, 0], 8, None, 0
     name = mix(name * _LEFT)
     while size <= k:
+        if keep is not None:
+            keep[size] = name
         if k & size:
             out = name if out is None else _joined(out, name, done)
             done += size
@@ -52,29 +69,42 @@ def _sliding(x: np.ndarray, w: int, least) -> np.ndarray:
 
 
 def _pieces(data: np.ndarray, at: np.ndarray, length: int):
-    """(first byte, names of the grams, least name in each string of ``length`` bytes that lies in one text, else 0) of
-    stretches of texts that lie end to end; each string is in one stretch."""
-    k = gram_length(length)
+    """(first byte of the core, of the stretch, end of the core, names of the grams, least name in each string of ``length`` bytes that lies in one text, else
+    0, names of shorter strings) of stretches of texts that lie end to end. Cores follow each other; round each there is as
+    much of the texts as the strings need that hold one of its bytes."""
     for x in range(0, len(data) - length + 1, PIECE):
-        part = data[x : x + PIECE + length - 1]
-        name = np.maximum(_named(part, k), np.uint64(1))
-        least = _sliding(name, length - k + 1, np.minimum)
-        ends = np.repeat(at[1:], np.diff(np.clip(at, x, x + len(part))))[: len(least)]
-        yield x, name, np.where(np.arange(x + length, x + length + len(least)) <= ends, least, np.uint64(0))
-
-
-def anchors(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(byte, name of the gram there) of the anchors of texts that lie end to end: in each string of ``length`` bytes the
-    gram with the least name (all of them if several tie). The choice needs no byte outside the string, so equal strings
-    have it at the same place."""
+        lo, end = max(0, x - length), x + PIECE if x + PIECE <= len(data) - length else len(data)
+        part = data[lo : end + 2 * length]
+        short: dict[int, np.ndarray] = {}
+        name = np.maximum(_named(part, gram_length(length), short), np.uint64(1))
+        least = _sliding(name, length - gram_length(length) + 1, np.minimum)
+        ends = np.repeat(at[1:], np.diff(np.clip(at, lo, lo + len(part))))[: len(least)]
+        yield x, lo, end, name, np.where(np.arange(lo + length, lo + length + len(least)) <= ends, least, np.uint64(0)), short
+
+
+def _sides(byte, short, length) -> np.ndarray:
+    """Hashes of what every string of a third has round the gram, packed: bytes behind it, bytes on either side, bytes before it.
+    Where a text ends too soon for such strings they are of anything."""
+    k, (a, b, _) = gram_length(length), _thirds(length)
+    far, near = short[_power(b[1])], short[_power(a[1])]
+    at = lambda names, i: names[np.clip(i, 0, len(names) - 1)]
+    behind, before = at(far, byte + k), at(far, byte - _power(b[1]))
+    both = mix(at(near, byte - _power(a[1])) * _LEFT + at(near, byte + k) * _RIGHT)
+    cut = np.uint64(64 - SIDE_BITS)
+    return ((behind >> cut) << np.uint64(2 * SIDE_BITS)) | ((both >> cut) << np.uint64(SIDE_BITS)) | (before >> cut)
+
+
+def anchors(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(byte, name of the gram there, hashes of its sides) of the anchors of texts that lie end to end: in each string of ``length``
+    bytes the gram with the least name (all of them if several tie). The choice needs no byte outside the string, so equal
+    strings have it at the same place."""
     edge = np.zeros(length - gram_length(length), np.uint64)
-    found, names = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-    for x, name, least in _pieces(data, at, length):
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64))]
+    for x, lo, end, name, least, short in _pieces(data, at, length):
         byte = np.flatnonzero(_sliding(np.concatenate([edge, least, edge]), len(edge) + 1, np.maximum)[: len(name)] == name)
-        found.append(byte + x)
-        names.append(name[byte])
-    byte, first = np.unique(np.concatenate(found), return_index=True)
-    return byte, np.concatenate(names)[first]
+        byte = byte[(byte + lo >= x) & (byte + lo < end)]
+        found.append((byte + lo, name[byte], _sides(byte, short, length)))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -82,19 +112,19 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def _anchor_rows(length: int):
-    """(gram, context, row, pos): an anchor's leading token, a hash of all strings of ``length`` bytes that hold it (cut at
-    the text's ends), and where it is."""
+    """(gram, context, row, pos, sides): an anchor's leading token, a hash of all strings of ``length`` bytes that hold it (cut at
+    the text's ends), where it is, and _sides."""
     side = length - gram_length(length)
 
     def rows(batches):
         for batch in batches:
             for first, data, at in chunks(batch.column(1)):
-                byte, name = anchors(data, at, length)
+                byte, name, sides = anchors(data, at, length)
                 row = np.searchsorted(at, byte, "right") - 1
                 lo, hi = np.maximum(byte - side, at[row]), np.minimum(byte + length, at[row + 1])
                 raw = data.tobytes()
                 context = np.array([xxhash.xxh3_64_intdigest(raw[x:y]) for x, y in zip(lo.tolist(), hi.tolist(), strict=True)], np.uint64)
-                yield pa.RecordBatch.from_arrays([_signed(name), _signed(context), batch.column(0).take(pa.array(row + first)), pa.array(byte - at[row], pa.int32())], ["gram", "context", "row", "pos"])
+                yield pa.RecordBatch.from_arrays([_signed(name), _signed(context), batch.column(0).take(pa.array(row + first)), pa.array(byte - at[row], pa.int32()), _signed(sides)], ["gram", "context", "row", "pos", "sides"])
 
     return rows
 
@@ -129,16 +159,25 @@ def _border(no, first, last):
 
 
 def _judged(batches):
-    """Anchors sorted by (gram, context): the kinds of those whose gram is found twice. What lies beyond the border of a
-    bucket is unknown here, so grams at a border report every context; what is reported too much costs time only."""
-    for (gram, context, row, pos), first, last in _streamed(batches, 4):
+    """Anchors sorted by (gram, context): the kinds of those whose gram is found twice, with a mask of the thirds of strings
+    that may repeat, as another anchor of that gram has the same bytes on that side. What lies beyond the border of a bucket is
+    unknown here, so grams at a border report every context and side; what is reported too much costs time only."""
+    for (gram, context, row, pos, sides), first, last in _streamed(batches, 5):
         g, n, _ = _runs(gram)
-        _, same, new = _runs(gram, context)
         border = _border(g, first, last)
-        lone = np.bincount(g, weights=same == 1)[g] > 0
-        kind = np.where(same > 1, np.where(new & (lone | border), SAMPLE, REPEATED), ALONE)
-        told = border | (n > 1)
-        yield pa.RecordBatch.from_arrays([pa.array(row[told]), pa.array(pos[told], pa.int32()), pa.array(kind[told], pa.int8())], ["row", "pos", "kind"])
+        told = np.flatnonzero(border | (n > 1))
+        g, row, pos, sides, border = g[told], row[told], pos[told], sides[told], border[told]
+        _, same, new = _runs(g, context[told])
+        alone = same == 1
+        mask = np.zeros(len(told), np.int64)
+        for i in range(3):
+            code = (g << SIDE_BITS) | ((sides >> (SIDE_BITS * (2 - i))) & ((1 << SIDE_BITS) - 1))
+            _, at, count = np.unique(code, return_inverse=True, return_counts=True)
+            lone = np.bincount(at, weights=alone)
+            mask |= np.where(border | np.where(alone, count[at] > 1, lone[at] > 0), 1 << i, 0)
+        kind = np.where(alone, ALONE + mask, np.where(new & (mask > 0), SAMPLE + mask, REPEATED))
+        keep = kind != ALONE
+        yield pa.RecordBatch.from_arrays([pa.array(row[keep]), pa.array(pos[keep], pa.int32()), pa.array(kind[keep], pa.int8())], ["row", "pos", "kind"])
 
 
 def _lists(lists, counts):
@@ -161,28 +200,32 @@ def _values(column, i) -> np.ndarray:
 
 
 def _stretches(length: int):
-    """Settled anchors of a row as stretches of starts, the others as they are."""
+    """Settled anchors of a row as stretches of starts, the others as they are (eight times their place, and the mask)."""
     side = length - gram_length(length)
 
     def stretch(batches):
         for batch in batches:
             both = [_cover(p - side, p + 1) for p in (_values(batch.column(1), i) for i in range(len(batch)))]
             counts = [len(lo) for lo, _ in both]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(_lists([x[i] for x in both], counts) for i in (0, 1)), batch.column(2), batch.column(3)], ["row", "lo", "hi", "alone", "sample"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(_lists([x[i] for x in both], counts) for i in (0, 1)), batch.column(2)], ["row", "lo", "hi", "marked"])
 
     return stretch
 
 
-def _open_starts(data, lo, hi, alone, sample, length):
-    """Starts of strings that no stretch settles and whose least gram is an anchor that stands alone; and those round samples."""
-    out = [np.zeros(0, np.int64)]
-    for x, name, least in _pieces(data, np.array([0, len(data)]), length):
-        here = np.arange(x, x + len(least))
-        known = np.searchsorted(lo, here, "right") - 1
-        free = (known < 0) | (here >= hi[np.maximum(known, 0)]) if len(lo) else np.ones(len(least), bool)
-        a, s = (p[(p >= x) & (p - x < len(name))] - x for p in (alone, sample))
-        out.append(here[(free & np.isin(least, name[a])) | np.isin(least, name[s])])
-    return np.concatenate(out)
+def _open_starts(data, marked, length):
+    """Starts of strings whose least gram is one of these anchors, given as eight times the place and a mask of thirds. Those that
+    another anchor settles are among them: they may be the equals of strings that none settles."""
+    ranges, out = _thirds(length), [np.zeros(0, np.int64)]
+    for x, base, end, name, least, _ in _pieces(data, np.array([0, len(data)]), length):
+        for i, (a, b) in enumerate(ranges):
+            byte = marked[(marked >> i) & 1 == 1] >> 3
+            byte = byte[(byte >= x) & (byte < end)] - base
+            start = (byte[:, None] - np.arange(a, b)).ravel()
+            gram = np.repeat(name[byte], b - a)
+            ok = (start >= 0) & (start < len(least))
+            ok[ok] = least[start[ok]] == gram[ok]
+            out.append(start[ok] + base)
+    return np.unique(np.concatenate(out))
 
 
 def _suffix_rows(length: int):
@@ -192,7 +235,7 @@ def _suffix_rows(length: int):
     def rows(batches):
         for batch in (x for b in batches for x in slices(b, 1)):
             data, at = text_bytes(batch.column(1))
-            starts = [_open_starts(data[at[i] : at[i + 1]], *(_values(batch.column(c), i) for c in range(2, 6)), length) + at[i] for i in range(len(batch))]
+            starts = [_open_starts(data[at[i] : at[i + 1]], _values(batch.column(2), i), length) + at[i] for i in range(len(batch))]
             row = np.repeat(np.arange(len(batch)), [len(x) for x in starts])
             start, raw = np.concatenate([np.zeros(0, np.int64), *starts]), data.tobytes()
             if len(start):
@@ -241,7 +284,8 @@ def repeated_starts(docs: DataFrame, length: int = 200) -> tuple[DataFrame, Data
 
     Each such string holds an anchor, and its equals hold theirs at the same place. Anchors' suffixes are dealt by sampled
     splitters of their leading token (a gram, as a hash), with context and row behind it, and sorted. Equal contexts settle
-    all strings in them. Strings whose anchor shares its gram but not its context are left: their suffixes are dealt by
+    all strings in them. Strings whose anchor shares its gram but not its context are left, where some other anchor of that gram
+    shares bytes on the side where they stick out (hashes of 21 bits, which rule out but settle nothing): their suffixes are dealt by
     sampled splitters of their leading eight bytes (with hash and row behind), sorted in buckets and compared with their
     neighbours; those at a border of a bucket meet in one more grouping. As rows are part of both keys, a string that many
     documents hold fills several buckets. Suffixes are compared by eight bytes and 64 bits of a hash of ``length`` bytes, contexts
@@ -250,14 +294,16 @@ def repeated_starts(docs: DataFrame, length: int = 200) -> tuple[DataFrame, Data
     workers_import(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = docs.select(text_key().alias("row"), "text").where(F.octet_length("text") >= length)
-    found = base.mapInArrow(_anchor_rows(length), "gram long, context long, row long, pos int")
+    found = base.mapInArrow(_anchor_rows(length), "gram long, context long, row long, pos int, sides long")
     found = found.repartitionByRange(n, "gram", "context", "row").sortWithinPartitions("gram", "context")
     found = durable(found.mapInArrow(_judged, "row long, pos int, kind byte"))
-    kinds = [F.collect_set(F.when(F.col("kind").isin(k), F.col("pos"))).alias(x) for k, x in (([REPEATED, SAMPLE], "settled"), ([ALONE], "alone"), ([SAMPLE], "sample"))]
-    settled = found.groupBy("row").agg(*kinds).mapInArrow(_stretches(length), "row long, lo array<int>, hi array<int>, alone array<int>, sample array<int>")
+    kind, masked = F.col("kind"), F.col("pos").cast("long") * 8 + F.col("kind").bitwiseAND(7)
+    sets = {"settled": F.when((kind < ALONE) | (kind >= SAMPLE), F.col("pos")), "marked": F.when(kind >= ALONE, masked)}
+    settled = found.groupBy("row").agg(*(F.collect_set(x).alias(name) for name, x in sets.items()))
+    settled = settled.mapInArrow(_stretches(length), "row long, lo array<int>, hi array<int>, marked array<long>")
     settled = durable(settled)
-    some = settled.where(F.size("alone") + F.size("sample") > 0)
-    left = base.join(small_side(some, row_bytes(some)), "row").select("row", "text", "lo", "hi", "alone", "sample")
+    some = settled.where(F.size("marked") > 0).select("row", "marked")
+    left = base.join(small_side(some, row_bytes(some)), "row").select("row", "text", "marked")
     left = left.mapInArrow(_suffix_rows(length), "lead long, rest long, row long, pos int")
     left = left.repartitionByRange(n, "lead", "rest", "row").sortWithinPartitions("lead")
     told = durable(left.mapInArrow(_bucket, "row long, pos int, lead long, rest long, kind byte"))
@@ -268,8 +314,8 @@ def repeated_starts(docs: DataFrame, length: int = 200) -> tuple[DataFrame, Data
 
 
 def row_bytes(table: DataFrame) -> int:
-    """Mean bytes of a row with arrays of int, for small_side."""
-    arrays = [F.size(c) * 4 for c, t in table.dtypes if t.startswith("array")]
+    """Bytes of a row with arrays of numbers at the mean, for small_side."""
+    arrays = [F.size(c) * 8 for c, t in table.dtypes if t.startswith("array")]
     return 96 + int(table.agg(F.avg(sum(arrays, F.lit(0)))).first()[0] or 0)
 
 
