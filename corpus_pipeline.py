@@ -23,8 +23,9 @@ def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Stage 3: one document of each group of near copies stays, of rows alike one; null and empty texts are no copies."""
-    return minhash_dedup.drop_near_duplicates(docs)
+    """Stage 3: one document of each group of near copies (four fifths of the shingles of both) stays, of rows alike one; null and
+    empty texts are no copies."""
+    return minhash_dedup.drop_near_duplicates(docs, 80)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
