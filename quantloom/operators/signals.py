@@ -37,24 +37,30 @@ def _products(names, block):
     return run
 
 
-def _added(pdf: pd.DataFrame) -> pd.DataFrame:
-    first = pdf.iloc[:1].copy()
-    for c in ("n", "x", "xx", "xy", "y", "yy"):
-        first[c] = [sum(np.frombuffer(v, float) for v in pdf[c]).tobytes()]
-    return first
+def added(sums: DataFrame, keys, values) -> DataFrame:
+    """One row for each key with the element-wise sums of the arrays of doubles (as binary) in ``values``. ``sums`` has a row per
+    key and partition (part); they are added FAN at a time, so no task meets those of all partitions."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        first = pdf.iloc[:1].copy()
+        for c in values:
+            first[c] = [np.add.reduce([np.frombuffer(v, float) for v in pdf[c]]).tobytes()]
+        return first
+
+    sums = stored(sums)
+    parts = (sums.agg(F.max("part")).first()[0] or 0) + 1
+    while parts > 1:
+        sums = sums.withColumn("part", F.floor(F.col("part") / FAN)).groupBy(*keys, "part").applyInPandas(run, sums.schema)
+        parts = -(-parts // FAN)
+    return sums
 
 
 def block_products(df: DataFrame, names, block: int = BLOCK) -> DataFrame:
     """(i, j, part, n, x, xx, xy, y, yy): sums over all rows for each pair of blocks, one row a pair. A task holds the sums of its
-    partition (k x k numbers a kind); those of many partitions are added FAN at a time, so none meets all of them."""
+    partition: k x k numbers a kind."""
     schema = "i int, j int, part long, n binary, x binary, xx binary, xy binary, y binary, yy binary"
     names = list(names)
-    sums = stored(df.select(*(F.col(x).cast("double").alias(x) for x in names)).mapInPandas(_products(names, block), schema))
-    parts = (sums.agg(F.max("part")).first()[0] or 0) + 1
-    while parts > 1:
-        sums = sums.withColumn("part", F.floor(F.col("part") / FAN)).groupBy("i", "j", "part").applyInPandas(_added, schema)
-        parts = -(-parts // FAN)
-    return sums
+    sums = df.select(*(F.col(x).cast("double").alias(x) for x in names)).mapInPandas(_products(names, block), schema)
+    return added(sums, ["i", "j"], ["n", "x", "xx", "xy", "y", "yy"])
 
 
 def _correlated(names, block, limit):

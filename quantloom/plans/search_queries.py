@@ -3,10 +3,12 @@ metric, penalty grids; their SQL is written apart from the operators."""
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import functions as F
 
 from quantloom.functions.tables import stored
-from quantloom.operators import alpha_scores, preprocess, signals
+from quantloom.operators import alpha_scores, linear_grid, preprocess, signals
 
 from . import queries as base
 from .queries import _corr, _pred, query, tidied, tidied_sql
@@ -90,3 +92,62 @@ _alpha_columns = ["ic", "rank_ic", "spread", "sharpe_apart", "gaussian_ic_retent
 def alpha_score_table(spark, sf_dir):
     meta = spark.createDataFrame(_META, _META_COLUMNS)
     return tidied(alpha_scores.alpha_scores(base._signals(spark, sf_dir), meta).select("candidate_id", *_alpha_columns))
+
+
+# ---- penalty grids and selection by any metric ----
+
+_GRID = {"ridge": [{"alpha": 0.1}, {"alpha": 1.0}, {"alpha": 100.0}], "lasso": [{"alpha": 0.01}, {"alpha": 0.5}], "elastic_net": [{"alpha": 0.02, "l1_ratio": 0.3}, {"alpha": 0.5, "l1_ratio": 0.7}]}
+_cells = [(m, k, p["alpha"], {"ridge": 0.0, "lasso": 1.0}.get(m, p.get("l1_ratio"))) for m, ps in _GRID.items() for k, p in enumerate(ps)]
+_shrunk = lambda own, diag: f"sign({own}) * greatest(abs({own}) - absolute, 0) / ({diag} + squared)"
+_fold = f"""{_pred.replace('WITH panel', 'WITH RECURSIVE panel')}, f AS (SELECT fold, n - (4 - fold) * (n // 4) AS e, n - (4 - fold) * (n // 4) + n // 4 AS v FROM (SELECT max(t) AS n FROM cal), (SELECT unnest(range(1, 4)) AS fold)),
+fr AS (SELECT p.date, p.instrument_id, p.volume AS a, p.vwap AS b, y, fold, CASE WHEN t <= e THEN 'train' ELSE 'valid' END AS part FROM pt p JOIN pred USING (date, instrument_id) JOIN f ON t <= v),
+fk AS (SELECT *, row_number() OVER (PARTITION BY fold, part, instrument_id ORDER BY date DESC) AS back FROM fr),
+fm AS (SELECT fold, count(*)::DOUBLE AS n, avg(a) AS ma, avg(b) AS mb, avg(y) AS my, stddev_samp(a) AS sa, stddev_samp(b) AS sb FROM fk WHERE part = 'train' AND back > 1 AND y IS NOT NULL GROUP BY 1),
+fg AS (SELECT fold, n, ma, mb, my, sa, sb, sum((a - ma) / sa * (a - ma) / sa) / n AS aa, sum((a - ma) / sa * (b - mb) / sb) / n AS ab, sum((b - mb) / sb * (b - mb) / sb) / n AS bb, sum((a - ma) / sa * (y - my)) / n AS ay, sum((b - mb) / sb * (y - my)) / n AS yb FROM fk JOIN fm USING (fold) WHERE part = 'train' AND back > 1 AND y IS NOT NULL GROUP BY fold, n, ma, mb, my, sa, sb),
+cell AS (SELECT fg.*, model, candidate, CASE WHEN model = 'ridge' THEN 0 ELSE alpha * share END AS absolute, CASE WHEN model = 'ridge' THEN alpha / n ELSE alpha * (1 - share) END AS squared FROM fg, (VALUES {', '.join(f"('{m}', {k}, {a}::DOUBLE, {s}::DOUBLE)" for m, k, a, s in _cells)}) c(model, candidate, alpha, share)),
+turn AS (SELECT fold, model, candidate, aa, ab, bb, ay, yb, absolute, squared, 0.0::DOUBLE AS wa, 0.0::DOUBLE AS wb, 0 AS k FROM cell UNION ALL
+  SELECT fold, model, candidate, aa, ab, bb, ay, yb, absolute, squared, na, {_shrunk('(yb - ab * na)', 'bb')}, k + 1 FROM (SELECT *, {_shrunk('(ay - ab * wb)', 'aa')} AS na FROM turn WHERE k < 200)),
+fw AS (SELECT c.fold, c.model, c.candidate, my, ma, mb, wa / sa AS ca, wb / sb AS cb FROM cell c JOIN turn t ON (c.fold, c.model, c.candidate) = (t.fold, t.model, t.candidate) AND t.k = 200),
+fv AS (SELECT fold, model, candidate, date, instrument_id, y, round(my + ca * (a - ma) + cb * (b - mb), 12) AS p FROM fk JOIN fw USING (fold) WHERE part = 'valid' AND y IS NOT NULL),
+fq AS (SELECT *, rank() OVER (d ORDER BY p) + (count(*) OVER (PARTITION BY fold, model, candidate, date, p) - 1) / 2 AS rs, rank() OVER (d ORDER BY y) + (count(*) OVER (PARTITION BY fold, model, candidate, date, y) - 1) / 2 AS rt, least(greatest(ceil(row_number() OVER (d ORDER BY p, instrument_id) / count(*) OVER d * 5), 1), 5) AS g FROM fv WINDOW d AS (PARTITION BY fold, model, candidate, date)),
+fi AS (SELECT fold, model, candidate, avg(ic) AS pearson_ic_mean, avg(rank_ic) AS spearman_ic_mean FROM (SELECT fold, model, candidate, date, {_corr.format(a='p', b='y')} AS ic, {_corr.format(a='rs', b='rt')} AS rank_ic FROM fq GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3),
+fe AS (SELECT fold, model, candidate, sqrt(avg((p - y) ** 2)) AS rmse, avg(abs(p - y)) AS mae, count(*) AS n_rows FROM fq GROUP BY 1, 2, 3),
+fs AS (SELECT fold, model, candidate, max_by(r, g) - min_by(r, g) AS long_short_return FROM (SELECT fold, model, candidate, g, avg(r) AS r FROM (SELECT fold, model, candidate, date, g, avg(y) AS r FROM fq GROUP BY 1, 2, 3, 4, 5) GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3),
+grid AS (SELECT fold, model, candidate, pearson_ic_mean, spearman_ic_mean, rmse, mae, long_short_return, n_rows, (ca <> 0)::INT + (cb <> 0)::INT AS n_features FROM fi JOIN fe USING (fold, model, candidate) JOIN fs USING (fold, model, candidate) JOIN fw USING (fold, model, candidate))"""
+_grid_metrics = ["pearson_ic_mean", "spearman_ic_mean", "rmse", "mae", "long_short_return"]
+
+
+def _grid(spark, sf_dir):
+    rows = base._signals(spark, sf_dir).drop("predicted_y")
+    return linear_grid.penalty_grid(rows, ["volume", "vwap"], _GRID, 3, 1, 5)
+
+
+@query("penalty_grid", f"{_fold} {tidied_sql(_grid_metrics, 'grid', 'fold::BIGINT AS fold, model, candidate::BIGINT AS candidate, n_rows, n_features::BIGINT AS n_features')}")
+def penalty_grid(spark, sf_dir):
+    return tidied(_grid(spark, sf_dir).select("fold", "model", "candidate", "n_rows", "n_features", *_grid_metrics))
+
+
+@query("best_penalties", f"""{_fold}, gs AS (SELECT model, candidate, avg(0.5 * coalesce(pearson_ic_mean, 0) + 0.3 * coalesce(spearman_ic_mean, 0) + 0.2 * coalesce(long_short_return, 0)) AS m, stddev_pop(0.5 * coalesce(pearson_ic_mean, 0) + 0.3 * coalesce(spearman_ic_mean, 0) + 0.2 * coalesce(long_short_return, 0)) AS s FROM grid GROUP BY 1, 2)
+SELECT model, candidate::BIGINT AS candidate, {tidy_sql('score')} AS score FROM (SELECT *, m - 0.5 * s AS score, row_number() OVER (PARTITION BY model ORDER BY round(m - 0.5 * s, 9) DESC, candidate) AS k FROM gs) WHERE k = 1""")
+def best_penalties(spark, sf_dir):
+    return tidied(linear_grid.best_params(_grid(spark, sf_dir), "composite_ic_rank_ls", 0.5).select("model", "candidate", "score"))
+
+
+_POOL = {"vwap": "price", "turnover": "size+price", "low": "price", "market_cap": "size"}
+_WINDOWS = [(date(1996, 6, 1), date(1996, 9, 1), date(1997, 12, 1)), (date(1998, 1, 1), date(1998, 4, 1), date(1999, 12, 1))]
+
+
+@query("add_one_by_metric")
+def add_one_by_metric(spark, sf_dir):
+    rows = base._signals(spark, sf_dir)
+    out = None
+    for metric in ("composite_ic_rank_ls", "rmse", "spearman_ic_mean"):
+        one = linear_grid.add_one(rows, ["volume"], list(_POOL), _WINDOWS, metric, penalty=0.5, groups=5).withColumn("metric", F.lit(metric))
+        out = one if out is None else out.unionByName(one)
+    return tidied(out)
+
+
+@query("forward_by_metric")
+def forward_by_metric(spark, sf_dir):
+    rows = base._signals(spark, sf_dir)
+    return tidied(linear_grid.forward_by_metric(rows, ["volume"], _POOL, _WINDOWS, 3, "composite_ic_rank_ls", overlap=0.001, redundancy=0.001, groups=5))
