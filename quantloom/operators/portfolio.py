@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quantloom.functions import columns as C
 from quantloom.functions.columns import DATE, INSTRUMENT
+from quantloom.functions.tables import stored
 
 from . import calendar
 
@@ -60,50 +61,66 @@ def _place(down: bool, *keys):
     return F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("predicted_y") if down else F.col("predicted_y"), INSTRUMENT))
 
 
+def _quotas(counts: DataFrame) -> DataFrame:
+    """quota of each row of (date, sector, n_s, top_k)."""
+    day = Window.partitionBy(DATE, "top_k")
+    q = counts.withColumn("_raw", F.col("top_k") * F.col("n_s") / F.sum("n_s").over(day)).withColumn("_cap", F.floor(F.col("n_s") / 2)).where("_cap > 0")
+    q = q.withColumns({"_base": F.least(F.floor("_raw"), F.col("_cap")), "_rest": F.round(F.col("_raw") - F.floor("_raw"), 9)})
+    q = q.withColumn("_slack", F.col("_cap") - F.col("_base")).withColumn("_left", F.greatest(F.lit(0), F.col("top_k") - F.sum("_base").over(day)))
+    before = day.orderBy(F.desc("_rest"), F.desc("n_s"), "sector").rowsBetween(Window.unboundedPreceding, -1)
+    extra = F.least(F.col("_slack"), F.greatest(F.lit(0), F.col("_left") - F.coalesce(F.sum("_slack").over(before), F.lit(0))))
+    return q.select(DATE, "sector", "top_k", (F.col("_base") + extra).cast("int").alias("quota")).where("quota > 0")
+
+
 def sector_quotas(rows: DataFrame, top_k: int) -> DataFrame:
     """(date, sector, quota): floor(K n_s / n), at most n_s // 2; seats left go to the largest remainders, each until its
     capacity is full."""
-    n = F.sum("n_s").over(Window.partitionBy(DATE))
-    q = rows.groupBy(DATE, "sector").agg(F.count("*").alias("n_s")).withColumn("_raw", top_k * F.col("n_s") / n).withColumn("_cap", F.floor(F.col("n_s") / 2)).where("_cap > 0")
-    q = q.withColumns({"_base": F.least(F.floor("_raw"), F.col("_cap")), "_rest": F.round(F.col("_raw") - F.floor("_raw"), 9)})
-    q = q.withColumn("_slack", F.col("_cap") - F.col("_base")).withColumn("_left", F.greatest(F.lit(0), top_k - F.sum("_base").over(Window.partitionBy(DATE))))
-    before = Window.partitionBy(DATE).orderBy(F.desc("_rest"), F.desc("n_s"), "sector").rowsBetween(Window.unboundedPreceding, -1)
-    extra = F.least(F.col("_slack"), F.greatest(F.lit(0), F.col("_left") - F.coalesce(F.sum("_slack").over(before), F.lit(0))))
-    return q.select(DATE, "sector", (F.col("_base") + extra).cast("int").alias("quota")).where("quota > 0")
+    return _quotas(rows.groupBy(DATE, "sector").agg(F.count("*").alias("n_s")).withColumn("top_k", F.lit(top_k))).drop("top_k")
 
 
-def books(rows: DataFrame, top_k: int, neutral: bool = False) -> DataFrame:
-    """``rows`` of the long and short books of each date with side: the K highest and lowest scores, or with ``neutral``
-    as many of both in each sector by its quota, filled up from all others. Dates with under 2 K rows have none.
-    Ties go by instrument."""
+def all_books(rows: DataFrame, kinds: list[tuple[int, bool]]) -> DataFrame:
+    """``rows`` of the long and short books of each date for every (top_k, neutral), with side, top_k and neutral: the K highest and
+    lowest scores, or with neutral as many of both in each sector by its quota, filled up from all others. Dates with under
+    2 K rows have none. Ties go by instrument.
+
+    Rows are ranked once, whatever the number of kinds; only those that some book can take are expanded: the highest and
+    lowest of the date, and of the sector up to its quota."""
     rows = rows.where("predicted_y is not null and sector is not null")
-    rows = rows.withColumn("_n", F.count("*").over(Window.partitionBy(DATE))).where(F.col("_n") >= 2 * top_k).drop("_n")
-    if not neutral:
-        rows = rows.withColumns({"_u": _place(True, DATE), "_d": _place(False, DATE)})
-        side = F.when(F.col("_u") <= top_k, "long").when(F.col("_d") <= top_k, "short")
-        return rows.withColumn("side", side).where("side is not null").drop("_u", "_d")
-    rows = rows.join(sector_quotas(rows, top_k), [DATE, "sector"], "left").withColumns({"_u": _place(True, DATE, "sector"), "_d": _place(False, DATE, "sector")})
-    side = F.when(F.col("_u") <= F.col("quota"), "long").when(F.col("_d") <= F.col("quota"), "short")
-    rows = rows.withColumn("side", side).drop("_u", "_d", "quota")
-    day = Window.partitionBy(DATE)
-    lack = {x: top_k - F.sum((F.col("side") == x).cast("int")).over(day) for x in ("long", "short")}
-    rows = rows.withColumns({"_ll": F.coalesce(lack["long"], F.lit(top_k)), "_ls": F.coalesce(lack["short"], F.lit(top_k))})
-    rows = rows.withColumn("_free", F.col("side").isNull()).withColumn("_u", _place(True, DATE, "_free"))
-    rows = rows.withColumn("side", F.when(F.col("_free") & (F.col("_u") <= F.col("_ll")), "long").otherwise(F.col("side")))
-    rows = rows.withColumn("_free", F.col("side").isNull()).withColumn("_d", _place(False, DATE, "_free"))
-    rows = rows.withColumn("side", F.when(F.col("_free") & (F.col("_d") <= F.col("_ls")), "short").otherwise(F.col("side")))
-    return rows.where("side is not null").drop("_ll", "_ls", "_free", "_u", "_d")
-
-
-def capped(score, cap: float | None, *keys):
-    """Weights that sum to 1 in proportion to ``score``, none above ``cap`` (or above equal weights, if that is more):
-    the largest are cut to the cap and the rest is shared by the others."""
+    rows = rows.withColumns({"_n": F.count("*").over(Window.partitionBy(DATE)), "_u": _place(True, DATE), "_d": _place(False, DATE)})
+    of = lambda flag: sorted({k for k, neutral in kinds if neutral == flag})
+    expanded = lambda df, flag: df.withColumn("top_k", F.explode(F.array(*map(F.lit, of(flag))))).where(F.col("_n") >= 2 * F.col("top_k"))
+    parts = []
+    if of(False):
+        most = max(of(False))
+        some = expanded(rows.where((F.col("_u") <= most) | (F.col("_d") <= most)), False)
+        side = F.when(F.col("_u") <= F.col("top_k"), "long").when(F.col("_d") <= F.col("top_k"), "short")
+        parts.append(some.withColumns({"side": side, "neutral": F.lit(False)}))
+    if of(True):
+        counts = rows.groupBy(DATE, "sector").agg(F.count("*").alias("n_s"), F.first("_n").alias("_n"))
+        some = rows.withColumns({"_us": _place(True, DATE, "sector"), "_ds": _place(False, DATE, "sector")})
+        some = expanded(some, True).join(_quotas(expanded(counts, True)), [DATE, "sector", "top_k"], "left")
+        side = F.when(F.col("_us") <= F.col("quota"), "long").when(F.col("_ds") <= F.col("quota"), "short")
+        # quotas take 2 K rows at most and the fill of longs K, so no fill reaches further than this
+        some = some.withColumn("side", side).where(F.col("side").isNotNull() | (F.col("_u") <= 3 * F.col("top_k")) | (F.col("_d") <= 4 * F.col("top_k")))
+        for name, down in (("long", True), ("short", False)):
+            day = Window.partitionBy(DATE, "top_k")
+            some = some.withColumns({"_lack": F.col("top_k") - F.sum(F.coalesce((F.col("side") == name).cast("int"), F.lit(0))).over(day), "_free": F.col("side").isNull()})
+            some = some.withColumn("_p", _place(down, DATE, "top_k", "_free")).withColumn("side", F.when(F.col("_free") & (F.col("_p") <= F.col("_lack")), name).otherwise(F.col("side")))
+        parts.append(some.withColumn("neutral", F.lit(True)).drop("_us", "_ds", "quota", "_lack", "_free", "_p"))
+    out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return out.where("side is not null").drop("_n", "_u", "_d")
+
+
+def books(rows: DataFrame, top_k: int, neutral: bool = False) -> DataFrame:
+    """The books of one kind (all_books), with side."""
+    return all_books(rows, [(top_k, neutral)]).drop("top_k", "neutral")
+
+
+def capped(cap, *keys):
+    """For weights that sum to 1 in proportion to _score, none above ``cap`` (or above equal weights, if that is more): the largest
+    are cut to the cap and the rest is shared by the others. Place, sum of scores from there on, and whether the cut can end here."""
     all_ = Window.partitionBy(*keys)
-    total = F.sum(score).over(all_)
-    if cap is None:
-        return score / total
-    n = F.count(F.lit(1)).over(all_)
-    most = F.greatest(F.lit(float(cap)), 1.0 / n)
+    most = F.greatest(cap, 1.0 / F.count(F.lit(1)).over(all_))
     ordered = all_.orderBy(F.desc("_score"), INSTRUMENT)
     k = F.row_number().over(ordered) - 1
     rest = F.sum("_score").over(ordered.rowsBetween(0, Window.unboundedFollowing))
@@ -111,36 +128,42 @@ def capped(score, cap: float | None, *keys):
     return F.struct(most.alias("most"), k.alias("k"), rest.alias("rest"), (scaled <= most + 1e-12).alias("ok"))
 
 
-def side_weights(rows: DataFrame, mode: str = "equal", cap: float | None = None) -> DataFrame:
-    """``rows`` of books with weight: positive sums to 1 for longs, negative to -1 for shorts, on each date.
+MODES = ("equal", "rank", "score", "score_vol")
 
-    equal; rank (n for the best down to 1); score (distance to the weakest score of the side); score_vol (score over
-    realised volatility, missing ones as the side's median, 1e-6 at least)."""
-    keys = [DATE, "side"]
+
+def weighted(rows: DataFrame, modes, mode, cap, keys) -> DataFrame:
+    """``rows`` of books with weight, by keys (which tell the sides apart): ``mode`` and ``cap`` are columns (a null cap: none, no
+    column: none anywhere), ``modes`` those that occur."""
+    if unknown := set(modes) - set(MODES):
+        raise ValueError(f"unknown weights: {sorted(unknown)}")
     side = Window.partitionBy(*keys)
-    strength = F.when(F.col("side") == "long", F.col("predicted_y")).otherwise(-F.col("predicted_y"))
-    rows = rows.withColumn("_x", strength)
+    rows = rows.withColumn("_x", F.when(F.col("side") == "long", F.col("predicted_y")).otherwise(-F.col("predicted_y")))
     score = F.col("_x") - F.min("_x").over(side) + 1e-12
-    if mode == "equal":
-        raw = F.lit(1.0)
-    elif mode == "rank":
-        raw = (F.count(F.lit(1)).over(side) - F.row_number().over(side.orderBy(F.desc("_x"), INSTRUMENT)) + 1).cast("double")
-    elif mode == "score":
-        raw = score
-    elif mode == "score_vol":
-        raw = score / F.greatest(F.coalesce("realized_vol_20", F.percentile("realized_vol_20", 0.5).over(side), F.lit(1.0)), F.lit(1e-6))
-    else:
-        raise ValueError(mode)
+    raw = F.lit(1.0)
+    if "rank" in modes:
+        raw = F.when(mode == "rank", (F.count(F.lit(1)).over(side) - F.row_number().over(side.orderBy(F.desc("_x"), INSTRUMENT)) + 1).cast("double")).otherwise(raw)
+    if "score" in modes:
+        raw = F.when(mode == "score", score).otherwise(raw)
+    if "score_vol" in modes:
+        raw = F.when(mode == "score_vol", score / F.greatest(F.coalesce("realized_vol_20", F.percentile("realized_vol_20", 0.5).over(side), F.lit(1.0)), F.lit(1e-6))).otherwise(raw)
     rows = rows.withColumn("_score", raw)
-    if cap is None:
-        weight = F.col("_score") / F.sum("_score").over(side)
-        rows = rows.withColumn("weight", weight)
-    else:
-        rows = rows.withColumn("_c", capped(F.col("_score"), cap, *keys))
+    weight, gone = F.col("_score") / F.sum("_score").over(side), ["_x", "_score"]
+    if cap is not None:
+        rows = rows.withColumn("_c", capped(cap, *keys))
         rows = rows.withColumn("_k", F.min(F.when(F.col("_c.ok"), F.col("_c.k"))).over(side)).withColumn("_rest", F.max(F.when(F.col("_c.k") == F.col("_k"), F.col("_c.rest"))).over(side))
         free = F.col("_score") * (1 - F.col("_k") * F.col("_c.most")) / F.col("_rest")
-        rows = rows.withColumn("weight", F.when(F.col("_k").isNull() | (F.col("_c.k") < F.col("_k")), F.col("_c.most")).otherwise(free)).drop("_c", "_k", "_rest")
-    return rows.withColumn("weight", F.when(F.col("side") == "long", F.col("weight")).otherwise(-F.col("weight"))).drop("_x", "_score")
+        cut = F.when(F.col("_k").isNull() | (F.col("_c.k") < F.col("_k")), F.col("_c.most")).otherwise(free)
+        weight, gone = F.when(cap.isNull(), weight).otherwise(cut), [*gone, "_c", "_k", "_rest"]
+    rows = rows.withColumn("weight", weight).drop(*gone)
+    return rows.withColumn("weight", F.when(F.col("side") == "long", F.col("weight")).otherwise(-F.col("weight")))
+
+
+def side_weights(rows: DataFrame, mode: str = "equal", cap: float | None = None) -> DataFrame:
+    """``rows`` of books with weight: positive sums to 1 for longs, negative to -1 for shorts, on each date.
+
+    equal; rank (n for the best down to 1); score (distance to the weakest score of the side); score_vol (score over
+    realised volatility, missing ones as the side's median, 1e-6 at least)."""
+    return weighted(rows, [mode], F.lit(mode), None if cap is None else F.lit(float(cap)), [DATE, "side"])
 
 
 def trade_summary(weights: DataFrame, cfg: Config, by=(DATE,)) -> DataFrame:
@@ -173,21 +196,41 @@ def sector_exposure(weights: DataFrame, universe: DataFrame) -> DataFrame:
     return out.withColumn("net_sector_weight", F.col("long_weight") - F.col("short_weight_abs")).withColumn("abs_net_sector_weight", F.abs("net_sector_weight"))
 
 
+def settings(spark, configs: list[Config]) -> DataFrame:
+    """A row for each configuration (cell: its place), as the plan of all needs it."""
+    rows = [(i, c.step, c.delay, c.hold if c.clock == "signal_horizon" else c.hold + c.delay, c.days, c.sleeves, c.top_k, c.neutral, c.weights, None if c.cap is None else float(c.cap), 1.0 / c.sleeves, c.cost_bps / 1e4, c.borrow_bps / 1e4 / YEAR) for i, c in enumerate(configs)]
+    return spark.createDataFrame(rows, "cell int, step int, delay int, reach int, days int, slots int, top_k int, neutral boolean, mode string, cap double, _share double, _cost double, _borrow double")
+
+
+def schedule(days: DataFrame, configs: DataFrame) -> DataFrame:
+    """(cell, date, slot, execution_date, end_date, settings...) of each step-th date of each configuration whose holding window
+    fits in the calendar ``days`` (date, t). As many rows as dates times configurations."""
+    at = lambda k, name: F.broadcast(days.select(F.col("t").alias(k), F.col(DATE).alias(name)))
+    spec = days.join(F.broadcast(configs), (F.col("t") - 1) % F.col("step") == 0)  # tables of dates and configurations
+    spec = spec.withColumns({"_e": F.col("t") + F.col("delay"), "_z": F.col("t") + F.col("reach"), "slot": (F.floor((F.col("t") - 1) / F.col("step")) % F.col("slots")).cast("int")})
+    return spec.join(at("_e", "execution_date"), "_e").join(at("_z", "end_date"), "_z").drop("_e", "_z", "t", "step", "delay", "reach", "slots")
+
+
+def all_sleeves(rows: DataFrame, configs: list[Config]) -> DataFrame:
+    """Target weights of all sleeves of all configurations: books ranked and picked once, expanded by the schedule."""
+    days = stored(calendar.calendar(rows))
+    spec = schedule(days, settings(rows.sparkSession, configs))
+    picked = all_books(rows, sorted({(c.top_k, c.neutral) for c in configs})).join(F.broadcast(spec), [DATE, "top_k", "neutral"])
+    cap = F.col("cap") if any(c.cap is not None for c in configs) else None
+    return weighted(picked, {c.weights for c in configs}, F.col("mode"), cap, ["cell", DATE, "side"]).drop("top_k", "neutral", "mode", "cap")
+
+
 def sleeves(rows: DataFrame, cfg: Config) -> DataFrame:
     """Target weights of all sleeves: the books of every step-th date of ``rows`` whose holding window fits, with slot,
     execution and end dates."""
-    days = calendar.calendar(rows).withColumn("_i", F.col("t") - 1).where(F.col("_i") % cfg.step == 0)
-    windows = calendar.holding_windows(rows, cfg.hold, cfg.delay, cfg.clock).withColumnRenamed("signal_date", DATE)
-    spec = days.join(windows, DATE).select(DATE, (F.floor(F.col("_i") / cfg.step) % cfg.sleeves).cast("int").alias("slot"), "execution_date", "end_date", "days")
-    picked = books(rows.join(F.broadcast(spec), DATE), cfg.top_k, cfg.neutral)
-    return side_weights(picked, cfg.weights, cfg.cap)
+    return all_sleeves(rows, [cfg]).drop("cell", "_share", "_cost", "_borrow")
 
 
 def held_days(targets: DataFrame, market: DataFrame, by=()) -> DataFrame:
     """Each sleeve's names on each date of its window (after execution, up to the end) with returns, and complete: whether
     every name of the sleeve has all of them. ``by``: columns of the targets that tell their sleeves apart besides the
     signal date; they stay."""
-    days = calendar.calendar(market)
+    days = stored(calendar.calendar(market))
     at = days.select(F.col("t").alias("_t0"), F.col(DATE).alias("execution_date"))
     to = days.select(F.col("t").alias("_t1"), F.col(DATE).alias("end_date"))
     rows = targets.withColumnRenamed(DATE, "signal_date").select(*by, "signal_date", "slot", "execution_date", "end_date", "days", INSTRUMENT, "sector", "side", "weight")
@@ -207,15 +250,12 @@ def skipped(held: DataFrame) -> DataFrame:
 def ledgers(rows: DataFrame, market: DataFrame, configs: list[Config]) -> DataFrame:
     """For each configuration (``cell``: its place in the list) the daily portfolio of all sleeves: returns of both sides,
     costs, exposures and net return of every market date from the first execution to the last end (dates in cash are
-    zero), the equal-weight benchmark and both values. Only the choice of books differs by configuration; holding,
-    costs and sums are one pass over the sleeves of all.
+    zero), the equal-weight benchmark and both values. Rows are ranked once and the market is read once, whatever the number
+    of configurations; books, weights, windows and costs are expanded from a table of them.
 
     Sleeves without a complete return path are skipped whole. Entry costs fall on the execution date, exit costs on
     the last, borrow costs on each date held."""
-    targets = None
-    for i, cfg in enumerate(configs):
-        one = sleeves(rows, cfg).withColumns({"cell": F.lit(i), "_share": F.lit(1.0 / cfg.sleeves), "_cost": F.lit(cfg.cost_bps / 1e4), "_borrow": F.lit(cfg.borrow_bps / 1e4 / YEAR)})
-        targets = one if targets is None else targets.unionByName(one)
+    targets = all_sleeves(rows, configs)
     cell = ["cell", "_share", "_cost", "_borrow"]
     held = held_days(targets, market, cell).where("complete")
     r, w = F.col("daily_close_return"), F.col("weight")
@@ -293,7 +333,7 @@ def grid(rows: DataFrame, market: DataFrame, configs: list[Config]) -> DataFrame
     """A summary for each configuration, from one ledger of all."""
     about = [(i, c.hold, c.top_k, float(c.cost_bps), c.neutral, c.weights) for i, c in enumerate(configs)]
     names = rows.sparkSession.createDataFrame(about, "cell int, hold int, top_k int, cost_bps double, neutral boolean, weights string")
-    return summarize(ledgers(rows, market, configs), ("cell",)).join(F.broadcast(names), "cell")  # a row per configuration
+    return summarize(stored(ledgers(rows, market, configs)), ("cell",)).join(F.broadcast(names), "cell")  # a row per configuration
 
 
 def best_configs(summary: DataFrame, k: int = 10, metrics=("sharpe", "calmar", "max_drawdown", "total_return")) -> DataFrame:

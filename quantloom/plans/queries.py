@@ -468,7 +468,7 @@ m AS (SELECT product(1 + net_return) - 1 AS r FROM nav GROUP BY date_trunc('mont
 SELECT count(*) AS n_days, {tidy_sql('(max_by(nav, date) - 1)')} AS total_return, {tidy_sql('(stddev_samp(net_return) * sqrt(252))')} AS annual_volatility, {tidy_sql('(avg(net_return) / stddev_samp(net_return) * sqrt(252))')} AS sharpe, {tidy_sql('min(dd)')} AS max_drawdown, {tidy_sql('avg((net_return > 0)::INT)')} AS hit_ratio,
   {tidy_sql('sum(transaction_cost)')} AS transaction_cost, {tidy_sql('sum(borrow_cost)')} AS borrow_cost, (SELECT {tidy_sql('avg((r > 0)::INT)')} FROM m) AS month_hit_ratio, (SELECT count(*) FROM m) AS n_months FROM d""")
 def long_short_summary(spark, sf_dir):
-    out = portfolio.summarize(portfolio.ledger(*_traded(spark, sf_dir), _cfg))
+    out = portfolio.summarize(stored(portfolio.ledger(*_traded(spark, sf_dir), _cfg)))
     return tidied(out.select("n_days", "total_return", "annual_volatility", "sharpe", "max_drawdown", "hit_ratio", "transaction_cost", "borrow_cost", "month_hit_ratio", "n_months"))
 
 

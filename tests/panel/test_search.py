@@ -182,3 +182,55 @@ def test_noise_is_counted_not_drawn(spark):
     assert abs(noise.mean()) < 0.06 and abs(noise.std() - 1) < 0.05 and abs((np.abs(noise) < 1).mean() - 0.683) < 0.03
     assert abs(sum(one["dropout", i] is None for i in range(4000)) / 4000 - 0.3) < 0.03
     assert all(one["base", i] == i % 7 for i in range(4000))
+
+
+def _traded(spark):
+    from quantloom.operators import portfolio
+
+    rng = np.random.default_rng(9)
+    days = [date(2021, 1, 1) + timedelta(days=i) for i in range(30)]
+    market = [(d, i, "abc"[i % 3], float(rng.normal() / 50), float(abs(rng.normal())) + 0.1) for d in days for i in range(24)]
+    market = spark.createDataFrame(market, "date date, instrument_id long, sector string, daily_close_return double, realized_vol_20 double")
+    scores = market.select("date", "instrument_id", (F.hash("date", "instrument_id") % 97).cast("double").alias("predicted_y"), F.lit(0.0).alias("y"))
+    return portfolio.merge_predictions(scores, market), market
+
+
+def test_grid_of_many_cells_is_the_ledgers_one_by_one(spark):
+    from quantloom.operators import portfolio
+
+    rows, market = _traded(spark)
+    cells = [portfolio.Config(hold=h, step=2, delay=1, top_k=k, cost_bps=c, neutral=n, weights=w, cap=cap, clock=clock) for h, clock in ((3, "signal_horizon"), (5, "execution_horizon")) for k in (2, 4) for n in (False, True) for c, w, cap in ((0.0, "equal", None), (20.0, "rank", 0.3), (20.0, "score_vol", None))]
+    got = {r.cell: r for r in portfolio.grid(rows, market, cells).collect()}
+    assert len(got) == len(cells) == 24
+    for i in (0, 4, 5, 11, 14, 22, 23):
+        one = portfolio.summarize(portfolio.ledger(rows, market, cells[i])).first()
+        assert all(got[i][x] == pytest.approx(one[x], abs=1e-12) for x in ("total_return", "sharpe", "max_drawdown", "transaction_cost", "n_days", "gross_exposure"))
+
+
+def test_scans_of_a_grid_do_not_grow_with_its_cells(spark):
+    from quantloom.operators import portfolio
+
+    rows, market = _traded(spark)
+    many = [portfolio.Config(hold=h, step=2, delay=1, top_k=k, cost_bps=c, neutral=n) for h in (3, 4, 5, 6) for k in (1, 2, 3, 4) for c in (0.0, 20.0) for n in (False, True)]
+    some = [many[0], many[1]]
+    count = lambda cells: portfolio.ledgers(rows, market, cells)._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD")
+    assert len(many) == 64 and count(many) == count(some)
+
+
+def test_books_of_many_kinds_are_those_of_each(spark):
+    from quantloom.operators import portfolio
+
+    rows, _ = _traded(spark)
+    kinds = [(k, n) for k in (1, 3, 5, 12) for n in (False, True)]
+    got = portfolio.all_books(rows.where("instrument_id <> 7"), kinds).toPandas()
+    for k, n in kinds:
+        own = got[(got.top_k == k) & (got.neutral == n)]
+        if k == 12:
+            assert len(own) == 0  # 23 names are fewer than two books
+            continue
+        for d, f in rows.where("instrument_id <> 7").toPandas().groupby("date"):
+            book = own[own.date == d]
+            assert (book.side == "long").sum() == (book.side == "short").sum() == k
+            if not n:
+                order = f.sort_values(["predicted_y", "instrument_id"], ascending=[False, True])
+                assert set(book[book.side == "long"].instrument_id) == set(order.instrument_id[:k])
