@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quantloom.functions import columns as C
 from quantloom.functions.columns import DATE, INSTRUMENT
+from quantloom.functions.tables import stored
 
 
 def market_returns(panel: DataFrame, horizons=(1, 5, 20)) -> DataFrame:
@@ -17,15 +18,33 @@ def market_returns(panel: DataFrame, horizons=(1, 5, 20)) -> DataFrame:
 
 
 def classify(edges: DataFrame, stable: float = 0.5, quality: float = 0.5) -> DataFrame:
-    """Edges with is_stable, is_quality, is_directed and is_sector; columns that are absent make them false."""
-    has = lambda x: x in edges.columns
-    flag = lambda ok, c: F.coalesce(c, F.lit(False)) if ok else F.lit(False)
-    return edges.withColumns({
-        "is_stable": flag(has("edge_stability_score"), F.col("edge_stability_score") >= stable if has("edge_stability_score") else None),
-        "is_quality": flag(has("edge_quality_score"), F.col("edge_quality_score") >= quality if has("edge_quality_score") else None),
-        "is_directed": flag(has("directed_lag_score"), F.col("directed_lag_score") > 0 if has("directed_lag_score") else None),
-        "is_sector": flag(has("same_sector"), F.col("same_sector") if has("same_sector") else None),
-    })
+    """Edges with is_stable, is_directed, is_sector and is_quality: by their type or by scores; a directed, stable or same-sector
+    edge has quality, whatever its score. Columns that are absent or null say nothing."""
+    has = lambda x: F.coalesce(F.col(x), F.lit(0.0)) if x in edges.columns else F.lit(0.0)
+    kind = F.coalesce(F.col("typed_edge"), F.lit("")) if "typed_edge" in edges.columns else F.lit("")
+    sector = F.coalesce(F.col("same_sector"), F.lit(False)) if "same_sector" in edges.columns else F.lit(False)
+    flags = {"is_stable": (kind == "stable_corr_edge") | (has("edge_stability_score") >= stable), "is_directed": (kind == "directed_lag_edge") | (has("directed_lag_factor_count") > 0) | (has("directed_lag_score") > 0), "is_sector": sector}
+    return edges.withColumns(flags).withColumn("is_quality", F.col("is_directed") | F.col("is_stable") | F.col("is_sector") | (has("edge_quality_score") >= quality))
+
+
+def with_centralities(edges: DataFrame, rounds: int = 8, damping: float = 0.85) -> DataFrame:
+    """``edges`` (date, source, target, weight; weights positive) with source_influence_centrality and target_neighbor_centrality.
+
+    Power iteration on each date's graph: a node's influence is what its targets pass on, each in proportion to its
+    incoming weights, plus an equal share for all; after ``rounds`` rounds, times the number of nodes (1: as influential as the
+    mean). A target's exposure is the mean influence of its sources by weight. A round is a join and an aggregation of tables
+    of the size of the edges, by date and node; influence is stored after each, so plans do not grow with the rounds."""
+    share = F.col("weight") / F.sum("weight").over(Window.partitionBy(DATE, "target"))
+    e = stored(edges.where("weight > 0").select(DATE, "source", "target", share.alias("share")))
+    nodes = e.select(DATE, F.col("source").alias("node")).union(e.select(DATE, "target")).distinct()
+    x = stored(nodes.withColumn("x", F.lit(1.0)))
+    for _ in range(rounds):
+        got = e.join(x.withColumnRenamed("node", "target"), [DATE, "target"]).groupBy(DATE, F.col("source").alias("node")).agg(F.sum(F.col("share") * F.col("x")).alias("in"))
+        y = x.join(got, [DATE, "node"], "left").select(DATE, "node", (1 - damping + damping * F.coalesce("in", F.lit(0.0))).alias("y"))
+        x = stored(y.select(DATE, "node", (F.col("y") / F.avg("y").over(Window.partitionBy(DATE))).alias("x")))
+    near = e.join(x.withColumnRenamed("node", "source"), [DATE, "source"]).groupBy(DATE, "target").agg(F.sum(F.col("share") * F.col("x")).alias("target_neighbor_centrality"))
+    out = edges.join(x.select(DATE, F.col("node").alias("source"), F.col("x").alias("source_influence_centrality")), [DATE, "source"], "left")
+    return out.join(near, [DATE, "target"], "left").select(*edges.columns, "source_influence_centrality", "target_neighbor_centrality")
 
 
 def std_from_sums(sw, swx, swxx):
@@ -37,7 +56,8 @@ def std_from_sums(sw, swx, swxx):
 def relation_features(edges: DataFrame, returns: DataFrame, horizons=(1, 5, 20)) -> DataFrame:
     """By (date, target): weighted means of the sources' returns over all edges (weight of those with a return) and over
     stable, same-sector, quality and directed ones (their full weight); dispersion, the top peer's return, number and
-    sum of weights. One join of edges with returns, one aggregation."""
+    sum of weights; the weight of each kind; the peers' return one row late; mean quality and centralities by weight, where the
+    edges have them. One join of edges with returns, one aggregation."""
     e = classify(edges).join(returns.withColumnRenamed(INSTRUMENT, "source"), [DATE, "source"], "left")
     agg = [F.count("*").alias("peers"), F.sum("weight").alias("weight_sum")]
     for n in horizons:
@@ -48,6 +68,17 @@ def relation_features(edges: DataFrame, returns: DataFrame, horizons=(1, 5, 20))
             own = F.when(F.col(f"is_{kind}"), w)
             agg.append((F.sum(own * x) / F.when(F.sum(own) != 0, F.sum(own))).alias(f"{kind}_peer_ret_{n}"))
         agg.append(std_from_sums(F.sum(there), F.sum(w * x), F.sum(w * x * x)).alias(f"peer_dispersion_{n}"))
+    late, there = F.col("ret_1_lag"), F.when(F.col("ret_1_lag").isNotNull(), F.col("weight"))
+    agg.append((F.sum(F.col("weight") * late) / F.when(F.sum(there) != 0, F.sum(there))).alias("lead_lag_peer_ret_1"))
+    for kind in ("stable", "sector", "quality", "directed"):
+        agg.append(F.coalesce(F.sum(F.when(F.col(f"is_{kind}"), F.col("weight"))), F.lit(0.0)).alias(f"{kind}_strength"))
+    for kind in ("stable", "quality"):
+        own = F.when(F.col(f"is_{kind}"), F.col("weight"))
+        agg.append(std_from_sums(F.sum(own), F.sum(own * F.coalesce("ret_1", F.lit(0.0))), F.sum(own * F.coalesce(F.col("ret_1") * F.col("ret_1"), F.lit(0.0)))).alias(f"{kind}_peer_dispersion_1"))
+    full = F.when(F.sum("weight") != 0, F.sum("weight"))
+    agg += [(F.sum(F.col("weight") * F.coalesce(x, F.lit(0.0))) / full).alias(x) for x in ("source_influence_centrality", "edge_quality_score") if x in edges.columns]
+    if "target_neighbor_centrality" in edges.columns:
+        agg.append(F.avg("target_neighbor_centrality").alias("target_neighbor_centrality"))
     agg += [F.max(F.when(F.col("rank") == 1, F.col("ret_1"))).alias("top_peer_ret_1"), F.stddev_samp("ret_1").alias("peer_std_1")]
     return e.groupBy(DATE, F.col("target").alias(INSTRUMENT)).agg(*agg)
 

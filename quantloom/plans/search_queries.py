@@ -8,9 +8,10 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from quantloom.functions.tables import stored
-from quantloom.operators import alpha_scores, linear_grid, preprocess, signals
+from quantloom.operators import alpha_scores, linear_grid, preprocess, relation, signals, staged
 
 from . import queries as base
+from . import testpanel as tp
 from .queries import _corr, _pred, query, tidied, tidied_sql
 from .testpanel import tidy_sql
 
@@ -151,3 +152,59 @@ def add_one_by_metric(spark, sf_dir):
 def forward_by_metric(spark, sf_dir):
     rows = base._signals(spark, sf_dir)
     return tidied(linear_grid.forward_by_metric(rows, ["volume"], _POOL, _WINDOWS, 3, "composite_ic_rank_ls", overlap=0.001, redundancy=0.001, groups=5))
+
+
+# ---- centralities ----
+
+
+def _power(k):
+    return f"""x{k} AS MATERIALIZED (SELECT date, node, y / avg(y) OVER (PARTITION BY date) AS x FROM (SELECT n.date, n.node, 0.15 + 0.85 * coalesce(g.s, 0) AS y FROM x{k - 1} n
+  LEFT JOIN (SELECT e.date, e.source AS node, sum(share * x) AS s FROM es e JOIN x{k - 1} t ON t.date = e.date AND t.node = e.target GROUP BY 1, 2) g USING (date, node)))"""
+
+
+_central = f"""WITH {tp.panel_sql()}, {tp.EDGES_SQL}, es AS (SELECT *, weight / sum(weight) OVER (PARTITION BY date, target) AS share FROM edges),
+x0 AS (SELECT DISTINCT date, node, 1.0::DOUBLE AS x FROM (SELECT date, source AS node FROM es UNION ALL SELECT date, target FROM es)), {', '.join(map(_power, range(1, 5)))},
+nb AS (SELECT es.date, es.target, sum(share * x) AS near FROM es JOIN x4 ON x4.date = es.date AND node = source GROUP BY 1, 2),
+ce AS (SELECT es.*, x AS influence, near FROM es JOIN x4 ON x4.date = es.date AND node = source JOIN nb ON nb.date = es.date AND nb.target = es.target),
+cp AS (SELECT date, target AS instrument_id, sum(weight * influence) / sum(weight) AS source_influence_centrality, avg(near) AS target_neighbor_centrality, coalesce(sum(weight) FILTER (same_sector), 0) AS sector_strength, coalesce(sum(weight) FILTER (same_sector), 0) AS quality_strength, 0.0::DOUBLE AS directed_strength FROM ce GROUP BY 1, 2),
+cl AS (SELECT e.date, e.target AS instrument_id, sum(weight * v) / nullif(sum(weight) FILTER (v IS NOT NULL), 0) AS lead_lag_peer_ret_1 FROM edges e LEFT JOIN (SELECT date, instrument_id, lag(r) OVER (PARTITION BY instrument_id ORDER BY date) AS v FROM (SELECT date, instrument_id, close / nullif(lag(close) OVER (PARTITION BY instrument_id ORDER BY date), 0) - 1 AS r FROM panel)) p ON p.date = e.date AND p.instrument_id = e.source GROUP BY 1, 2)"""
+_central_columns = ["source_influence_centrality", "target_neighbor_centrality", "sector_strength", "quality_strength", "directed_strength", "lead_lag_peer_ret_1"]
+
+
+@query("relation_centrality", f"{_central} {tidied_sql(_central_columns, 'cp LEFT JOIN cl USING (date, instrument_id)')}")
+def relation_centrality(spark, sf_dir):
+    edges = relation.with_centralities(tp.edges(spark, sf_dir), rounds=4)
+    out = relation.relation_features(edges, relation.market_returns(tp.panel(spark, sf_dir)), (1,))
+    return tidied(out.select("instrument_id", "date", *_central_columns))
+
+
+# ---- staged scores ----
+
+
+_STAGED = ["open", "high", "low", "volume", "turnover", "vwap", "adjustment", "market_cap"]
+_split = "hc AS (SELECT date, t <= (SELECT max(t) FROM cal) // 2 AS early FROM cal)"
+_ranks = lambda by, x: f"rank() OVER (PARTITION BY {by} ORDER BY {x}) + (count(*) OVER (PARTITION BY {by}, {x}) - 1) / 2"
+_staged_sql = f"""{_pred}, {_split}, ls AS (SELECT p.date, p.instrument_id, y, predicted_y, early, u.f AS factor, u.v AS value FROM panel p JOIN pred USING (date, instrument_id) JOIN hc USING (date), LATERAL (SELECT unnest({_STAGED}) AS f, unnest([{', '.join(_STAGED)}]) AS v) u),
+ic AS (SELECT factor, early, date, CASE WHEN count(*) >= 5 THEN {_corr.format(a='value', b='y')} END AS ic FROM ls WHERE y IS NOT NULL AND value IS NOT NULL GROUP BY 1, 2, 3),
+pool AS (SELECT factor, avg(ic) AS pool_ic, row_number() OVER (ORDER BY round(abs(avg(ic)), 9) DESC, factor) AS place FROM ic WHERE early GROUP BY 1),
+top AS (SELECT *, CASE WHEN pool_ic < 0 THEN -1 ELSE 1 END AS direction FROM pool WHERE place <= 3),
+sh AS (SELECT ls.*, direction * value AS v FROM ls JOIN top USING (factor)),
+sr AS (SELECT *, {_ranks('factor, date', 'v')} AS rk, count(*) OVER (PARTITION BY factor, date) AS n, row_number() OVER (PARTITION BY factor, date ORDER BY v DESC, instrument_id) AS pos FROM sh WHERE v IS NOT NULL),
+tn AS (SELECT factor, early, avg(d) AS turn FROM (SELECT factor, early, abs(rk / n - lag(rk / n) OVER (PARTITION BY factor, early, instrument_id ORDER BY date)) AS d FROM sr) GROUP BY 1, 2),
+tk AS (SELECT *, dense_rank() OVER (PARTITION BY factor, early ORDER BY date) AS k FROM sr WHERE pos <= greatest(ceil(n * 0.2), 1)),
+rt AS (SELECT factor, early, avg(stay / were) AS kept FROM (SELECT o.factor, o.early, o.k, count(*) AS were, count(b.instrument_id) AS stay FROM tk o LEFT JOIN tk b ON b.factor = o.factor AND b.early = o.early AND b.k = o.k + 1 AND b.instrument_id = o.instrument_id WHERE o.k < (SELECT max(k) FROM tk z WHERE z.factor = o.factor AND z.early = o.early) GROUP BY 1, 2, 3) GROUP BY 1, 2),
+gp AS (SELECT factor, early, date, y, least(greatest(ceil(row_number() OVER (PARTITION BY factor, date ORDER BY v, instrument_id) / count(*) OVER (PARTITION BY factor, date) * 5), 1), 5) AS g FROM sh WHERE y IS NOT NULL AND v IS NOT NULL),
+sp AS (SELECT factor, early, max_by(r, g) - min_by(r, g) AS spread FROM (SELECT factor, early, g, avg(r) AS r FROM (SELECT factor, early, date, g, avg(y) AS r FROM gp GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3) GROUP BY 1, 2),
+nr AS (SELECT factor, round(corr(v, predicted_y), 10) AS oos_baseline_corr FROM sh WHERE NOT early AND v IS NOT NULL GROUP BY 1),
+late AS (SELECT factor, avg(ic) AS ic FROM ic WHERE NOT early GROUP BY 1),
+st AS (SELECT p.factor AS candidate_id, p.place, CASE WHEN p.place <= 3 THEN 'ok' ELSE 'not_shortlisted' END AS status, p.pool_ic, t.direction * l.ic AS oos_ic, a.turn AS train_rank_turnover, b.turn AS oos_rank_turnover, c.kept AS train_retention, d.kept AS oos_retention,
+  e.spread - 2 * (1 - c.kept) * 20 / 1e4 AS train_net_spread, f.spread - 2 * (1 - d.kept) * 20 / 1e4 AS oos_net_spread, oos_baseline_corr
+  FROM pool p LEFT JOIN top t USING (factor) LEFT JOIN late l ON l.factor = t.factor LEFT JOIN tn a ON a.factor = t.factor AND a.early LEFT JOIN tn b ON b.factor = t.factor AND NOT b.early LEFT JOIN rt c ON c.factor = t.factor AND c.early LEFT JOIN rt d ON d.factor = t.factor AND NOT d.early LEFT JOIN sp e ON e.factor = t.factor AND e.early LEFT JOIN sp f ON f.factor = t.factor AND NOT f.early LEFT JOIN nr ON nr.factor = t.factor
+  UNION ALL SELECT 'no_such_signal', NULL, 'missing_signal', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL)"""
+_staged_columns = ["pool_ic", "oos_ic", "train_rank_turnover", "oos_rank_turnover", "train_retention", "oos_retention", "train_net_spread", "oos_net_spread", "oos_baseline_corr"]
+
+
+@query("staged_scores", f"{_staged_sql} {tidied_sql(_staged_columns, 'st', 'candidate_id, place, status')}")
+def staged_scores(spark, sf_dir):
+    rows = base._signals(spark, sf_dir)
+    return tidied(staged.staged_scores(rows, [*_STAGED, "no_such_signal"], 3), ("candidate_id",))

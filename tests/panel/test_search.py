@@ -234,3 +234,16 @@ def test_books_of_many_kinds_are_those_of_each(spark):
             if not n:
                 order = f.sort_values(["predicted_y", "instrument_id"], ascending=[False, True])
                 assert set(book[book.side == "long"].instrument_id) == set(order.instrument_id[:k])
+
+
+def test_stored_tables_go_with_their_block(spark, tmp_path, monkeypatch):
+    import __spark_entry__
+    from quantloom.functions import tables
+
+    shared = tmp_path / "shared"
+    monkeypatch.setattr(tables, "shared_folder", lambda spark: str(shared))
+    for name in ("signal_edges", "penalty_grid", "long_short_summary", "staged_scores", "relation_centrality"):
+        with tables.released(spark):
+            __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001").write.parquet(str(tmp_path / "out" / name))
+            assert list(shared.glob("stored-*"))
+        assert not list(shared.glob("stored-*")) and spark.read.parquet(str(tmp_path / "out" / name)).count() > 0
