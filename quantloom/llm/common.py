@@ -3,12 +3,7 @@ broadcast side is checked, connected components, and hashed words of Arrow strin
 
 from __future__ import annotations
 
-import atexit
 import os
-import shutil
-import tempfile
-import uuid
-from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -17,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quantloom.functions.tables import released, remove, shared_folder, stored  # noqa: F401  (operators and the pipeline take them from here)
+
 #: Bytes that may be broadcast: beyond this, joins shuffle both sides.
 BROADCAST_BYTES = 24 << 20
 #: ASCII white space: space and \t \n \v \f \r.
@@ -24,8 +21,6 @@ WHITE = " \t\n\x0b\x0c\r"
 WORD_BREAK = r"[ \t-\r]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SHINGLE = 5
-_own: list[str] = []
-_written: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,48 +36,8 @@ def workers_import(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir. Where that is unset, one of this machine serves a local master; on a cluster
-    it is an error."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if base is None:
-        master = spark.sparkContext.master
-        if master != "local" and not master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
-        if not _own:
-            _own.append(tempfile.mkdtemp(prefix="spark-durable-"))
-            atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
-        base = _own[0]
-    return base.rstrip("/")
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a folder that Spark wrote."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """``df`` computed once, written as Parquet to the shared folder of spark.checkpoint.dir and read from there, so
-    its lineage is cut and it survives the loss of executors. Only where the setting is absent (tests, one machine)
-    a folder of this machine serves, which goes when Python ends; ``released`` deletes earlier."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/durable-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-@contextmanager
-def released(spark: SparkSession):
-    """Tables made durable inside the block are deleted at its end: what is read from them must be written by then."""
-    before = len(_written)
-    try:
-        yield
-    finally:
-        for path in _written[before:]:
-            remove(spark, path)
-        del _written[before:]
+#: A table written to the shared folder and read from there.
+durable = stored
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

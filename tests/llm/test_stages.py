@@ -5,6 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
+from quantloom.functions import tables
 from quantloom.llm import common
 
 NAMES = ["_score", "score", "_n", "n", "n_dropped", "_bitmap", "bitmap", "_row", "row", "_key", "doc", "_id", "_epoch", "block", "_block", "order_key", "_order_key", "_source", "epoch"]
@@ -78,6 +79,6 @@ def test_released_tables_are_deleted(spark):
 
     with common.released(spark):
         df = common.durable(spark.range(5))
-        path = common._written[-1]
+        path = tables._written[-1]
         assert df.count() == 5 and os.path.isdir(path)
     assert not os.path.exists(path)
