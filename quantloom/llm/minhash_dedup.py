@@ -76,34 +76,34 @@ def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np
 
 
 def _own(column: pa.Array, m: int = 0):
-    """For each text its distinct shingles as two rows of 64-bit hashes, sorted by the first; and m registers if any are wanted."""
-    for _, data, at in chunks(column):
+    """By runs of texts (first, shingles, registers): the distinct shingles of each as two rows of 64-bit hashes, sorted by the
+    first; and m registers if any are wanted."""
+    for row, data, at in chunks(column):
         *h, limits = wide_words(data, at)
         (s, ends), (t, _) = (shingles(x, limits) for x in h)
         rows = []
         for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
             one, first = np.unique(s[i:j], return_index=True)
             rows.append(np.stack([one, t[i:j][first]]))
-        yield rows, registers(s, ends, m) if m else None
+        yield row, rows, registers(s, ends, m) if m else None
 
 
 def _sketch(m: int):
     def sketch(batches):
         for batch in batches:
-            n, key, regs = [], [], []
-            for rows, r in _own(batch.column(1), m):
-                n += [x.shape[1] for x in rows]
-                key += [xxhash.xxh3_128_digest(x.tobytes()) for x in rows]
-                regs += [x.tobytes() for x in r]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(regs, pa.binary())], ["doc_id", "row", "n", "key", "regs"])
+            for first, rows, regs in _own(batch.column(1), m):
+                n = pa.array([x.shape[1] for x in rows], pa.int64())
+                key = pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in rows], pa.binary())
+                own = (batch.column(i).slice(first, len(rows)) for i in (0, 2))
+                yield pa.RecordBatch.from_arrays([*own, n, key, pa.array([x.tobytes() for x in regs], pa.binary())], ["doc_id", "row", "n", "key", "regs"])
 
     return sketch
 
 
 def _sets(batches):
     for batch in batches:
-        out = [x.tobytes() for rows, _ in _own(batch.column(1)) for x in rows]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["id", "hashes"])
+        for first, rows, _ in _own(batch.column(1)):
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(rows)), pa.array([x.tobytes() for x in rows], pa.binary())], ["id", "hashes"])
 
 
 def numbered(sets: list[bytes]) -> np.ndarray:
