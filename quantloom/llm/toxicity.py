@@ -20,10 +20,9 @@ WIDTH, STRIDE = 32, 16
 WORDS, WORD_DIM, GRAMS, GRAM_DIM, LARGEST, HIDDEN, ATTEND = 1 << 16, 8, 1 << 16, 6, 2, 8, 8
 #: A word's grams: its beginnings of 4 to 8 bytes, and all runs of 6 bytes; all of it where it is shorter.
 BEGIN, RUN = (4, 8), 6
-#: Labelled documents to learn from at most, passes, windows in a batch, step.
-MOST_LABELS, PASSES, BATCH, STEP = 4000, 2, 128, 0.006
-#: Steps in a pass at least: small samples are gone through again.
-LEAST_STEPS = 80
+#: Labelled documents to learn from at most; rounds, for each of which windows are chosen, and updates in a round; windows in
+#: a batch, step.
+MOST_LABELS, ROUNDS, UPDATES, BATCH, STEP = 4000, 2, 96, 128, 0.01
 #: Words and grams in fewer labelled documents have no embedding of their own.
 LEAST_DOCS = 5
 _INPUT = WORD_DIM + GRAM_DIM
@@ -228,10 +227,11 @@ def fit(labels: np.ndarray, ids, grams, first, limits, seed: int = 3):
 
 
 def _fit_network(labels, ids, grams, first, limits, use, seed):
-    """A network from the documents marked in ``use``. A document is toxic if some window is: each pass takes, of a toxic
-    document, the window that now scores highest and the next one, of others some at random, and the highest too of a
-    third of them. The first pass goes by the association of words and grams with the labels, which also starts one
-    dimension of each embedding."""
+    """A network from the documents marked in ``use``, by ROUNDS times UPDATES steps whatever their number. A document is toxic if
+    some window is: each round takes, of a toxic document, the window that now scores highest and the next one, of others
+    some at random, and the highest too of a third of them, and goes through all these in random order, again when they
+    are used up. The first round goes by the association of words and grams with the labels, which also starts one dimension
+    of each embedding."""
     rng = np.random.default_rng(seed)
     m = new_model(rng)
     n_docs = np.diff(limits)
@@ -251,7 +251,7 @@ def _fit_network(labels, ids, grams, first, limits, use, seed):
     learn = np.flatnonzero(use & (n_docs > 0))
     moment, second, step = {k: np.zeros_like(v) for k, v in m.items()}, {k: np.zeros_like(v) for k, v in m.items()}, 0
     weight = np.where(labels == 1, min(5.0, 0.5 / max(p, 1e-3)), 1.0)
-    for go in range(PASSES):
+    for go in range(ROUNDS):
         hard = learn[(labels[learn] == 1) | (rng.random(len(learn)) < 1 / 3)]
         if go:
             w = np.concatenate([np.arange(begin_of[d], begin_of[d + 1]) for d in hard])
@@ -266,10 +266,9 @@ def _fit_network(labels, ids, grams, first, limits, use, seed):
             else:
                 chosen += list(rng.choice(own, min(2, len(own)), replace=False)) + ([own[level[own].argmax()]] if d in hard else [])
         chosen = np.unique(chosen)
-        again = max(1, -(-LEAST_STEPS // -(-len(chosen) // BATCH)))
-        chosen = np.concatenate([rng.permutation(chosen) for _ in range(again)])
-        for i in range(0, len(chosen), BATCH):
-            w = chosen[i : i + BATCH]
+        drawn = np.concatenate([rng.permutation(chosen) for _ in range(-(-UPDATES * BATCH // len(chosen)))])
+        for i in range(0, UPDATES * BATCH, BATCH):
+            w = drawn[i : i + BATCH]
             at = start[w][:, None] + np.arange(WIDTH)
             pick = np.unique(at[at < end[w][:, None]])
             local = np.searchsorted(pick, start[w])
