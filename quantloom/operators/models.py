@@ -1,7 +1,8 @@
-"""Regressors on MLlib: per-model fits, walk-forward validation, weights and ensembles."""
+"""Regressors on MLlib and boosted trees of second order: per-model fits, walk-forward validation, weights and ensembles."""
 
 from __future__ import annotations
 
+from dataclasses import replace
 from itertools import product
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quantloom.functions.columns import DATE, INSTRUMENT
 
-from . import calendar, diagnostics, selection
+from . import boosting, calendar, diagnostics, selection
 
 #: Default parameters by model. Linear penalties are those of mean squared error over standardised features.
 DEFAULTS = {
@@ -40,20 +41,28 @@ def build(name: str, rows: int = 1, spread: float = 1.0, **params):
     return GBTRegressor(featuresCol="scaled", labelCol="y", predictionCol="predicted_y", maxIter=p["trees"], maxDepth=p["depth"], stepSize=p["step"], seed=7)
 
 
-def fit(train: DataFrame, features, name: str, **params) -> PipelineModel:
+def fit(train: DataFrame, features, name: str, **params) -> PipelineModel | boosting.Boosted:
+    """A model of y by name: one of DEFAULTS (MLlib) or of boosting.DEFAULTS, with parameters over its defaults."""
+    if name in boosting.DEFAULTS:
+        return boosting.fit(train, features, replace(boosting.DEFAULTS[name], **params))
     train = train.where("y is not null")
     rows, spread = train.agg(F.count("*"), F.stddev_pop("y")).first()
     return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="raw"), StandardScaler(inputCol="raw", outputCol="scaled", withMean=True, withStd=True), build(name, rows, spread or 1.0, **params)]).fit(train)
 
 
-def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
+def predict(model: PipelineModel | boosting.Boosted, df: DataFrame) -> DataFrame:
+    if isinstance(model, boosting.Boosted):
+        return boosting.predict(model, df)
     return model.transform(df).drop("raw", "scaled")
 
 
-def importance(model: PipelineModel, features, weight: float = 1.0) -> DataFrame:
-    """(feature, importance, share, weighted): sizes of coefficients, or the trees' importances."""
-    last = model.stages[-1]
-    values = [abs(float(x)) for x in (last.coefficients if hasattr(last, "coefficients") else last.featureImportances)]
+def importance(model: PipelineModel | boosting.Boosted, features, weight: float = 1.0) -> DataFrame:
+    """(feature, importance, share, weighted): sizes of coefficients, or the trees' importances (boosted trees: sums of gains)."""
+    if isinstance(model, boosting.Boosted):
+        values = [gain for gain, _ in boosting.importance(model)]
+    else:
+        last = model.stages[-1]
+        values = [abs(float(x)) for x in (last.coefficients if hasattr(last, "coefficients") else last.featureImportances)]
     total = sum(values) or 1.0
     from pyspark.sql import SparkSession
 

@@ -37,17 +37,19 @@ def _products(names, block):
     return run
 
 
-def added(sums: DataFrame, keys, values) -> DataFrame:
+def added(sums: DataFrame, keys, values, parts: int | None = None) -> DataFrame:
     """One row for each key with the element-wise sums of the arrays of doubles (as binary) in ``values``. ``sums`` has a row per
-    key and partition (part); they are added FAN at a time, so no task meets those of all partitions."""
+    key and partition (part); they are added FAN at a time, so no task meets those of all partitions. Where the number of
+    partitions is not given, ``sums`` is stored to count them."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         first = pdf.iloc[:1].copy()
         for c in values:
             first[c] = [np.add.reduce([np.frombuffer(v, float) for v in pdf[c]]).tobytes()]
         return first
 
-    sums = stored(sums)
-    parts = (sums.agg(F.max("part")).first()[0] or 0) + 1
+    if parts is None:
+        sums = stored(sums)
+        parts = (sums.agg(F.max("part")).first()[0] or 0) + 1
     while parts > 1:
         sums = sums.withColumn("part", F.floor(F.col("part") / FAN)).groupBy(*keys, "part").applyInPandas(run, sums.schema)
         parts = -(-parts // FAN)
