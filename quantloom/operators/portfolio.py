@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -355,49 +354,95 @@ def auto_cap(top_k: int) -> float:
 # ---- long-only books ----
 
 
-def long_only(rows: DataFrame, top_n: int, mode: str = "equal", cap: float | None = None, sector_tolerance: float | None = None) -> DataFrame:
-    """(date, instrument_id, weight): the highest scores; with ``sector_tolerance`` at most floor((share + tolerance) N),
-    one at least, of each sector, the rest filled up from all others."""
-    rows = rows.where("predicted_y is not null").withColumn("side", F.lit("long"))
+def _picked(rows: DataFrame, top_n: int, sector_tolerance: float | None) -> DataFrame:
+    """``rows`` with scores, and _u, the place in which a date's book takes them (its first ``top_n`` are held), and _most, the names
+    of the sector that it may hold: floor((share + tolerance) N), one at least; the rest is filled up from all others."""
+    rows = rows.where("predicted_y is not null")
     if sector_tolerance is None:
-        rows = rows.withColumn("_u", _place(True, DATE)).where(F.col("_u") <= top_n)
+        return rows.withColumns({"_u": _place(True, DATE), "_most": F.lit(None).cast("long")})
+    n_s, n = F.count("*").over(Window.partitionBy(DATE, "sector")), F.count("*").over(Window.partitionBy(DATE))
+    most = F.greatest(F.floor(F.round((n_s / n + sector_tolerance) * top_n, 9)), F.lit(1))
+    rows = rows.withColumn("_most", most).withColumn("_over", _place(True, DATE, "sector") > F.col("_most"))
+    return rows.withColumn("_u", F.row_number().over(Window.partitionBy(DATE).orderBy("_over", F.desc("predicted_y"), INSTRUMENT))).drop("_over")
+
+
+def long_only(rows: DataFrame, top_n: int, mode: str = "equal", cap: float | None = None, sector_tolerance: float | None = None, size_limit: float | None = None) -> DataFrame:
+    """(date, instrument_id, weight) of the highest scores; ``sector_tolerance`` bounds the names of a sector (_picked), and
+    with ``size_limit`` names are swapped until the mean size exposure is within it (swap_towards_neutral_size)."""
+    if size_limit is None:
+        held = _picked(rows, top_n, sector_tolerance).where(F.col("_u") <= top_n).drop("_u", "_most")
     else:
-        n_s, n = F.count("*").over(Window.partitionBy(DATE, "sector")), F.count("*").over(Window.partitionBy(DATE))
-        most = F.greatest(F.floor(F.round((n_s / n + sector_tolerance) * top_n, 9)), F.lit(1))
-        rows = rows.withColumn("_most", most).withColumn("_over", _place(True, DATE, "sector") > F.col("_most"))
-        rows = rows.withColumn("_u", F.row_number().over(Window.partitionBy(DATE).orderBy("_over", F.desc("predicted_y"), INSTRUMENT))).where(F.col("_u") <= top_n).drop("_most", "_over")
-    return side_weights(rows.drop("_u"), mode, cap).drop("side")
-
-
-def swap_towards_neutral_size(rows: DataFrame, top_n: int, tolerance: float = 0.1, most: int = 50) -> DataFrame:
-    """(date, instrument_id, chosen) after at most ``most`` swaps: while the book's mean size exposure is off the
-    universe's by more than ``tolerance``, the weakest held name whose size pushes it off makes way for the best
-    name not held that brings it nearest. One date's cross-section at a time: each swap depends on the last."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["predicted_y", INSTRUMENT], ascending=[False, True], kind="stable").reset_index(drop=True)
-        size = pdf["size_exposure_z"].fillna(0.0).to_numpy()
-        held = pdf.index.to_numpy() < top_n
-        goal = size.mean()
-        for _ in range(most):
-            gap = size[held].mean() - goal
-            if abs(gap) <= tolerance or held.all():
-                break
-            bad = [i for i in range(len(pdf) - 1, -1, -1) if held[i] and (size[i] - goal) * gap > 0]
-            moved = False
-            for i in bad:
-                new = [(abs(gap + (size[j] - size[i]) / held.sum()), j) for j in range(len(pdf)) if not held[j]]
-                best, j = min(new)
-                if best < abs(gap) - 1e-12:
-                    held[i], held[j], moved = False, True, True
-                    break
-            if not moved:
-                break
-        return pd.DataFrame({DATE: pdf[DATE], INSTRUMENT: pdf[INSTRUMENT], "chosen": held})
-
-    kind = dict(rows.dtypes)[INSTRUMENT]
-    need = rows.where("predicted_y is not null").select(DATE, INSTRUMENT, "predicted_y", "size_exposure_z")
-    return need.groupBy(DATE).applyInPandas(run, f"{DATE} date, {INSTRUMENT} {kind}, chosen boolean")
+        chosen = swap_towards_neutral_size(rows, top_n, size_limit, sector_tolerance).where("chosen").drop("chosen")
+        held = rows.join(chosen, [DATE, INSTRUMENT], "left_semi")
+    return side_weights(held.withColumn("side", F.lit("long")), mode, cap).drop("side")
+
+
+#: Names not held that a swap considers, and the weight of lost score beside the exposure left.
+REACH, LOSS = 80, 5.0
+
+
+def _bound(x, f):
+    """f of a column that is computed once though f uses it often."""
+    return F.transform(F.array(x), f)[0]
+
+
+def _after_swaps(held, up, down, limit: float, most: int):
+    """Names held after at most ``most`` swaps, as an expression on one row per date: arrays of the names held and of those that any
+    swap can reach, in both orders of size."""
+    def swapped(state, gap):
+        own = state["held"]
+        n, far = F.size(own), F.abs(gap)
+        free = F.filter(F.when(gap > 0, up).otherwise(down), lambda x: ~F.exists(own, lambda h: h["id"] == x["id"]))
+        adds = F.transform(F.slice(free, 1, REACH), lambda x, i: F.struct(i.alias("i"), x.alias("name"), F.size(F.filter(own, lambda h: h["sector"] == x["sector"])).alias("there")))
+        leaving = F.array_sort(F.transform(own, lambda h: F.struct(F.when(gap > 0, -h["z"]).otherwise(h["z"]).alias("k"), h["p"].alias("p"), h["id"].alias("id"), h.alias("name"))))
+
+        def best_of(adds):
+            def one(d, place):
+                old = d["name"]
+                left = lambda x: gap + (x["name"]["z"] - old["z"]) / n
+                room = lambda x: F.coalesce(x["there"] + 1 - F.when(x["name"]["sector"] == old["sector"], 1).otherwise(0) <= x["name"]["most"], F.lit(True))
+                able = F.filter(adds, lambda x: (F.abs(left(x)) < far - 1e-12) & room(x))
+                loss = lambda x: F.greatest(old["p"] - x["name"]["p"], F.lit(0.0)) * LOSS
+                return F.array_min(F.transform(able, lambda x: F.struct(F.round(F.abs(left(x)) + loss(x), 12).alias("cost"), place.alias("place"), x["i"].alias("i"), old["id"].alias("old"), x["name"].alias("new"))))
+
+            return F.filter(F.transform(leaving, one), lambda x: x.isNotNull())
+
+        def done(found):
+            take = F.coalesce(F.get(F.filter(found, lambda x: x["cost"] < far), F.lit(0)), F.array_min(found))
+            return _bound(take, lambda t: F.when(t.isNull(), F.struct(own.alias("held"), F.lit(False).alias("going"))).otherwise(F.struct(F.concat(F.filter(own, lambda h: h["id"] != t["old"]), F.array(t["new"])).alias("held"), F.lit(True).alias("going"))))
+
+        return _bound(_bound(adds, best_of), done)
+
+    def turn(state, _):
+        gap = F.round(F.aggregate(state["held"], F.lit(0.0), lambda a, h: a + h["z"]) / F.size(state["held"]), 12)
+        still = F.struct(state["held"].alias("held"), F.lit(False).alias("going"))
+        return F.when(~state["going"], state).otherwise(_bound(gap, lambda g: F.when(F.abs(g) <= limit, still).otherwise(swapped(state, g))))
+
+    start = F.struct(held.alias("held"), F.lit(True).alias("going"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(most)), start, turn, lambda s: s["held"])
+
+
+def swap_towards_neutral_size(rows: DataFrame, top_n: int, tolerance: float = 0.1, sector_tolerance: float | None = None, most: int = 50) -> DataFrame:
+    """(date, instrument_id, chosen): a date's first ``top_n`` (_picked) after at most ``most`` swaps while their mean size exposure
+    (missing: 0) is over ``tolerance``.
+
+    Names held leave in the order of size, the far end and lower scores first; each is tried with the first REACH others from
+    the near end (ties: higher score, then instrument) that lessen the exposure and have room in their sector, at the cost of the exposure left
+    and LOSS times the score lost. The first name with a swap that costs less than the exposure makes it; if none has, the
+    cheapest swap of all is made; without one the book stays.
+
+    A swap takes one name away from either end, so none reaches further than REACH + ``most`` names from there: all dates
+    advance on rows with arrays of that length, without shuffles between swaps and without Python."""
+    names = _picked(rows, top_n, sector_tolerance)
+    names = names.select(DATE, (F.col("_u") <= top_n).alias("_held"), F.struct(F.coalesce("size_exposure_z", F.lit(0.0)).cast("double").alias("z"), F.col("predicted_y").cast("double").alias("p"), F.col(INSTRUMENT).alias("id"), F.coalesce("sector", F.lit("")).alias("sector"), F.col("_most").cast("long").alias("most")).alias("name"))
+    end = lambda down: F.row_number().over(Window.partitionBy(DATE, "_held").orderBy(F.desc("name.z") if down else F.col("name.z"), F.desc("name.p"), "name.id"))
+    near = names.withColumns({"_lo": end(False), "_hi": end(True)}).where(F.col("_held") | (F.col("_lo") <= REACH + most) | (F.col("_hi") <= REACH + most))
+    days = near.groupBy(DATE).agg(F.collect_list(F.when(F.col("_held"), F.col("name"))).alias("_own"), F.collect_list("name").alias("_all"))
+    sorted_ = lambda sign: F.transform(F.array_sort(F.transform("_all", lambda x: F.struct((sign * x["z"]).alias("k"), (-x["p"]).alias("q"), x["id"].alias("id"), x.alias("name")))), lambda x: x["name"])
+    days = days.withColumns({"_up": sorted_(1), "_down": sorted_(-1)})
+    book = days.select(DATE, F.explode(F.transform(_after_swaps(F.col("_own"), F.col("_up"), F.col("_down"), tolerance, most), lambda x: x["id"])).alias(INSTRUMENT), F.lit(True).alias("chosen"))
+    every = rows.where("predicted_y is not null").select(DATE, INSTRUMENT)
+    return every.join(book, [DATE, INSTRUMENT], "left").withColumn("chosen", F.coalesce("chosen", F.lit(False)))
 
 
 def exposures(weights: DataFrame, universe: DataFrame) -> DataFrame:

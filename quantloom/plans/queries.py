@@ -512,9 +512,22 @@ def long_only_weights(spark, sf_dir):
     return tidied(portfolio.long_only(_traded(spark, sf_dir)[0], 4, "rank", None, 0.1).select(*KEYS, "weight"))
 
 
-@query("size_swaps")
+_swaps = f"""{_pred.replace('WITH panel', 'WITH RECURSIVE panel')}, {_market},
+sa AS (SELECT *, greatest(floor(round((count(*) OVER (PARTITION BY date, sector) / count(*) OVER (PARTITION BY date) + 0.15) * 6, 9)), 1) AS most, row_number() OVER (PARTITION BY date, sector ORDER BY predicted_y DESC, instrument_id) AS us FROM merged WHERE predicted_y IS NOT NULL),
+sn AS MATERIALIZED (SELECT date, instrument_id, sector, most, predicted_y AS p, coalesce(size_exposure_z, 0) AS z, row_number() OVER (PARTITION BY date ORDER BY us > most, predicted_y DESC, instrument_id) AS u FROM sa),
+swaps AS (SELECT date, 0 AS k, list(instrument_id) AS held FROM sn WHERE u <= 6 GROUP BY date UNION ALL
+  SELECT date, k + 1, list_append(list_filter(held, lambda x: x <> old), new) FROM (
+    WITH g AS MATERIALIZED (SELECT date, any_value(k) AS k, any_value(s.held) AS held, round(sum(z) / count(*), 12) AS gap, count(*) AS n, list(sector) AS sectors FROM swaps s JOIN sn USING (date) WHERE list_contains(s.held, instrument_id) GROUP BY date HAVING abs(round(sum(z) / count(*), 12)) > 0.1),
+    d AS (SELECT g.*, instrument_id AS old, z AS oz, p AS op, sector AS os, row_number() OVER (PARTITION BY date ORDER BY CASE WHEN gap > 0 THEN -z ELSE z END, p, instrument_id) AS place FROM g JOIN sn USING (date) WHERE list_contains(held, instrument_id)),
+    a AS (SELECT date, instrument_id AS new, z AS nz, p AS np, sector AS ns, most, len(list_filter(sectors, lambda x: x = sector)) AS there, row_number() OVER (PARTITION BY date ORDER BY CASE WHEN gap > 0 THEN z ELSE -z END, p DESC, instrument_id) AS i FROM g JOIN sn USING (date) WHERE NOT list_contains(held, instrument_id)),
+    c AS (SELECT *, round(abs(gap + (nz - oz) / n) + greatest(op - np, 0) * 5, 12) AS cost FROM d JOIN a USING (date) WHERE i <= 80 AND abs(gap + (nz - oz) / n) < abs(gap) - 1e-12 AND there + 1 - (os = ns)::INT <= most)
+    SELECT *, row_number() OVER (PARTITION BY date ORDER BY cost >= abs(gap), CASE WHEN cost < abs(gap) THEN place END, cost, place, i) AS best FROM c) WHERE best = 1 AND k < 50),
+lw AS (SELECT date, max_by(held, k) AS held FROM swaps GROUP BY date)"""
+
+
+@query("size_swaps", f"{_swaps} SELECT date, instrument_id, list_contains(held, instrument_id) AS chosen FROM sn JOIN lw USING (date)")
 def size_swaps(spark, sf_dir):
-    return portfolio.swap_towards_neutral_size(_traded(spark, sf_dir)[0], 4)
+    return portfolio.swap_towards_neutral_size(_traded(spark, sf_dir)[0], 6, 0.1, 0.15)
 
 
 # ---- sources, joins, audits ----
