@@ -133,6 +133,13 @@ def in_windows(df: DataFrame, windows: DataFrame) -> DataFrame:
     return df.join(F.broadcast(windows), F.col(DATE).between(F.col("start"), F.col("end")))
 
 
+def window_counts(df: DataFrame, windows: DataFrame) -> DataFrame:
+    """``windows`` with rows, instruments, first and last date of ``df`` in each; windows without rows have zeros and nulls."""
+    found = in_windows(df.select(DATE, INSTRUMENT), windows).groupBy("mode", "start", "end")
+    found = found.agg(F.count("*").alias("rows"), F.countDistinct(INSTRUMENT).alias("instruments"), F.min(DATE).alias("first_date"), F.max(DATE).alias("last_date"))
+    return windows.join(found, ["mode", "start", "end"], "left").fillna(0, ["rows", "instruments"])
+
+
 def shift_dates(df: DataFrame, k: int) -> DataFrame:
     """(date, shifted): k market dates on (or back), null off the end."""
     days = calendar(df)

@@ -81,3 +81,17 @@ def merge_macro(panel: DataFrame, macro: DataFrame, columns) -> DataFrame:
 def macro_returns(macro: DataFrame, column: str, alias: str) -> DataFrame:
     before = F.lag(column).over(Window.orderBy(DATE))
     return macro.withColumn(alias, C.safe_divide(F.col(column), before) - 1)
+
+
+def macro_coverage(macro: DataFrame, merged: DataFrame) -> DataFrame:
+    """(column, macro_rows, macro_share, merged_rows, merged_share, first_date, last_date) of each macro column: values it has
+    and their share, in its own table and in the panel (null where the panel lacks the column), and the panel's dates with it."""
+    names = [x for x in macro.columns if x != DATE]
+    there = [x for x in names if x in merged.columns]
+    long = lambda df, xs: df.select(DATE, F.explode(F.array(*(F.struct(F.lit(x).alias("column"), F.col(x).isNotNull().alias("has")) for x in xs))).alias("c")).select(DATE, "c.*")
+    rows, share = F.count(F.when(F.col("has"), 1)), F.avg(F.col("has").cast("double"))
+    own = long(macro, names).groupBy("column").agg(rows.alias("macro_rows"), share.alias("macro_share"))
+    empty = own.select("column", F.lit(None).cast("long").alias("merged_rows"), F.lit(None).cast("double").alias("merged_share"), F.lit(None).cast("date").alias("first_date"), F.lit(None).cast("date").alias("last_date")).limit(0)
+    seen = F.when(F.col("has"), F.col(DATE))
+    panel = long(merged, there).groupBy("column").agg(rows.alias("merged_rows"), share.alias("merged_share"), F.min(seen).alias("first_date"), F.max(seen).alias("last_date")) if there else empty
+    return own.join(panel, "column", "left")

@@ -253,6 +253,24 @@ def add_one(df: DataFrame, base, pool, windows, metric: str = "pearson_ic_mean",
     return df.sparkSession.createDataFrame(out, "candidate string, score_mean double, score_min double, stable_score double, gain double, positive_ratio double")
 
 
+def individual_audit(df: DataFrame, base, pool, window: tuple, metric: str = "pearson_ic_mean", model: str = "ridge", alpha: float = 1.0, horizon: int = 0, groups: int = 10, least: float = 0.0) -> DataFrame:
+    """(rank, candidate, metrics..., oos_selection_score, delta_vs_baseline, improves_baseline) out of sample: of the base columns alone
+    (rank 0, no candidate) and with each candidate of ``pool`` in its order, all fitted on the training rows of ``window`` and
+    predicted in one pass. For reports after a choice; a choice by it would use the rows held out."""
+    names = [*base, *pool]
+    rows = stored(tagged(df, [window], horizon).select(DATE, INSTRUMENT, "y", *names, "seg", "cuts", "valid"))
+    sums = fold_sums(rows, names, 1)
+    own = list(range(len(base)))
+    sets = [own, *([*own, len(base) + i] for i in range(len(pool)))]
+    fitted = [(i, fit(sums, 1, at, model, alpha)) for i, at in enumerate(sets)]
+    m = trial_metrics(rows, sums, [(i, 1, *f) for i, f in fitted if f is not None], groups)
+    told = df.sparkSession.createDataFrame(list(enumerate(["", *pool])), "trial int, candidate string")
+    out = m.withColumn("oos_selection_score", candidates.metric_score(m, metric)).join(F.broadcast(told), "trial")  # a row per candidate
+    before = F.max(F.when(F.col("trial") == 0, F.col("oos_selection_score"))).over(Window.partitionBy())
+    out = out.withColumn("_before", before)
+    return out.select(F.col("trial").alias("rank"), "candidate", *(x for x in m.columns if x not in ("fold", "trial")), "oos_selection_score", (F.col("oos_selection_score") - F.col("_before")).alias("delta_vs_baseline"), (F.col("oos_selection_score") > F.col("_before") + least).alias("improves_baseline"))
+
+
 def forward_by_metric(df: DataFrame, base, pool: dict[str, str], windows, steps: int, metric: str = "pearson_ic_mean", model: str = "ridge", alpha: float = 1.0, penalty: float = 0.5, overlap: float = 0.0, redundancy: float = 0.0, most_corr: float = 1.0, per_family: int = 0, positive: float = 0.0, least: float = 0.0, horizon: int = 0, groups: int = 10) -> DataFrame:
     """(step, candidate, family, score, raw_score, gain, positive_ratio, max_corr): step by step the candidate of ``pool`` (name:
     families) with the best score by any metric: the mean over windows less ``penalty`` times their deviation, less ``overlap`` if

@@ -468,3 +468,48 @@ def rebalance_costs(weights: DataFrame, slots: int, buy_bps: float, sell_bps: fl
     d = F.col("weight") - F.col("_w")
     out = both.groupBy("_i").agg(F.sum(F.greatest(d, F.lit(0.0))).alias("buy_turnover"), F.sum(F.greatest(-d, F.lit(0.0))).alias("sell_turnover")).join(days, "_i").drop("_i")
     return out.withColumn("cost", (F.col("buy_turnover") * buy_bps + F.col("sell_turnover") * sell_bps) / 1e4)
+
+
+def long_only_sleeves(rows: DataFrame, market: DataFrame, cfg: Config, sector_tolerance: float | None = None, size_limit: float | None = None) -> DataFrame:
+    """Target weights of long-only books of every step-th date of ``rows`` whose holding window fits in the market's calendar, with
+    slot, execution and end dates; ``cfg`` gives names, weights and windows, the rest is that of long_only."""
+    days = calendar.calendar(rows).where((F.col("t") - 1) % cfg.step == 0).withColumn("slot", (F.floor((F.col("t") - 1) / cfg.step) % cfg.sleeves).cast("int")).drop("t")
+    windows = calendar.holding_windows(market, cfg.hold, cfg.delay, cfg.clock).withColumnRenamed("signal_date", DATE)
+    spec = stored(days.join(windows, DATE))
+    book = long_only(rows.join(F.broadcast(spec.select(DATE)), DATE, "left_semi"), cfg.top_k, cfg.weights, cfg.cap, sector_tolerance, size_limit)  # tables of dates
+    return book.withColumn("side", F.lit("long")).join(F.broadcast(spec), DATE)
+
+
+def long_only_ledger(rows: DataFrame, market: DataFrame, cfg: Config, buy_bps: float = 10.0, sell_bps: float = 10.0, sector_tolerance: float | None = None, size_limit: float | None = None) -> DataFrame:
+    """The daily portfolio of overlapping long-only sleeves, on dates on which one of them earns: gross_return (the sum of the sleeves' own
+    returns, not at their share of the capital), costs, net_return, benchmark, excess, both values, and the turnover and active size
+    of the books that begin on the date (the last known size stays, 0 before the first).
+
+    A sleeve pays for its change against the book before it in its slot, on its first date with a return; names without a
+    return on a date earn nothing there."""
+    targets = stored(long_only_sleeves(rows, market, cfg, sector_tolerance, size_limit))
+    share = 1.0 / cfg.sleeves
+    trades = rebalance_costs(targets.select(DATE, INSTRUMENT, "weight"), cfg.sleeves, buy_bps, sell_bps).withColumnRenamed(DATE, "signal_date")
+    day = held_days(targets, market).where("daily_close_return is not null").groupBy("signal_date", DATE).agg(F.sum(F.col("weight") * F.col("daily_close_return")).alias("gross_return"))
+    first = F.col(DATE) == F.min(DATE).over(Window.partitionBy("signal_date"))
+    day = day.join(F.broadcast(trades), "signal_date")  # a row per rebalance
+    day = day.withColumns({"buy_cost": F.when(first, F.col("buy_turnover") * share * buy_bps / 1e4).otherwise(0.0), "sell_cost": F.when(first, F.col("sell_turnover") * share * sell_bps / 1e4).otherwise(0.0)})
+    day = day.withColumn("net_return", F.col("gross_return") * share - F.col("buy_cost") - F.col("sell_cost"))
+    total = day.groupBy(DATE).agg(*(F.sum(x).alias(x) for x in ("gross_return", "buy_cost", "sell_cost", "net_return")))
+    begun = targets.select(F.col(DATE).alias("signal_date"), "execution_date").distinct().join(trades, "signal_date")
+    begun = begun.join(exposures(targets, rows).select(F.col(DATE).alias("signal_date"), "active_size"), "signal_date", "left")
+    moved = ("turnover", "buy_turnover", "sell_turnover", "transaction_cost_bps")
+    begun = begun.withColumns({"turnover": 0.5 * (F.col("buy_turnover") + F.col("sell_turnover")), "transaction_cost_bps": F.col("cost") * 1e4})
+    begun = begun.groupBy(F.col("execution_date").alias(DATE)).agg(*(F.sum(F.col(x) * share).alias(x) for x in moved), F.avg("active_size").alias("active_size_exposure"))
+    bench = market.groupBy(DATE).agg(F.coalesce(F.avg("daily_close_return"), F.lit(0.0)).alias("benchmark_return"))
+    out = total.join(bench, DATE, "left").join(begun, DATE, "left").fillna(0.0, ["benchmark_return", *moved])
+    far = Window.orderBy(DATE).rowsBetween(Window.unboundedPreceding, 0)  # a row per date
+    out = out.withColumn("active_size_exposure", F.coalesce(F.last("active_size_exposure", ignorenulls=True).over(far), F.lit(0.0)))
+    return add_nav(out).withColumnsRenamed({"nav": "portfolio_nav", "active_return": "excess_return"})
+
+
+def sector_summary(targets: DataFrame, rows: DataFrame) -> DataFrame:
+    """(sector, average_portfolio_weight, average_universe_weight, average_active_weight, average_abs_active_weight) over the dates of
+    the books."""
+    own = sector_exposure(targets, rows).withColumn("active", F.col("net_sector_weight") - F.col("universe_weight"))
+    return own.groupBy("sector").agg(F.avg("net_sector_weight").alias("average_portfolio_weight"), F.avg("universe_weight").alias("average_universe_weight"), F.avg("active").alias("average_active_weight"), F.avg(F.abs("active")).alias("average_abs_active_weight"))

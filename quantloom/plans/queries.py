@@ -530,6 +530,48 @@ def size_swaps(spark, sf_dir):
     return portfolio.swap_towards_neutral_size(_traded(spark, sf_dir)[0], 6, 0.1, 0.15)
 
 
+_lo_cfg = portfolio.Config(hold=6, step=2, delay=1, top_k=6, weights="rank")
+_sleeves_sql = f"""{_swaps}, sd AS (SELECT date, row_number() OVER (ORDER BY date) AS t FROM (SELECT DISTINCT date FROM merged)), md AS (SELECT date, row_number() OVER (ORDER BY date) AS t FROM (SELECT DISTINCT date FROM market)),
+hw AS (SELECT sd.date AS signal, sd.t // 2 AS k, e.date AS ex, z.date AS en FROM sd JOIN md USING (date) JOIN md e ON e.t = md.t + 1 JOIN md z ON z.t = md.t + 6 WHERE sd.t % 2 = 1),
+bs AS (SELECT k, signal, ex, en, instrument_id, sector, count(*) OVER (PARTITION BY k) - row_number() OVER (PARTITION BY k ORDER BY p DESC, instrument_id) + 1 AS sc FROM hw JOIN sn ON sn.date = signal JOIN lw ON lw.date = signal WHERE list_contains(held, instrument_id)),
+bw AS MATERIALIZED (SELECT *, sc / sum(sc) OVER (PARTITION BY k) AS weight FROM bs),
+uw AS (SELECT k, instrument_id, sum(w) AS w, sum(o) AS o FROM (SELECT k, instrument_id, weight AS w, 0.0::DOUBLE AS o FROM bw UNION ALL SELECT k + 3, instrument_id, 0.0, weight FROM bw) GROUP BY 1, 2),
+tr AS (SELECT k, sum(greatest(w - o, 0)) AS buy, sum(greatest(o - w, 0)) AS sell FROM uw GROUP BY 1)"""
+_lo_columns = ["gross_return", "buy_cost", "sell_cost", "net_return", "benchmark_return", "turnover", "buy_turnover", "sell_turnover", "transaction_cost_bps", "active_size_exposure", "excess_return", "portfolio_nav", "benchmark_nav"]
+
+
+@query("long_only_ledger", f"""{_sleeves_sql}, dl AS (SELECT k, m.date, sum(weight * daily_close_return) AS g FROM bw JOIN market m ON m.instrument_id = bw.instrument_id AND m.date > ex AND m.date <= en WHERE daily_close_return IS NOT NULL GROUP BY 1, 2),
+dc AS (SELECT date, g, CASE WHEN date = min(date) OVER (PARTITION BY k) THEN buy / 3 * 8 / 1e4 ELSE 0 END AS b, CASE WHEN date = min(date) OVER (PARTITION BY k) THEN sell / 3 * 12 / 1e4 ELSE 0 END AS s FROM dl JOIN tr USING (k)),
+pd AS (SELECT date, sum(g) AS gross_return, sum(b) AS buy_cost, sum(s) AS sell_cost, sum(g / 3 - b - s) AS net_return FROM dc GROUP BY 1),
+us AS (SELECT date, avg(size_exposure_z) AS uz, avg((size_exposure_z IS NOT NULL)::INT) AS cover FROM merged GROUP BY 1),
+xs AS (SELECT k, ex, CASE WHEN any_value(cover) >= 0.9 THEN sum(weight * size_exposure_z) / sum(weight) FILTER (size_exposure_z IS NOT NULL) END - any_value(uz) AS active FROM bw JOIN merged m ON m.date = signal AND m.instrument_id = bw.instrument_id JOIN us ON us.date = signal GROUP BY 1, 2),
+ev AS (SELECT ex AS date, sum((buy + sell) / 2 / 3) AS turnover, sum(buy / 3) AS buy_turnover, sum(sell / 3) AS sell_turnover, sum((buy * 8 + sell * 12) / 3) AS transaction_cost_bps, avg(active) AS active FROM xs JOIN tr USING (k) GROUP BY 1),
+bn AS (SELECT date, coalesce(avg(daily_close_return), 0) AS benchmark_return FROM market GROUP BY 1),
+lo AS (SELECT pd.*, benchmark_return, coalesce(turnover, 0) AS turnover, coalesce(buy_turnover, 0) AS buy_turnover, coalesce(sell_turnover, 0) AS sell_turnover, coalesce(transaction_cost_bps, 0) AS transaction_cost_bps, coalesce(last_value(active IGNORE NULLS) OVER w, 0) AS active_size_exposure,
+  net_return - benchmark_return AS excess_return, product(1 + net_return) OVER w AS portfolio_nav, product(1 + benchmark_return) OVER w AS benchmark_nav FROM pd LEFT JOIN ev USING (date) LEFT JOIN bn USING (date) WINDOW w AS (ORDER BY date ROWS UNBOUNDED PRECEDING)) {tidied_sql(_lo_columns, 'lo', 'date')}""")
+def long_only_ledger(spark, sf_dir):
+    rows, market = _traded(spark, sf_dir)
+    return tidied(portfolio.long_only_ledger(rows, market, _lo_cfg, 8.0, 12.0, 0.15, 0.1).select("date", *_lo_columns))
+
+
+_sector_means = ["average_portfolio_weight", "average_universe_weight", "average_active_weight", "average_abs_active_weight"]
+
+
+@query("long_only_sectors", f"""{_sleeves_sql}, un AS (SELECT date, sector, count(*) / sum(count(*)) OVER (PARTITION BY date) AS u FROM merged WHERE date IN (SELECT signal FROM hw) GROUP BY 1, 2), ow AS (SELECT signal AS date, sector, sum(weight) AS w FROM bw GROUP BY 1, 2),
+sm AS (SELECT sector, avg(coalesce(w, 0)) AS average_portfolio_weight, avg(u) AS average_universe_weight, avg(coalesce(w, 0) - u) AS average_active_weight, avg(abs(coalesce(w, 0) - u)) AS average_abs_active_weight FROM un LEFT JOIN ow USING (date, sector) GROUP BY 1) {tidied_sql(_sector_means, 'sm', 'sector')}""")
+def long_only_sectors(spark, sf_dir):
+    rows, market = _traded(spark, sf_dir)
+    return tidied(portfolio.sector_summary(stored(portfolio.long_only_sleeves(rows, market, _lo_cfg, 0.15, 0.1)), rows))
+
+
+@query("window_counts", f"""{_pred}, hi AS (SELECT max(date) AS e FROM pred), wn AS (SELECT 'last_' || m || 'm' AS mode, ((e - to_months(m))::DATE + 1)::DATE AS start, e AS "end" FROM hi, (SELECT unnest([3, 6, 12]) AS m) UNION ALL SELECT 'none', DATE '1900-01-01', DATE '1900-02-01')
+SELECT mode, start, "end", count(date) AS rows, count(DISTINCT instrument_id) AS instruments, min(date) AS first_date, max(date) AS last_date FROM wn LEFT JOIN pred ON date BETWEEN start AND "end" GROUP BY 1, 2, 3""")
+def window_counts(spark, sf_dir):
+    rows = _predictions(spark, sf_dir)
+    none = spark.sql("SELECT 'none' AS mode, DATE '1900-01-01' AS start, DATE '1900-02-01' AS end")
+    return tidied(calendar.window_counts(rows, calendar.recent_windows(rows).unionByName(none)))
+
+
 # ---- sources, joins, audits ----
 
 from quantloom.operators import compare, formulas, joins, models, quality_audit, relation, selection  # noqa: E402
@@ -605,6 +647,13 @@ def macro_merge(spark, sf_dir):
     return tidied(joins.merge_macro(tp.panel(spark, sf_dir), tp.macro(spark, sf_dir), ["vix"]).select(*KEYS, "vix"))
 
 
+@query("macro_coverage", f"""WITH {tp.panel_sql()}, {tp.MACRO_SQL}, d AS (SELECT date, last_value(vix IGNORE NULLS) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) AS vix FROM (SELECT DISTINCT date FROM panel) LEFT JOIN macro USING (date)), j AS (SELECT date, vix FROM panel LEFT JOIN d USING (date))
+SELECT 'vix' AS "column", (SELECT count(vix) FROM macro) AS macro_rows, (SELECT {tidy_sql('avg((vix IS NOT NULL)::INT)')} FROM macro) AS macro_share, count(vix) AS merged_rows, {tidy_sql('avg((vix IS NOT NULL)::INT)')} AS merged_share, min(date) FILTER (vix IS NOT NULL) AS first_date, max(date) FILTER (vix IS NOT NULL) AS last_date FROM j""")
+def macro_coverage(spark, sf_dir):
+    macro = tp.macro(spark, sf_dir).select("date", "vix")
+    return tidied(joins.macro_coverage(macro, joins.merge_macro(tp.panel(spark, sf_dir), macro, ["vix"])))
+
+
 _ca = f"""ca AS (SELECT instrument_id, date, close AS raw_close, close * adjustment AS adjusted_close, adjustment, lag(adjustment) OVER w AS a, lag(close) OVER w AS r, lag(close * adjustment) OVER w AS d FROM panel WINDOW w AS (PARTITION BY instrument_id ORDER BY date)),
 cb AS (SELECT *, (adjustment - a) / CASE WHEN abs(a) > 1e-8 THEN abs(a) END AS adjustment_change, raw_close / CASE WHEN abs(r) > 1e-8 THEN r END - 1 AS raw_return, adjusted_close / CASE WHEN abs(d) > 1e-8 THEN d END - 1 AS adjusted_return FROM ca),
 cc AS (SELECT *, CASE WHEN abs(adjusted_return) > 0.2 AND NOT abs(raw_return) > 0.2 THEN 'adjusted_only_jump' WHEN abs(raw_return) > 0.2 AND NOT abs(adjusted_return) > 0.2 THEN 'raw_jump_explained' WHEN abs(raw_return) > 0.2 THEN 'both_jump' ELSE 'quiet' END AS flag FROM cb WHERE abs(adjustment_change) > 1e-6)"""

@@ -8,7 +8,7 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from quantloom.functions.tables import stored
-from quantloom.operators import alpha_scores, linear_grid, preprocess, relation, signals, staged
+from quantloom.operators import alpha_scores, boosting, calendar, factors, linear_grid, models, preprocess, relation, signals, staged
 
 from . import queries as base
 from . import testpanel as tp
@@ -154,6 +154,42 @@ def forward_by_metric(spark, sf_dir):
     return tidied(linear_grid.forward_by_metric(rows, ["volume"], _POOL, _WINDOWS, 3, "composite_ic_rank_ls", overlap=0.001, redundancy=0.001, groups=5))
 
 
+@query("individual_audit")
+def individual_audit(spark, sf_dir):
+    rows = base._signals(spark, sf_dir)
+    return tidied(linear_grid.individual_audit(rows, ["volume"], list(_POOL), _WINDOWS[0], "composite_ic_rank_ls", horizon=1, groups=5))
+
+
+# ---- boosted trees ----
+
+_STUMPS, _STUMP = 3, ["m", "s", "v"]
+
+
+def _stump(i):
+    """Tree i of one split each, on sums by value: a value's rows and those below it go left, missing ones to either side."""
+    return f"""g{i} AS (SELECT f, x, sum(y - margin) AS g, count(*)::DOUBLE AS n FROM r{i - 1}, LATERAL (SELECT unnest([1, 2, 3]) AS f, unnest([m, s, v]) AS x) GROUP BY 1, 2),
+c{i} AS (SELECT f, x, missing, sum(g) FILTER (o.x2 <= x OR missing AND o.x2 IS NULL) AS gl, sum(n) FILTER (o.x2 <= x OR missing AND o.x2 IS NULL) AS nl, sum(g) AS gt, sum(n) AS nt FROM (SELECT f, x FROM g{i} WHERE x IS NOT NULL) JOIN (SELECT f, x AS x2, g, n FROM g{i}) o USING (f), (SELECT unnest([false, true]) AS missing) GROUP BY 1, 2, 3),
+b{i} AS (SELECT * FROM c{i} WHERE nl < nt ORDER BY round(gl * gl / (nl + 1) + (gt - gl) * (gt - gl) / (nt - nl + 1), 9) DESC, f, x, missing LIMIT 1),
+r{i} AS MATERIALIZED (SELECT date, instrument_id, y, m, s, v, margin + 0.5 * CASE WHEN coalesce(z <= x, missing) THEN gl / (nl + 1) ELSE (gt - gl) / (nt - nl + 1) END AS margin FROM (SELECT *, CASE f WHEN 1 THEN m WHEN 2 THEN s ELSE v END AS z FROM r{i - 1}, (SELECT f, x, missing, gl, nl, gt, nt FROM b{i})))"""
+
+
+@query("boosted_stumps", f"""{_pred}, rp AS (SELECT p.date, p.instrument_id, greatest(least(y, 5), -5) AS y, month(p.date)::DOUBLE AS m, CASE WHEN p.instrument_id % 7 <> 3 THEN (p.instrument_id % 7)::DOUBLE END AS s, least(floor(volume / 40), 9) AS v FROM panel p JOIN pred USING (date, instrument_id) WHERE y IS NOT NULL),
+r0 AS MATERIALIZED (SELECT *, avg(y) OVER () AS margin FROM rp), {', '.join(map(_stump, range(1, _STUMPS + 1)))} {tidied_sql(['y', 'predicted_y'], f'(SELECT *, margin AS predicted_y FROM r{_STUMPS})')}""")
+def boosted_stumps(spark, sf_dir):
+    rows = base._signals(spark, sf_dir).where("y is not null")
+    rows = rows.select("date", "instrument_id", F.greatest(F.least("y", F.lit(5.0)), F.lit(-5.0)).alias("y"), F.month("date").cast("double").alias("m"), F.when(F.col("instrument_id") % 7 != 3, F.col("instrument_id") % 7).cast("double").alias("s"), F.least(F.floor(F.col("volume") / 40), F.lit(9)).cast("double").alias("v"))
+    model = boosting.fit(rows, _STUMP, boosting.Settings(trees=_STUMPS, step=0.5, leaves=2))
+    return tidied(boosting.predict(model, rows).select("date", "instrument_id", "y", "predicted_y"))
+
+
+@query("boosted_predictions")
+def boosted_predictions(spark, sf_dir):
+    train, test = calendar.split(base._canonical(spark, sf_dir))
+    names = list(factors.CANONICAL)
+    model = models.fit(stored(calendar.purge(train.where("y is not null"), 1)), names, "boost_by_leaf", trees=10, leaves=8, step=0.1)
+    return tidied(models.predict(model, test).select("date", "instrument_id", "y", "predicted_y"))
+
+
 # ---- centralities ----
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quantloom.operators import alpha_scores, candidates, linear_grid, signals
 
+KEYS = ["date", "instrument_id"]
 FEATURES = ["f0", "f1", "f2", "f3"]
 
 
@@ -247,3 +248,18 @@ def test_stored_tables_go_with_their_block(spark, tmp_path, monkeypatch):
             __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001").write.parquet(str(tmp_path / "out" / name))
             assert list(shared.glob("stored-*"))
         assert not list(shared.glob("stored-*")) and spark.read.parquet(str(tmp_path / "out" / name)).count() > 0
+
+
+@pytest.mark.parametrize("metric", ["composite_ic_rank_ls", "rmse"])
+def test_individual_audit(panel, frame, metric):
+    window = (date(2020, 1, 20), date(2020, 1, 23), date(2020, 2, 9))
+    got = linear_grid.individual_audit(panel, ["f0"], ["f2", "f1"], window, metric, horizon=1, groups=4, least=0.01).orderBy("rank").collect()
+    assert [r.candidate for r in got] == ["", "f2", "f1"]
+    own = frame.dropna(subset=FEATURES[:3] + ["y"])
+    train = train_rows(frame[[*KEYS, *FEATURES[:3], "y"]], window[0], 1)
+    valid = own[(own.date >= window[1]) & (own.date <= window[2])]
+    want = [loop_score(loop_metrics(valid, loop_fit(train, ["f0", *more], "ridge", 1.0), 4), metric) for more in ([], ["f2"], ["f1"])]
+    for r, score in zip(got, want, strict=True):
+        assert r.oos_selection_score == pytest.approx(score, abs=1e-7)
+        assert r.delta_vs_baseline == pytest.approx(score - want[0], abs=1e-7)
+        assert r.improves_baseline == (score > want[0] + 0.01)
