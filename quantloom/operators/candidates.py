@@ -22,6 +22,9 @@ BOUNDED = {"pearson_ic_ir": (3.0, 0.025), "spearman_ic_ir": (3.0, 0.035), "non_o
 EXTRAS = {"predictive_ic": (0.05, 0.03, 0.02, 0.003, 0.03), "incremental_proxy": (0.04, 0.06, 0.04, 0.012, 0.12)}
 #: Weights of the composite selection score; metrics of which less is better.
 COMPOSITE = {"pearson_ic_mean": 0.50, "spearman_ic_mean": 0.30, "long_short_return": 0.20}
+#: Weights of the score of a signal against a residual, and of its positive shares over one half.
+RESIDUAL = {"ic_mean": 1.0, "rank_ic_mean": 0.5, "spread": 0.75, "monotonicity": 0.02}
+RESIDUAL_SHARES = {"ic_positive_ratio": 0.05, "rank_ic_positive_ratio": 0.03}
 LESS_IS_BETTER = ("rmse", "mae", "portfolio_max_drawdown")
 
 
@@ -62,15 +65,18 @@ def tagged_runs(runs: dict[str, DataFrame], prefix: str = "train_") -> DataFrame
     return out
 
 
-def method_rewards(candidates: DataFrame, top: int, metrics=("oos_pearson_ic_mean", "oos_spearman_ic_mean", "oos_long_short_spread")) -> DataFrame:
-    """(method, reward_mode, selected_top_k, means, top candidate): of each method's best ``top`` by each selection reward."""
+def method_rewards(candidates: DataFrame, top: int, metrics=("oos_pearson_ic_mean", "oos_spearman_ic_mean", "oos_long_short_spread"), passes: str | None = None, about=()) -> DataFrame:
+    """(method, reward_mode, selected_top_k, means, top candidate): of each method's best ``top`` by each selection reward. ``passes``
+    is a boolean column whose share (null: no) becomes oos_pass_ratio, ``about`` names columns told of the top candidate."""
     modes = F.explode(F.array(*(F.struct(F.lit(x).alias("reward_mode"), F.col(f"selection_{x}_reward").alias("s"), F.col(f"oos_{x}_reward").alias("o")) for x in EXTRAS))).alias("r")
-    rows = candidates.select("method", "candidate_id", *metrics, modes).select("method", "candidate_id", *metrics, "r.*")
+    kept = dict.fromkeys(["method", "candidate_id", *metrics, *about, *([passes] if passes else [])])
+    rows = candidates.select(*kept, modes).select(*kept, "r.*")
     w = Window.partitionBy("method", "reward_mode").orderBy(F.desc_nulls_last("s"), "candidate_id")
     rows = rows.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= top)
     first = lambda x: F.max(F.when(F.col("_k") == 1, F.col(x)))
     return rows.groupBy("method", "reward_mode").agg(
         F.count("*").alias("selected_top_k"), F.avg("s").alias("selection_score_mean"), F.avg("o").alias("oos_reward_mean"), *(F.avg(x).alias(f"{x}_mean" if not x.endswith("_mean") else x) for x in metrics),
+        *([F.avg(F.coalesce(F.col(passes).cast("double"), F.lit(0.0))).alias("oos_pass_ratio")] if passes else []), *(first(x).alias(f"top_{x}") for x in about),
         first("candidate_id").alias("top_candidate_id"), first("s").alias("top_selection_reward"), first("o").alias("top_oos_reward"),
     )
 
@@ -132,6 +138,36 @@ def residual_scores(df: DataFrame, candidates, target: str = "residual", baselin
     return out.withColumn("score", F.col("ic") * (1 - F.abs(F.coalesce("baseline_corr", F.lit(0.0)))))
 
 
+def residual_incremental(df: DataFrame, candidates, target: str = "residual", baseline: str = "predicted_y", groups: int = 5, least: int = 5) -> DataFrame:
+    """(candidate, direction, metrics..., baseline_corr, score, incremental_score): each candidate against what a baseline leaves,
+    turned by the sign of its mean coefficient (positive shares become their rest). The score is the weighted sum of RESIDUAL and
+    RESIDUAL_SHARES, null where a metric is; times one less the size of the correlation with the baseline's predictions over
+    all rows it is the incremental score (0 where there is none)."""
+    s = diagnostics.factor_summary(df, candidates, target, groups, least)
+    near = diagnostics.long_form(df, candidates, (DATE, INSTRUMENT, baseline)).where(F.col("value").isNotNull() & F.col(baseline).isNotNull())
+    near = near.groupBy("factor").agg(F.round(F.corr("value", baseline), 10).alias("_c"))
+    down = F.col("ic_mean") < 0
+    out = s.join(near, "factor", "left").withColumn("direction", F.when(down, -1).otherwise(1))
+    turned = {x: F.when(down, -F.col(x)).otherwise(F.col(x)) for x in RESIDUAL} | {x: F.when(down, 1 - F.col(x)).otherwise(F.col(x)) for x in RESIDUAL_SHARES}
+    out = out.withColumns({x: c for x, c in turned.items() if x != "ic_mean"}).withColumn("ic_mean", turned["ic_mean"])
+    out = out.withColumn("baseline_corr", F.when(F.isnan("_c"), None).otherwise(F.col("direction") * F.col("_c")))
+    score = sum(w * F.col(x) for x, w in RESIDUAL.items()) + sum(w * F.greatest(F.col(x) - 0.5, F.lit(0.0)) for x, w in RESIDUAL_SHARES.items())
+    out = out.withColumn("score", F.when(F.least(*(F.col(x).isNotNull() for x in RESIDUAL_SHARES)), score))
+    out = out.withColumn("incremental_score", F.col("score") * F.coalesce(1 - F.least(F.abs("baseline_corr"), F.lit(1.0)), F.lit(0.0)))
+    return out.select(F.col("factor").alias("candidate"), "direction", *RESIDUAL, *RESIDUAL_SHARES, "baseline_corr", "score", "incremental_score")
+
+
+def validation_scores(df: DataFrame, candidates, target: str = "residual", groups: int = 5, least: int = 5) -> DataFrame:
+    """(candidate, ic, rank_ic, long_short_return, ic_days, score): each candidate against a validation residual as it is; the score
+    is the composite one, missing parts 0."""
+    rows = diagnostics.long_form(df, candidates, (DATE, INSTRUMENT, target))
+    ic = diagnostics.daily_ic(rows, "value", target, ("factor",), least).groupBy("factor").agg(F.avg("ic").alias("ic"), F.avg("rank_ic").alias("rank_ic"), F.count("ic").alias("ic_days"))
+    ends = diagnostics.spread(diagnostics.group_returns(rows, groups, "value", target, ("factor",)), ("factor",)).select("factor", F.col("spread").alias("long_short_return"))
+    part = dict(zip(COMPOSITE, ("ic", "rank_ic", "long_short_return"), strict=True))
+    score = sum(w * F.coalesce(F.col(part[x]), F.lit(0.0)) for x, w in COMPOSITE.items())
+    return ic.join(ends, "factor", "left").withColumn("score", score).withColumnRenamed("factor", "candidate")
+
+
 def signed_columns(df: DataFrame, chosen: DataFrame) -> DataFrame:
     """``df`` with res_<candidate>: each chosen candidate (candidate, direction; a row per candidate) times its direction."""
     return df.withColumns({f"res_{r.candidate}": F.col(r.candidate) * r.direction for r in chosen.select("candidate", "direction").collect()})

@@ -114,6 +114,14 @@ def method_rewards(spark, sf_dir):
     return tidied(candidates.method_rewards(_candidates(spark, sf_dir), 2, _oos))
 
 
+@query("method_summary", f"""{_cands}, ml AS (SELECT *, 'predictive_ic' AS reward_mode, selection_predictive_ic_reward AS s FROM cands UNION ALL SELECT *, 'incremental_proxy', selection_incremental_proxy_reward FROM cands),
+mk AS (SELECT *, row_number() OVER (PARTITION BY method, reward_mode ORDER BY s DESC, candidate_id) AS k FROM ml)
+SELECT method, reward_mode, {tidy_sql('avg(s)')} AS selection_score_mean, {tidy_sql('avg((oos_pearson_ic_mean > 0)::INT)')} AS oos_pass_ratio, max_by(candidate_id, -k) AS top_formula, max_by(len(candidate_id), -k)::DOUBLE AS top_complexity FROM mk WHERE k <= 2 GROUP BY 1, 2""")
+def method_summary(spark, sf_dir):
+    found = candidates.method_rewards(_candidates(spark, sf_dir), 2, _oos, "passes_oos_filter", ("formula", "complexity"))
+    return tidied(found.select("method", "reward_mode", "selection_score_mean", "oos_pass_ratio", "top_formula", "top_complexity"))
+
+
 @query("run_overview", f"""{_cands} SELECT method, count(*) AS candidate_count, count(*) FILTER (oos_pearson_ic_mean > 0) AS oos_pass_count, {tidy_sql('(1 - count(DISTINCT candidate_id) / count(*))')} AS duplicate_formula_ratio, {', '.join(f"{tidy_sql(f'max({x})')} AS best_{x}" for x in ('oos_predictive_ic_reward', 'oos_incremental_proxy_reward', *_oos))} FROM cands GROUP BY method""")
 def run_overview(spark, sf_dir):
     return tidied(candidates.run_overview(_candidates(spark, sf_dir)))
@@ -182,6 +190,29 @@ def residual_candidates(spark, sf_dir):
     return tidied(candidates.residual_scores(stored(left), ["turnover", "low"]))
 
 
+_turned = lambda x, rest="-{0}": f"CASE WHEN ic_mean < 0 THEN {rest.format(x)} ELSE {x} END"
+_left = _factor_summary.split(f"{_pred}, ", 1)[1].replace(_long, "lf AS (SELECT date, instrument_id, y, factor, value FROM rl)", 1)
+_residuals = _res.split(",\nrr AS (", 1)[0]
+_inc_columns = [*candidates.RESIDUAL, *candidates.RESIDUAL_SHARES, "baseline_corr", "score", "incremental_score"]
+
+
+@query("residual_incremental", f"""{_residuals}, ls AS MATERIALIZED (WITH {_left} SELECT * FROM summary),
+ln AS (SELECT factor, round(corr(value, predicted_y), 10) AS near FROM rl WHERE value IS NOT NULL AND predicted_y IS NOT NULL GROUP BY 1),
+lt AS (SELECT factor, CASE WHEN ic_mean < 0 THEN -1 ELSE 1 END AS direction, {', '.join(f"{_turned(x)} AS {x}" for x in candidates.RESIDUAL)}, {', '.join(f"{_turned(x, '1 - {0}')} AS {x}" for x in candidates.RESIDUAL_SHARES)}, CASE WHEN ic_mean < 0 THEN -near ELSE near END AS baseline_corr FROM ls JOIN ln USING (factor)),
+lw AS (SELECT *, ic_mean + 0.5 * rank_ic_mean + 0.75 * spread + 0.02 * monotonicity + 0.05 * greatest(ic_positive_ratio - 0.5, 0) + 0.03 * greatest(rank_ic_positive_ratio - 0.5, 0) AS score FROM lt)
+{tidied_sql(_inc_columns, '(SELECT *, score * (1 - least(abs(baseline_corr), 1)) AS incremental_score FROM lw)', 'factor AS candidate, direction::BIGINT AS direction')}""")
+def residual_incremental(spark, sf_dir):
+    left = models.crossfit_residuals(base._signals(spark, sf_dir).drop("predicted_y"), _PICKED, "ridge", 4)
+    return tidied(candidates.residual_incremental(stored(left), ["turnover", "low"]))
+
+
+@query("validation_scores", f"""{_res.rsplit('SELECT factor AS candidate', 1)[0].rstrip()}, rd AS (SELECT factor, count(ic) AS ic_days FROM ri GROUP BY 1)
+SELECT factor AS candidate, {tidy_sql('ic')} AS ic, {tidy_sql('rank_ic')} AS rank_ic, ic_days, {tidy_sql('spread')} AS long_short_return, {tidy_sql('(0.5 * coalesce(ic, 0) + 0.3 * coalesce(rank_ic, 0) + 0.2 * coalesce(spread, 0))')} AS score FROM rf JOIN re USING (factor) JOIN rd USING (factor)""")
+def validation_scores(spark, sf_dir):
+    left = models.crossfit_residuals(base._signals(spark, sf_dir).drop("predicted_y"), _PICKED, "ridge", 4)
+    return tidied(candidates.validation_scores(stored(left), ["turnover", "low"]))
+
+
 @query("forward_selection")
 def forward_selection(spark, sf_dir):
     rows = base._signals(spark, sf_dir)
