@@ -178,9 +178,10 @@ def spread_summary(days: DataFrame, step: int = 5) -> DataFrame:
 def book_turnover(df: DataFrame, fraction: float = 0.2, signal: str = "predicted_y") -> DataFrame:
     """(date, turnover): gross weight that changes from one date to the next in the equal-weight long/short book."""
     w = Window.partitionBy(DATE)
-    rows = df.where(F.col(signal).isNotNull()).withColumns({"_k": F.floor(F.count("*").over(w) * fraction), "_u": F.row_number().over(w.orderBy(F.desc(signal), INSTRUMENT)), "_d": F.row_number().over(w.orderBy(signal, INSTRUMENT)), "_t": F.dense_rank().over(Window.orderBy(DATE))})
-    book = rows.where((F.col("_u") <= F.col("_k")) | (F.col("_d") <= F.col("_k"))).select("_t", INSTRUMENT, (F.when(F.col("_u") <= F.col("_k"), 1.0).otherwise(-1.0) / F.col("_k")).alias("w"))
-    days = rows.select("_t", DATE).distinct()
+    rows = df.where(F.col(signal).isNotNull())
+    days = rows.select(DATE).distinct().withColumn("_t", F.row_number().over(Window.orderBy(DATE)))  # a row per date
+    rows = rows.withColumns({"_k": F.floor(F.count("*").over(w) * fraction), "_u": F.row_number().over(w.orderBy(F.desc(signal), INSTRUMENT)), "_d": F.row_number().over(w.orderBy(signal, INSTRUMENT))})
+    book = rows.where((F.col("_u") <= F.col("_k")) | (F.col("_d") <= F.col("_k"))).join(F.broadcast(days), DATE).select("_t", INSTRUMENT, (F.when(F.col("_u") <= F.col("_k"), 1.0).otherwise(-1.0) / F.col("_k")).alias("w"))
     old = book.select((F.col("_t") + 1).alias("_t"), INSTRUMENT, F.col("w").alias("v"))
     step = book.join(old, ["_t", INSTRUMENT], "full").groupBy("_t").agg(F.sum(F.abs(F.coalesce("w", F.lit(0.0)) - F.coalesce("v", F.lit(0.0)))).alias("turnover"))
     return days.where("_t > 1").join(step, "_t").select(DATE, "turnover")

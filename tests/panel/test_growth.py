@@ -4,6 +4,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from quantloom.functions import columns as C
+from quantloom.operators import diagnostics
 from quantloom.plans.testpanel import tidy_sql
 
 
@@ -16,3 +17,15 @@ def test_halves_are_rounded_as_sql_does(spark):
     con.executemany("INSERT INTO t VALUES (?, ?, ?)", ranks)
     want = sorted(con.execute(f"SELECT a, b, c, {tidy_sql('(-a * b * c)')} FROM t").fetchall())
     assert got == want
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def _signals(spark):
+    return spark.range(60).selectExpr("id % 6 AS instrument_id", "date_add(DATE'2024-01-01', CAST(id DIV 6 AS INT)) AS date", "CAST(hash(id) % 97 AS DOUBLE) AS predicted_y", "CAST(hash(id, 1) % 89 AS DOUBLE) AS y")
+
+
+def test_book_turnover_numbers_dates_not_rows(spark):
+    assert "dense_rank" not in _plan(diagnostics.book_turnover(_signals(spark)))
