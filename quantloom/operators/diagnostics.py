@@ -107,9 +107,10 @@ def turnover(df: DataFrame, factors, top: float = 0.2, least: int = 2) -> DataFr
     """(factor, rank_turnover, retention, transitions): from each eligible date to the next one, the mean change of
     percentile rank of the names on both, and the share of the top names that stays on top."""
     rows = long_form(df, factors).where("value is not null")
-    n = F.count("*").over(Window.partitionBy("factor", DATE))
-    rows = rows.withColumn("_n", n).where(F.col("_n") >= least)
-    rows = rows.withColumns({"_p": avg_rank(F.col("value"), "factor", DATE) / F.col("_n"), "_place": F.row_number().over(Window.partitionBy("factor", DATE).orderBy(F.desc("value"), INSTRUMENT)), "_k": F.dense_rank().over(Window.partitionBy("factor").orderBy(DATE))})
+    days = rows.groupBy("factor", DATE).agg(F.count("*").alias("_n")).where(F.col("_n") >= least)
+    days = days.withColumn("_k", F.row_number().over(Window.partitionBy("factor").orderBy(DATE)))  # a row per factor and date
+    rows = rows.join(F.broadcast(days), ["factor", DATE])
+    rows = rows.withColumns({"_p": avg_rank(F.col("value"), "factor", DATE) / F.col("_n"), "_place": F.row_number().over(Window.partitionBy("factor", DATE).orderBy(F.desc("value"), INSTRUMENT))})
     rows = rows.withColumn("_top", F.col("_place") <= F.ceil(F.col("_n") * top)).select("factor", INSTRUMENT, "_k", "_p", "_top")
     old = rows.select("factor", INSTRUMENT, (F.col("_k") + 1).alias("_k"), F.col("_p").alias("_q"), F.col("_top").alias("_was"))
     both = rows.join(old, ["factor", INSTRUMENT, "_k"])

@@ -29,3 +29,9 @@ def _signals(spark):
 
 def test_book_turnover_numbers_dates_not_rows(spark):
     assert "dense_rank" not in _plan(diagnostics.book_turnover(_signals(spark)))
+
+
+def test_turnover_numbers_dates_not_rows(spark):
+    rows = _signals(spark)
+    assert "dense_rank" not in _plan(diagnostics.turnover(rows, ["predicted_y"]))
+    assert "dense_rank" not in _plan(diagnostics.factor_summary(rows, ["predicted_y"]))
