@@ -8,10 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quantloom.functions import columns as C
-from quantloom.functions.columns import DATE
+from quantloom.functions.columns import DATE, correlation
 from quantloom.functions.tables import stored
 
-from .diagnostics import daily_ic, long_form
 from .preprocess import impute, medians
 
 
@@ -53,8 +52,10 @@ def pair_correlations(df: DataFrame, features) -> DataFrame:
 
 def scores(df: DataFrame, features, target: str = "y") -> DataFrame:
     """(feature, score): size of the mean daily correlation with the target."""
-    ic = daily_ic(long_form(df, features, (DATE, C.INSTRUMENT, target)), "value", target, ("factor",))
-    return ic.groupBy(F.col("factor").alias("feature")).agg(F.coalesce(F.abs(F.avg("ic")), F.lit(0.0)).alias("score"))
+    features, y = list(features), F.col(target)
+    day = df.groupBy(DATE).agg(*(F.struct(correlation(F.col(x), y).alias("ic"), F.count(F.when(y.isNotNull(), F.col(x))).alias("n")).alias(x) for x in features))
+    ic = day.select(F.explode(F.array(*(F.struct(F.lit(x).alias("feature"), F.col(x).alias("v")) for x in features))).alias("r")).where("r.v.n > 0")
+    return ic.groupBy("r.feature").agg(F.coalesce(F.abs(F.avg("r.v.ic")), F.lit(0.0)).alias("score"))
 
 
 def table(train: DataFrame, features, target: str = "y", missing: float = 0.6, variance: float = 1e-12, corr: float = 0.95, top: int | None = None) -> DataFrame:
