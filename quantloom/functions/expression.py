@@ -1,5 +1,6 @@
-"""Factor formulas as expressions over panel columns, evaluated in layers: all window columns whose inputs are ready
-make one select, so that many factors share the few shuffles between instrument and date order."""
+"""Factor formulas as expressions over panel columns, evaluated in phases: all windows along instruments that need no further
+ranks, then all ranks within dates that those allow, and so on. Rows move twice a phase, whatever the number and depth of
+the formulas; a factor is made as soon as its windows are there, so that only it and no part of it moves on."""
 
 from __future__ import annotations
 
@@ -19,6 +20,9 @@ class Expr:
         self.key = f"{kind}:{n}({','.join(a.key for a in self.args)})"
         below = max((a.layer for a in self.args), default=0)
         self.layer = below + (kind in WINDOWS)
+        phase = max((a.phase for a in self.args), default=(0, False))
+        # (phase, across?): windows along rows that read ranks are in the next phase
+        self.phase = (phase[0], True) if kind in ACROSS else (phase[0] + phase[1], False) if kind in WINDOWS else phase
 
     def __neg__(self):
         return Expr("neg", self)
@@ -196,8 +200,9 @@ def _across(e: Expr, name: str) -> Column:
 
 
 def evaluate(panel: DataFrame, factors: dict[str, Expr], keep=(C.INSTRUMENT, C.DATE)) -> DataFrame:
-    """``keep`` and a column for each factor. panel holds the fields. Each layer: the windows along instruments, the
-    smoothed columns, the ranks within dates; columns that nothing needs any more are dropped."""
+    """``keep`` and a column for each factor. panel holds the fields. Each phase: the windows along instruments and the smoothed
+    columns, layer by layer, all on one partitioning, then the ranks within dates on another; columns that nothing needs
+    any more are dropped, and finished factors take the place of their parts."""
     need: dict[str, Expr] = {}
     for e in factors.values():
         columns_of(e, need)
@@ -205,12 +210,13 @@ def evaluate(panel: DataFrame, factors: dict[str, Expr], keep=(C.INSTRUMENT, C.D
     fields = {x for e in factors.values() for x in _fields(e)}
     fields |= {e.n for e in need.values() if e.kind in ACROSS and e.n}
     df = panel.select(*keep, *sorted(fields - set(keep))).withColumn("_t", F.row_number().over(C.order()))
-    for layer in range(1, max((e.layer for e in need.values()), default=0) + 1):
-        now = {k: e for k, e in need.items() if e.layer == layer}
-        later = {k for e in factors.values() for k in reads(e)} | {k for e in need.values() if e.layer > layer for k in _direct(e)}
-        live = [names[k] for k, e in need.items() if e.layer < layer and (k in later or any(k in _direct(x) for x in now.values()))]
-        done = {k: names[k] for k in names if need[k].layer < layer}
-        base = [*keep, *sorted(fields - set(keep)), "_t", *live]
+    done: dict[str, str] = {}
+    ready: dict[str, str] = {}
+    for step in sorted({(*e.phase, e.layer) for e in need.values()}):
+        now = {k: e for k, e in need.items() if (*e.phase, e.layer) == step}
+        waiting = {k for f, e in factors.items() if f not in ready for k in reads(e)} | {k for x, e in need.items() if x not in done for k in _direct(e)}
+        live = [names[k] for k in done if k in waiting]
+        base = [*keep, *sorted(fields - set(keep)), "_t", *live, *ready.values()]
         along = [(k, e) for k, e in now.items() if e.kind not in (*ACROSS, "smooth")]
         if along:
             df = df.select(*base, *(_window(e, done).alias(names[k]) for k, e in along))
@@ -222,7 +228,12 @@ def evaluate(panel: DataFrame, factors: dict[str, Expr], keep=(C.INSTRUMENT, C.D
         if across := [(k, e) for k, e in now.items() if e.kind in ACROSS]:
             df = df.select(*base, *(_column(e.args[0], done).alias(f"{names[k]}i") for k, e in across))
             df = df.select(*base, *(_across(e, f"{names[k]}i").alias(names[k]) for k, e in across))
-    return df.select(*keep, *(C.finite(_column(e, names).cast("double")).alias(f) for f, e in factors.items()))
+            base += [names[k] for k, _ in across]
+        done |= {k: names[k] for k in now}
+        if found := {f: f"_x{i}" for i, (f, e) in enumerate(factors.items()) if f not in ready and reads(e) and reads(e) <= set(done)}:
+            df = df.select(*base, *(_column(factors[f], done).cast("double").alias(x) for f, x in found.items()))
+            ready |= found
+    return df.select(*keep, *(C.finite(F.col(ready[f]) if f in ready else _column(e, names).cast("double")).alias(f) for f, e in factors.items()))
 
 
 def _fields(e: Expr) -> set[str]:

@@ -36,7 +36,7 @@ def smooth(df: DataFrame, columns: dict[str, tuple[str, float]], block: int | No
     for i, (source, alpha) in enumerate(columns.values()):
         steps[f"_f{i}"], steps[f"_a{i}"] = _steps(source, alpha)
     rows = rows.withColumns(steps).withColumn("_b", F.floor((F.col("_n") - 1) / (block or BLOCK)))
-    blocks = rows.groupBy(INSTRUMENT, "_b").agg(F.array_sort(F.collect_list(F.struct("_n", *(c for c in rows.columns if c not in ("_n", "_b"))))).alias("_r"))
+    blocks = rows.groupBy(INSTRUMENT, "_b").agg(F.array_sort(F.collect_list(F.struct("_n", *(c for c in rows.columns if c not in ("_n", "_b", INSTRUMENT))))).alias("_r"))
     start, none = F.lit(None).cast("double"), F.lit(None).cast("double")
 
     def step(i):
@@ -66,6 +66,7 @@ def smooth(df: DataFrame, columns: dict[str, tuple[str, float]], block: int | No
         y = F.struct(*(moved(acc["y"][f"y{i}"], r[f"_f{i}"], r[f"_a{i}"]).alias(f"y{i}") for i in range(len(names))))
         return F.struct(y.alias("y"), F.array_append(acc["out"], y).alias("out"))
 
-    done = blocks.select("_r", F.aggregate("_r", zero, finished, lambda acc: acc["out"]).alias("_y"))
-    out = done.select(F.explode(F.arrays_zip("_r", "_y")).alias("z"))
-    return out.select(*(F.col(f"z._r.{c}").alias(c) for c in df.columns), *(F.col(f"z._y.y{i}").alias(name) for i, name in enumerate(names)))
+    done = blocks.select(INSTRUMENT, "_r", F.aggregate("_r", zero, finished, lambda acc: acc["out"]).alias("_y"))
+    out = done.select(INSTRUMENT, F.explode(F.arrays_zip("_r", "_y")).alias("z"))
+    # the group's own key goes on, so that rows stay dealt by instrument and the next window does not move them
+    return out.select(*(F.col(INSTRUMENT if c == INSTRUMENT else f"z._r.{c}").alias(c) for c in df.columns), *(F.col(f"z._y.y{i}").alias(name) for i, name in enumerate(names)))

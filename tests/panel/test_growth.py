@@ -5,6 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from quantloom.functions import columns as C
+from quantloom.functions import expression as E
 from quantloom.operators import diagnostics, preprocess
 from quantloom.plans.testpanel import tidy_sql
 
@@ -49,3 +50,10 @@ def test_medians_are_exact_and_hold_no_column_in_one_task(spark):
     for accuracy in (1000, 4):
         got = preprocess.medians(df, names, accuracy)
         assert "percentile(" not in _plan(got) and got.first() == want
+
+
+def test_rows_move_by_phase_and_not_by_layer(spark):
+    panel = _signals(spark).selectExpr("instrument_id", "date", "predicted_y AS close", "y AS volume")
+    found = {"a": E.rank(E.v), "b": E.rank(E.mean(E.c, 3)), "c": E.rank(E.mean(E.mean(E.c, 3), 3)), "d": E.rank(E.mean(E.sma(E.c, 5), 3))}
+    plan = E.evaluate(panel, found)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2  # to instruments, to dates
