@@ -33,18 +33,21 @@ def with_centralities(edges: DataFrame, rounds: int = 8, damping: float = 0.85)
     Power iteration on each date's graph: a node's influence is what its targets pass on, each in proportion to its
     incoming weights, plus an equal share for all; after ``rounds`` rounds, times the number of nodes (1: as influential as the
     mean). A target's exposure is the mean influence of its sources by weight. A round is a join and an aggregation of tables
-    of the size of the edges, by date and node; influence is stored after each, so plans do not grow with the rounds."""
-    share = F.col("weight") / F.sum("weight").over(Window.partitionBy(DATE, "target"))
-    e = stored(edges.where("weight > 0").select(DATE, "source", "target", share.alias("share")))
+    of the size of the edges, by date and node; edges and the influence after each round are stored, so edges are made once
+    and plans do not grow with the rounds. A date's mean is taken from sums by partition, not by moving its nodes together."""
+    w = F.when(F.col("weight") > 0, F.col("weight"))
+    all_ = stored(edges.withColumn("_share", w / F.sum(w).over(Window.partitionBy(DATE, "target"))))
+    e = all_.where("_share is not null").select(DATE, "source", "target", F.col("_share").alias("share"))
     nodes = e.select(DATE, F.col("source").alias("node")).union(e.select(DATE, "target")).distinct()
     x = stored(nodes.withColumn("x", F.lit(1.0)))
     for _ in range(rounds):
         got = e.join(x.withColumnRenamed("node", "target"), [DATE, "target"]).groupBy(DATE, F.col("source").alias("node")).agg(F.sum(F.col("share") * F.col("x")).alias("in"))
-        y = x.join(got, [DATE, "node"], "left").select(DATE, "node", (1 - damping + damping * F.coalesce("in", F.lit(0.0))).alias("y"))
-        x = stored(y.select(DATE, "node", (F.col("y") / F.avg("y").over(Window.partitionBy(DATE))).alias("x")))
-    near = e.join(x.withColumnRenamed("node", "source"), [DATE, "source"]).groupBy(DATE, "target").agg(F.sum(F.col("share") * F.col("x")).alias("target_neighbor_centrality"))
-    out = edges.join(x.select(DATE, F.col("node").alias("source"), F.col("x").alias("source_influence_centrality")), [DATE, "source"], "left")
-    return out.join(near, [DATE, "target"], "left").select(*edges.columns, "source_influence_centrality", "target_neighbor_centrality")
+        y = stored(x.join(got, [DATE, "node"], "left").select(DATE, "node", (1 - damping + damping * F.coalesce("in", F.lit(0.0))).alias("y")))
+        mean = F.broadcast(y.groupBy(DATE).agg(F.avg("y").alias("m")))  # a row per date
+        x = y.join(mean, DATE).select(DATE, "node", (F.col("y") / F.col("m")).alias("x"))
+    out = all_.join(x.select(DATE, F.col("node").alias("source"), F.col("x").alias("source_influence_centrality")), [DATE, "source"], "left")
+    near = F.sum(F.col("_share") * F.col("source_influence_centrality")).over(Window.partitionBy(DATE, "target"))
+    return out.select(*edges.columns, "source_influence_centrality", near.alias("target_neighbor_centrality"))
 
 
 def std_from_sums(sw, swx, swxx):

@@ -11,6 +11,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """instrument_id, market_cap, sector."""
+    names = read(spark, sf_dir, "supplier").join(read(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return names.select(F.col("s_suppkey").cast("long").alias("instrument_id"), F.col("s_acctbal").cast("double").alias("market_cap"), F.col("r_name").alias("sector"))
+
+
 def panel(spark: SparkSession, sf_dir: str, every: str = "month") -> DataFrame:
     """instrument_id, date, open, high, low, close, volume, turnover, vwap, adjustment, market_cap, sector."""
     lines = read(spark, sf_dir, "lineitem")
@@ -21,9 +27,7 @@ def panel(spark: SparkSession, sf_dir: str, every: str = "month") -> DataFrame:
         F.min_by("p", "k").alias("open"), F.max("p").alias("high"), F.min("p").alias("low"), F.max_by("p", "k").alias("close"), F.sum("q").alias("volume"), F.round(F.sum("x"), 2).alias("turnover"), (1 - F.round(F.sum("d"), 2) / F.count("*")).alias("adjustment")
     )
     bars = bars.withColumn("vwap", F.col("turnover") / F.col("volume"))
-    names = read(spark, sf_dir, "supplier").join(read(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    names = names.select(F.col("s_suppkey").cast("long").alias("instrument_id"), F.col("s_acctbal").cast("double").alias("market_cap"), F.col("r_name").alias("sector"))
-    return bars.join(names, "instrument_id").select("instrument_id", "date", "open", "high", "low", "close", "volume", "turnover", "vwap", "adjustment", "market_cap", "sector")
+    return bars.join(suppliers(spark, sf_dir), "instrument_id").select("instrument_id", "date", "open", "high", "low", "close", "volume", "turnover", "vwap", "adjustment", "market_cap", "sector")
 
 
 def panel_sql(name: str = "panel", every: str = "month") -> str:
@@ -69,14 +73,16 @@ MACRO_SQL = """macro AS MATERIALIZED (
 
 
 def edges(spark: SparkSession, sf_dir: str, top: int = 5) -> DataFrame:
-    """Suppliers (source, target) that share a part in a month: date, source, target, weight, rank, same_sector."""
+    """Suppliers (source, target) that share a part in a quarter: date, source, target, weight, rank, same_sector. A part's suppliers
+    meet in one list a quarter, and the pairs move once: counted and ranked where their target is."""
     from pyspark.sql import Window
 
-    lines = read(spark, sf_dir, "lineitem").select(F.trunc("l_shipdate", "quarter").alias("date"), "l_partkey", F.col("l_suppkey").cast("long").alias("s")).distinct()
-    both = lines.withColumnRenamed("s", "source").join(lines.withColumnRenamed("s", "target"), ["date", "l_partkey"]).where("source <> target")
-    both = both.groupBy("date", "source", "target").agg(F.count("*").cast("double").alias("weight"))
+    lines = read(spark, sf_dir, "lineitem").select(F.trunc("l_shipdate", "quarter").alias("date"), "l_partkey", F.col("l_suppkey").cast("long").alias("s"))
+    parts = lines.where("date is not null and l_partkey is not null").groupBy("date", "l_partkey").agg(F.collect_set("s").alias("s")).where(F.size("s") > 1)
+    both = parts.select("date", "s", F.explode("s").alias("source")).select("date", "source", F.explode("s").alias("target")).where("source <> target")
+    both = both.repartition("date", "target").groupBy("date", "source", "target").agg(F.count("*").cast("double").alias("weight"))
     ranked = both.withColumn("rank", F.row_number().over(Window.partitionBy("date", "target").orderBy(F.desc("weight"), "source"))).where(F.col("rank") <= top)
-    sector = panel(spark, sf_dir).select("instrument_id", "sector").distinct()
+    sector = suppliers(spark, sf_dir).select("instrument_id", "sector").distinct()
     ranked = ranked.join(sector.select(F.col("instrument_id").alias("source"), F.col("sector").alias("a")), "source").join(sector.select(F.col("instrument_id").alias("target"), F.col("sector").alias("b")), "target")
     return ranked.select("date", "source", "target", "weight", "rank", (F.col("a") == F.col("b")).alias("same_sector"))
 

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from quantloom.functions import columns as C
 from quantloom.functions import expression as E
-from quantloom.operators import diagnostics, preprocess
+from quantloom.operators import diagnostics, preprocess, relation
+from quantloom.plans import testpanel
 from quantloom.plans.testpanel import tidy_sql
 
 
@@ -57,3 +58,59 @@ def test_rows_move_by_phase_and_not_by_layer(spark):
     found = {"a": E.rank(E.v), "b": E.rank(E.mean(E.c, 3)), "c": E.rank(E.mean(E.mean(E.c, 3), 3)), "d": E.rank(E.mean(E.sma(E.c, 5), 3))}
     plan = E.evaluate(panel, found)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 2  # to instruments, to dates
+
+
+def _loop_centralities(edges, rounds, damping):
+    good = [e for e in edges if e[3] is not None and e[3] > 0]
+    total, x = {}, {(d, n): 1.0 for d, s, t, _ in good for n in (s, t)}
+    for d, _, t, w in good:
+        total[d, t] = total.get((d, t), 0.0) + w
+    for _ in range(rounds):
+        y = dict.fromkeys(x, 1 - damping)
+        for d, s, t, w in good:
+            y[d, s] += damping * w / total[d, t] * x[d, t]
+        for day in {d for d, _ in x}:
+            own = [k for k in x if k[0] == day]
+            mean = sum(y[k] for k in own) / len(own)
+            x |= {k: y[k] / mean for k in own}
+    near = {}
+    for d, s, t, w in good:
+        near[d, t] = near.get((d, t), 0.0) + w / total[d, t] * x[d, s]
+    return {(d, s, t): (x.get((d, s)), near.get((d, t))) for d, s, t, _ in edges}
+
+
+def test_centralities_make_their_edges_once(spark):
+    rng = np.random.default_rng(3)
+    rows = [(d, s, t, float(rng.integers(1, 9))) for d in (1, 2, 3) for s in range(12) for t in range(9) if s != t and rng.random() < 0.3]
+    rows += [(1, 50, 3, 0.0), (2, 51, 60, -1.0), (3, 52, 4, None)]
+    edges = spark.createDataFrame(rows, "date int, source int, target int, weight double").where("source is not null")
+    out = relation.with_centralities(edges, rounds=3)
+    assert "LogicalRDD" not in _plan(out)  # the edges' own plan is run while the result is built, and not again
+    assert "LogicalRDD" in _plan(edges)
+    got = {(r.date, r.source, r.target): (r.source_influence_centrality, r.target_neighbor_centrality) for r in out.collect()}
+    want = _loop_centralities(rows, 3, 0.85)
+    assert got.keys() == want.keys() and out.columns == [*edges.columns, "source_influence_centrality", "target_neighbor_centrality"]
+    for k, pair in want.items():
+        for a, b in zip(got[k], pair, strict=True):
+            assert (a is None) == (b is None) and (a is None or abs(a - b) < 1e-12)
+
+
+def test_pairs_of_suppliers_move_once(spark, tmp_path):
+    from datetime import date
+
+    days = [date(2020, 1, 5), date(2020, 2, 5), date(2020, 4, 5)]
+    rng = np.random.default_rng(4)
+    lines = [(i, int(rng.integers(0, 6)), int(rng.integers(0, 9)), 1, 2.0, 10.0, 0.1, days[i % 3]) for i in range(200)] + [(999, 1, s, 1, 2.0, 10.0, 0.1, None) for s in range(9)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_shipdate date").write.parquet(str(tmp_path / "lineitem.parquet"))
+    for name in ("nation", "region"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").write.parquet(str(tmp_path / f"{name}.parquet"))
+    spark.createDataFrame([(s, s % 5, 1.0) for s in range(9) if s != 7], "s_suppkey long, s_nationkey long, s_acctbal double").write.parquet(str(tmp_path / "supplier.parquet"))
+    out = testpanel.edges(spark, str(tmp_path))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("l_extendedprice") == 1  # lines are read once: neither sectors nor pairs need a second reading
+    con = duckdb.connect()
+    for name in ("lineitem", "supplier", "nation", "region"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    columns = "date, source, target, weight, rank, same_sector"
+    want = con.execute(f"WITH {testpanel.panel_sql()}, {testpanel.EDGES_SQL} SELECT {columns} FROM edges").fetchall()
+    assert sorted(want) == sorted(tuple(r) for r in out.select(*columns.split(", ")).collect()) and want
