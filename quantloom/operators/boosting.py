@@ -27,8 +27,8 @@ from .signals import added
 
 #: Places of a column's histogram: 0 for missing values, then the bins.
 PLACES = 256
-#: Trees whose margins rows recompute before they are stored anew.
-KEPT = 16
+#: Trees whose margins each pass recomputes before they are stored anew, and trees after which the gradients' bound is taken anew.
+KEPT, BOUNDED = 2, 16
 
 
 @dataclass(frozen=True)
@@ -183,7 +183,9 @@ def _binned(features, edges, base):
         for batch in batches:
             frame = batch.to_pandas()
             cells = bin_rows(frame, features, edges)
-            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in cells], pa.binary()), pa.array(frame["y"].to_numpy(float)), pa.array(np.full(len(frame), base)), pa.array(frame["h"].to_numpy(np.int64))], ["b", "y", "margin", "h"])
+            ends = pa.py_buffer(np.arange(len(cells) + 1, dtype=np.int32) * len(features))
+            packed = pa.Array.from_buffers(pa.binary(), len(cells), [None, ends, pa.py_buffer(np.ascontiguousarray(cells))])
+            yield pa.RecordBatch.from_arrays([packed, pa.array(frame["y"].to_numpy(float)), pa.array(np.full(len(frame), base)), pa.array(frame["h"].to_numpy(np.int64))], ["b", "y", "margin", "h"])
 
     return run
 
@@ -221,8 +223,11 @@ def _histograms(trees, tree, number, wanted, k, s, factors):
             g, q = (np.rint(x * f) for x, f in zip(gradients(s.loss, margin, y), factors, strict=True))
             for f in range(k):
                 at = slot * PLACES + bins[:, f]
-                for i, w in enumerate((g, q, None)):
-                    total[:, f, :, i] += np.bincount(at, w, len(wanted) * PLACES).reshape(len(wanted), PLACES)
+                for i, w in ((0, g), (1, q), (2, None)):
+                    if i != 1 or s.loss != "squared":  # whose hessians are the numbers of rows
+                        total[:, f, :, i] += np.bincount(at, w, len(wanted) * PLACES).reshape(len(wanted), PLACES)
+        if s.loss == "squared":
+            total[..., 1] = total[..., 2]
         part = TaskContext.get().partitionId()
         yield pa.RecordBatch.from_arrays([pa.array(np.array(wanted, np.int32)), pa.array(np.full(len(wanted), part)), pa.array([m.tobytes() for m in total], pa.binary())], ["node", "part", "m"])
 
@@ -302,15 +307,15 @@ def fit(train: DataFrame, features, settings: Settings = Settings(), keys=(DATE,
         path = f"{folder}/0"
         rows.mapInArrow(_binned(features, edges, base), _ROWS).write.parquet(path)
         table, fresh = spark.read.schema(_ROWS).parquet(path), []
-        bound = max(high - base, base - low) if s.loss == "squared" else 1.0
+        bound, bounded = max(high - base, base - low) if s.loss == "squared" else 1.0, 0
         for number in range(s.trees):
             if len(fresh) == KEPT:
                 old, path = path, f"{folder}/{number}"
                 table.mapInArrow(_moved(fresh, s.step, k), _ROWS).write.parquet(path)
                 table, fresh = spark.read.schema(_ROWS).parquet(path), []
                 remove(spark, old)
-                if s.loss == "squared":
-                    bound = table.agg(F.max(F.abs(F.col("margin") - F.col("y")))).first()[0]
+                if s.loss == "squared" and number - bounded >= BOUNDED:
+                    bound, bounded = table.agg(F.max(F.abs(F.col("margin") - F.col("y")))).first()[0], number
             factors = whole(s.loss, n, bound)
             rng = np.random.default_rng([s.seed, number])
             columns = np.sort(rng.permutation(k)[: max(1, round(s.column_share * k))])

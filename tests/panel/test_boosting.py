@@ -131,3 +131,15 @@ def test_edges_of_input(spark):
     assert got[0] == got[1] == 0.5
     two = boosting.fit(spark.createDataFrame([(None, i, None if i < 5 else 1.0, None, None, float(i < 5)) for i in range(20)], kind), FEATURES, boosting.Settings(trees=1, step=1.0, squared=0.0))
     assert two.trees[0].feature.count(-1) == 2 and [x[1] for x in boosting.importance(two)] == [1, 0, 0]
+
+
+def test_margins_stored_often_change_nothing(spark, frame, monkeypatch):
+    own = frame.copy()
+    s = boosting.Settings(trees=5, leaves=4, bins=16)
+    rows = spark_rows(spark, own, 4)
+    assert boosting.KEPT <= 4  # a pass walks few trees for each row, however many there are
+    found = []
+    for kept in (boosting.KEPT, 100):
+        monkeypatch.setattr(boosting, "KEPT", kept)
+        found.append([(t.feature, t.cut, t.missing_left, t.value) for t in boosting.fit(rows, FEATURES, s).trees])
+    assert found[0] == found[1]
