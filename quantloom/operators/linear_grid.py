@@ -132,7 +132,7 @@ def fit(sums: Sums, fold: int, at: list[int], model: str, alpha: float, l1_ratio
     return out, float(mean[y] + sums.y_centre - out @ mean[1:y])
 
 
-def _mean_corr(a, b):
+def mean_corr(a, b):
     """Correlations of the columns of a with b, null where either hardly varies."""
     n = len(b)
     da, db = a - a.mean(0), b - b.mean()
@@ -160,7 +160,7 @@ def _daily(columns, centre, scale, weights, groups):
             with np.errstate(divide="ignore", invalid="ignore"):
                 means.append(np.where(count > 0, (own * y[:, None]).sum(0) / count, np.nan))
         e = p - y[:, None]
-        out = {"fold": fold, "trial": trials, DATE: pdf[DATE].iloc[0], "n": n, "ic": _mean_corr(p, y), "rank_ic": _mean_corr(pd.DataFrame(p).rank().to_numpy(), pd.Series(y).rank().to_numpy()), "sse": (e * e).sum(0), "sae": np.abs(e).sum(0)}
+        out = {"fold": fold, "trial": trials, DATE: pdf[DATE].iloc[0], "n": n, "ic": mean_corr(p, y), "rank_ic": mean_corr(pd.DataFrame(p).rank().to_numpy(), pd.Series(y).rank().to_numpy()), "sse": (e * e).sum(0), "sae": np.abs(e).sum(0)}
         out |= {f"g{g + 1}": m for g, m in enumerate(means)}
         return pd.DataFrame(out)
 

@@ -146,3 +146,18 @@ def test_correlations_of_two_rows_rank_as_in_sql(spark):
     assert len({r[2] for r in want}) > 30  # noise parts ties, in either engine
     rows = spark.createDataFrame(con.execute("FROM panel").fetchall(), "instrument_id long, date date, close double, volume double")
     assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in E.evaluate(rows, factors).collect())
+
+
+def test_candidates_dates_are_sorted_once(spark, monkeypatch):
+    make = "CAST(id % 2 AS STRING) AS factor", "date_add(DATE'2024-01-01', CAST(id DIV 100 AS INT)) AS date", "(id DIV 2) % 50 AS instrument_id", "IF(id % 11 = 0, NULL, CAST(hash(id) % 97 AS DOUBLE)) AS y", "IF(id DIV 100 = 3 OR id % 13 = 0, NULL, IF(id DIV 100 = 4, 7D, CAST(hash(id, 1) % 9 AS DOUBLE))) AS value"
+    rows = spark.range(594).selectExpr(*make).where("date < '2024-01-06' or instrument_id < 4")  # a date without values, one of equals, one of few
+    sorts = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Sort [")
+    assert sorts(alpha_scores.by_day(rows)) == 1
+    assert sorts(alpha_scores.tradability(rows)) == 4  # rows by date and by instrument, and two of dates
+    told = lambda df: sorted((r.factor, r.variant, str(r.date), [None if x is None else round(x, 9) for x in (r.ic, r.rank_ic, r._low, r._high, r._mean, r._dev, *r.returns)]) for r in df.collect())
+    whole, spilled, some = (told(alpha_scores.by_day(rows, groups=3, q=0.05, at_once=n)) for n in (100, 0, 40))
+    assert repr(whole) == repr(spilled) == repr(some) and len(whole) == 36 and any(r[3][0] is None for r in whole) and any(r[3][0] for r in whole)
+    kept, wide = [], rows.groupBy("date", "instrument_id").agg(F.max("y").alias("y"), F.max("value").alias("a"), F.min("value").alias("b"))
+    monkeypatch.setattr(alpha_scores, "stored", lambda df: kept.append(df) or df)
+    meta = spark.createDataFrame([("a", "a", "f", 1.0, 1.0, 1.0, 0.5), ("b", "b", "f", 1.0, 1.0, 1.0, 0.5)], "candidate_id string, formula string, family string, complexity double, depth double, field_count double, financial_logic_score double")
+    assert alpha_scores.alpha_scores(wide, meta).columns and "Window" not in _plan(kept[0])
